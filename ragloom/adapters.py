@@ -237,7 +237,7 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("model_type"),
         F.concat(F.lit("model-"), (F.col("o_custkey") % 10).cast("string")).alias("model_name"),
         F.when(F.col("o_orderstatus") == "F", "cpu").otherwise("cuda").alias("device"),
-        F.col("o_totalprice").cast("long").alias("size_bytes"),
+        F.floor("o_totalprice").cast("long").alias("size_bytes"),
         (F.col("o_custkey") % 50).alias("access_count"),
         F.col("o_orderdate").cast("timestamp").alias("last_accessed"),
         (F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 30 DAYS")).alias("created_at"),
@@ -249,7 +249,7 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 CACHE_ENTRIES_SQL = """SELECT 'key-' || CAST(o_orderkey AS VARCHAR) AS cache_key, o_orderkey AS id,
        o_orderpriority AS model_type, 'model-' || CAST(o_custkey % 10 AS VARCHAR) AS model_name,
        CASE WHEN o_orderstatus = 'F' THEN 'cpu' ELSE 'cuda' END AS device,
-       CAST(o_totalprice AS BIGINT) AS size_bytes, o_custkey % 50 AS access_count,
+       CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, o_custkey % 50 AS access_count,
        CAST(o_orderdate AS TIMESTAMP) AS last_accessed,
        CAST(o_orderdate AS TIMESTAMP) - INTERVAL 30 DAYS AS created_at,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 90 DAYS END AS expires_at
