@@ -185,14 +185,14 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").alias("seq"),
-        F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string"), F.lit("_"), F.col("event_type").substr(1, 1)).alias("key"),
+        F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("key"),
         (F.col("event_type") != "error").alias("success"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
 CALLS_SQL = """SELECT event_id AS seq,
-       'svc' || CAST(user_id % 5 AS VARCHAR) || '_' || substr(event_type, 1, 1) AS key,
+       'svc' || CAST(user_id % 7 AS VARCHAR) AS key,
        event_type <> 'error' AS success, CAST(ts AS TIMESTAMP) AS ts
 FROM events"""
 
