@@ -27,7 +27,7 @@ def normalize_text(c) -> Column:
     """drop NUL, trim, control characters -> space, collapse whitespace, trim."""
     c = _c(c)
     c = F.regexp_replace(c, "\u0000", "")
-    c = F.regexp_replace(c, "^(?U)\\s+|(?U)\\s+$", "")
+    c = strip_ws(c)
     c = F.regexp_replace(c, "[\\x00-\\x1f\\x7f-\\x9f]", " ")
     c = F.regexp_replace(c, "(?U)\\s+", " ")
     return F.regexp_replace(c, "^ | $", "")
@@ -57,9 +57,14 @@ def split_tags(c) -> Column:
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.split(c, ","))
 
 
+def strip_ws(c) -> Column:
+    """Python ``str.strip()``: leading and trailing whitespace of any kind."""
+    return F.regexp_replace(_c(c), "^(?U)\\s+|(?U)\\s+$", "")
+
+
 def split_upload_tags(c, max_tags: int = 50, max_len: int = 100) -> Column:
-    """F3 upload variant: trim, drop empty, sanitise, cut to 100 characters, keep the first 50."""
-    parts = F.transform(split_tags(c), lambda t: F.trim(t))
+    """F3 upload variant: strip, drop empty, sanitise, cut to 100 characters, keep the first 50."""
+    parts = F.transform(split_tags(c), lambda t: strip_ws(t))
     parts = F.filter(parts, lambda t: t != "")
     parts = F.transform(parts, lambda t: F.substring(sanitize_filename(t), 1, max_len))
     return F.slice(parts, 1, max_tags)
@@ -67,9 +72,10 @@ def split_upload_tags(c, max_tags: int = 50, max_len: int = 100) -> Column:
 
 # ------------------------------------------------------------------------- F4 / F5
 def file_extension(c) -> Column:
-    """Lower-cased extension with its dot ('' when none), like os.path.splitext."""
-    base = F.regexp_extract(_c(c), "([^/]*)$", 1)
-    return F.lower(F.regexp_extract(base, "[^.](\\.[^.]*)$", 1))
+    """Lower-cased extension with its dot ('' when none), like os.path.splitext: leading dots
+    of the base name do not start an extension."""
+    base = F.regexp_replace(F.regexp_extract(_c(c), "([^/]*)$", 1), "^\\.+", "")
+    return F.lower(F.regexp_extract(base, "(\\.[^.]*)$", 1))
 
 
 def is_allowed_image_extension(c) -> Column:
@@ -97,7 +103,14 @@ def storage_name(content_type, original, key=None) -> Column:
 
 # ------------------------------------------------------------------------- F6
 def _present(c) -> Column:
-    return F.when(c.isNotNull() & (F.trim(c.cast("string")) != ""), c.cast("string"))
+    """The value as a string when it is truthy in the reference sense (not null, not empty)."""
+    return F.when(c.isNotNull() & (c.cast("string") != ""), c.cast("string"))
+
+
+def _size_part(width, height) -> Column:
+    w, h = _c(width), _c(height)
+    return F.when(w.isNotNull() & h.isNotNull() & (w != 0) & (h != 0),
+                  F.concat(F.lit("Size: "), w.cast("string"), F.lit("x"), h.cast("string")))
 
 
 def metadata_text_csv(description, tags, style, category) -> Column:
@@ -109,19 +122,15 @@ def metadata_text_csv(description, tags, style, category) -> Column:
 def metadata_text_coco(objects, width, height) -> Column:
     """F6 (COCO form): 'Objects: a, b | Size: WxH', empty parts skipped."""
     objs = F.when(F.size(_c(objects)) > 0, F.concat(F.lit("Objects: "), F.array_join(_c(objects), ", ")))
-    size = F.when(_c(width).isNotNull() & _c(height).isNotNull(),
-                  F.concat(F.lit("Size: "), _c(width).cast("string"), F.lit("x"), _c(height).cast("string")))
-    return F.concat_ws(" | ", objs, size)
+    return F.concat_ws(" | ", objs, _size_part(width, height))
 
 
 def metadata_text_db(description, tags, width, height) -> Column:
     """F6 (database form): 'desc | tag | tag | Size: WxH', 'No description available' when empty."""
-    size = F.when(_c(width).isNotNull() & _c(height).isNotNull(),
-                  F.concat(F.lit("Size: "), _c(width).cast("string"), F.lit("x"), _c(height).cast("string")))
-    parts = F.concat_ws(" | ", _present(_c(description)),
-                        F.array_join(F.coalesce(_c(tags), F.array().cast("array<string>")), " | "), size)
-    parts = F.regexp_replace(parts, "( \\| )+$|^( \\| )+", "")
-    return F.when(parts == "", F.lit("No description available")).otherwise(parts)
+    parts = F.filter(F.concat(F.array(_present(_c(description))),
+                              F.coalesce(_c(tags), F.array().cast("array<string>")),
+                              F.array(_size_part(width, height))), lambda x: x.isNotNull())
+    return F.when(F.size(parts) == 0, F.lit("No description available")).otherwise(F.array_join(parts, " | "))
 
 
 # ------------------------------------------------------------------------- F8
@@ -154,7 +163,7 @@ def hours_between(later, earlier) -> Column:
 
 
 def epoch_seconds_to_ts(c) -> Column:
-    return F.timestamp_micros((_c(c) * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.floor(_c(c) * 1_000_000).cast("long"))
 
 
 def ms_to_seconds(c) -> Column:

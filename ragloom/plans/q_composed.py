@@ -1 +1,104 @@
-"""Catalogue entries."""
+"""Catalogue entries: composed jobs (X2 RAG, X4 generation ledger, X3/X5 reports) and the
+approximate index (V6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import adapters as A
+from ..operators import ann
+from ..operators import predicates as P
+from ..operators import aggregates as G
+from . import rag, reports
+from .catalog import register
+from .q_aggregates import STATUS_COLS
+
+SCENES_SQL = "['indoor', 'outdoor', 'kitchen', 'living room', 'park', 'street', 'garden']"
+
+RAG_SQL = A.with_views(f""",
+q AS (SELECT b.item_id AS qid, b.text AS query, e.embedding::DOUBLE[] AS qv
+      FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+scored AS (SELECT q.qid, c.id, list_distance(c.embedding::DOUBLE[], q.qv) ^ 2 AS d,
+                  row_number() OVER (PARTITION BY q.qid ORDER BY list_distance(c.embedding::DOUBLE[], q.qv), c.id) AS rank
+           FROM q, vectors c),
+hits AS (SELECT qid, id, rank FROM scored WHERE rank <= 3 AND 1.0 / (1.0 + d) >= 0.1),
+ex AS (SELECT h.qid, h.rank, h.id, i.description, i.tags FROM hits h JOIN images i ON i.id = h.id),
+per AS (SELECT qid, list(description ORDER BY rank) AS descs, list(tags ORDER BY rank) AS tagss,
+               array_to_string(list(CAST(id AS VARCHAR) ORDER BY rank), ',') AS retrieved, count(*) AS n
+        FROM ex GROUP BY qid),
+base AS (SELECT q.qid, q.query, coalesce(per.n, 0) AS n_examples, coalesce(per.retrieved, '') AS retrieved,
+                coalesce(per.descs, []::VARCHAR[]) AS descs, coalesce(per.tagss, []::VARCHAR[][]) AS tagss
+         FROM q LEFT JOIN per ON per.qid = q.qid),
+s1 AS (SELECT *, flatten(list_transform(descs, lambda d: list_filter({SCENES_SQL},
+                   lambda k: coalesce(contains(lower(d), k), false)))) AS sc_all,
+              flatten(list_transform(tagss, lambda t: coalesce(t, []::VARCHAR[]))) AS ob_all FROM base),
+s2 AS (SELECT *, list_filter(sc_all, lambda x, i: list_position(sc_all, x) = i) AS scenes,
+              list_slice(list_filter(ob_all, lambda x, i: list_position(ob_all, x) = i), 1, 3) AS obj3 FROM s1),
+s3 AS (SELECT *, list_filter(obj3, lambda o: NOT contains(lower(query), lower(o))) AS new_objs FROM s2),
+s4 AS (SELECT *, CASE WHEN len(scenes) > 0 THEN 'in ' || array_to_string(list_slice(scenes, 1, 2), ', ') || ' setting' END AS sp,
+              CASE WHEN len(new_objs) > 0 THEN 'with ' || array_to_string(new_objs, ', ') END AS op FROM s3),
+out AS (SELECT qid, n_examples, retrieved,
+           CASE WHEN n_examples = 0 THEN query WHEN sp IS NULL AND op IS NULL THEN query || ', in realistic style'
+                ELSE concat_ws(', ', query, sp, op) END AS augmented_prompt FROM s4)
+""", "vectors", "images")
+
+
+def _rag(spark, sf):
+    corpus = A.embeddings(spark, sf)
+    bench = A.read_table(spark, sf, "benchmark")
+    queries = bench.join(corpus.select(F.col("id").alias("item_id"), F.col("embedding").alias("query_vector")),
+                         "item_id").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "query_vector")
+    return rag.rag_process(queries, corpus, A.images(spark, sf), n=3, threshold=0.1)
+
+
+@register("x2_rag_process", RAG_SQL + "SELECT qid, augmented_prompt, n_examples FROM out")
+def x2_rag_process(spark, sf):
+    """Benchmark passages as prompts, their vectors as queries, documents as the image catalogue."""
+    r = _rag(spark, sf)
+    return r.select("qid", "augmented_prompt", F.col("n_examples").cast("long").alias("n_examples"))
+
+
+@register("x4_record_generation", RAG_SQL + """
+SELECT qid AS id, 'generated_r1_01.png' AS output_path, retrieved, 'completed' AS status FROM out""")
+def x4_record_generation(spark, sf):
+    led = rag.record_generations(_rag(spark, sf), run_id="r1")
+    return led.select("id", "output_path",
+                      F.array_join(F.transform("retrieved_examples", lambda e: e["image_id"].cast("string")), ",")
+                      .alias("retrieved"), "status")
+
+
+@register("x2_rag_from_text")
+def x2_rag_from_text(spark, sf):
+    """Rows-only: benchmark passages and whole documents both encoded by U1, then X2 (cosine)."""
+    bench = A.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    docs = A.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    r = rag.rag_from_text(bench, docs, A.images(spark, sf), n=3, threshold=0.0)
+    return r.select("qid", "augmented_prompt", "n_examples")
+
+
+@register("v6_ivf_search")
+def v6_ivf_search(spark, sf):
+    """Rows-only: IVF index over every vector (lists = sqrt(n)), every vector as a query, top-5."""
+    corpus = A.embeddings(spark, sf)
+    n = corpus.count()
+    lists = max(2, int(n ** 0.5))
+    index, cents = ann.ivf_build(corpus, lists=lists, max_iter=10)
+    queries = corpus.select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
+    return ann.ivf_search(queries, index, cents, k=5, nprobe=max(1, lists // 4))
+
+
+@register("x3_analytics_report")
+def x3_analytics_report(spark, sf):
+    """Rows-only: the sectioned analytics report (long form)."""
+    g = A.generations(spark, sf)
+    as_of = g.select(F.max("created_at")).scalar()
+    return reports.analytics_report(A.images(spark, sf), A.embeddings(spark, sf), g, A.cache_entries(spark, sf),
+                                    as_of=as_of)
+
+
+@register("x5_monitor_report")
+def x5_monitor_report(spark, sf):
+    """Rows-only: performance, health and cache sections in one report."""
+    c = P.classify_thresholds(A.system_metrics(spark, sf))
+    long = G.checks_long(c, STATUS_COLS, ["component"])
+    return reports.monitor_report(A.operations(spark, sf), long, A.cache_entries(spark, sf))
