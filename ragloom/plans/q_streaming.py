@@ -1 +1,112 @@
-"""Catalogue entries."""
+"""Catalogue entries: streaming operators run with ``availableNow`` over the test tables read as
+a file stream; results are written under the shared checkpoint root and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import adapters as A
+from ..streaming import online as S
+from .catalog import register
+from .q_relational import P10_SQL  # noqa: F401  (kept for symmetry with the batch entries)
+from .q_windows import _w1_sql
+
+
+def event_stream(spark, sf):
+    schema = A.read_table(spark, sf, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def sample_stream(spark, sf):
+    return event_stream(spark, sf).select(F.col("event_type").alias("name"), "value",
+                                          F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+@register("st1_rolling_metric_stats", """
+WITH s AS (SELECT event_type AS name, value, CAST(ts AS TIMESTAMP) AS ts FROM events),
+w AS (SELECT name, value, time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS window_start
+      FROM s, (SELECT unnest(generate_series(0, 4)) AS k) g)
+SELECT name, window_start, count(*) AS count, min(value) AS min, max(value) AS max,
+       round(avg(value), 6) AS avg, round(sum(value), 6) AS sum FROM w GROUP BY name, window_start""")
+def st1_rolling_metric_stats(spark, sf):
+    r = S.run_to_table(spark, S.rolling_metric_stats(sample_stream(spark, sf)), "st1")
+    return r.select("name", F.col("window.start").alias("window_start"), "count", "min", "max",
+                    F.round("avg", 6).alias("avg"), F.round("sum", 6).alias("sum"))
+
+
+@register("st2_threshold_alerts", A.with_views("""
+SELECT id, alert FROM (
+  SELECT id, 'high_memory' AS alert FROM sysmetrics WHERE memory_mb > 1024
+  UNION ALL SELECT id, 'high_cpu' AS alert FROM sysmetrics WHERE cpu_percent > 80) t""", "sysmetrics"))
+def st2_threshold_alerts(spark, sf):
+    ev = event_stream(spark, sf)
+    k = F.get_json_object("props", "$.k").cast("double")
+    snaps = ev.select(F.col("event_id").alias("id"), (k * 20.48).alias("memory_mb"),
+                      (F.col("value") % 100).alias("cpu_percent"))
+    r = S.run_to_table(spark, S.stream_threshold_alerts(snaps), "st2", mode="append")
+    return r.select("id", "alert")
+
+
+@register("st3_rate_limit", _w1_sql(60, 60))
+def st3_rate_limit(spark, sf):
+    ev = event_stream(spark, sf)
+    req = ev.select(F.col("event_id").alias("request_id"),
+                    F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("client_id"),
+                    F.col("ts").cast("timestamp").alias("ts"))
+    r = S.run_to_table(spark, S.rate_limit_stream(req, 60, 60), "st3", mode="append")
+    return r.select("request_id", "client_id", "n_in_window", "allowed", "remaining")
+
+
+@register("st4_dedup_within_ttl")
+def st4_dedup_within_ttl(spark, sf):
+    """Rows-only: repeated (user, event type) requests within 300 s are served from cache."""
+    ev = event_stream(spark, sf).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    r = S.run_to_table(spark, S.dedup_within_ttl(ev, ["user_id", "event_type"], "300 seconds"), "st4", mode="append")
+    return r.select("event_id", "user_id", "event_type")
+
+
+@register("st5_circuit_breaker")
+def st5_circuit_breaker(spark, sf):
+    """Rows-only: breaker decisions per service key (checked against a Python model in tests)."""
+    ev = event_stream(spark, sf)
+    calls = ev.select(F.col("event_id").alias("seq"),
+                      F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("key"),
+                      (F.col("event_type") != "error").alias("success"), F.col("ts").cast("timestamp").alias("ts"))
+    r = S.run_to_table(spark, S.circuit_breaker_stream(calls, threshold=3, timeout_seconds=60), "st5", mode="append")
+    return r.select("key", "seq", "decision", "state", "failure_count")
+
+
+@register("st6_daily_trend", """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, count(*) AS count, round(avg(value), 6) AS avg_time,
+       count(*) FILTER (WHERE event_type <> 'error') AS successful
+FROM events GROUP BY 1""")
+def st6_daily_trend(spark, sf):
+    ev = event_stream(spark, sf)
+    g = ev.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("generation_time_ms"),
+                  F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
+    r = S.run_to_table(spark, S.daily_trend_stream(g), "st6")
+    return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "count",
+                    F.round("avg_time", 6).alias("avg_time"), "successful")
+
+
+@register("st7_latest_value", """
+SELECT event_type AS name, arg_max(value, (ts, event_id)) AS value, CAST(max(ts) AS TIMESTAMP) AS latest_ts,
+       count(*) AS total_values FROM events GROUP BY 1""")
+def st7_latest_value(spark, sf):
+    r = S.run_to_table(spark, S.latest_value_stream(sample_stream(spark, sf)), "st7")
+    return r.select("name", "value", "latest_ts", "total_values")
+
+
+@register("st8_continuous_ingest", """
+SELECT source AS image_path, min(doc_id) AS doc_id FROM documents GROUP BY source""")
+def st8_continuous_ingest(spark, sf):
+    """Documents streamed in as catalogue rows keyed by their source folder: the first document
+    of every source is inserted once, repeats are rejected."""
+    from ..session import scratch_path
+    schema = A.read_table(spark, sf, "documents").schema
+    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+            .select(F.col("source").alias("image_path"), "doc_id"))
+    table = scratch_path(spark, "st8-table")
+    q = S.continuous_ingest(docs, table, key="image_path", order_col="doc_id")
+    q.awaitTermination()
+    return spark.read.parquet(table).select("image_path", "doc_id")
