@@ -4,6 +4,9 @@ Each view exists twice: as a DataFrame (what the library runs) and as DuckDB SQL
 text (what the correctness oracle runs). Both columns lists are kept side by side
 so they cannot drift apart.
 
+Event-time columns keep the stored type (timestamp without time zone), so range filters
+on them reach the parquet scan as pushed filters.
+
 Mapping (documents -> images, events -> generations / metric samples / requests /
 operations / errors / calls, orders -> cache entries and COCO images, lineitem ->
 COCO annotations, part -> COCO categories).
@@ -80,7 +83,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("prompt "), F.col("user_id").cast("string")).alias("prompt"),
-        F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("ts").alias("created_at"),
         F.col("value").alias("generation_time_ms"),
         F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
         F.col("props").alias("model_config"),
@@ -101,7 +104,7 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_type").alias("name"),
         "value",
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
         F.col("event_id").alias("seq"),
         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"),
     )
@@ -118,7 +121,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("client_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
     )
 
 
@@ -139,7 +142,7 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k * 10).alias("memory_before"),
         (k * 10 + F.col("value") / 4).alias("memory_after"),
         (F.col("value") % 100).alias("cpu_percent"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
     )
 
 
@@ -167,7 +170,7 @@ def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("op"), (F.col("user_id") % 3).cast("string")).alias("operation"),
         F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (k % 4 + 1).cast("int")).alias("severity"),
         F.element_at(F.array(*[F.lit(s) for s in ERROR_TYPES]), (k % 3 + 1).cast("int")).alias("error_type"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
     )
 
 
@@ -187,7 +190,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("key"),
         (F.col("event_type") != "error").alias("success"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").alias("ts"),
     )
 
 
@@ -211,7 +214,7 @@ def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("value") * 3) % 100).alias("gpu_utilization"),
         F.when(F.col("event_type") == "view", F.lit(None).cast("double")).otherwise((k * 13) % 100).alias("cache_hit_rate"),
         (F.col("user_id") % 4).alias("cache_requests"),
-        F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("ts").alias("created_at"),
     )
 
 
@@ -239,10 +242,10 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "cpu").otherwise("cuda").alias("device"),
         F.floor("o_totalprice").cast("long").alias("size_bytes"),
         (F.col("o_custkey") % 50).alias("access_count"),
-        F.col("o_orderdate").cast("timestamp").alias("last_accessed"),
-        (F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 30 DAYS")).alias("created_at"),
-        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("timestamp"))
-        .otherwise(F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 90 DAYS")).alias("expires_at"),
+        F.col("o_orderdate").alias("last_accessed"),
+        (F.col("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("created_at"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("timestamp_ntz"))
+        .otherwise(F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("expires_at"),
     )
 
 

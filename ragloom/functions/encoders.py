@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_parallelism
+
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 
 
@@ -56,7 +58,7 @@ class HashingEncoder:
         return to_vectors(self.bucket_ids(text))
 
     def transform(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        return df.withColumn(out_col, self.vector(F.col(text_col)))
+        return ensure_parallelism(df).withColumn(out_col, self.vector(F.col(text_col)))
 
 
 class PandasModelEncoder:
@@ -82,7 +84,7 @@ class PandasModelEncoder:
         return encode(text)
 
     def transform(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        return df.withColumn(out_col, self.vector(F.col(text_col)))
+        return ensure_parallelism(df).withColumn(out_col, self.vector(F.col(text_col)))
 
 
 def embed_text(df: DataFrame, text_col: str, encoder=None, out_col: str = "embedding") -> DataFrame:

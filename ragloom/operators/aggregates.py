@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hours_between
 from .joins import annotate_categories
-from .predicates import CRITICAL, HEALTHY, UNKNOWN, WARNING, as_of_col, filter_recent
+from .predicates import CRITICAL, HEALTHY, UNKNOWN, WARNING, as_of_col, cutoff, filter_recent
 from .windows import last_n_per_key
 
 
@@ -123,8 +123,7 @@ def metric_window_stats(samples: DataFrame, registry: DataFrame, minutes: int =
     The time filter runs first (it reaches the scan); keeping the newest ``history`` of
     what passes equals filtering the newest ``history`` because the window is a suffix
     in time. Names missing from the registry get ``error`` = 'Metric … not found'."""
-    cutoff = as_of_col(as_of) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    recent = samples.filter(F.col("ts") >= cutoff)
+    recent = samples.filter(F.col("ts") >= cutoff(as_of, minutes, "minutes"))
     if history is not None:
         recent = last_n_per_key(recent, history, name_col)
     stats = recent.groupBy(name_col).agg(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .predicates import as_of_col, interval
+from .predicates import as_of_col, cutoff
 
 
 def first_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
@@ -48,12 +48,12 @@ def deleted_found(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 def retain_since(df: DataFrame, amount: int, unit: str = "days", as_of=None, ts_col: str = "created_at") -> DataFrame:
     """D3: drop rows older than as_of - interval; rows exactly at the cutoff are kept."""
-    return df.filter(F.col(ts_col) >= as_of_col(as_of) - interval(amount, unit))
+    return df.filter(F.col(ts_col) >= cutoff(as_of, amount, unit))
 
 
 def removed_before(df: DataFrame, amount: int, unit: str = "days", as_of=None, ts_col: str = "created_at") -> DataFrame:
     """D3 report: the rows that retention removes."""
-    return df.filter(F.col(ts_col) < as_of_col(as_of) - interval(amount, unit))
+    return df.filter(F.col(ts_col) < cutoff(as_of, amount, unit))
 
 
 def expire_ttl(df: DataFrame, as_of=None, expires_col: str = "expires_at") -> DataFrame:

@@ -25,6 +25,8 @@ def as_of_col(as_of=None) -> Column:
         return F.lit(as_of).cast("timestamp")
     if isinstance(as_of, dt.datetime):
         return F.lit(as_of).cast("timestamp")
+    if isinstance(as_of, DataFrame):
+        return as_of.select(F.col(as_of.columns[0])).scalar()
     raise TypeError(f"unsupported as_of {as_of!r}")
 
 
@@ -32,6 +34,15 @@ def interval(amount: int, unit: str) -> Column:
     return F.expr(f"INTERVAL {int(amount)} {unit.upper()}")
 
 
+def cutoff(as_of, amount: int, unit: str) -> Column:
+    """as_of - interval. ``as_of`` may also be a one-row DataFrame holding the anchor (e.g.
+    ``df.agg(F.max("ts"))``): the cutoff then becomes one scalar subquery, which Spark can
+    push into the parquet scan as a runtime filter."""
+    if isinstance(as_of, DataFrame):
+        return as_of.select(F.col(as_of.columns[0]) - interval(amount, unit)).scalar()
+    return as_of_col(as_of) - interval(amount, unit)
+
+
 # ------------------------------------------------------------------------ P1
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """The first row whose ``key`` equals ``value`` (ordered by the key for stability)."""
@@ -57,14 +68,15 @@ def filter_by_tags(df: DataFrame, tags: list[str], limit: int | None = None,
 
 # ------------------------------------------------------------------------ P3/P4
 def filter_by_date_range(df: DataFrame, start, end, ts_col: str = "created_at") -> DataFrame:
-    """Start <= ts <= end (inclusive both ends)."""
-    return df.filter(F.col(ts_col).between(as_of_col(start), as_of_col(end)))
+    """Start <= ts <= end (inclusive both ends); two plain comparisons so both bounds can
+    reach the scan."""
+    return df.filter((F.col(ts_col) >= as_of_col(start)) & (F.col(ts_col) <= as_of_col(end)))
 
 
 def filter_recent(df: DataFrame, amount: int, unit: str = "hours", as_of=None,
                   ts_col: str = "created_at") -> DataFrame:
     """Ts > as_of - interval (strict)."""
-    return df.filter(F.col(ts_col) > as_of_col(as_of) - interval(amount, unit))
+    return df.filter(F.col(ts_col) > cutoff(as_of, amount, unit))
 
 
 # ------------------------------------------------------------------------ P5

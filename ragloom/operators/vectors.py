@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_parallelism
+
 # pgvector-compatible fallback epsilon of the zero-safe cosine
 COSINE_EPS = 1e-9
 
@@ -263,7 +265,7 @@ def _broadcast_topk(q, c, k, metric, floor, dim, schema):
             yield pd.DataFrame({"__qid": qids_[best[0]], "__cid": best[1],
                                 "score": _finish_scores(metric, best[2])})
 
-    return c.mapInPandas(score_partition, schema)
+    return ensure_parallelism(c).mapInPandas(score_partition, schema)
 
 
 def _blocked_topk(q, c, k, metric, floor, dim, n_q, block_rows, schema):

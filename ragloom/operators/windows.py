@@ -64,11 +64,12 @@ def rate_limit(df: DataFrame, limit: int = 60, window_seconds: int = 60, client_
     win_us = int(window_seconds) * 1_000_000
     span = win_us * int(bucket_windows)
     us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    base = df.withColumn("__us", us).withColumn("__b", F.floor(F.col("__us") / F.lit(span)))
-    own = base.withColumn("__own", F.lit(True))
-    halo = (base.filter(F.col("__us") >= (F.col("__b") + 1) * F.lit(span) - F.lit(win_us))
-            .withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False)))
-    u = own.unionByName(halo)
+    b = F.floor(F.col("__us") / F.lit(span))
+    # a row in the last window length of its bucket is also copied (as context) into the next one
+    buckets = F.when(F.col("__us") >= (b + 1) * F.lit(span) - F.lit(win_us), F.array(b, b + 1)).otherwise(F.array(b))
+    u = (df.withColumn("__us", us)
+           .select("*", F.posexplode(buckets).alias("__pos", "__b"))
+           .withColumn("__own", F.col("__pos") == 0).drop("__pos"))
     w_range = Window.partitionBy(client_col, "__b").orderBy("__us").rangeBetween(-(win_us - 1), 0)
     w_peer = Window.partitionBy(client_col, "__b", "__us")
     w_peer_ord = w_peer.orderBy(F.col("__own").asc(), F.col(id_col).asc())
@@ -112,11 +113,14 @@ def evict_oldest(df: DataFrame, max_size: int, partition_cols: list[str] | None
     max_size - 1 remain. Returns the evicted rows. The survivors are a top-(max_size-1)
     by recency, so the ranking window is a bounded group limit."""
     keys = partition_cols or []
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    w = w.orderBy(F.col(ts_col).desc(), F.col(key_col).desc())
     keep_n = max(max_size - 1, 0)
-    kept = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= keep_n).select(*keys, key_col)
-    return df.join(kept, [*keys, key_col], "left_anti")
+    newest = [F.col(ts_col).desc(), F.col(key_col).desc()]
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*newest)
+        kept = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= keep_n)
+    else:
+        kept = df.orderBy(*newest).limit(keep_n)  # distributed top-k, no single-partition window
+    return df.join(kept.select(*keys, key_col), [*keys, key_col], "left_anti")
 
 
 # ------------------------------------------------------------------------------ W5

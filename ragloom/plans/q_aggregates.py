@@ -12,7 +12,7 @@ from ..operators import aggregates as G
 from ..operators import ordering as O
 from ..operators import predicates as P
 from .catalog import register
-from .q_relational import DEFAULT_REGISTRY_SQL, GEN_ASOF, P10_SQL, max_ts
+from .q_relational import DEFAULT_REGISTRY_SQL, GEN_ASOF, P10_SQL, latest, max_ts
 
 
 def _r(c, n=6):
@@ -62,7 +62,7 @@ SELECT strftime(date, '%Y-%m-%d') AS date, count, round(avg_time, 6) AS avg_time
 FROM ({A4_SQL}) t ORDER BY date""", "generations"))
 def a4_generation_trends(spark, sf):
     g = A.generations(spark, sf)
-    t = G.generation_trends(g, 30, as_of=max_ts(g))
+    t = G.generation_trends(g, 30, as_of=latest(g))
     return t.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "count",
                     _r(F.col("avg_time")).alias("avg_time"), "successful",
                     _r(F.col("success_rate")).alias("success_rate"))
@@ -74,7 +74,7 @@ SELECT CAST(sum(count) AS BIGINT) AS total_generations, round(avg(count), 6) AS
 FROM ({A4_SQL}) t""", "generations"))
 def a5_trends_summary(spark, sf):
     g = A.generations(spark, sf)
-    s = G.trends_summary(G.generation_trends(g, 30, as_of=max_ts(g)))
+    s = G.trends_summary(G.generation_trends(g, 30, as_of=latest(g)))
     return s.select(F.col("total_generations").cast("long").alias("total_generations"),
                     _r(F.col("average_daily")).alias("average_daily"), "peak_day",
                     _r(F.col("average_generation_time")).alias("average_generation_time"), "days")
@@ -143,7 +143,7 @@ FROM reg r LEFT JOIN st ON st.name = r.name""", "samples"))
 def a10_metric_window_stats(spark, sf):
     samples = A.metric_samples(spark, sf)
     reg = R.effective_registry(R.default_registry(spark), samples)
-    s = G.metric_window_stats(samples, reg, minutes=1440, as_of=max_ts(samples, "ts"), history=1000)
+    s = G.metric_window_stats(samples, reg, minutes=1440, as_of=latest(samples, "ts"), history=1000)
     return s.select("name", "count", "min", "max", _r(F.col("avg")).alias("avg"), _r(F.col("sum")).alias("sum"),
                     "window_minutes")
 

@@ -12,6 +12,7 @@ from ..operators import changes as D
 from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import predicates as P
+from ..session import ensure_parallelism
 from .catalog import register
 
 
@@ -20,6 +21,11 @@ def max_ts(df, col="created_at"):
     return df.select(F.max(col)).scalar()
 
 
+def latest(df, col="created_at"):
+    """as_of anchor as a one-row DataFrame, so cutoffs become pushable scalar subqueries."""
+    return df.agg(F.max(col))
+
+
 GEN_ASOF = "(SELECT max(created_at) FROM generations)"
 
 # F1 in DuckDB (RE2): NUL dropped, outer whitespace trimmed, control characters -> space,
@@ -49,8 +55,7 @@ SELECT id, created_at, status FROM generations
 WHERE created_at BETWEEN {GEN_ASOF} - INTERVAL 7 DAYS AND {GEN_ASOF} - INTERVAL 3 DAYS""", "generations"))
 def p3_filter_by_date_range(spark, sf):
     g = A.generations(spark, sf)
-    a = max_ts(g)
-    return P.filter_by_date_range(g, a - P.interval(7, "days"), a - P.interval(3, "days")) \
+    return P.filter_by_date_range(g, P.cutoff(latest(g), 7, "days"), P.cutoff(latest(g), 3, "days")) \
         .select("id", "created_at", "status")
 
 
@@ -58,7 +63,7 @@ def p3_filter_by_date_range(spark, sf):
 SELECT id, created_at FROM generations WHERE created_at > {GEN_ASOF} - INTERVAL 24 HOURS""", "generations"))
 def p4_filter_recent(spark, sf):
     g = A.generations(spark, sf)
-    return P.filter_recent(g, 24, "hours", as_of=max_ts(g)).select("id", "created_at")
+    return P.filter_recent(g, 24, "hours", as_of=latest(g)).select("id", "created_at")
 
 
 @register("p5_filter_status", with_views("""
@@ -343,7 +348,7 @@ def d2_deleted_found(spark, sf):
 SELECT id FROM generations WHERE created_at >= {GEN_ASOF} - INTERVAL 7 DAYS""", "generations"))
 def d3_retain_since(spark, sf):
     g = A.generations(spark, sf)
-    return D.retain_since(g, 7, "days", as_of=max_ts(g)).select("id")
+    return D.retain_since(g, 7, "days", as_of=latest(g)).select("id")
 
 
 @register("d3_cache_retention_removed", with_views("""
@@ -351,7 +356,7 @@ SELECT model_type, count(*) AS removed FROM cache
 WHERE last_accessed < (SELECT max(last_accessed) FROM cache) - INTERVAL 30 DAYS GROUP BY model_type""", "cache"))
 def d3_cache_retention_removed(spark, sf):
     c = A.cache_entries(spark, sf)
-    gone = D.removed_before(c, 30, "days", as_of=max_ts(c, "last_accessed"), ts_col="last_accessed")
+    gone = D.removed_before(c, 30, "days", as_of=latest(c, "last_accessed"), ts_col="last_accessed")
     return gone.groupBy("model_type").agg(F.count(F.lit(1)).alias("removed"))
 
 
@@ -389,6 +394,6 @@ def d6_distinct_per_group(spark, sf):
 @register("f1_normalize_text", f"""
 SELECT doc_id, length({F1_SQL.format(c='text')}) AS n_norm, md5({F1_SQL.format(c='text')}) AS h FROM documents""")
 def f1_normalize_text(spark, sf):
-    d = A.read_table(spark, sf, "documents")
+    d = ensure_parallelism(A.read_table(spark, sf, "documents"))
     n = normalize_text("text")
     return d.select("doc_id", F.length(n).cast("long").alias("n_norm"), F.md5(n).alias("h"))

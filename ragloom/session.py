@@ -77,3 +77,16 @@ def cut_lineage(df, eager: bool = True):
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Give a CPU-heavy stage at least one task per core.
+
+    A scan of a few large single-row-group files yields one task per file; on a cluster
+    reading thousands of files this is a no-op, on small inputs it spreads the rows
+    round-robin so the per-row work (regexes, hashing, matrix products) runs in parallel.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
