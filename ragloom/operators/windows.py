@@ -115,12 +115,14 @@ def evict_oldest(df: DataFrame, max_size: int, partition_cols: list[str] | None
     keys = partition_cols or []
     keep_n = max(max_size - 1, 0)
     newest = [F.col(ts_col).desc(), F.col(key_col).desc()]
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*newest)
-        kept = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= keep_n)
-    else:
+    if not keys:
         kept = df.orderBy(*newest).limit(keep_n)  # distributed top-k, no single-partition window
-    return df.join(kept.select(*keys, key_col), [*keys, key_col], "left_anti")
+        return df.join(kept.select(key_col), key_col, "left_anti")
+    # position from the newest entry per cache, as a chunked prefix count (chunks = days,
+    # numbered so that they rise as time goes back), then everything past keep_n goes
+    day_back = -F.unix_seconds(F.date_trunc("day", F.col(ts_col)).cast("timestamp"))
+    ranked = prefix_agg(df, keys, newest, day_back, F.lit(1), how="sum", out="__from_newest")
+    return ranked.filter(F.col("__from_newest") > keep_n).drop("__from_newest")
 
 
 # ------------------------------------------------------------------------------ W5
