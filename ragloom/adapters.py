@@ -267,12 +267,14 @@ def coco_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit(".jpg")).alias("file_name"),
         (F.lit(320) + (F.col("o_custkey") % 5) * 64).cast("int").alias("width"),
         (F.lit(240) + (F.col("o_orderkey") % 4) * 80).cast("int").alias("height"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "val").otherwise("train").alias("split"),
     )
 
 
 COCO_IMAGES_SQL = """SELECT o_orderkey AS id, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '.jpg' AS file_name,
        CAST(320 + (o_custkey % 5) * 64 AS INTEGER) AS width,
-       CAST(240 + (o_orderkey % 4) * 80 AS INTEGER) AS height
+       CAST(240 + (o_orderkey % 4) * 80 AS INTEGER) AS height,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'val' ELSE 'train' END AS split
 FROM orders"""
 
 

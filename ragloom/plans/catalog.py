@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import (q_vectors, q_relational, q_aggregates, q_windows, q_functions,  # noqa: F401
-                   q_composed, q_streaming)
+                   q_composed, q_streaming, q_io)

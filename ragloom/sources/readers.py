@@ -52,17 +52,21 @@ LOG_KNOWN = [f.name for f in LOG_SCHEMA.fields]
 def read_metadata_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Header CSV (image_filename, description, tags, style, category); the optional head-n is
     taken in file order before any validity filter. ``row_pos`` keeps that order."""
-    df = spark.read.csv(path, header=True, schema=METADATA_CSV_SCHEMA, multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, schema=METADATA_CSV_SCHEMA, multiLine=True, escape='"',
+                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = df.withColumn("row_pos", F.monotonically_increasing_id())
     return head_n(df, max_rows, "row_pos")
 
 
 # ------------------------------------------------------------------------------ S2
 def read_annotations_json(spark: SparkSession, path: str, split: str | None = None, image_dir: str = "",
-                          max_rows: int | None = None, files: DataFrame | None = None) -> DataFrame:
-    """JSON array of annotation records; keep paths under ``image_dir/split``, then head-n
-    (by id), then – when a listing is given – only records whose file exists (J4)."""
-    df = spark.read.json(path, schema=ANNOTATIONS_SCHEMA, multiLine=True)
+                          max_rows: int | None = None, files: DataFrame | None = None,
+                          array_file: bool = True) -> DataFrame:
+    """Annotation records – one JSON array per file (the processed-annotations layout,
+    ``array_file=True``) or JSON lines (what K2 writes; splittable, ``array_file=False``).
+    Keep paths under ``image_dir/split``, then head-n (by id), then – when a listing is
+    given – only records whose file exists (J4)."""
+    df = spark.read.json(path, schema=ANNOTATIONS_SCHEMA, multiLine=array_file)
     if split is not None:
         prefix = f"{image_dir.rstrip('/')}/{split}" if image_dir else split
         df = df.filter(F.col("image_path").startswith(prefix))

@@ -36,8 +36,9 @@ def write_annotations_json(df: DataFrame, path: str) -> None:
 
 def write_metadata_csv(df: DataFrame, path: str) -> None:
     """K2: metadata rows as a header CSV."""
-    df.select("image_filename", "description", "tags", "style", "category") \
-        .write.mode("overwrite").option("header", True).csv(path)
+    (df.select("image_filename", "description", "tags", "style", "category")
+       .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 # ------------------------------------------------------------------------------ K3
