@@ -12,6 +12,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+def ts_text(c):
+    """Timestamps leave the catalogue as text with microseconds, identical in both engines."""
+    from pyspark.sql import functions as F
+    c = F.col(c) if isinstance(c, str) else c
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def ts_sql(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 

@@ -11,7 +11,7 @@ from ..functions.text import prometheus_labels
 from ..operators import aggregates as G
 from ..operators import ordering as O
 from ..operators import predicates as P
-from .catalog import register
+from .catalog import register, ts_text
 from .q_relational import DEFAULT_REGISTRY_SQL, GEN_ASOF, P10_SQL, latest, max_ts
 
 
@@ -121,12 +121,12 @@ def a8_database_stats(spark, sf):
 
 
 @register("a9_latest_metric_values", with_views("""
-SELECT name, arg_max(value, (ts, seq)) AS latest_value, max(ts) AS latest_ts,
+SELECT name, arg_max(value, (ts, seq)) AS latest_value, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest_ts,
        '{user="' || arg_max(label_user, (ts, seq)) || '"}' AS latest_labels, count(*) AS total_values
 FROM samples GROUP BY name""", "samples"))
 def a9_latest_metric_values(spark, sf):
     l = G.latest_metric_values(A.metric_samples(spark, sf))
-    return l.select("name", "latest_value", "latest_ts", prometheus_labels("latest_labels").alias("latest_labels"),
+    return l.select("name", "latest_value", ts_text("latest_ts").alias("latest_ts"), prometheus_labels("latest_labels").alias("latest_labels"),
                     "total_values")
 
 
@@ -171,7 +171,7 @@ def a11_performance_summary(spark, sf):
 , e AS (SELECT component || '_' || operation AS component_operation, * FROM errors),
 t1 AS (SELECT component_operation, error_type, count(*) AS n FROM e GROUP BY ALL),
 t2 AS (SELECT component_operation, severity, count(*) AS n FROM e GROUP BY ALL)
-SELECT b.component_operation, b.total, b.last_error,
+SELECT b.component_operation, b.total, strftime(b.last_error, '%Y-%m-%d %H:%M:%S.%f') AS last_error,
   (SELECT string_agg(error_type || ':' || n, ',' ORDER BY error_type) FROM t1 WHERE t1.component_operation = b.component_operation) AS by_error_type,
   (SELECT string_agg(severity || ':' || n, ',' ORDER BY severity) FROM t2 WHERE t2.component_operation = b.component_operation) AS by_severity
 FROM (SELECT component_operation, count(*) AS total, max(ts) AS last_error FROM e GROUP BY 1) b""", "errors"))
@@ -181,7 +181,7 @@ def a12_error_stats(spark, sf):
     def flat(c):
         return F.array_join(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
 
-    return s.select("component_operation", "total", "last_error", flat(F.col("by_error_type")).alias("by_error_type"),
+    return s.select("component_operation", "total", ts_text("last_error").alias("last_error"), flat(F.col("by_error_type")).alias("by_error_type"),
                     flat(F.col("by_severity")).alias("by_severity"))
 
 

@@ -12,7 +12,7 @@ from ..functions.encoders import HashingEncoder
 from ..operators import aggregates as G
 from ..operators import vectors as V
 from ..sources.sinks import prometheus_lines
-from .catalog import register
+from .catalog import register, ts_text
 from .q_relational import DEFAULT_REGISTRY_SQL
 
 
@@ -153,7 +153,7 @@ def f10_json_text(spark, sf):
 @register("f11_time_functions", with_views("""
 SELECT id, strftime(created_at, '%Y-%m-%d') AS day,
        round((epoch_us((SELECT max(created_at) FROM generations)) - epoch_us(created_at)) / 3.6e9, 6) AS hours_ago,
-       make_timestamp(CAST(floor(generation_time_ms * 1000000) AS BIGINT)) AS from_epoch,
+       strftime(make_timestamp(CAST(floor(generation_time_ms * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') AS from_epoch,
        generation_time_ms / 1000.0 AS seconds
 FROM generations""", "generations"))
 def f11_time_functions(spark, sf):
@@ -161,7 +161,7 @@ def f11_time_functions(spark, sf):
     as_of = g.select(F.max("created_at")).scalar()
     return g.select("id", F.date_format(F.to_date("created_at"), "yyyy-MM-dd").alias("day"),
                     F.round(T.hours_between(as_of, F.col("created_at")), 6).alias("hours_ago"),
-                    T.epoch_seconds_to_ts(F.col("generation_time_ms")).alias("from_epoch"),
+                    ts_text(T.epoch_seconds_to_ts(F.col("generation_time_ms"))).alias("from_epoch"),
                     T.ms_to_seconds(F.col("generation_time_ms")).alias("seconds"))
 
 

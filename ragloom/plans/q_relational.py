@@ -13,7 +13,7 @@ from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import predicates as P
 from ..session import ensure_parallelism
-from .catalog import register
+from .catalog import register, ts_text
 
 
 def max_ts(df, col="created_at"):
@@ -51,19 +51,20 @@ def p2_filter_by_tags(spark, sf):
 
 
 @register("p3_filter_by_date_range", with_views(f"""
-SELECT id, created_at, status FROM generations
+SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, status FROM generations
 WHERE created_at BETWEEN {GEN_ASOF} - INTERVAL 7 DAYS AND {GEN_ASOF} - INTERVAL 3 DAYS""", "generations"))
 def p3_filter_by_date_range(spark, sf):
     g = A.generations(spark, sf)
     return P.filter_by_date_range(g, P.cutoff(latest(g), 7, "days"), P.cutoff(latest(g), 3, "days")) \
-        .select("id", "created_at", "status")
+        .select("id", ts_text("created_at").alias("created_at"), "status")
 
 
 @register("p4_filter_recent", with_views(f"""
-SELECT id, created_at FROM generations WHERE created_at > {GEN_ASOF} - INTERVAL 24 HOURS""", "generations"))
+SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM generations
+WHERE created_at > {GEN_ASOF} - INTERVAL 24 HOURS""", "generations"))
 def p4_filter_recent(spark, sf):
     g = A.generations(spark, sf)
-    return P.filter_recent(g, 24, "hours", as_of=latest(g)).select("id", "created_at")
+    return P.filter_recent(g, 24, "hours", as_of=latest(g)).select("id", ts_text("created_at").alias("created_at"))
 
 
 @register("p5_filter_status", with_views("""
@@ -189,9 +190,10 @@ def o1_keyset_page(spark, sf):
 
 
 @register("o2_recent", with_views("""
-SELECT id, created_at, status FROM generations ORDER BY created_at DESC, id DESC LIMIT 100""", "generations"))
+SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, status FROM generations
+ORDER BY created_at DESC, id DESC LIMIT 100""", "generations"))
 def o2_recent(spark, sf):
-    return O.recent(A.generations(spark, sf), 100).select("id", "created_at", "status")
+    return O.recent(A.generations(spark, sf), 100).select("id", ts_text("created_at").alias("created_at"), "status")
 
 
 @register("o4_head_n", with_views("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..streaming import online as S
-from .catalog import register
+from .catalog import register, ts_text
 from .q_relational import P10_SQL  # noqa: F401  (kept for symmetry with the batch entries)
 from .q_windows import _w1_sql
 
@@ -26,11 +26,11 @@ def sample_stream(spark, sf):
 WITH s AS (SELECT event_type AS name, value, CAST(ts AS TIMESTAMP) AS ts FROM events),
 w AS (SELECT name, value, time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS window_start
       FROM s, (SELECT unnest(generate_series(0, 4)) AS k) g)
-SELECT name, window_start, count(*) AS count, min(value) AS min, max(value) AS max,
+SELECT name, strftime(window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS count, min(value) AS min, max(value) AS max,
        round(avg(value), 6) AS avg, round(sum(value), 6) AS sum FROM w GROUP BY name, window_start""")
 def st1_rolling_metric_stats(spark, sf):
     r = S.run_to_table(spark, S.rolling_metric_stats(sample_stream(spark, sf)), "st1")
-    return r.select("name", F.col("window.start").alias("window_start"), "count", "min", "max",
+    return r.select("name", ts_text(F.col("window.start")).alias("window_start"), "count", "min", "max",
                     F.round("avg", 6).alias("avg"), F.round("sum", 6).alias("sum"))
 
 
@@ -90,11 +90,12 @@ def st6_daily_trend(spark, sf):
 
 
 @register("st7_latest_value", """
-SELECT event_type AS name, arg_max(value, (ts, event_id)) AS value, CAST(max(ts) AS TIMESTAMP) AS latest_ts,
+SELECT event_type AS name, arg_max(value, (ts, event_id)) AS value,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest_ts,
        count(*) AS total_values FROM events GROUP BY 1""")
 def st7_latest_value(spark, sf):
     r = S.run_to_table(spark, S.latest_value_stream(sample_stream(spark, sf)), "st7")
-    return r.select("name", "value", "latest_ts", "total_values")
+    return r.select("name", "value", ts_text("latest_ts").alias("latest_ts"), "total_values")
 
 
 @register("st8_continuous_ingest", """

@@ -11,10 +11,9 @@ from .catalog import register
 
 
 def first_vector(corpus):
-    """The query vector used by single-query entries: the corpus row with the lowest id,
-    fetched as a scalar subquery (no driver round trip)."""
-    min_id = corpus.select(F.min("id")).scalar()
-    return corpus.filter(F.col("id") == min_id).select("embedding").scalar()
+    """The query vector used by single-query entries: the vector of the lowest id, one
+    partial-aggregated scalar subquery (no driver round trip)."""
+    return corpus.select(F.min_by("embedding", "id")).scalar()
 
 
 Q_SQL = "q AS (SELECT embedding::DOUBLE[] AS qv FROM vectors WHERE id = (SELECT min(id) FROM vectors))"
