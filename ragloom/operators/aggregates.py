@@ -142,24 +142,33 @@ def unknown_metric_errors(requested: DataFrame, registry: DataFrame, name_col: s
 
 
 # ------------------------------------------------------------------------------ A11
-def performance_summary(ops: DataFrame, history: int | None = None, component_col: str = "component") -> DataFrame:
-    """Overall and per-component summary in one pass (grouping sets):
-    n, avg/max/min duration, avg/max memory delta (after - before), avg/max cpu.
-    ``level`` is 'overall' or 'component'. ``history`` keeps only the newest records per
-    component first, as the bounded in-process history does."""
-    if history is not None:
-        ops = last_n_per_key(ops, history, component_col)
-    delta = F.col("memory_after") - F.col("memory_before")
-    g = ops.withColumn("__delta", delta).groupingSets(
-        [[component_col], []], component_col).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("duration").alias("avg_duration"), F.max("duration").alias("max_duration"),
-        F.min("duration").alias("min_duration"),
-        F.avg("__delta").alias("avg_memory_delta"), F.max("__delta").alias("max_memory_delta"),
-        F.avg("cpu_percent").alias("avg_cpu"), F.max("cpu_percent").alias("max_cpu"),
-        F.grouping_id().alias("__gid"))
-    return (g.withColumn("level", F.when(F.col("__gid") == 0, F.lit("component")).otherwise(F.lit("overall")))
-             .drop("__gid"))
+def _perf_aggs():
+    d = F.col("memory_after") - F.col("memory_before")
+    return [F.count(F.lit(1)).alias("n"),
+            F.avg("duration").alias("avg_duration"), F.max("duration").alias("max_duration"),
+            F.min("duration").alias("min_duration"),
+            F.avg(d).alias("avg_memory_delta"), F.max(d).alias("max_memory_delta"),
+            F.avg("cpu_percent").alias("avg_cpu"), F.max("cpu_percent").alias("max_cpu")]
+
+
+def performance_summary(ops: DataFrame, history: int | None = None, overall_history: int | None = None,
+                        component_col: str = "component", ts_col: str = "ts", seq_col: str = "seq") -> DataFrame:
+    """Overall and per-component summary: n, avg/max/min duration, avg/max memory delta
+    (after - before), avg/max cpu; ``level`` is 'overall' or 'component'.
+
+    Without caps both levels come from one pass (grouping sets). With the bounded histories
+    of the in-process monitor, the newest ``history`` records per component (a group limit)
+    and the newest ``overall_history`` records overall (a distributed top-k) are summarised."""
+    if history is None and overall_history is None:
+        g = ops.groupingSets([[component_col], []], component_col).agg(*_perf_aggs(), F.grouping_id().alias("__gid"))
+        return (g.withColumn("level", F.when(F.col("__gid") == 0, F.lit("component")).otherwise(F.lit("overall")))
+                 .drop("__gid"))
+    per = last_n_per_key(ops, history, component_col, ts_col, seq_col) if history is not None else ops
+    allr = (ops.orderBy(F.col(ts_col).desc(), F.col(seq_col).desc()).limit(overall_history)
+            if overall_history is not None else ops)
+    comp = per.groupBy(component_col).agg(*_perf_aggs()).withColumn("level", F.lit("component"))
+    over = allr.agg(*_perf_aggs()).withColumn(component_col, F.lit(None).cast("string")).withColumn("level", F.lit("overall"))
+    return comp.unionByName(over)
 
 
 # ------------------------------------------------------------------------------ A12

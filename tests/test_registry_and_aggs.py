@@ -71,3 +71,15 @@ def test_changes_cutoffs(spark):
     ins, rej = D.insert_unique(tgt, new, "image_path", "seq")
     assert [(r["image_path"], r["seq"]) for r in ins.collect()] == [("p2", 2)]
     assert sorted(r["reason"] for r in rej.collect()) == ["duplicate", "exists"]
+
+
+def test_performance_summary_caps(spark):
+    rows = [(i, "a" if i % 2 else "b", float(i), 0.0, float(i % 3), float(i), T0 + dt.timedelta(seconds=i))
+            for i in range(10)]
+    ops = spark.createDataFrame(rows, "seq long, component string, duration double, memory_before double, "
+                                      "memory_after double, cpu_percent double, ts timestamp")
+    full = {(r["level"], r["component"]): r for r in G.performance_summary(ops).collect()}
+    assert full[("overall", None)]["n"] == 10 and full[("component", "a")]["max_duration"] == 9.0
+    capped = {(r["level"], r["component"]): r for r in G.performance_summary(ops, history=2, overall_history=3).collect()}
+    assert capped[("overall", None)]["n"] == 3 and capped[("overall", None)]["min_duration"] == 7.0
+    assert capped[("component", "b")]["n"] == 2 and capped[("component", "b")]["min_duration"] == 6.0
