@@ -172,19 +172,29 @@ def performance_summary(ops: DataFrame, history: int | None = None, overall_hist
 
 
 # ------------------------------------------------------------------------------ A12
-def _count_map(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    per = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-    return per.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(col), F.col("__n"))))).alias(f"by_{col}"))
+def _counts_by(cells: Column, field: str) -> Column:
+    """Map field value -> summed count over the (error_type, severity, n) cells of one key."""
+    values = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c[field])))
+    return F.map_from_entries(F.transform(values, lambda v: F.struct(
+        v.alias("key"),
+        F.aggregate(F.filter(cells, lambda c: c[field] == v), F.lit(0).cast("long"),
+                    lambda acc, c: acc + c["n"]).alias("value"))))
 
 
 def error_stats(errors: DataFrame) -> DataFrame:
     """Per ``component_operation``: total, counts by error type, counts by severity, last time.
-    The maps are built from a first aggregation, so each holds one entry per distinct type."""
+
+    One scan: a partial aggregation to (key, type, severity) cells, then one row per key whose
+    cell list is bounded by (#types x #severities); the two count maps are folded from it."""
     e = errors.withColumn("component_operation", F.concat_ws("_", "component", "operation"))
-    keys = ["component_operation"]
-    base = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.max("ts").alias("last_error"))
-    return base.join(_count_map(e, keys, "error_type"), keys).join(_count_map(e, keys, "severity"), keys)
+    cells = e.groupBy("component_operation", "error_type", "severity").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+    g = cells.groupBy("component_operation").agg(
+        F.sum("n").alias("total"), F.max("last").alias("last_error"),
+        F.collect_list(F.struct("error_type", "severity", "n")).alias("__cells"))
+    return (g.withColumn("by_error_type", _counts_by(F.col("__cells"), "error_type"))
+             .withColumn("by_severity", _counts_by(F.col("__cells"), "severity"))
+             .drop("__cells"))
 
 
 # ------------------------------------------------------------------------------ A13
