@@ -106,18 +106,21 @@ def _between(c: Column, lo, hi) -> Column:
     return (c >= lo) & (c <= hi)
 
 
-def _text_len(c: str) -> Column:
-    return F.length(normalize_text(c))
+def _sanitized_not_empty(c: str) -> Column:
+    return F.length(normalize_text(c)) > 0
 
 
+# Length limits apply to the text as sent; the text must also survive sanitising (F1).
 SEARCH_RULES = {
-    "query_length": lambda: _between(_text_len("query"), 1, 500),
+    "query_length": lambda: _between(F.length("query"), 1, 500),
+    "query_empty_after_sanitize": lambda: _sanitized_not_empty("query"),
     "k_range": lambda: _between(F.col("k"), 1, 50),
     "threshold_range": lambda: _between(F.col("threshold"), 0.0, 1.0),
 }
 
 GENERATION_RULES = {
-    "prompt_length": lambda: _between(_text_len("prompt"), 1, 1000),
+    "prompt_length": lambda: _between(F.length("prompt"), 1, 1000),
+    "prompt_empty_after_sanitize": lambda: _sanitized_not_empty("prompt"),
     "num_images_range": lambda: _between(F.col("num_images"), 1, 10),
     "seed_non_negative": lambda: F.col("seed") >= 0,
     "width_range": lambda: _between(F.col("width"), 256, 1024) & (F.col("width") % 8 == 0),
@@ -126,7 +129,8 @@ GENERATION_RULES = {
 }
 
 RAG_RULES = {
-    "prompt_length": lambda: _between(_text_len("prompt"), 1, 1000),
+    "prompt_length": lambda: _between(F.length("prompt"), 1, 1000),
+    "prompt_empty_after_sanitize": lambda: _sanitized_not_empty("prompt"),
     "examples_range": lambda: _between(F.col("similar_examples_count"), 1, 10),
 }
 

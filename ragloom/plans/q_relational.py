@@ -96,7 +96,8 @@ WITH r AS (SELECT conv_id, turn, text AS prompt, turn + 1 AS num_images, turn -
                   CASE WHEN role = 'user' THEN 'png' WHEN role = 'assistant' THEN 'jpeg' ELSE 'gif' END AS format
            FROM conversations),
 v AS (SELECT conv_id, turn, list_filter([
-        CASE WHEN NOT (length({F1_SQL.format(c='prompt')}) BETWEEN 1 AND 1000) THEN 'prompt_length' END,
+        CASE WHEN NOT (length(prompt) BETWEEN 1 AND 1000) THEN 'prompt_length' END,
+        CASE WHEN NOT (length({F1_SQL.format(c='prompt')}) > 0) THEN 'prompt_empty_after_sanitize' END,
         CASE WHEN NOT (num_images BETWEEN 1 AND 10) THEN 'num_images_range' END,
         CASE WHEN NOT (seed >= 0) THEN 'seed_non_negative' END,
         CASE WHEN NOT (width BETWEEN 256 AND 1024 AND width % 8 = 0) THEN 'width_range' END,

@@ -29,7 +29,7 @@ def test_search_and_upload_rules(spark):
     req = spark.createDataFrame([("a cat", 5, 0.5), ("   ", 0, 1.5), ("x" * 501, 51, None)],
                                 "query string, k int, threshold double")
     v = [r["violations"] for r in P.validate_requests(req, P.SEARCH_RULES).collect()]
-    assert v == [[], ["query_length", "k_range", "threshold_range"], ["query_length", "k_range"]]
+    assert v == [[], ["query_empty_after_sanitize", "k_range", "threshold_range"], ["query_length", "k_range"]]
     up = spark.createDataFrame([("image/png", 100), ("text/plain", 100), ("image/jpeg", 11 * 1024 * 1024)],
                                "content_type string, size_bytes long")
     ok, bad = P.split_accepted(up, P.UPLOAD_RULES)
