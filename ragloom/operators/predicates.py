@@ -161,16 +161,39 @@ def split_accepted(df: DataFrame, rules: dict) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------------ P9
-def path_is_safe(c) -> Column:
-    """No NUL, no '..' segment, not absolute; i.e. the normalised join stays under its base."""
-    c = F.col(c) if isinstance(c, str) else c
+def _step(seg: Column) -> Column:
+    return F.when(seg == "..", F.lit(-1)).when((seg == ".") | (seg == ""), F.lit(0)).otherwise(F.lit(1))
+
+
+def join_stays_under_base(c, base: str | None = None) -> Column:
+    """P9 (join form): NUL characters are dropped, then base/part is normalised; the part is safe
+    when no prefix of it climbs above the base and, if absolute, it lies under ``base``.
+    (Symlink resolution needs the file system and is not modelled.)"""
+    c = F.regexp_replace(F.col(c) if isinstance(c, str) else c, "\u0000", "")
     segs = F.split(c, "/")
-    return (c.isNotNull() & ~c.contains("\u0000") & ~c.startswith("/")
-            & ~F.exists(segs, lambda s: s == ".."))
+    walk = F.aggregate(segs, F.struct(F.lit(0).alias("d"), F.lit(0).alias("lo")),
+                       lambda acc, s: F.struct((acc["d"] + _step(s)).alias("d"),
+                                               F.least(acc["lo"], acc["d"] + _step(s)).alias("lo")))
+    relative_ok = ~c.startswith("/") & (walk["lo"] >= 0)
+    if base is None:
+        return c.isNotNull() & relative_ok
+    b = base.rstrip("/") + "/"
+    return c.isNotNull() & (relative_ok | (c.startswith(b) & (walk["lo"] >= 0)))
+
+
+def index_path_ok(c) -> Column:
+    """P9 (index save/load form): no '..' anywhere and no NUL."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.isNotNull() & ~c.contains("..") & ~c.contains("\u0000")
+
+
+def path_is_safe(c, base: str | None = None) -> Column:
+    """Both forms hold."""
+    return index_path_ok(c) & join_stays_under_base(c, base)
 
 
-def path_safety_filter(df: DataFrame, path_col: str = "path") -> DataFrame:
-    return df.filter(path_is_safe(path_col))
+def path_safety_filter(df: DataFrame, path_col: str = "path", base: str | None = None) -> DataFrame:
+    return df.filter(path_is_safe(path_col, base))
 
 
 # ------------------------------------------------------------------------ P10

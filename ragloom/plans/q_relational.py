@@ -110,15 +110,22 @@ def p8_validate_requests(spark, sf):
     return v.select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), "accepted")
 
 
-@register("p9_path_safety", """
-SELECT count(*) FILTER (WHERE p NOT LIKE '/%' AND NOT list_contains(string_split(p, '/'), '..')
-                              AND strpos(p, chr(0)) = 0) AS safe_paths,
-       count(*) AS paths
-FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1) AS p FROM pages) t""")
+P9_STEPS = "list_transform(string_split(p, '/'), lambda s: CASE WHEN s = '..' THEN -1 WHEN s IN ('.', '') THEN 0 ELSE 1 END)"
+
+
+@register("p9_path_safety", f"""
+WITH t AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1) AS p FROM pages),
+s AS (SELECT page_id, p, {P9_STEPS} AS steps FROM t)
+SELECT page_id,
+       p NOT LIKE '%..%' AND strpos(p, chr(0)) = 0 AS index_ok,
+       p NOT LIKE '/%' AND coalesce(list_min(list_transform(range(1, len(steps) + 1),
+                                    lambda i: list_sum(list_slice(steps, 1, i)))), 0) >= 0 AS join_ok
+FROM s""")
 def p9_path_safety(spark, sf):
+    """URL paths of the crawled pages checked as relative file paths (both P9 forms)."""
     pages = A.read_table(spark, sf, "pages")
-    p = pages.select(F.regexp_extract("url", "^[a-z]+://[^/]+/?(.*)$", 1).alias("p"))
-    return p.agg(F.count_if(P.path_is_safe("p")).alias("safe_paths"), F.count(F.lit(1)).alias("paths"))
+    p = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+/?(.*)$", 1).alias("p"))
+    return p.select("page_id", P.index_path_ok("p").alias("index_ok"), P.join_stays_under_base("p").alias("join_ok"))
 
 
 def _level_sql(v, crit, warn):

@@ -106,3 +106,18 @@ def test_client_id_and_output_name(spark):
     assert [r[0] for r in df.select(T.client_id("ff", "host")).collect()] == ["1.2.3.4", "h", "unknown"]
     n = spark.range(1).select(T.output_name(F.lit("img"), F.lit("run"), F.lit(0), F.lit(".PNG")).alias("n")).first()
     assert n["n"] == "img_run_01.png"
+
+
+def test_path_safety_forms(spark):
+    paths = ["a/b.png", "a/../b.png", "../x", "a/../../x", "/etc/passwd", "/data/img/a.png", "a..b", "a\x00b", "./a"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    from ragloom.operators import predicates as P
+    got = {r["p"]: (r["i"], r["j"], r["jb"]) for r in df.select(
+        "p", P.index_path_ok("p").alias("i"), P.join_stays_under_base("p").alias("j"),
+        P.join_stays_under_base("p", "/data/img").alias("jb")).collect()}
+    assert got["a/b.png"] == (True, True, True)
+    assert got["a/../b.png"] == (False, True, True)
+    assert got["../x"][1] is False and got["a/../../x"][1] is False
+    assert got["/etc/passwd"][1:] == (False, False) and got["/data/img/a.png"][1:] == (False, True)
+    assert got["a..b"] == (False, True, True) and got["a\x00b"][0] is False and got["a\x00b"][1] is True
+    assert got["./a"] == (True, True, True)
