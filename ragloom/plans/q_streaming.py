@@ -65,9 +65,34 @@ def st4_dedup_within_ttl(spark, sf):
     return r.select("event_id", "user_id", "event_type")
 
 
-@register("st5_circuit_breaker")
+ST5_SQL = """
+WITH RECURSIVE c AS (
+  SELECT 'svc' || CAST(user_id % 7 AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) AS t,
+         event_type <> 'error' AS success,
+         row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS rn
+  FROM events),
+r AS (
+  SELECT DISTINCT key, 0 AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS decision,
+         'CLOSED' AS state, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS last FROM c
+  UNION ALL
+  SELECT c.key, c.rn, c.seq,
+         CASE WHEN r.state = 'OPEN' AND c.t - r.last <= 60000000 THEN 'rejected' ELSE 'allowed' END,
+         CASE WHEN r.state = 'OPEN' AND c.t - r.last <= 60000000 THEN 'OPEN'
+              WHEN c.success THEN 'CLOSED'
+              WHEN r.failures + 1 >= 3 THEN 'OPEN'
+              WHEN r.state = 'OPEN' THEN 'HALF_OPEN' ELSE r.state END,
+         CASE WHEN r.state = 'OPEN' AND c.t - r.last <= 60000000 THEN r.failures
+              WHEN c.success THEN 0 ELSE r.failures + 1 END,
+         CASE WHEN r.state = 'OPEN' AND c.t - r.last <= 60000000 THEN r.last
+              WHEN c.success THEN r.last ELSE c.t END
+  FROM r JOIN c ON c.key = r.key AND c.rn = r.rn + 1)
+SELECT key, seq, decision, state, failures AS failure_count FROM r WHERE rn > 0"""
+
+
+@register("st5_circuit_breaker", ST5_SQL)
 def st5_circuit_breaker(spark, sf):
-    """Rows-only: breaker decisions per service key (checked against a Python model in tests)."""
+    """Breaker decisions per service key; the oracle replays the state machine with a
+    recursive query, one call per step."""
     ev = event_stream(spark, sf)
     calls = ev.select(F.col("event_id").alias("seq"),
                       F.concat(F.lit("svc"), (F.col("user_id") % 7).cast("string")).alias("key"),
