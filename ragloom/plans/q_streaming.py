@@ -57,11 +57,34 @@ def st3_rate_limit(spark, sf):
     return r.select("request_id", "client_id", "n_in_window", "allowed", "remaining")
 
 
+@register("st4_ttl_cache", """
+WITH RECURSIVE c AS (
+  SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS query_key, event_id AS request_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn
+  FROM events),
+r AS (
+  SELECT DISTINCT query_key, 0 AS rn, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS cache_hit,
+         CAST(NULL AS BIGINT) AS expires FROM c
+  UNION ALL
+  SELECT c.query_key, c.rn, c.request_id,
+         r.expires IS NOT NULL AND NOT (c.t > r.expires),
+         CASE WHEN r.expires IS NOT NULL AND NOT (c.t > r.expires) THEN r.expires ELSE c.t + 86400000000 END
+  FROM r JOIN c ON c.query_key = r.query_key AND c.rn = r.rn + 1)
+SELECT query_key, request_id, cache_hit FROM r WHERE rn > 0""")
+def st4_ttl_cache(spark, sf):
+    """Repeated (user, event type) requests within a day-long cache TTL are cache hits."""
+    ev = event_stream(spark, sf)
+    req = ev.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("query_key"),
+                    F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    r = S.run_to_table(spark, S.ttl_cache_stream(req, "query_key", ttl_seconds=86400), "st4", mode="append")
+    return r.select("query_key", "request_id", "cache_hit")
+
+
 @register("st4_dedup_within_ttl")
 def st4_dedup_within_ttl(spark, sf):
-    """Rows-only: repeated (user, event type) requests within 300 s are served from cache."""
+    """Rows-only: the built-in watermark de-duplication of repeated (user, event type) requests."""
     ev = event_stream(spark, sf).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    r = S.run_to_table(spark, S.dedup_within_ttl(ev, ["user_id", "event_type"], "300 seconds"), "st4", mode="append")
+    r = S.run_to_table(spark, S.dedup_within_ttl(ev, ["user_id", "event_type"], "300 seconds"), "st4w", mode="append")
     return r.select("event_id", "user_id", "event_type")
 
 

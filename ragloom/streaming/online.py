@@ -76,10 +76,46 @@ def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int
 
 # ---------------------------------------------------------------------------- ST4
 def dedup_within_ttl(stream: DataFrame, key_cols: list[str], ttl: str = "300 seconds", ts_col: str = "ts") -> DataFrame:
-    """ST4: a repeated request within the TTL is served from cache, so only the first is kept."""
+    """ST4 (built-in, approximate): drop a repeat of a key while the first one is still inside
+    the watermark delay. State expiry follows the watermark, so within one micro-batch every
+    repeat is dropped; :func:`ttl_cache_stream` gives the exact cache semantics."""
     return stream.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(key_cols)
 
 
+TTL_STATE = T.StructType([T.StructField("expires_us", T.LongType())])
+
+
+def ttl_cache_stream(requests: DataFrame, key_col: str, ttl_seconds: int = 300, ts_col: str = "ts",
+                     id_col: str = "request_id", lateness: str = "10 minutes") -> DataFrame:
+    """ST4 (exact): per key in (time, id) order, a request is a cache miss when no entry exists
+    or the entry has expired (time > expiry, strict); a miss stores a new entry expiring
+    ``ttl_seconds`` later, a hit leaves it. Emits every request with ``cache_hit``; the key's
+    state is dropped by an event-time timeout once the entry expired."""
+    ttl_us = int(ttl_seconds) * 1_000_000
+    out_schema = T.StructType([T.StructField(key_col, T.StringType()), T.StructField(id_col, T.LongType()),
+                               T.StructField(ts_col, T.TimestampType()), T.StructField("cache_hit", T.BooleanType())])
+
+    def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expires = state.get[0] if state.exists else None
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts_col, id_col], kind="stable")
+        out = []
+        for ts, rid in zip(batch[ts_col], batch[id_col]):
+            t = int(pd.Timestamp(ts).value // 1000)
+            hit = expires is not None and not (t > expires)
+            if not hit:
+                expires = t + ttl_us
+            out.append((key[0], int(rid), ts, hit))
+        state.update((expires,))
+        state.setTimeoutTimestamp(expires // 1000 + 1)
+        yield pd.DataFrame(out, columns=[f.name for f in out_schema.fields])
+
+    return (requests.withWatermark(ts_col, lateness).groupBy(key_col)
+            .applyInPandasWithState(step, out_schema, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
 # ---------------------------------------------------------------------------- ST5
 BREAKER_OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()),
                             T.StructField("ts", T.TimestampType()), T.StructField("decision", T.StringType()),

@@ -70,3 +70,13 @@ def test_dedup_within_ttl(spark, tmp_path):
     out = S.run_to_table(spark, S.dedup_within_ttl(_stream_of(spark, rows, tmp_path, "dd"), ["query"]), "t-st4",
                          "append")
     assert sorted(r["query"] for r in out.collect()) == ["q", "r"]
+
+
+def test_ttl_cache_stream_model(spark, tmp_path):
+    rows = [("q", 1, T0), ("q", 2, T0 + dt.timedelta(seconds=300)), ("q", 3, T0 + dt.timedelta(seconds=301)),
+            ("q", 4, T0 + dt.timedelta(seconds=400)), ("r", 5, T0 + dt.timedelta(seconds=10))]
+    df = spark.createDataFrame(rows, "query_key string, request_id long, ts timestamp")
+    out = S.run_to_table(spark, S.ttl_cache_stream(_stream_of(spark, df, tmp_path, "ttl"), "query_key", 300),
+                         "t-st4x", "append")
+    got = {r["request_id"]: r["cache_hit"] for r in out.collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
