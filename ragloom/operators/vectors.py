@@ -68,6 +68,25 @@ def cosine_similarity(a, b, eps: float = 0.0) -> Column:
     return F.when(denom == 0, F.lit(0.0)).otherwise(dot(a, b) / denom)
 
 
+def unit_query(spark, query):
+    """The query vector scaled to unit length, computed once: on the driver for a literal
+    vector, inside one scalar subquery for a Column (itself e.g. a scalar subquery)."""
+    if isinstance(query, Column):
+        v = F.col("q")
+        n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+        return (spark.range(1).select(query.cast("array<double>").alias("q"))
+                .select(F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)).scalar())
+    arr = np.asarray(list(query), dtype=np.float64)
+    nrm = np.linalg.norm(arr)
+    return (arr / nrm if nrm > 0 else arr).tolist()
+
+
+def cosine_to_unit(e, q_unit) -> Column:
+    """Cosine similarity against an already normalised query: dot(e, q) / |e|, zero vector -> 0.0."""
+    n = norm(e)
+    return F.when(n == 0, F.lit(0.0)).otherwise(dot(e, q_unit) / n)
+
+
 def bind_query(df: DataFrame, query, name: str = "__q"):
     """Materialise a Column query vector (e.g. a scalar subquery) as a column, since
     subqueries may not appear inside higher-order functions. Returns (df, vector)."""
@@ -90,11 +109,29 @@ def filter_model(corpus: DataFrame, model_type: str | None = None, embedding_typ
 def cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0,
                 model_type: str | None = None, embedding_type: str | None = None,
                 vector_col: str = "embedding", id_col: str = "id", eps: float = 0.0,
-                score_col: str = "similarity_score") -> DataFrame:
+                score_col: str = "similarity_score", method: str = "expr") -> DataFrame:
     """V1: score = 1 - cosine distance, highest first, ties by id; drop score < threshold
-    only when threshold > 0; first k. Planned as filter -> TakeOrderedAndProject."""
-    df, q = bind_query(filter_model(corpus, model_type, embedding_type), query)
-    scored = df.withColumn(score_col, cosine_similarity(F.col(vector_col), q, eps))
+    only when threshold > 0; first k.
+
+    ``method="expr"``: JVM expressions against the query normalised once, planned as
+    filter -> project -> TakeOrderedAndProject. ``method="arrow"``: the corpus streams through
+    the block scorer (numpy, per-task top-k) and the k hits are joined back to their rows."""
+    df = filter_model(corpus, model_type, embedding_type)
+    if method == "arrow" and eps == 0:
+        spark = corpus.sparkSession
+        qv = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+        qdf = spark.range(1).select(F.lit(0).cast("long").alias("qid"), qv.cast("array<double>").alias("query_vector"))
+        hits = batch_topk(qdf, df, k=k, threshold=threshold if threshold > 0 else None, metric="cosine",
+                          id_col=id_col, vector_col=vector_col)
+        hits = hits.select(F.col(id_col), F.col("score").alias(score_col))
+        return df.join(F.broadcast(hits), id_col).orderBy(F.col(score_col).desc(), F.col(id_col).asc())
+    if eps > 0:
+        df, q = bind_query(df, query)
+        score = cosine_similarity(F.col(vector_col), q, eps)
+    else:
+        df, q = bind_query(df, unit_query(corpus.sparkSession, query))
+        score = cosine_to_unit(F.col(vector_col), q)
+    scored = df.withColumn(score_col, score)
     if threshold > 0:
         scored = scored.filter(F.col(score_col) >= threshold)
     return scored.orderBy(F.col(score_col).desc(), F.col(id_col).asc()).limit(k).drop("__q")
