@@ -9,7 +9,6 @@ from ..adapters import with_views
 from ..functions import registry as R
 from ..functions.text import prometheus_labels
 from ..operators import aggregates as G
-from ..operators import ordering as O
 from ..operators import predicates as P
 from .catalog import register, ts_text
 from .q_relational import DEFAULT_REGISTRY_SQL, GEN_ASOF, P10_SQL, latest, max_ts

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..streaming import online as S
 from .catalog import register, ts_text
-from .q_relational import P10_SQL  # noqa: F401  (kept for symmetry with the batch entries)
 from .q_windows import _w1_sql
 
 

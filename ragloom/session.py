@@ -86,7 +86,28 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     reading thousands of files this is a no-op, on small inputs it spreads the rows
     round-robin so the per-row work (regexes, hashing, matrix products) runs in parallel.
     """
+    if df.isStreaming:
+        return df  # micro-batches are planned per trigger
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   max_partitions: int = 100_000) -> int:
+    """Size shuffles for an input of ``input_bytes``: the initial shuffle partition count is
+    input / target (at least 3 per core, at most ``max_partitions``); AQE then coalesces small
+    partitions and splits skewed ones at run time. Returns the chosen count."""
+    cores = spark.sparkContext.defaultParallelism
+    n = int(min(max(input_bytes // max(target_partition_bytes, 1), cores * 3), max_partitions))
+    for k, v in {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }.items():
+        spark.conf.set(k, v)
+    return n

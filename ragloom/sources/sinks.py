@@ -21,6 +21,14 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: li
     w.parquet(path)
 
 
+def write_bucketed_table(df: DataFrame, table: str, path: str, buckets: int, cols: list[str],
+                         mode: str = "overwrite") -> None:
+    """K1 for tables joined again and again on the same key (vectors and images on image id):
+    bucketed and sorted by the key, so later joins on it read co-located buckets with no shuffle."""
+    (df.write.mode(mode).bucketBy(buckets, *cols).sortBy(*cols).option("path", path)
+       .format("parquet").saveAsTable(table))
+
+
 def write_version(df: DataFrame, table_dir: str, version: str) -> str:
     """Write a changed table (D1/D2/D3 result) as a new version folder and return its path."""
     path = f"{table_dir.rstrip('/')}/v={version}"

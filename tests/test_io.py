@@ -2,7 +2,6 @@
 
 import datetime as dt
 import json
-import os
 
 from pyspark.sql import functions as F
 
@@ -135,3 +134,36 @@ def test_monitor_report(spark):
     long = G.checks_long(c, STATUS_COLS, ["component"])
     rep = reports.monitor_report(A.operations(spark, SF_SMOKE), long, A.cache_entries(spark, SF_SMOKE))
     assert {r["section"] for r in rep.collect()} == {"performance", "health", "cache"}
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    a = spark.range(0, 2000).select(F.col("id").alias("image_id"), (F.col("id") * 2).alias("x"))
+    b = spark.range(0, 2000).select(F.col("id").alias("image_id"), (F.col("id") * 3).alias("y"))
+    K.write_bucketed_table(a, "t_bucket_a", str(tmp_path / "a"), 4, ["image_id"])
+    K.write_bucketed_table(b, "t_bucket_b", str(tmp_path / "b"), 4, ["image_id"])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("t_bucket_a").join(spark.table("t_bucket_b"), "image_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and j.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_size_for_input(spark):
+    from ragloom.session import size_for_input
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        assert size_for_input(spark, 100 * (1 << 40)) == 100_000
+        assert size_for_input(spark, 1 << 20) == spark.sparkContext.defaultParallelism * 3
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -4,7 +4,6 @@ models, plus the request rules, cache keys and the encoder plug-in."""
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from ragloom.functions import encoders as EN
 from ragloom.functions import text as T

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from ragloom.operators import windows as W
 from ragloom.streaming import online as S
