@@ -56,6 +56,20 @@ def st3_rate_limit(spark, sf):
     return r.select("request_id", "client_id", "n_in_window", "allowed", "remaining")
 
 
+@register("st3_rate_limit_micro_batches", _w1_sql(60, 60))
+def st3_rate_limit_micro_batches(spark, sf):
+    """ST3 as micro-batches scored by the batch limiter with the last window carried over."""
+    from ..session import scratch_path
+    ev = event_stream(spark, sf)
+    req = ev.select(F.col("event_id").alias("request_id"),
+                    F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("client_id"),
+                    F.col("ts").cast("timestamp").alias("ts"))
+    out = scratch_path(spark, "st3b-out")
+    S.rate_limit_micro_batches(req, out, 60, 60).awaitTermination()
+    return spark.read.parquet(out).select("request_id", "client_id", "n_in_window", "allowed",
+                                          F.col("remaining").cast("long").alias("remaining"))
+
+
 @register("st4_ttl_cache", """
 WITH RECURSIVE c AS (
   SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS query_key, event_id AS request_id, epoch_us(ts) AS t,

@@ -79,3 +79,24 @@ def test_ttl_cache_stream_model(spark, tmp_path):
                          "t-st4x", "append")
     got = {r["request_id"]: r["cache_hit"] for r in out.collect()}
     assert got == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_rate_limit_micro_batches_carry_state(spark, tmp_path):
+    rnd = random.Random(9)
+    reqs = [(i, f"c{rnd.randint(0, 1)}", T0 + dt.timedelta(seconds=rnd.randint(0, 600))) for i in range(400)]
+    reqs.sort(key=lambda r: (r[2], r[0]))
+    df = spark.createDataFrame(reqs, "request_id long, client_id string, ts timestamp")
+    src = str(tmp_path / "src")
+    first, second = reqs[:250], reqs[250:]  # arrive in time order, in two files
+    spark.createDataFrame(first, df.schema).coalesce(1).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = str(tmp_path / "out")
+    S.rate_limit_micro_batches(stream, out, 5, 60, state_dir=str(tmp_path / "state"),
+                               checkpoint=str(tmp_path / "ck")).awaitTermination()
+    spark.createDataFrame(second, df.schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    S.rate_limit_micro_batches(stream, out, 5, 60, state_dir=str(tmp_path / "state"),
+                               checkpoint=str(tmp_path / "ck")).awaitTermination()
+    got = {r["request_id"]: r["n_in_window"] for r in spark.read.parquet(out).collect()}
+    want = {r["request_id"]: r["n_in_window"] for r in W.rate_limit(df, 5, 60).collect()}
+    assert got == want
