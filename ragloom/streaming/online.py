@@ -302,3 +302,13 @@ def rate_limit_micro_batches(requests: DataFrame, out_dir: str, limit: int = 60,
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def dropped_late_rows(query) -> int:
+    """Rows the stateful operators dropped as later than the watermark, summed over the
+    recorded progress of a streaming query."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else []:
+            total += int(op.get("numRowsDroppedByWatermark", 0))
+    return total

@@ -100,3 +100,27 @@ def test_rate_limit_micro_batches_carry_state(spark, tmp_path):
     got = {r["request_id"]: r["n_in_window"] for r in spark.read.parquet(out).collect()}
     want = {r["request_id"]: r["n_in_window"] for r in W.rate_limit(df, 5, 60).collect()}
     assert got == want
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    src = str(tmp_path / "late")
+    on_time = spark.createDataFrame([("m", 1.0, T0 + dt.timedelta(hours=2), i) for i in range(5)],
+                                    "name string, value double, ts timestamp, seq long")
+    late = spark.createDataFrame([("m", 9.0, T0, 100)], on_time.schema)
+    on_time.coalesce(1).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(on_time.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    agg = S.rolling_metric_stats(stream, lateness="10 minutes")
+    out = str(tmp_path / "out")
+    q = (agg.writeStream.outputMode("update").foreachBatch(
+            lambda b, i: b.write.mode("append").parquet(out))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    late.coalesce(1).write.mode("append").parquet(src)
+    q = (agg.writeStream.outputMode("update").foreachBatch(
+            lambda b, i: b.write.mode("append").parquet(out))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert S.dropped_late_rows(q) >= 1
+    assert spark.read.parquet(out).agg(F.max("max")).first()[0] == 1.0
