@@ -133,7 +133,7 @@ FROM events"""
 # ------------------------------------------------------------ operation records
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.get_json_object("props", "$.k").try_cast("double")
     return ev.select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("op"), (F.col("user_id") % 5).cast("string")).alias("operation"),
@@ -163,13 +163,13 @@ ERROR_TYPES = ["ValueError", "TimeoutError", "ConnectionError"]
 
 def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return ev.select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("component"),
         F.concat(F.lit("op"), (F.col("user_id") % 3).cast("string")).alias("operation"),
-        F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (k % 4 + 1).cast("int")).alias("severity"),
-        F.element_at(F.array(*[F.lit(s) for s in ERROR_TYPES]), (k % 3 + 1).cast("int")).alias("error_type"),
+        F.try_element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (k % 4 + 1).cast("int")).alias("severity"),
+        F.try_element_at(F.array(*[F.lit(s) for s in ERROR_TYPES]), (k % 3 + 1).cast("int")).alias("error_type"),
         F.col("ts").alias("ts"),
     )
 
@@ -203,7 +203,7 @@ FROM events"""
 # ---------------------------------------------------------------- system metrics
 def system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.get_json_object("props", "$.k").try_cast("double")
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("component"),

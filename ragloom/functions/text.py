@@ -88,7 +88,7 @@ def storage_extension(content_type, original) -> Column:
     allowed extension of the sanitised original name, else '.bin'."""
     ct = F.lower(F.trim(F.split(_c(content_type), ";").getItem(0)))
     table = F.create_map(*[x for kv in CONTENT_TYPE_TO_EXT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    from_ct = F.element_at(table, ct)
+    from_ct = F.try_element_at(table, ct)
     orig_ext = file_extension(sanitize_filename(original))
     from_name = F.when(_c(original).isNotNull() & is_allowed_image_extension(orig_ext), orig_ext)
     return F.coalesce(F.when(_c(content_type).isNotNull(), from_ct), from_name, F.lit(".bin"))
@@ -199,6 +199,6 @@ def split_known_fields(meta, known: list[str]):
     """split a metadata map into the known keys (one column each) and the rest as JSON.
     Returns a list of Columns: the known fields followed by ``extra_json``."""
     m = _c(meta)
-    known_cols = [F.element_at(m, F.lit(k)).alias(k) for k in known]
+    known_cols = [F.try_element_at(m, F.lit(k)).alias(k) for k in known]
     rest = F.map_filter(m, lambda k, v: ~k.isin(known))
     return known_cols + [F.to_json(rest).alias("extra_json")]

@@ -64,7 +64,7 @@ def a16_log_performance_stats(spark, sf):
     """Events written as JSON log lines (performance records flagged, errors not) -> S5 reader
     -> A16 grouping."""
     ev = A.read_table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.get_json_object("props", "$.k").try_cast("double")
     rec = F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),

@@ -39,7 +39,7 @@ SELECT id, alert FROM (
   UNION ALL SELECT id, 'high_cpu' AS alert FROM sysmetrics WHERE cpu_percent > 80) t""", "sysmetrics"))
 def st2_threshold_alerts(spark, sf):
     ev = event_stream(spark, sf)
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.get_json_object("props", "$.k").try_cast("double")
     snaps = ev.select(F.col("event_id").alias("id"), (k * 20.48).alias("memory_mb"),
                       (F.col("value") % 100).alias("cpu_percent"))
     r = S.run_to_table(spark, S.stream_threshold_alerts(snaps), "st2", mode="append")
