@@ -44,21 +44,24 @@ def get_session(master: str | None = None, app_name: str = "ragloom",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only a local-mode session
-    (tests) may fall back to a fresh temporary folder; a cluster must name a
-    shared location, because executors can be lost and a machine-local folder
-    would not survive that.
+    Uses ``spark.checkpoint.dir`` from the session's configuration, or a checkpoint folder
+    already set on the context. Only a local-mode session (tests) may fall back to a fresh
+    temporary folder; a cluster must name a shared location, because executors can be lost and
+    a machine-local folder would not survive that.
     """
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
-        root = tempfile.mkdtemp(prefix="ragloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root
+    root = sc.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+        return root
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -18,6 +18,6 @@ def spark():
                     extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     # tests may set their own checkpoint folder when the session has none
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ragloom-test-ckpt-"))
+    if not s.sparkContext.getConf().get("spark.checkpoint.dir", None) and s.sparkContext.getCheckpointDir() is None:
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-test-ckpt-"))
     yield s
