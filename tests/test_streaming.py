@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
 
 from ragloom.operators import windows as W
 from ragloom.streaming import online as S
@@ -103,8 +104,6 @@ def test_rate_limit_micro_batches_carry_state(spark, tmp_path):
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     src = str(tmp_path / "late")
     on_time = spark.createDataFrame([("m", 1.0, T0 + dt.timedelta(hours=2), i) for i in range(5)],
                                     "name string, value double, ts timestamp, seq long")
@@ -124,3 +123,19 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     q.awaitTermination()
     assert S.dropped_late_rows(q) >= 1
     assert spark.read.parquet(out).agg(F.max("max")).first()[0] == 1.0
+
+
+def test_streams_equal_their_batch_operators(spark):
+    import __spark_entry__ as E
+    from ragloom import adapters as A
+    from ragloom.operators import aggregates as G
+    from tests.conftest import SF_SMOKE
+
+    q = E.queries()
+    daily = {r["date"]: (r["count"], r["successful"]) for r in q["st6_daily_trend"](spark, SF_SMOKE).collect()}
+    g = A.generations(spark, SF_SMOKE)
+    batch = G.generation_trends(g, 10_000, as_of=g.agg(F.max("created_at")))
+    assert daily == {r["date"].isoformat(): (r["count"], r["successful"]) for r in batch.collect()}
+    latest = {r["name"]: (r["value"], r["total_values"]) for r in q["st7_latest_value"](spark, SF_SMOKE).collect()}
+    lb = G.latest_metric_values(A.metric_samples(spark, SF_SMOKE)).collect()
+    assert latest == {r["name"]: (r["latest_value"], r["total_values"]) for r in lb}
