@@ -254,6 +254,8 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
                       F.col(vector_col).cast("array<double>").alias("__cv"))
     stats = q.agg(F.count("*").alias("n"), F.max(F.size("__qv")).alias("dim")).first()
     n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
+    # queries with a missing or shorter vector cannot be scored (V7 flags them)
+    q = q.filter(F.size("__qv") == dim)
     floor = None
     if threshold is not None:
         floor = -float(threshold) if metric == "l2" else float(threshold)
@@ -316,6 +318,7 @@ def _blocked_topk(q, c, k, metric, floor, dim, n_q, block_rows, schema):
 
     def score_block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         cpdf = cpdf[cpdf["__cv"].map(lambda v: v is not None and len(v) == dim)]
+        qpdf = qpdf[qpdf["__qv"].map(lambda v: v is not None and len(v) == dim)]
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({"__qid": [], "__cid": [], "score": []})
         qids = qpdf["__qid"].to_numpy(dtype=np.int64)

@@ -93,3 +93,11 @@ def test_ivf_recall_against_exact(spark):
     approx = ann.ivf_search(q, index, cents, k=5, nprobe=3, block_rows=10)
     exact = V.batch_topk(q, df, k=5)
     assert ann.recall_at_k(approx, exact).first()["recall"] >= 0.9
+
+
+def test_batch_topk_skips_bad_query_vectors(spark):
+    df = _corpus(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0]), (2, None)], "qid long, query_vector array<double>")
+    for kw in ({}, {"max_broadcast_bytes": 0, "block_rows": 1}):
+        got = sorted((r["qid"], r["id"]) for r in V.batch_topk(q, df, k=1, **kw).collect())
+        assert got == [(0, 1)]
