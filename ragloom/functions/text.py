@@ -202,3 +202,8 @@ def split_known_fields(meta, known: list[str]):
     known_cols = [F.try_element_at(m, F.lit(k)).alias(k) for k in known]
     rest = F.map_filter(m, lambda k, v: ~k.isin(known))
     return known_cols + [F.to_json(rest).alias("extra_json")]
+
+
+def search_document(meta, known: tuple[str, ...] = ("description", "tags", "width", "height")):
+    """F15 under its inventory name: known metadata fields as columns, the rest as JSON."""
+    return split_known_fields(meta, list(known))

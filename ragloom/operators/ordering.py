@@ -45,3 +45,8 @@ def top_n(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
 def head_n(df: DataFrame, n: int | None, order_col: str = "id") -> DataFrame:
     """The first n rows in a stable order (None = all)."""
     return df if n is None else df.orderBy(F.col(order_col).asc()).limit(n)
+
+
+def top_models(usage: DataFrame, n: int = 5) -> DataFrame:
+    """O3: the n most used models of a usage table (A6 or A7 output), ties by name."""
+    return top_n(usage, n, "usage_count", "model_name")
