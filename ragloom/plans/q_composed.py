@@ -87,9 +87,42 @@ def v6_ivf_search(spark, sf):
     return ann.ivf_search(queries, index, cents, k=5, nprobe=max(1, lists // 4))
 
 
-@register("x3_analytics_report")
+X3_SQL = A.with_views("""
+, anchor AS (SELECT max(created_at) AS t FROM generations),
+trends AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS count, coalesce(avg(generation_time_ms), 0) AS avg_time,
+                  count(*) FILTER (WHERE status = 'completed') AS successful
+           FROM generations WHERE created_at > (SELECT t FROM anchor) - INTERVAL 30 DAYS GROUP BY 1),
+usage AS (SELECT model_type, model_name, count(*) AS usage_count,
+                 avg((epoch_us((SELECT t FROM anchor)) - epoch_us(created_at)) / 3.6e9) AS hours_ago
+          FROM vectors GROUP BY 1, 2 ORDER BY usage_count DESC, model_type, model_name LIMIT 5)
+SELECT 'basic_stats' AS section, t AS key, 'rows' AS metric, CAST(n AS VARCHAR) AS value FROM (
+  SELECT 'images' AS t, count(*) AS n FROM images UNION ALL SELECT 'embeddings', count(*) FROM vectors
+  UNION ALL SELECT 'generations', count(*) FROM generations UNION ALL SELECT 'model_cache', count(*) FROM cache) b
+UNION ALL
+SELECT 'success_rate', '', unnest(['total', 'completed', 'success_rate']),
+       unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE status = 'completed') AS VARCHAR),
+               CAST(round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE status = 'completed') / count(*) * 100
+                               ELSE 0 END, 6) AS VARCHAR)])
+FROM generations
+UNION ALL
+SELECT 'generation_trends', CAST(date AS VARCHAR), unnest(['count', 'avg_time', 'successful', 'success_rate']),
+       unnest([CAST(count AS VARCHAR), CAST(round(avg_time, 6) AS VARCHAR), CAST(successful AS VARCHAR),
+               CAST(round(CASE WHEN count > 0 THEN successful / count * 100 ELSE 0 END, 6) AS VARCHAR)])
+FROM trends
+UNION ALL
+SELECT 'trends_summary', '', unnest(['total_generations', 'average_daily', 'peak_day', 'average_generation_time']),
+       unnest([CAST(CAST(sum(count) AS BIGINT) AS VARCHAR), CAST(round(avg(count), 6) AS VARCHAR),
+               CAST(max(count) AS VARCHAR), CAST(round(avg(avg_time), 6) AS VARCHAR)])
+FROM trends
+UNION ALL
+SELECT 'top_models', model_type || '/' || model_name, unnest(['usage_count', 'hours_ago']),
+       unnest([CAST(usage_count AS VARCHAR), CAST(round(hours_ago, 6) AS VARCHAR)])
+FROM usage""", "images", "vectors", "generations", "cache")
+
+
+@register("x3_analytics_report", X3_SQL)
 def x3_analytics_report(spark, sf):
-    """Rows-only: the sectioned analytics report (long form)."""
+    """The sectioned analytics report (long form: section, key, metric, value as text)."""
     g = A.generations(spark, sf)
     as_of = g.select(F.max("created_at")).scalar()
     return reports.analytics_report(A.images(spark, sf), A.embeddings(spark, sf), g, A.cache_entries(spark, sf),

@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as G
 
 
+def _text(df: DataFrame, c: str):
+    """A report value as text; doubles are rounded to 6 places for display."""
+    col = F.col(c)
+    if dict(df.dtypes)[c] in ("double", "float"):
+        col = F.round(col, 6)
+    return col.cast("string")
+
+
 def _long(df: DataFrame, section: str, key_cols: list[str], value_cols: list[str]) -> DataFrame:
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in key_cols]) if key_cols else F.lit("")
-    entries = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("string").alias("value")) for v in value_cols])
+    entries = F.array(*[F.struct(F.lit(v).alias("metric"), _text(df, v).alias("value")) for v in value_cols])
     return df.select(F.lit(section).alias("section"), key.alias("key"), F.inline(entries))
 
 
