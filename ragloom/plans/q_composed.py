@@ -12,6 +12,7 @@ from ..operators import aggregates as G
 from . import rag, reports
 from .catalog import register
 from .q_aggregates import STATUS_COLS
+from .q_relational import P10_SQL
 
 SCENES_SQL = "['indoor', 'outdoor', 'kitchen', 'living room', 'park', 'street', 'garden']"
 
@@ -129,9 +130,54 @@ def x3_analytics_report(spark, sf):
                                     as_of=as_of)
 
 
-@register("x5_monitor_report")
+def _perf_sql():
+    aggs = ("count(*) AS n, avg(duration) AS avg_duration, max(duration) AS max_duration, min(duration) AS min_duration, "
+            "avg(memory_after - memory_before) AS avg_memory_delta, max(memory_after - memory_before) AS max_memory_delta, "
+            "avg(cpu_percent) AS avg_cpu, max(cpu_percent) AS max_cpu")
+    return (f"SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS component, {aggs} FROM operations "
+            f"UNION ALL SELECT 'component', component, {aggs} FROM operations GROUP BY component")
+
+
+def _r6(c):
+    return f"CAST(round({c}, 6) AS VARCHAR)"
+
+
+X5_SQL = A.with_views(f""",
+perf AS ({_perf_sql()}),
+checks AS (SELECT unnest([system_status, memory_status, cpu_status, disk_status, gpu_status, cache_status]) AS status
+           FROM ({P10_SQL}) x),
+health AS (SELECT count(*) AS total_checks, count(*) FILTER (WHERE status = 'healthy') AS healthy_checks,
+                  count(*) FILTER (WHERE status = 'warning') AS warning_checks,
+                  count(*) FILTER (WHERE status = 'critical') AS critical_checks,
+                  count(*) FILTER (WHERE status = 'unknown') AS unknown_checks,
+                  CASE max(CASE status WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'healthy' THEN 1 ELSE 0 END)
+                       WHEN 3 THEN 'critical' WHEN 2 THEN 'warning' WHEN 1 THEN 'healthy' ELSE 'unknown' END
+                       AS overall_status FROM checks),
+cstats AS (SELECT model_type, count(*) AS misses, CAST(sum(access_count) AS BIGINT) AS hits,
+                  CAST(sum(access_count) + count(*) AS BIGINT) AS requests,
+                  sum(access_count) / (sum(access_count) + count(*)) AS hit_rate FROM cache GROUP BY model_type)
+SELECT 'performance' AS section, concat_ws('/', level, component) AS key,
+       unnest(['n', 'avg_duration', 'max_duration', 'min_duration', 'avg_memory_delta', 'max_memory_delta',
+               'avg_cpu', 'max_cpu']) AS metric,
+       unnest([CAST(n AS VARCHAR), {_r6('avg_duration')}, {_r6('max_duration')}, {_r6('min_duration')},
+               {_r6('avg_memory_delta')}, {_r6('max_memory_delta')}, {_r6('avg_cpu')}, {_r6('max_cpu')}]) AS value
+FROM perf
+UNION ALL
+SELECT 'health', '', unnest(['total_checks', 'healthy_checks', 'warning_checks', 'critical_checks', 'unknown_checks',
+                             'overall_status']),
+       unnest([CAST(total_checks AS VARCHAR), CAST(healthy_checks AS VARCHAR), CAST(warning_checks AS VARCHAR),
+               CAST(critical_checks AS VARCHAR), CAST(unknown_checks AS VARCHAR), overall_status])
+FROM health
+UNION ALL
+SELECT 'cache', model_type, unnest(['requests', 'hits', 'misses', 'hit_rate', 'hit_rate_percent']),
+       unnest([CAST(requests AS VARCHAR), CAST(hits AS VARCHAR), CAST(misses AS VARCHAR), {_r6('hit_rate')},
+               {_r6('hit_rate * 100')}])
+FROM cstats""", "operations", "cache")
+
+
+@register("x5_monitor_report", X5_SQL)
 def x5_monitor_report(spark, sf):
-    """Rows-only: performance, health and cache sections in one report."""
+    """Performance, health and cache sections in one report (long form, values as text)."""
     c = P.classify_thresholds(A.system_metrics(spark, sf))
     long = G.checks_long(c, STATUS_COLS, ["component"])
     return reports.monitor_report(A.operations(spark, sf), long, A.cache_entries(spark, sf))
