@@ -182,6 +182,25 @@ def j7_knn_join_l2(spark, sf):
     return hits.select("qid", "id", F.round("score", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def _projection_sql(in_dim=64, out_dim=16, seed=42):
+    """The same seeded matrix, generated from its seed, as a DuckDB list of its columns."""
+    m = V.projection_matrix(in_dim, out_dim, seed)
+    cols = ", ".join("[" + ", ".join(repr(float(x)) for x in m[:, j]) + "]" for j in range(out_dim))
+    return f"""
+SELECT e.vec_id AS id, CAST(r.j - 1 AS INTEGER) AS j,
+       round(list_dot_product(e.embedding::DOUBLE[], ([{cols}])[r.j]), 6) AS value
+FROM embeddings e, (SELECT unnest(generate_series(1, {out_dim})) AS j) r"""
+
+
+@register("v8_projection_values", _projection_sql())
+def v8_projection_values(spark, sf):
+    """Every vector projected 64 -> 16 by the seeded matrix, one row per output component."""
+    corpus = A.embeddings(spark, sf).select("id", "embedding")
+    p = V.project_vectors(corpus, out_dim=16, in_dim=64)
+    return p.select("id", F.posexplode("projected").alias("j", "value")).select(
+        "id", F.col("j").cast("int").alias("j"), F.round("value", 6).alias("value"))
+
+
 @register("v8_project_vectors")
 def v8_project_vectors(spark, sf):
     """Rows-only check: a seeded 64 -> 16 projection of every vector."""
