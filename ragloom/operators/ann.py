@@ -107,3 +107,25 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "qid") -> D
     hit = exact.join(approx.select(query_id, "id"), [query_id, "id"], "left_semi")
     total = exact.select(F.count(F.lit(1))).scalar()
     return hit.agg((F.count(F.lit(1)) / total).alias("recall"))
+
+
+def ivf_write(index: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store the IVF index partitioned by list, so a probe reads only the probed lists."""
+    index.write.mode(mode).partitionBy("list_id").parquet(path)
+
+
+def ivf_search_one(spark, query, index_path: str, centroids: DataFrame, k: int = 5, nprobe: int = 10) -> DataFrame:
+    """Approximate cosine top-k for one query vector against a stored index: the nprobe nearest
+    centroids are picked on the driver (the centroid table is bounded by the list count), and
+    the scan of ``index_path`` is pruned to those list partitions before any vector is read."""
+    from .vectors import cosine_topk
+
+    cents = centroids.orderBy("list_id").collect()
+    cmat = np.asarray([r["centroid"] for r in cents], dtype=np.float64)
+    ids = [int(r["list_id"]) for r in cents]
+    q = np.asarray(list(query), dtype=np.float64)
+    qn = q / (np.linalg.norm(q) or 1.0)
+    order = np.argsort(-(cmat @ qn), kind="stable")[:min(nprobe, len(ids))]
+    probed = [ids[i] for i in order]
+    part = spark.read.parquet(index_path).filter(F.col("list_id").isin(probed))
+    return cosine_topk(part.withColumnRenamed("vector", "embedding"), qn.tolist(), k=k)

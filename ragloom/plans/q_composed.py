@@ -121,6 +121,20 @@ SELECT 'top_models', model_type || '/' || model_name, unnest(['usage_count', 'ho
 FROM usage""", "images", "vectors", "generations", "cache")
 
 
+@register("v6_ivf_search_stored")
+def v6_ivf_search_stored(spark, sf):
+    """Rows-only: IVF index written partitioned by list; one query (the lowest id's vector)
+    probes 1/4 of the lists and only those partitions are read."""
+    from ..session import scratch_path
+    corpus = A.embeddings(spark, sf)
+    lists = max(2, int(corpus.count() ** 0.5))
+    index, cents = ann.ivf_build(corpus, lists=lists, max_iter=10)
+    path = scratch_path(spark, "ivf-index")
+    ann.ivf_write(index, path)
+    q = corpus.orderBy("id").select("embedding").first()["embedding"]  # one query vector
+    return ann.ivf_search_one(spark, q, path, cents, k=5, nprobe=max(1, lists // 4))
+
+
 @register("x3_analytics_report", X3_SQL)
 def x3_analytics_report(spark, sf):
     """The sectioned analytics report (long form: section, key, metric, value as text)."""

@@ -101,3 +101,24 @@ def test_batch_topk_skips_bad_query_vectors(spark):
     for kw in ({}, {"max_broadcast_bytes": 0, "block_rows": 1}):
         got = sorted((r["qid"], r["id"]) for r in V.batch_topk(q, df, k=1, **kw).collect())
         assert got == [(0, 1)]
+
+
+def test_ivf_stored_index_prunes_lists(spark, tmp_path):
+    import contextlib
+    import io
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(6, 8)) * 6
+    vecs = np.vstack([c + rng.normal(size=(30, 8)) for c in centers])
+    df = _corpus(spark, [(i, v.tolist()) for i, v in enumerate(vecs)])
+    index, cents = ann.ivf_build(df, lists=6, max_iter=10)
+    path = str(tmp_path / "ivf")
+    ann.ivf_write(index, path)
+    hits = ann.ivf_search_one(spark, vecs[17].tolist(), path, cents, k=3, nprobe=2)
+    got = [r["id"] for r in hits.collect()]
+    exact = [r["id"] for r in V.cosine_topk(df, vecs[17].tolist(), k=3).collect()]
+    assert got[0] == 17 and len(set(got) & set(exact)) >= 2
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        hits.explain("formatted")
+    assert "PartitionFilters: [isnotnull(list_id" in buf.getvalue() or "PartitionFilters: [list_id" in buf.getvalue()
