@@ -240,7 +240,6 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return r.parquet(path)
 
 
-
 # ---------------------------------------------------------------------------- ST3, distributed
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Batch ids of the ``root/batch=<id>`` folders (a directory listing, no data read)."""
@@ -292,12 +291,16 @@ def rate_limit_micro_batches(requests: DataFrame, out_dir: str, limit: int = 60,
             rows = cur.unionByName(prev)
         else:
             rows = cur
-        scored = rate_limit(rows, limit=limit, window_seconds=window_seconds, client_col=client_col,
-                            ts_col=ts_col, id_col=id_col)
-        scored.filter("__new").drop("__new").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        cutoff = rows.select(F.max(ts_col) - F.expr(f"INTERVAL {int(window_seconds)} SECONDS")).scalar()
-        rows.filter(F.col(ts_col) > cutoff).select(*cols) \
-            .write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+        rows = rows.persist()  # one micro-batch, read by the scoring and the state write
+        try:
+            scored = rate_limit(rows, limit=limit, window_seconds=window_seconds, client_col=client_col,
+                                ts_col=ts_col, id_col=id_col)
+            scored.filter("__new").drop("__new").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+            cutoff = rows.select(F.max(ts_col) - F.expr(f"INTERVAL {int(window_seconds)} SECONDS")).scalar()
+            rows.filter(F.col(ts_col) > cutoff).select(*cols) \
+                .write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+        finally:
+            rows.unpersist()
         _drop_versions(s, state_dir, earlier[:-1])
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
