@@ -199,8 +199,12 @@ def continuous_ingest(stream: DataFrame, table_dir: str, key: str = "image_path"
             existing = s.read.parquet(table_dir).filter(F.col("batch") != batch_id).select(key)
         except Exception:  # noqa: BLE001 - first batch: nothing written yet
             existing = s.createDataFrame([], T.StructType([batch.schema[key]]))
-        new, _rejected = insert_unique(existing, batch, key, order_col)
-        new.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            new, _rejected = insert_unique(existing, batch, key, order_col)
+            new.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
