@@ -253,6 +253,30 @@ def classify_thresholds(df: DataFrame, memory_col="memory_percent", cpu_col="cpu
     return out
 
 
+def threshold_rules(spark) -> DataFrame:
+    """The resource thresholds as a small dimension table (check, column, critical, warning)."""
+    cols = {"memory": "memory_percent", "cpu": "cpu_percent", "disk": "disk_usage_percent", "gpu": "gpu_utilization"}
+    rows = [(name, cols[name], crit, warn) for name, (crit, warn) in RESOURCE_THRESHOLDS.items()]
+    return spark.createDataFrame(rows, "check string, column string, critical double, warning double")
+
+
+def classify_with_rules(df: DataFrame, rules: DataFrame, id_col: str = "id") -> DataFrame:
+    """P10 with the thresholds as data: one (id, check, status) row per reading and rule.
+
+    Readings are unpivoted into (column, value) pairs and joined to the rule table, which is
+    bounded by the number of checks and therefore broadcast; the classification is the same
+    strict critical > warning > healthy order, null readings are unknown."""
+    value_cols = [r["column"] for r in rules.select("column").distinct().collect()]  # a handful of rules
+    long = df.select(id_col, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in value_cols])).alias("r"))
+    j = long.select(id_col, "r.column", "r.value").join(F.broadcast(rules), "column")
+    status = (F.when(F.col("value").isNull() | F.isnan("value"), F.lit(UNKNOWN))
+               .when(F.col("value") > F.col("critical"), F.lit(CRITICAL))
+               .when(F.col("value") > F.col("warning"), F.lit(WARNING))
+               .otherwise(F.lit(HEALTHY)))
+    return j.select(id_col, "check", status.alias("status"))
+
+
 # ------------------------------------------------------------------------ P11
 def level_ordinal(c) -> Column:
     c = F.upper(F.col(c) if isinstance(c, str) else c)

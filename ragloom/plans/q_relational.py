@@ -154,6 +154,22 @@ def p10_classify_thresholds(spark, sf):
     return c.select("id", "system_status", "memory_status", "cpu_status", "disk_status", "gpu_status", "cache_status")
 
 
+@register("p10_classify_with_rules", with_views("""
+, rules AS (SELECT * FROM (VALUES ('memory', 85.0, 70.0), ('cpu', 90.0, 80.0), ('disk', 90.0, 80.0),
+                                  ('gpu', 95.0, 80.0)) v("check", critical, warning)),
+long AS (SELECT id, 'memory' AS "check", memory_percent AS value FROM sysmetrics
+         UNION ALL SELECT id, 'cpu', cpu_percent FROM sysmetrics
+         UNION ALL SELECT id, 'disk', disk_usage_percent FROM sysmetrics
+         UNION ALL SELECT id, 'gpu', gpu_utilization FROM sysmetrics)
+SELECT l.id, l."check", CASE WHEN value IS NULL OR isnan(value) THEN 'unknown' WHEN value > critical THEN 'critical'
+                             WHEN value > warning THEN 'warning' ELSE 'healthy' END AS status
+FROM long l JOIN rules r ON r."check" = l."check"
+""", "sysmetrics"))
+def p10_classify_with_rules(spark, sf):
+    """The resource checks with their thresholds supplied as a (broadcast) rule table."""
+    return P.classify_with_rules(A.system_metrics(spark, sf), P.threshold_rules(spark))
+
+
 LEVEL_OF_EVENT = {"error": "ERROR", "view": "DEBUG", "signup": "WARNING", "purchase": "CRITICAL", "click": "INFO"}
 
 

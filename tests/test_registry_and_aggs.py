@@ -83,3 +83,16 @@ def test_performance_summary_caps(spark):
     capped = {(r["level"], r["component"]): r for r in G.performance_summary(ops, history=2, overall_history=3).collect()}
     assert capped[("overall", None)]["n"] == 3 and capped[("overall", None)]["min_duration"] == 7.0
     assert capped[("component", "b")]["n"] == 2 and capped[("component", "b")]["min_duration"] == 6.0
+
+
+def test_rules_as_data_match_fixed_rules(spark):
+    from ragloom import adapters as A
+    from ragloom.operators import predicates as P
+    from tests.conftest import SF_SMOKE
+
+    sm = A.system_metrics(spark, SF_SMOKE)
+    long = {(r["id"], r["check"]): r["status"] for r in P.classify_with_rules(sm, P.threshold_rules(spark)).collect()}
+    wide = P.classify_thresholds(sm).select("id", "memory_status", "cpu_status", "disk_status", "gpu_status").collect()
+    for r in wide:
+        for c in ("memory", "cpu", "disk", "gpu"):
+            assert long[(r["id"], c)] == r[f"{c}_status"]
