@@ -86,7 +86,7 @@ def is_allowed_image_extension(c) -> Column:
 def storage_extension(content_type, original) -> Column:
     """F4 extension rule: from the content type (parameters stripped, lower-cased), else the
     allowed extension of the sanitised original name, else '.bin'."""
-    ct = F.lower(F.trim(F.split(_c(content_type), ";").getItem(0)))
+    ct = F.lower(strip_ws(F.split(_c(content_type), ";").getItem(0)))
     table = F.create_map(*[x for kv in CONTENT_TYPE_TO_EXT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     from_ct = F.try_element_at(table, ct)
     orig_ext = file_extension(sanitize_filename(original))
@@ -137,7 +137,7 @@ def metadata_text_db(description, tags, width, height) -> Column:
 def client_id(forwarded_for, host) -> Column:
     """F8: first hop of X-Forwarded-For (trimmed), else the host, else 'unknown'."""
     ff = _c(forwarded_for)
-    first = F.trim(F.split(ff, ",").getItem(0))
+    first = strip_ws(F.split(ff, ",").getItem(0))
     return F.coalesce(F.when(ff.isNotNull() & (ff != ""), first), _c(host), F.lit("unknown"))
 
 
