@@ -178,10 +178,11 @@ def coco_description(captions) -> Column:
 
 # ------------------------------------------------------------------------- F13
 def output_name(prefix, run_id, index, ext, zero_based: bool = False) -> Column:
-    """'%s_%s_%02d.%s' with a 1-based index (0-based for the API variant);
-    the extension is lower-cased without its dot."""
+    """'%s_%s_%02d.%s' with a 1-based index (0-based for the API variant); the
+    extension is lower-cased without its leading dots, 'png' when empty."""
     i = _c(index) if zero_based else _c(index) + 1
-    e = F.lower(F.regexp_replace(_c(ext), "^\\.", ""))
+    e = F.lower(F.regexp_replace(_c(ext), "^\\.+", ""))
+    e = F.when(F.coalesce(e, F.lit("")) == "", F.lit("png")).otherwise(e)
     return F.format_string("%s_%s_%02d.%s", _c(prefix), _c(run_id), i.cast("int"), e)
 
 

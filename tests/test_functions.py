@@ -121,3 +121,9 @@ def test_path_safety_forms(spark):
     assert got["/etc/passwd"][1:] == (False, False) and got["/data/img/a.png"][1:] == (False, True)
     assert got["a..b"] == (False, True, True) and got["a\x00b"][0] is False and got["a\x00b"][1] is True
     assert got["./a"] == (True, True, True)
+
+
+def test_output_name_extension_rules(spark):
+    df = spark.createDataFrame([("..JPG",), ("",), (None,)], "e string")
+    got = [r[0] for r in df.select(T.output_name(F.lit("p"), F.lit("r"), F.lit(1), F.col("e"))).collect()]
+    assert got == ["p_r_02.jpg", "p_r_02.png", "p_r_02.png"]
