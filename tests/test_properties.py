@@ -65,3 +65,25 @@ def test_hashing_encoder_unit_norm_and_deterministic(spark):
     rows = {r["id"]: np.array(r["embedding"]) for r in EN.embed_text(df, "text", EN.HashingEncoder(64)).collect()}
     assert abs(np.linalg.norm(rows[1]) - 1) < 1e-5 and not rows[2].any()
     assert np.allclose(rows[1], rows[3])
+
+
+def test_random_augment_prompt_matches_model(spark):
+    from ragloom.functions import prompt as PR
+    from tests.test_functions import py_augment
+
+    rnd = random.Random(11)
+    words = ["cat", "Dog", "park", "parking", "kitchen", "indoor", "street", "garden", "living room", "chair", "a"]
+
+    def text(n):
+        return " ".join(rnd.choice(words) for _ in range(n))
+
+    cases = []
+    for i in range(200):
+        ex = [{"description": rnd.choice([None, "", text(rnd.randint(1, 6))]),
+               "tags": rnd.choice([None, [], [rnd.choice(words) for _ in range(rnd.randint(1, 5))]])}
+              for _ in range(rnd.randint(0, 4))]
+        cases.append((i, text(rnd.randint(1, 4)), ex))
+    df = spark.createDataFrame(cases, "i int, q string, ex array<struct<description:string,tags:array<string>>>")
+    got = {r["i"]: r["p"] for r in df.select("i", PR.augment_prompt("q", "ex").alias("p")).collect()}
+    for i, q, ex in cases:
+        assert got[i] == py_augment(q, ex), (q, ex)
