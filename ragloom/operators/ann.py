@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_root
-from .vectors import _block_scores, _candidates, _merge_topk, _stack
+from .vectors import _score_chunked, _stack
 
 
 def _unit(vec_col: str):
@@ -92,8 +92,7 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
         qm = _stack(qpdf["__qv"], dim)
         cm = _stack(cpdf["vector"], dim)
         ids = cpdf["id"].to_numpy(dtype=np.int64)
-        s = _block_scores(cm, qm, "dot")  # both sides are unit vectors
-        qi, cid, sc = _merge_topk(*_candidates(s, ids, k, None), k, None)
+        qi, cid, sc = _score_chunked(cm, ids, qm, "dot", k, None, None)  # both sides are unit vectors
         return pd.DataFrame({"__qid": qids[qi], "__cid": cid, "score": sc})
 
     partial = probes.groupBy("list_id", "sub").cogroup(idx.groupBy("list_id", "sub")).applyInPandas(score, schema)

@@ -223,6 +223,20 @@ def _candidates(scores: np.ndarray, cids: np.ndarray, k: int, floor: float | Non
     return q.astype(np.int64), cids[r].astype(np.int64), scores[r, q]
 
 
+SCORE_MATRIX_BYTES = 64 << 20  # bound of one corpus-chunk x queries score matrix in a Python worker
+
+
+def _score_chunked(cmat: np.ndarray, cids: np.ndarray, qmat: np.ndarray, metric: str, k: int,
+                   floor: float | None, best):
+    """Score corpus rows against all queries in row chunks whose score matrix stays under
+    SCORE_MATRIX_BYTES, folding each chunk into the running top-k."""
+    rows = max(1, SCORE_MATRIX_BYTES // (8 * max(qmat.shape[0], 1)))
+    for start in range(0, cmat.shape[0], rows):
+        s = _block_scores(cmat[start:start + rows], qmat, metric)
+        best = _merge_topk(*_candidates(s, cids[start:start + rows], k, floor), k, best)
+    return best
+
+
 def block_topk_schema(query_id: str, id_col: str) -> T.StructType:
     return T.StructType([T.StructField(query_id, T.LongType()), T.StructField(id_col, T.LongType()),
                          T.StructField("score", T.DoubleType())])
@@ -297,9 +311,7 @@ def _broadcast_topk(q, c, k, metric, floor, dim, schema):
                 continue
             cmat = _stack(pdf["__cv"], dim)
             cids = pdf["__cid"].to_numpy(dtype=np.int64)
-            s = _block_scores(cmat, qmat_, metric)
-            qi, ids, sc = _candidates(s, cids, k, floor)
-            best = _merge_topk(qi, ids, sc, k, best)
+            best = _score_chunked(cmat, cids, qmat_, metric, k, floor, best)
         if best is not None and len(best[0]):
             yield pd.DataFrame({"__qid": qids_[best[0]], "__cid": best[1],
                                 "score": _finish_scores(metric, best[2])})
@@ -325,8 +337,7 @@ def _blocked_topk(q, c, k, metric, floor, dim, n_q, block_rows, schema):
         qmat = _stack(qpdf["__qv"], dim)
         cmat = _stack(cpdf["__cv"], dim)
         cids = cpdf["__cid"].to_numpy(dtype=np.int64)
-        s = _block_scores(cmat, qmat, metric)
-        qi, ids, sc = _merge_topk(*_candidates(s, cids, k, floor), k, None)
+        qi, ids, sc = _score_chunked(cmat, cids, qmat, metric, k, floor, None)
         return pd.DataFrame({"__qid": qids[qi], "__cid": ids, "score": _finish_scores(metric, sc)})
 
     return (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
