@@ -122,3 +122,14 @@ def test_ivf_stored_index_prunes_lists(spark, tmp_path):
     with contextlib.redirect_stdout(buf):
         hits.explain("formatted")
     assert "PartitionFilters: [isnotnull(list_id" in buf.getvalue() or "PartitionFilters: [list_id" in buf.getvalue()
+
+
+def test_chunked_scoring_equals_one_block(monkeypatch):
+    rng = np.random.default_rng(1)
+    c = rng.integers(-2, 3, (50, 4)).astype(float)
+    q = rng.integers(-2, 3, (7, 4)).astype(float)
+    monkeypatch.setattr(V, "SCORE_MATRIX_BYTES", 8 * 7 * 3)  # three corpus rows per chunk
+    qi, ci, _ = V._score_chunked(c, np.arange(50), q, "dot", 5, None, None)
+    for j in range(7):
+        s = c @ q[j]
+        assert [int(x) for x in ci[qi == j]] == sorted(range(50), key=lambda i: (-s[i], i))[:5]
