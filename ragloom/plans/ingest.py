@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoders import HashingEncoder
-from ..functions.text import coco_description, metadata_text_csv, split_tags
+from ..functions.text import coco_description, metadata_text_coco, metadata_text_csv, split_tags
 from ..operators.changes import insert_unique
 from ..operators.joins import keep_existing_files
 
@@ -21,10 +21,11 @@ def csv_items(meta: DataFrame, image_dir: str) -> DataFrame:
 
 
 def coco_items(ann: DataFrame) -> DataFrame:
-    """Rows of S2 as dataset items (F12): description = captions joined, tags = captions."""
+    """Rows of S2 as dataset items (F12): description = captions joined, tags = captions; the
+    searchable text is the COCO form of F6 ('Objects: … | Size: WxH')."""
     return ann.select(F.col("id").alias("item_id"), "image_path",
                       coco_description("captions").alias("description"), F.col("captions").alias("tags"),
-                      "width", "height", coco_description("captions").alias("text"))
+                      "width", "height", metadata_text_coco("captions", "width", "height").alias("text"))
 
 
 def ingest(items: DataFrame, files: DataFrame, existing_images: DataFrame, encoder=None,
