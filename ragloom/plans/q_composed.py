@@ -121,6 +121,34 @@ SELECT 'top_models', model_type || '/' || model_name, unnest(['usage_count', 'ho
 FROM usage""", "images", "vectors", "generations", "cache")
 
 
+@register("x1_ingest_documents", """
+SELECT 'data/' || source || '/' || CAST(doc_id AS VARCHAR) || '.jpg' AS image_path,
+       md5(concat_ws(' | ', CASE WHEN text <> '' THEN 'Description: ' || text END, 'Tags: ' || lang || ',' || source,
+                     'Style: ' || source, 'Category: ' || lang)) AS h,
+       384 AS dim
+FROM documents
+WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND source <> 'src0'""")
+def x1_ingest_documents(spark, sf):
+    """X1 over the documents as a metadata table: files exist for documents with a quality label
+    of 1, images of source src0 are already stored; new rows get F6 text and a U1 embedding."""
+    from .ingest import csv_items, ingest
+    d = A.read_table(spark, sf, "documents")
+    meta = d.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")))
+                    .alias("image_filename"), F.col("text").alias("description"),
+                    F.concat_ws(",", "lang", "source").alias("tags"), F.col("source").alias("style"),
+                    F.col("lang").alias("category"))
+    items = csv_items(meta, "data")
+    labels = A.read_table(spark, sf, "labels").filter(F.col("quality") == 1)
+    files = d.join(labels.select("doc_id"), "doc_id", "left_semi").select(
+        F.concat(F.lit("data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
+    existing = items.filter(F.col("style") == "src0").select("image_path")
+    imgs, emb, _rejected = ingest(items, files, existing)
+    with_text = items.select("image_path", F.md5("text").alias("h"))
+    return (imgs.select("id", "image_path").join(with_text, "image_path")
+            .join(emb.select(F.col("image_id").alias("id"), F.size("embedding").alias("dim")), "id")
+            .select("image_path", "h", "dim"))
+
+
 @register("v6_ivf_search_stored")
 def v6_ivf_search_stored(spark, sf):
     """Rows-only: IVF index written partitioned by list; one query (the lowest id's vector)
