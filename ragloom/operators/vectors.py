@@ -109,7 +109,8 @@ def filter_model(corpus: DataFrame, model_type: str | None = None, embedding_typ
 def cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0,
                 model_type: str | None = None, embedding_type: str | None = None,
                 vector_col: str = "embedding", id_col: str = "id", eps: float = 0.0,
-                score_col: str = "similarity_score", method: str = "expr") -> DataFrame:
+                score_col: str = "similarity_score", method: str = "expr",
+                query_is_unit: bool = False) -> DataFrame:
     """V1: score = 1 - cosine distance, highest first, ties by id; drop score < threshold
     only when threshold > 0; first k.
 
@@ -129,7 +130,7 @@ def cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0,
         df, q = bind_query(df, query)
         score = cosine_similarity(F.col(vector_col), q, eps)
     else:
-        df, q = bind_query(df, unit_query(corpus.sparkSession, query))
+        df, q = bind_query(df, query if query_is_unit else unit_query(corpus.sparkSession, query))
         score = cosine_to_unit(F.col(vector_col), q)
     scored = df.withColumn(score_col, score)
     if threshold > 0:

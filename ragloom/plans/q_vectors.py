@@ -16,6 +16,13 @@ def first_vector(corpus):
     return corpus.select(F.min_by("embedding", "id")).scalar()
 
 
+def first_unit_vector(corpus):
+    """The same query vector scaled to unit length inside the same scalar subquery."""
+    v = F.min_by("embedding", "id").cast("array<double>")
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    return corpus.select(F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)).scalar()
+
+
 Q_SQL = "q AS (SELECT embedding::DOUBLE[] AS qv FROM vectors WHERE id = (SELECT min(id) FROM vectors))"
 
 
@@ -30,7 +37,7 @@ FROM vectors, q
 ORDER BY list_cosine_similarity(embedding::DOUBLE[], qv) DESC, id LIMIT 5"""))
 def v1_cosine_topk(spark, sf):
     corpus = A.embeddings(spark, sf)
-    hits = V.cosine_topk(corpus, first_vector(corpus), k=5)
+    hits = V.cosine_topk(corpus, first_unit_vector(corpus), k=5, query_is_unit=True)
     return hits.select("id", "image_id", "model_type", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -41,7 +48,7 @@ WHERE list_cosine_similarity(embedding::DOUBLE[], qv) >= 0.2
 ORDER BY list_cosine_similarity(embedding::DOUBLE[], qv) DESC, id LIMIT 20"""))
 def v1_cosine_topk_threshold(spark, sf):
     corpus = A.embeddings(spark, sf)
-    hits = V.cosine_topk(corpus, first_vector(corpus), k=20, threshold=0.2)
+    hits = V.cosine_topk(corpus, first_unit_vector(corpus), k=20, threshold=0.2, query_is_unit=True)
     return hits.select("id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
@@ -162,7 +169,8 @@ SELECT h.image_id, i.image_path, i.width, i.height, round(h.s, 6) AS similarity_
 FROM hits h JOIN images i ON i.id = h.image_id""", "vectors", "images"))
 def j1_enrich_hits(spark, sf):
     corpus = A.embeddings(spark, sf)
-    hits = V.cosine_topk(corpus, first_vector(corpus), k=10).select("image_id", "similarity_score")
+    hits = V.cosine_topk(corpus, first_unit_vector(corpus), k=10, query_is_unit=True) \
+        .select("image_id", "similarity_score")
     out = joins.enrich_hits(hits, A.images(spark, sf), hits_bounded=True)
     return out.select("image_id", "image_path", "width", "height",
                       F.round("similarity_score", 6).alias("similarity_score"))
