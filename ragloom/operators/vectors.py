@@ -110,7 +110,7 @@ def cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0,
                 model_type: str | None = None, embedding_type: str | None = None,
                 vector_col: str = "embedding", id_col: str = "id", eps: float = 0.0,
                 score_col: str = "similarity_score", method: str = "expr",
-                query_is_unit: bool = False) -> DataFrame:
+                query_is_unit: bool = False, corpus_is_unit: bool = False) -> DataFrame:
     """V1: score = 1 - cosine distance, highest first, ties by id; drop score < threshold
     only when threshold > 0; first k.
 
@@ -131,13 +131,25 @@ def cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0,
         score = cosine_similarity(F.col(vector_col), q, eps)
     else:
         df, q = bind_query(df, query if query_is_unit else unit_query(corpus.sparkSession, query))
-        score = cosine_to_unit(F.col(vector_col), q)
+        score = dot(F.col(vector_col), q) if corpus_is_unit else cosine_to_unit(F.col(vector_col), q)
     scored = df.withColumn(score_col, score)
     if threshold > 0:
         scored = scored.filter(F.col(score_col) >= threshold)
     return scored.orderBy(F.col(score_col).desc(), F.col(id_col).asc()).limit(k).drop("__q")
 
 
+def prepare_corpus(corpus: DataFrame, vector_col: str = "embedding", persist: bool = True) -> DataFrame:
+    """Normalise every vector to unit length once (zero vectors stay zero), for repeated cosine
+    searches with ``corpus_is_unit=True``; optionally persisted (memory, spilling to disk)."""
+    v = F.col(vector_col).cast("array<double>")
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    out = corpus.withColumn(vector_col, F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+    if persist:
+        from pyspark import StorageLevel
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    return out
+
+
 def zero_safe_cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0, **kw) -> DataFrame:
     """V2: the fallback scorer dot/(|q||e|+1e-9) over the whole corpus (no 500-row cap)."""
     return cosine_topk(corpus, query, k=k, threshold=threshold, eps=COSINE_EPS, **kw)

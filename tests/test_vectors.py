@@ -133,3 +133,16 @@ def test_chunked_scoring_equals_one_block(monkeypatch):
     for j in range(7):
         s = c @ q[j]
         assert [int(x) for x in ci[qi == j]] == sorted(range(50), key=lambda i: (-s[i], i))[:5]
+
+
+def test_prepared_corpus_gives_same_hits(spark):
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(80, 12))
+    df = _corpus(spark, [(i, v.tolist()) for i, v in enumerate(vecs)] + [(999, [0.0] * 12)])
+    prepared = V.prepare_corpus(df)
+    for qi in (0, 5, 9):
+        a = [(r["id"], round(r["similarity_score"], 9)) for r in V.cosine_topk(df, vecs[qi].tolist(), k=6).collect()]
+        b = [(r["id"], round(r["similarity_score"], 9)) for r in
+             V.cosine_topk(prepared, vecs[qi].tolist(), k=6, corpus_is_unit=True).collect()]
+        assert a == b
+    prepared.unpersist()
