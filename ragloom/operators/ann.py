@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, cut_lineage
 from .vectors import _score_chunked, _stack
 
 
@@ -32,8 +32,10 @@ def _unit(vec_col: str):
 
 
 def ivf_build(corpus: DataFrame, lists: int = 100, id_col: str = "id", vector_col: str = "embedding",
-              seed: int = 42, max_iter: int = 20):
-    """Returns (index, centroids): index = (id, list_id, vector), centroids = (list_id, centroid)."""
+              seed: int = 42, max_iter: int = 20, materialize: bool = False):
+    """Returns (index, centroids): index = (id, list_id, vector), centroids = (list_id, centroid).
+    ``materialize=True`` checkpoints the assigned index into the shared checkpoint folder, so
+    repeated probes neither re-run the assignment nor depend on lost executors' blocks."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -43,6 +45,8 @@ def ivf_build(corpus: DataFrame, lists: int = 100, id_col: str = "id", vector_co
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="list_id", initMode="k-means||").fit(data)
     index = model.transform(data).select("id", F.col("list_id").cast("int").alias("list_id"), "vector")
+    if materialize:
+        index = cut_lineage(index)
     cents = model.clusterCenters()
     spark = corpus.sparkSession
     centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cents)],

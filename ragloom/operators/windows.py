@@ -47,7 +47,7 @@ def prefix_agg(df: DataFrame, keys: list[str], order: list, chunk: Column, value
 
 
 def day_chunk(ts_col: str) -> Column:
-    return F.date_trunc("day", F.col(ts_col))
+    return day_chunk(ts_col)
 
 
 # ------------------------------------------------------------------------------ W1
@@ -120,7 +120,7 @@ def evict_oldest(df: DataFrame, max_size: int, partition_cols: list[str] | None
         return df.join(kept.select(key_col), key_col, "left_anti")
     # position from the newest entry per cache, as a chunked prefix count (chunks = days,
     # numbered so that they rise as time goes back), then everything past keep_n goes
-    day_back = -F.unix_seconds(F.date_trunc("day", F.col(ts_col)).cast("timestamp"))
+    day_back = -F.unix_seconds(day_chunk(ts_col).cast("timestamp"))
     ranked = prefix_agg(df, keys, newest, day_back, F.lit(1), how="sum", out="__from_newest")
     return ranked.filter(F.col("__from_newest") > keep_n).drop("__from_newest")
 
@@ -150,7 +150,7 @@ def failure_streaks(df: DataFrame, threshold: int = 5, key_col: str = "key", ts_
 
     streak = position - position of the last success at or before the row, with both
     positions computed by the chunked prefix aggregate (no whole-key window)."""
-    chunk = F.date_trunc("day", F.col(ts_col))
+    chunk = day_chunk(ts_col)
     order = [ts_col, seq_col]
     d = prefix_agg(df, [key_col], order, chunk, F.lit(1), how="sum", out="__pos")
     d = d.withColumn("__succ_pos", F.when(F.col(success_col), F.col("__pos")).otherwise(F.lit(0)))
@@ -164,5 +164,5 @@ def failure_streaks(df: DataFrame, threshold: int = 5, key_col: str = "key", ts_
 def running_gauge(df: DataFrame, key_col: str = "name", ts_col: str = "ts", seq_col: str = "seq",
                   delta_col: str = "delta") -> DataFrame:
     """Current gauge value from +1/-1 deltas, a running sum per key."""
-    return prefix_agg(df, [key_col], [ts_col, seq_col], F.date_trunc("day", F.col(ts_col)),
+    return prefix_agg(df, [key_col], [ts_col, seq_col], day_chunk(ts_col),
                       F.col(delta_col), how="sum", out="gauge")

@@ -28,6 +28,11 @@ EDGE = ["  a\tb\x01c\x00d  ", "\x7f\x85x", "   ", "plain", "line\n\nbreak", "../
         "x" * 300 + ".jpg", "dir/sub/ké y__.PNG", "._ weird _."]
 
 
+def test_text_length_guard(spark):
+    df = spark.createDataFrame([("a  b",), ("x" * 12,)], "s string")
+    assert [r[0] for r in df.select(T.text_too_long("s", 10)).collect()] == [False, True]
+
+
 def test_normalize_and_sanitize_match_python(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(EDGE)], "i int, s string")
     got = df.select("i", T.normalize_text("s").alias("n"), T.sanitize_filename("s").alias("f")).orderBy("i").collect()

@@ -89,7 +89,7 @@ def test_ivf_recall_against_exact(spark):
     vecs = np.vstack([c + rng.normal(size=(40, 16)) for c in centers])
     df = _corpus(spark, [(i, v.tolist()) for i, v in enumerate(vecs)])
     q = df.select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector")).filter("qid % 10 = 0")
-    index, cents = ann.ivf_build(df, lists=8, max_iter=10)
+    index, cents = ann.ivf_build(df, lists=8, max_iter=10, materialize=True)
     approx = ann.ivf_search(q, index, cents, k=5, nprobe=3, block_rows=10)
     exact = V.batch_topk(q, df, k=5)
     assert ann.recall_at_k(approx, exact).first()["recall"] >= 0.9
