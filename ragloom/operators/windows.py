@@ -47,7 +47,8 @@ def prefix_agg(df: DataFrame, keys: list[str], order: list, chunk: Column, value
 
 
 def day_chunk(ts_col: str) -> Column:
-    return day_chunk(ts_col)
+    """The chunk of a running window: the calendar day of the ordering timestamp."""
+    return F.date_trunc("day", F.col(ts_col))
 
 
 # ------------------------------------------------------------------------------ W1
