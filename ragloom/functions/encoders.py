@@ -23,20 +23,43 @@ TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 
 
 class HashingEncoder:
-    """Signed feature hashing of lower-cased word tokens into ``dim`` buckets, L2-normalised."""
+    """Signed feature hashing of lower-cased word tokens into ``dim`` buckets, L2-normalised.
 
-    def __init__(self, dim: int = 384, seed: int = 42):
+    ``hash_fn="xxhash64"`` (default, fastest) or ``"md5"`` (bucket from the first 8 hex digits,
+    sign from the 9th; reproducible outside Spark, e.g. in SQL)."""
+
+    def __init__(self, dim: int = 384, seed: int = 42, hash_fn: str = "xxhash64"):
+        if hash_fn not in ("xxhash64", "md5"):
+            raise ValueError(hash_fn)
         self.dim = dim
         self.seed = seed
+        self.hash_fn = hash_fn
 
     def tokens(self, text: Column) -> Column:
         return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
+    def _code(self, t: Column) -> Column:
+        """bucket * 2 + sign bit of one token (sign bit 1 = negative)."""
+        dim = self.dim
+        if self.hash_fn == "md5":
+            h = F.md5(t)
+            bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
+            sign = F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2))
+            return bucket * 2 + sign
+        return F.pmod(F.xxhash64(t, F.lit(self.seed)), F.lit(dim)) * 2 + F.pmod(F.hash(t), F.lit(2))
+
     def bucket_ids(self, text: Column) -> Column:
         """Per token: bucket * 2 + sign bit, computed in the JVM."""
-        dim, seed = self.dim, self.seed
-        return F.transform(self.tokens(text), lambda t: F.pmod(F.xxhash64(t, F.lit(seed)), F.lit(dim)) * 2
-                           + F.pmod(F.hash(t), F.lit(2)))
+        return F.transform(self.tokens(text), lambda t: self._code(t))
+
+    def signed_counts(self, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+        """The encoder's unnormalised vector in long form (id, bucket, count), nonzero entries only,
+        as a Spark job: tokens are exploded and summed per (id, bucket) with a partial aggregation."""
+        codes = df.select(id_col, F.explode(self.bucket_ids(F.col(text_col))).alias("__c"))
+        signed = codes.select(id_col, (F.col("__c") / 2).cast("int").alias("bucket"),
+                              F.when(F.col("__c") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("__s"))
+        return (signed.groupBy(id_col, "bucket").agg(F.sum("__s").alias("count"))
+                .filter(F.col("count") != 0))
 
     def vector(self, text: Column) -> Column:
         dim = self.dim

@@ -209,6 +209,19 @@ def f15_split_known_fields(spark, sf):
     return ev.select("event_id", *T.split_known_fields(m, ["k"]))
 
 
+@register("u1_hashing_counts", """
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'),
+                                             lambda x: x <> '')) AS tok FROM documents),
+h AS (SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS INTEGER) AS bucket,
+             CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS s FROM t)
+SELECT doc_id, bucket, CAST(sum(s) AS BIGINT) AS count FROM h GROUP BY doc_id, bucket HAVING sum(s) <> 0""")
+def u1_hashing_counts(spark, sf):
+    """The hashing encoder (md5 form, 384 buckets) over every whole document, as signed token
+    counts per bucket – the vector before normalisation."""
+    d = A.read_table(spark, sf, "documents").select("doc_id", "text")
+    return HashingEncoder(dim=384, hash_fn="md5").signed_counts(d, "text", "doc_id")
+
+
 @register("u1_embed_text")
 def u1_embed_text(spark, sf):
     """Rows-only: every document embedded by the default hashing encoder (whole texts)."""

@@ -87,3 +87,16 @@ def test_random_augment_prompt_matches_model(spark):
     got = {r["i"]: r["p"] for r in df.select("i", PR.augment_prompt("q", "ex").alias("p")).collect()}
     for i, q, ex in cases:
         assert got[i] == py_augment(q, ex), (q, ex)
+
+
+def test_hashing_vector_equals_normalised_counts(spark):
+    enc = EN.HashingEncoder(32, hash_fn="md5")
+    df = spark.createDataFrame([(1, "The cat, the CAT and a dog."), (2, "Élan über Straße 12"), (3, None)],
+                               "id int, text string")
+    counts = {}
+    for r in enc.signed_counts(df, "text", "id").collect():
+        counts.setdefault(r["id"], np.zeros(32))[r["bucket"]] = r["count"]
+    vecs = {r["id"]: np.array(r["embedding"]) for r in enc.transform(df, "text").collect()}
+    for i, c in counts.items():
+        assert np.allclose(vecs[i], c / np.linalg.norm(c), atol=1e-6)
+    assert 3 not in counts and not vecs[3].any()
