@@ -23,3 +23,17 @@ def test_cli_search_rag_report(spark, tmp_path, capsys):
     main(["report", "--generations", gen, "--embeddings", vec, "--images", img, "--out", str(tmp_path / "rep")])
     rows = [json.loads(x) for p in (tmp_path / "rep").glob("part-*") for x in p.read_text().splitlines()]
     assert {r["section"] for r in rows} >= {"basic_stats", "generation_trends", "top_models"}
+
+
+def test_cli_ingest(spark, tmp_path, capsys):
+    img = tmp_path / "images"
+    img.mkdir()
+    for n in ("a.jpg", "b.jpg"):
+        (img / n).write_bytes(b"x")
+    csv = tmp_path / "metadata.csv"
+    csv.write_text("image_filename,description,tags,style,category\na.jpg,A cat,\"cat,chair\",photo,pets\n"
+                   "b.jpg,A dog,dog,photo,pets\nc.jpg,gone,x,y,z\n")
+    main(["ingest", "--metadata", str(csv), "--images", str(img), "--out", str(tmp_path / "out")])
+    assert "ingest written" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "out" / "images")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out" / "embeddings")).count() == 2
