@@ -187,7 +187,7 @@ def f13_output_name(spark, sf):
 @register("k4_export_prometheus", with_views(f""", {DEFAULT_REGISTRY_SQL},
 firsts AS (SELECT name, min(ts) AS t0, arg_min(seq, ts) AS s0 FROM samples GROUP BY name),
 auto AS (SELECT name, 'gauge' AS type, 'Auto-registered metric: ' || name AS description,
-                13 + row_number() OVER (ORDER BY t0, s0, name) - 1 AS reg_seq
+                {len(R.DEFAULT_METRICS)} + row_number() OVER (ORDER BY t0, s0, name) - 1 AS reg_seq
          FROM firsts WHERE name NOT IN (SELECT name FROM registry)),
 latest AS (SELECT name, arg_max(value, (ts, seq)) AS v, arg_max(label_user, (ts, seq)) AS u FROM samples GROUP BY name)
 SELECT CAST(a.reg_seq AS BIGINT) AS reg_seq, l.line_no, l.line FROM auto a JOIN latest s ON s.name = a.name,

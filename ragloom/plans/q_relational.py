@@ -274,7 +274,7 @@ DEFAULT_REGISTRY_SQL = "registry AS (SELECT * FROM (VALUES " + ", ".join(
 
 @register("j6_registry_latest", with_views(f""", {DEFAULT_REGISTRY_SQL},
 firsts AS (SELECT name, min(ts) AS t0, arg_min(seq, ts) AS s0 FROM samples GROUP BY name),
-auto AS (SELECT name, 'gauge' AS type, 13 + row_number() OVER (ORDER BY t0, s0, name) - 1 AS reg_seq
+auto AS (SELECT name, 'gauge' AS type, {len(R.DEFAULT_METRICS)} + row_number() OVER (ORDER BY t0, s0, name) - 1 AS reg_seq
          FROM firsts WHERE name NOT IN (SELECT name FROM registry)),
 reg AS (SELECT * FROM registry UNION ALL SELECT * FROM auto),
 latest AS (SELECT name, arg_max(value, (ts, seq)) AS latest_value, count(*) AS total_values FROM samples GROUP BY name)
