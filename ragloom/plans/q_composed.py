@@ -172,6 +172,16 @@ def x3_analytics_report(spark, sf):
                                     as_of=as_of)
 
 
+@register("k3_report_roundtrip", X3_SQL)
+def k3_report_roundtrip(spark, sf):
+    """The analytics report written as JSON lines by K3 and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_report
+    path = scratch_path(spark, "report")
+    write_report(x3_analytics_report(spark, sf), path, "json")
+    return spark.read.schema("section string, key string, metric string, value string").json(path)
+
+
 def _perf_sql():
     aggs = ("count(*) AS n, avg(duration) AS avg_duration, max(duration) AS max_duration, min(duration) AS min_duration, "
             "avg(memory_after - memory_before) AS avg_memory_delta, max(memory_after - memory_before) AS max_memory_delta, "

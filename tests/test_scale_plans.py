@@ -16,7 +16,7 @@ from ragloom.operators import windows as W
 from tests.conftest import SF_SMOKE
 
 T0 = dt.datetime(2024, 1, 1)
-RUNS_A_JOB = ("st", "s1_", "s2_", "s7_", "k5_", "a16_", "v6_ivf_search_stored")
+RUNS_A_JOB = ("st", "s1_", "s2_", "s7_", "k3_", "k5_", "a16_", "v6_ivf_search_stored")
 
 
 def formatted(df):
