@@ -96,3 +96,15 @@ def test_rules_as_data_match_fixed_rules(spark):
     for r in wide:
         for c in ("memory", "cpu", "disk", "gpu"):
             assert long[(r["id"], c)] == r[f"{c}_status"]
+
+
+def test_auto_registration_follows_first_sample(spark):
+    reg = R.default_registry(spark)
+    samples = spark.createDataFrame([("zeta", 1.0, T0 + dt.timedelta(seconds=5), 2),
+                                     ("alpha", 2.0, T0 + dt.timedelta(seconds=9), 3),
+                                     ("zeta", 3.0, T0, 1),
+                                     ("cpu_usage_percent", 4.0, T0, 4)],
+                                    "name string, value double, ts timestamp, seq long")
+    eff = {r["name"]: (r["type"], r["reg_seq"]) for r in R.effective_registry(reg, samples).collect()}
+    assert eff["zeta"] == ("gauge", 13) and eff["alpha"] == ("gauge", 14)
+    assert eff["cpu_usage_percent"] == ("gauge", 12) and len(eff) == 15
