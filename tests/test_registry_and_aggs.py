@@ -108,3 +108,15 @@ def test_auto_registration_follows_first_sample(spark):
     eff = {r["name"]: (r["type"], r["reg_seq"]) for r in R.effective_registry(reg, samples).collect()}
     assert eff["zeta"] == ("gauge", 13) and eff["alpha"] == ("gauge", 14)
     assert eff["cpu_usage_percent"] == ("gauge", 12) and len(eff) == 15
+
+
+def test_pagination_edges(spark):
+    from ragloom.operators import ordering as O
+
+    df = spark.range(0, 45).withColumnRenamed("id", "id")
+    info = O.page_info(df, limit=20, offset=40).first()
+    assert (info["total"], info["pages"], info["page"], info["has_next"], info["has_prev"]) == (45, 3, 3, False, True)
+    first = O.page_info(df, limit=20, offset=0).first()
+    assert first["has_next"] is True and first["has_prev"] is False
+    assert [r["id"] for r in O.paginate(df, 20, 40).collect()] == list(range(40, 45))
+    assert [r["id"] for r in O.paginate_after(df, 39, 20).collect()] == list(range(40, 45))
