@@ -139,3 +139,17 @@ def test_streams_equal_their_batch_operators(spark):
     latest = {r["name"]: (r["value"], r["total_values"]) for r in q["st7_latest_value"](spark, SF_SMOKE).collect()}
     lb = G.latest_metric_values(A.metric_samples(spark, SF_SMOKE)).collect()
     assert latest == {r["name"]: (r["latest_value"], r["total_values"]) for r in lb}
+
+
+def test_breaker_timeout_edges():
+    us = 1_000_000
+    st, f, last = "CLOSED", 0, 0
+    for i in range(5):  # five straight failures open the breaker
+        d, st, f, last = S.breaker_step(st, f, last, i * us, False, 5, 60 * us)
+    assert st == "OPEN" and f == 5
+    d, st2, f2, last2 = S.breaker_step(st, f, last, 4 * us + 60 * us, True, 5, 60 * us)
+    assert d == "rejected" and st2 == "OPEN"  # exactly 60 s later: still open
+    d, st3, f3, _ = S.breaker_step(st, f, last, 4 * us + 61 * us, True, 5, 60 * us)
+    assert d == "allowed" and st3 == "CLOSED" and f3 == 0  # 61 s later: half-open, success closes
+    d, st4, f4, _ = S.breaker_step(st, f, last, 4 * us + 61 * us, False, 5, 60 * us)
+    assert d == "allowed" and st4 == "OPEN" and f4 == 6  # half-open failure re-opens
