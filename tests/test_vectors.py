@@ -146,3 +146,12 @@ def test_prepared_corpus_gives_same_hits(spark):
              V.cosine_topk(prepared, vecs[qi].tolist(), k=6, corpus_is_unit=True).collect()]
         assert a == b
     prepared.unpersist()
+
+
+def test_hit_without_an_image_is_dropped_after_topk(spark):
+    from ragloom.operators import joins as J
+
+    hits = spark.createDataFrame([(1, 0.95), (99, 0.9)], "image_id long, similarity_score double")
+    images = spark.createDataFrame([(1, "a/1.jpg")], "id long, image_path string")
+    got = J.enrich_hits(hits, images, hits_bounded=True).collect()
+    assert [(r["image_id"], r["image_path"]) for r in got] == [(1, "a/1.jpg")]
