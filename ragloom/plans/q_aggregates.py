@@ -60,6 +60,7 @@ SELECT strftime(date, '%Y-%m-%d') AS date, count, round(avg_time, 6) AS avg_time
        round(CASE WHEN count > 0 THEN successful / count * 100 ELSE 0 END, 6) AS success_rate
 FROM ({A4_SQL}) t ORDER BY date""", "generations"))
 def a4_generation_trends(spark, sf):
+    """Daily generation trends over the last 30 days before the latest generation."""
     g = A.generations(spark, sf)
     t = G.generation_trends(g, 30, as_of=latest(g))
     return t.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "count",
@@ -159,6 +160,7 @@ SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS component, {_perf_cols()} FR
 UNION ALL
 SELECT 'component' AS level, component, {_perf_cols()} FROM operations GROUP BY component""", "operations"))
 def a11_performance_summary(spark, sf):
+    """Overall and per-component operation summary in one grouping-sets pass."""
     s = G.performance_summary(A.operations(spark, sf))
     return s.select("level", "component", "n", _r(F.col("avg_duration")).alias("avg_duration"), "max_duration",
                     "min_duration", _r(F.col("avg_memory_delta")).alias("avg_memory_delta"),

@@ -36,6 +36,7 @@ SELECT id, image_id, model_type,
 FROM vectors, q
 ORDER BY list_cosine_similarity(embedding::DOUBLE[], qv) DESC, id LIMIT 5"""))
 def v1_cosine_topk(spark, sf):
+    """Top-5 cosine neighbours of the lowest id's vector over the whole corpus."""
     corpus = A.embeddings(spark, sf)
     hits = V.cosine_topk(corpus, first_unit_vector(corpus), k=5, query_is_unit=True)
     return hits.select("id", "image_id", "model_type", F.round("similarity_score", 6).alias("similarity_score"))
@@ -103,6 +104,7 @@ SELECT qid, id, round(score, 6) AS score, rank FROM (
   FROM vectors q, vectors c) t
 WHERE rank <= 5"""))
 def v5_batch_topk(spark, sf):
+    """Every vector's top-5 cosine neighbours (broadcast block plan, per-task top-k)."""
     corpus = A.embeddings(spark, sf)
     hits = V.batch_topk(_self_queries(corpus), corpus, k=5, metric="cosine")
     return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -130,6 +132,7 @@ SELECT qid, id, round(score, 6) AS distance, round(1.0 / (1.0 + score), 6) AS si
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id, vectors c) t
 WHERE rank <= 3 AND 1.0 / (1.0 + score) >= 0.1""", "vectors"))
 def v4_retrieve(spark, sf):
+    """Benchmark items' vectors as queries: L2 top-3, similarity 1/(1+d) >= 0.1."""
     corpus = A.embeddings(spark, sf)
     bench = A.read_table(spark, sf, "benchmark")
     queries = bench.join(corpus.select(F.col("id").alias("item_id"), "embedding"), "item_id") \

@@ -29,6 +29,7 @@ def _w1(spark, sf, limit, window_s):
 
 @register("w1_rate_limit", _w1_sql(60, 60))
 def w1_rate_limit(spark, sf):
+    """Every request scored by the 60-per-60 s sliding limiter, clients split by time bucket."""
     return _w1(spark, sf, 60, 60)
 
 
