@@ -71,3 +71,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs, quality.learn(docs, table(spark, sf_dir, "labels")))[0].select("doc_id", *stats.COUNTS, "base_failed", "kept", "rule")
+
+
+@query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    file = tokens.public("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows, ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), *file)
+    rows, back = bpe.decoded(rows, *file, ids_col=ids)
+    return rows.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(back, 256).alias("decoded_sha256"))
