@@ -83,3 +83,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), *file)
     rows, back = bpe.decoded(rows, *file, ids_col=ids)
     return rows.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(back, 256).alias("decoded_sha256"))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    folder = scratch_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write(warc.archived(pages), folder)
+    kind = pages.schema["page_id"].dataType
+    records = warc.read(spark, folder)
+    responses = records.where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    revisits = records.where("record_type = 'revisit'").withColumn("payload_bytes", F.col("payload_length"))
+    return responses.unionByName(revisits).select(
+        warc.page_id("record_id").cast(kind).alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", warc.page_id("refers_to").cast(kind).alias("refers_to")
+    )
