@@ -93,9 +93,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     warc.write(warc.archived(pages), folder)
     kind = pages.schema["page_id"].dataType
-    records = warc.read(spark, folder)
-    responses = records.where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    revisits = records.where("record_type = 'revisit'").withColumn("payload_bytes", F.col("payload_length"))
+    # two scans: the filters that Spark pushes down stay with the relation that was loaded
+    responses = warc.read(spark, folder).where("record_type = 'response'").withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    revisits = warc.read(spark, folder, payload=False).where("record_type = 'revisit'").withColumn("payload_bytes", F.col("payload_length"))
     return responses.unionByName(revisits).select(
         warc.page_id("record_id").cast(kind).alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", warc.page_id("refers_to").cast(kind).alias("refers_to")
     )
