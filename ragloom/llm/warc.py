@@ -21,12 +21,14 @@ id sorts after all others. An empty table gives an archive without records.
 
 from __future__ import annotations
 
+import base64
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,23 +278,23 @@ def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", "read" if payload else "skip").load(folder)
 
 
+def base32(digest: pd.Series) -> pd.Series:
+    """Hexadecimal digests in base32, as the format writes them."""
+    return digest.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
+
+
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """The records of a table of pages, for `write`. Payloads of fewer than `least` bytes are all
     responses."""
     rows = pages.select(F.col(q(id_col)).alias("id"), F.col(q(url_col)).cast("string").alias("target_uri"), F.coalesce(F.col(q(payload_col)).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    first = rows.groupBy("sha1").agg(F.min("id").alias("first"))
+    first = rows.groupBy("sha1").agg(F.min("id").alias("first")).withColumn("base32", F.pandas_udf(base32, "string")("sha1"))
     rows = rows.join(first, "sha1")
     revisit = (F.col("payload_length") >= least) & ~F.col("first").eqNullSafe(F.col("id"))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    # base32 by groups of 5 bits; a SHA-1 has 32 of them
-    digits = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    bits = F.concat(*[F.lpad(F.conv(F.substring("sha1", 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)])
-    letters = [F.substring(digits, (F.conv(F.substring("bits", 1 + 5 * i, 5), 2, 10).cast("int") + 1), F.lit(1)) for i in range(32)]
-    rows = rows.withColumn("bits", bits)
     return rows.select(
         name("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.lit(date).alias("date"),
-        F.concat(F.lit("sha1:"), *letters).alias("payload_digest"), F.when(revisit, name("first")).alias("refers_to"), "payload_length", F.when(~revisit, F.col("payload")).alias("payload"),
+        F.concat(F.lit("sha1:"), "base32").alias("payload_digest"), F.when(revisit, name("first")).alias("refers_to"), "payload_length", F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
