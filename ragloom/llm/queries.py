@@ -99,3 +99,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits).select(
         warc.page_id("record_id").cast(kind).alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", warc.page_id("refers_to").cast(kind).alias("refers_to")
     )
+
+
+@query
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
