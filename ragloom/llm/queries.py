@@ -106,3 +106,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import neighbours
 
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import joined
+
+    return joined(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
