@@ -31,12 +31,12 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .prefix import written
-from .textbytes import GOLD, SLICE_BYTES, Bytes, mix, q, slices, windows
+from .textbytes import GOLD, SLICE_BYTES, Bytes, fresh, mix, q, slices, windows
 from .tokens import spread
 
 WIDTH, PERCENT = 5, 75
@@ -345,3 +345,17 @@ def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col:
     roots = written(components(links.select("a", "b").unionByName(several), kind), "components")
     out = members.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")), links.dropDuplicates(["a", "b"])
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked documents, that with the smallest id, with the same columns; of
+    repeated ids the row that sorts first. Rows without an id stay."""
+    rows, _ = joined(docs, percent, id_col=id_col, text_col=text_col)
+    rows = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("doc_id = component_id").select("doc_id", "n"), "kept")
+    named = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
+    once = only(named, rows.where("n = 1").select("doc_id"))
+    (place,) = fresh(named, "place")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(q(c)) for c in named.columns]), F.col(q(text_col)))
+    first = only(named, rows.where("n > 1").select("doc_id")).withColumn(place, F.row_number().over(order)).where(F.col(q(place)) == 1).drop(place)
+    out = once.unionByName(first).unionByName(named.where(F.col("doc_id").isNull()))
+    return out.select(*[(F.col("doc_id") if c == id_col else F.col(q(c))).alias(c) for c in docs.columns])
