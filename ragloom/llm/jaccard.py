@@ -104,8 +104,8 @@ def counters(docs: DataFrame) -> np.ndarray:
 
 
 def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (equal for equal sets), first (packed hashes of the shingles that
-    must be looked at), groups (packed counts)."""
+    """doc_id, n_shingles, k1, k2 (equal for equal sets), name (64 bits of these), first (packed hashes of
+    the shingles that must be looked at), groups (packed counts)."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = common.value
         for batch in batches:
@@ -124,94 +124,79 @@ def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(take)])
                 packed = lambda x, at: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())  # noqa: B023, E731
                 groups = packed(counts.astype("<u4"), np.arange(len(n) + 1) * GROUPS * 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), packed(first, at * 8), groups], names=["doc_id", "n_shingles", "k1", "k2", "first", "groups"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(mix(mix(k1 + n.astype(np.uint64)) + k2).view(np.int64)), packed(first, at * 8), groups], names=["doc_id", "n_shingles", "k1", "k2", "name", "first", "groups"])
 
-    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, k1 long, k2 long, first binary, groups binary")
+    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, k1 long, k2 long, name long, first binary, groups binary")
 
 
 def heavy_of(h: np.ndarray, common, heavy: int) -> np.ndarray:
     return common.value[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)] >= heavy
 
 
-def cells(classes: DataFrame, kind: str, common, heavy: int) -> DataFrame:
-    """cell, doc_id: the different groups of several classes that share one of their first shingles.
+def cells(rows: DataFrame, common, heavy: int) -> DataFrame:
+    """cell, name: the different groups of several classes that share one of their first shingles.
 
     Shingles are dealt to buckets by their hash, as packed arrays, and a bucket's task sorts them and names
-    cells by their classes. The counters bound how many classes a shingle can have; one that may have
-    `heavy` or more is not gathered: its cell is named by the shingle and stays rows of a table."""
-    total = classes.agg(F.sum(F.octet_length("first")).alias("n")).first().n or 0
-    buckets = max(1, ceil(total / 8 / BUCKET_POSTINGS), classes.sparkSession.sparkContext.defaultParallelism)
-    to_ids = pa.int64() if kind == "bigint" else None
+    cells by their classes. A task deals out a class once for each of its batches, however many copies it
+    has. The counters bound how many classes a shingle can have; one that may have `heavy` or more is not
+    gathered: its cell is named by the shingle and stays rows of a table."""
+    total = rows.agg(F.sum(F.octet_length("first")).alias("n")).first().n or 0
+    buckets = max(1, ceil(total / 8 / BUCKET_POSTINGS), rows.sparkSession.sparkContext.defaultParallelism)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch], lightly: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                some = batch.slice(a, 4096)
-                raw = some.column(1).to_pylist()
+            names, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            for a in range(0, len(at), 4096):
+                raw = batch.column(1).take(pa.array(at[a : a + 4096])).to_pylist()
                 h = np.frombuffer(b"".join(raw), "<u8")
-                row = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) // 8 for r in raw])
-                light = ~heavy_of(h, common, heavy)
-                h, row = h[light], row[light]
-                # the high half chooses the bucket; the low half and the bucket tell shingles apart
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                ids = some.column(0).to_numpy(zero_copy_only=False)
-                for k in np.flatnonzero(np.diff(edge)):
-                    at = order[edge[k] : edge[k + 1]]
-                    own, of = np.unique(row[at], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([h[at].astype("<u8").tobytes()], pa.binary()), pa.array([of.astype("<i4").tobytes()], pa.binary()), pa.array([ids[own].tolist()])], names=["bucket", "h", "row", "ids"])
+                row = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
+                some = heavy_of(h, common, heavy) != lightly
+                yield names[a : a + 4096], h[some], row[some]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, h, row in unpacked(batches, True):
+            # the high half chooses the bucket, and the low half tells its shingles apart: two that
+            # share it give a pair more to verify
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edge)):
+                at = order[edge[k] : edge[k + 1]]
+                own, of = np.unique(row[at], return_inverse=True)
+                packed = [h[at].astype("<u4").tobytes(), of.astype("<u2").tobytes(), names[own].astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)]), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "h", "row", "names"])
 
     def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, row, ids, n = [], [], [], 0
+        h, row, names, n = [], [], [], 0
         for batch in batches:
             for r in range(batch.num_rows):
-                h.append(np.frombuffer(batch.column("h")[r].as_buffer(), "<u8"))
-                row.append(np.frombuffer(batch.column("row")[r].as_buffer(), "<i4").astype(np.int64) + n)
-                ids.append(batch.column("ids")[r].values.to_numpy(zero_copy_only=False))
-                n += len(ids[-1])
-        h, row, ids = np.concatenate(h), np.concatenate(row), np.concatenate(ids)
-        ids, same = np.unique(ids, return_inverse=True)
-        row = same[row]
+                h.append(np.frombuffer(batch.column("h")[r].as_buffer(), "<u4"))
+                row.append(np.frombuffer(batch.column("row")[r].as_buffer(), "<u2").astype(np.int64) + n)
+                names.append(np.frombuffer(batch.column("names")[r].as_buffer(), "<i8"))
+                n += len(names[-1])
+        names, same = np.unique(np.concatenate(names), return_inverse=True)
+        h, row = np.concatenate(h), same[np.concatenate(row)]
         order = np.lexsort((row, h))
         h, row = h[order], row[order]
+        once = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+        h, row = h[once], row[once]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(at, len(h)))
-        many = size > 1
-        at, size = at[many], size[many]
+        at, size = at[size > 1], size[size > 1]
         if not len(at):
             return
         # a cell is named by its classes, so equal cells of all buckets have one name
-        names = np.array([hash_of(x) for x in ids], np.uint64)
-        member = spread(at, size)
-        edge = np.cumsum(size) - size
-        name = mix(np.add.reduceat(mix(names[row[member]]), edge) + size.astype(np.uint64) * GOLD)
-        _, one = np.unique(name, return_index=True)
-        member = spread(at[one], size[one])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[one], size[one]).view(np.int64)), pa.array(ids[row[member]], to_ids)], names=["cell", "doc_id"])
+        cell = mix(np.add.reduceat(mix(names.view(np.uint64)[row[spread(at, size)]]), np.cumsum(size) - size) + size.astype(np.uint64) * GOLD)
+        _, one = np.unique(cell, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cell[one], size[one]).view(np.int64)), pa.array(names[row[spread(at[one], size[one])]])], names=["cell", "name"])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                some = batch.slice(a, 4096)
-                raw = some.column(1).to_pylist()
-                h = np.frombuffer(b"".join(raw), "<u8")
-                at = np.flatnonzero(heavy_of(h, common, heavy))
-                row = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])[at]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(h[at] + GOLD).view(np.int64)), some.column(0).take(pa.array(row))], names=["cell", "doc_id"])
-
-    named = classes.select("doc_id", "first").mapInArrow(apart, f"cell long, doc_id {kind}")
-    dealt = classes.select("doc_id", "first").mapInArrow(deal, f"bucket long, h binary, row binary, ids array<{kind}>")
-    return dealt.groupBy("bucket").applyInArrow(gather, f"cell long, doc_id {kind}").distinct().unionByName(named)
-
-
-def hash_of(x) -> int:
-    """64 bits of an id, whatever its kind."""
-    if isinstance(x, (int, np.integer)):
-        return int(x) & (1 << 64) - 1
-    from hashlib import blake2b
+        for names, h, row in unpacked(batches, False):
+            yield pa.RecordBatch.from_arrays([pa.array(mix(h + GOLD).view(np.int64)), pa.array(names[row])], names=["cell", "name"])
 
-    return int.from_bytes(blake2b(repr(x).encode(), digest_size=8).digest(), "little")
+    first = rows.select("name", "first")
+    dealt = first.mapInArrow(deal, "bucket long, h binary, row binary, names binary").groupBy("bucket").applyInArrow(gather, "cell long, name long")
+    return dealt.unionByName(first.mapInArrow(apart, "cell long, name long")).distinct()
 
 
 class RTree:
@@ -256,7 +241,10 @@ def candidates(rooted: DataFrame, points: DataFrame, kind: str, percent: int) ->
     mixed = by_root.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("most")).where("top < n")
     mixed = written(mixed.select("cell", "most", F.ceil(F.col("n") / POINTS).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top")) / POINTS).cast("int").alias("blocks")), "mixed")
     members = written(rooted.join(mixed, "cell"), "mixed")
-    members = members.join(points, "doc_id")
+    ids = written(members.select("doc_id").distinct(), "ids")
+    # an id with several texts has a point for each
+    points = only(points.select("doc_id", "n_shingles", "groups"), ids).dropDuplicates()
+    members = members.join(written(points, "points"), "doc_id")
     index = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     probes = members.where("root <> most").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), "blocks").cast("int")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
     names = ["doc_id", "root", "n_shingles", "groups"]
@@ -327,11 +315,9 @@ def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col:
     rows = written(sets(docs, kind, percent, common), "sets")
     keys = ["n_shingles", "k1", "k2"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    held = written(full.groupBy(*keys).agg(F.min("doc_id").alias("class_id")), "held")
-    members = written(rows.select("doc_id", *keys).join(held, keys, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
-    classes = full.join(held, keys).where("doc_id = class_id").drop("class_id").dropDuplicates([*keys, "doc_id"])
-    classes = written(classes.select("doc_id", "n_shingles", "first", "groups"), "classes")
-    cell = written(cells(classes, kind, common, heavy), "cells")
+    held = written(full.groupBy(*keys, "name").agg(F.min("doc_id").alias("class_id")), "held")
+    members = written(rows.select("doc_id", *keys).join(held.drop("name"), keys, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
+    cell = written(cells(full, common, heavy).join(held.select("name", F.col("class_id").alias("doc_id")), "name").select("cell", "doc_id"), "cells")
     hub = written(cell.groupBy("cell").agg(F.min("doc_id").alias("a")), "hubs")
     star = written(cell.join(hub, "cell").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "star")
     links = written(verified(star, docs, kind, percent), "links")
@@ -340,7 +326,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col:
     several = written(several.join(members.select("doc_id", F.col("class_id").alias("b")), "doc_id").select("a", "b"), "several")
     roots = components(links.select("a", "b").unionByName(several), kind)
     rooted = written(cell.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
-    more = written(candidates(rooted, classes.select("doc_id", "n_shingles", "groups"), kind, percent).join(star, ["a", "b"], "left_anti"), "pairs")
+    more = written(candidates(rooted, rows, kind, percent).join(star, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(written(verified(more, docs, kind, percent), "links"))
     roots = written(components(links.select("a", "b").unionByName(several), kind), "components")
     out = members.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
