@@ -4,18 +4,20 @@ A text's set holds its different runs of five words, lower-cased; a text of fewe
 its one shingle, and one without words has no set and no link. Two texts link if their sets' similarity is
 at least the threshold.
 
-1. Sets. Equal sets are one class, held by its smallest id. Shingles are ordered by an estimate of how many texts have
-   them, rare ones first, from an array of counters of fixed size. Two sets that link share one of the
+1. Sets. Equal sets are one class, held by its smallest id. Shingles are ordered so that those few texts have
+   come first: those that an array of counters of fixed size shows to be common last, else the
+   longest first, as chance seldom repeats these. Two sets that link share one of the
    first n - ceil(threshold * n) + 1 shingles of either.
 2. Cells. The classes that have a shingle among these first ones make up its cell; cells of one class go.
    Cells of the same classes are one cell.
-3. Links between the first class of a cell and the others are verified, and the components found. That
-   joins a family of copies by as many pairs as it has members.
-4. In the cells that still hold several components, each class is a point: shingles are hashed into
-   groups, and the point has the number of its shingles in each group. An R-tree over the points bounds the
-   overlap with a box by the sum, over the groups, of the smaller of the point's count and the box's greatest, and so
-   finds the pairs of different components whose overlap may suffice. These are verified on the texts, and
-   the components found again. So no link between different texts is lost, and no pairs are
+3. Each class in a cell is a point: shingles are hashed into groups, and the point has the number of
+   its shingles in each group. The overlap of two is at most the sum, over the groups, of the smaller count; sets
+   of more than 256 shingles have a second point with more groups, for pairs that the first lets through. Of the
+   pairs of a cell's first class with the others, those whose bound suffices are verified on the texts, and the
+   components found. That joins a family of copies by as many pairs as it has members.
+4. In the cells that still hold several components, an R-tree over the points bounds the overlap with a
+   box by the sum of the smaller of the point's count and the box's greatest, and so finds the pairs of different
+   components whose overlap may suffice. These are verified, and the components found again. So no link between different texts is lost, and no pairs are
    made within a component.
 
 Verified pairs carry the similarity. Null and empty texts get n_shingles 0 and are components of
@@ -40,21 +42,23 @@ from .textbytes import GOLD, SLICE_BYTES, Bytes, fresh, mix, q, slices, windows
 from .tokens import spread
 
 WIDTH, PERCENT = 5, 75
-COUNTERS = 20  # bits: 4 MB of counters
+COUNTERS = 21  # bits: two million counters
 GROUPS = 256
 LEAF = 16
 BUCKET_POSTINGS = 1 << 19
-HEAVY = 1 << 17  # texts, by estimate; the cells of such shingles are never gathered
+HEAVY = 1 << 15  # texts, by estimate; the cells of such shingles are never gathered
 POINTS = 4096
 SMALL_BYTES = 32 << 20
 
 
-def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, texts) of the different shingles of each text, by text."""
+def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, texts, bytes in words) of the different shingles of each text, by text."""
     b = Bytes(data, off, lower=True)
     words, docs = b.words(), b.word_doc
     h, at = windows(words, docs, width)
     of = docs[at]
+    size = np.concatenate([[0], np.cumsum(b.ends - b.starts)])
+    length = size[at + width] - size[at]
     n = b.per_doc(docs)
     few = np.flatnonzero((n > 0) & (n < width))
     if len(few):
@@ -63,12 +67,12 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.
         for k in range(width - 1):
             on = n[few] > k
             whole[on] = mix(whole[on] + words[first[on] + k])
-        h, of = np.concatenate([h, mix(whole)]), np.concatenate([of, few])
+        h, of, length = np.concatenate([h, mix(whole)]), np.concatenate([of, few]), np.concatenate([length, size[first + n[few].astype(np.int64)] - size[first]])
     order = np.lexsort((h, of))
-    h, of = h[order], of[order]
+    h, of, length = h[order], of[order], length[order]
     once = np.ones(len(h), bool)
     once[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return h[once], of[once]
+    return h[once], of[once], length[once]
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -84,16 +88,16 @@ def counters(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << COUNTERS, np.int64)
         for batch in batches:
             for _, data, off in slices(batch.column(0)):
-                h, _ = shingles(data, off)
+                h, _, _ = shingles(data, off)
                 total += np.bincount((h >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(total))
         for k in range(0, len(total), block):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + block].astype("<i8").tobytes()], pa.binary())], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.minimum(total[k : k + block], 65535).astype("<u2").tobytes()], pa.binary())], names=["k", "n"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(block, np.int64)
         for batch in batches:
             for n in batch.column("n"):
-                total += np.frombuffer(n.as_buffer(), "<i8")
+                total += np.frombuffer(n.as_buffer(), "<u2")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["k", "n"])
 
     got = docs.select("text").mapInArrow(tally, "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").toArrow()
@@ -103,43 +107,70 @@ def counters(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def fine_groups(h: np.ndarray) -> bytes:
+    """Counts in eight times as many groups, and eight times as many again, until there are half as many
+    as shingles; one or four bytes each."""
+    n = GROUPS * 8
+    while n * 2 < len(h) and n < GROUPS * 512:
+        n *= 8
+    counts = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def fine_overlap(a: bytes, b: bytes) -> int:
+    """What two sets can have in common at most; the groups of the finer counts are joined."""
+    x, y = (np.frombuffer(v, "<u1" if len(v) in (GROUPS * 8, GROUPS * 64, GROUPS * 512) else "<u4").astype(np.int64) for v in (a, b))
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum())
+
+
+def levels(counts: np.ndarray, heavy: int) -> np.ndarray:
+    """By bucket, 0 for counts that chance explains and more for each doubling beyond; 255 for `heavy` or more."""
+    mean = counts.mean()
+    beyond = np.maximum(counts - mean, 1) / (3 * np.sqrt(mean) + 2)
+    return np.where(counts >= heavy, 255, np.clip(np.ceil(np.log2(beyond)), 0, 254)).astype(np.uint8)
+
+
 def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (equal for equal sets), name (64 bits of these), first (packed hashes of
-    the shingles that must be looked at), groups (packed counts)."""
+    the shingles that must be looked at), groups (packed counts), fine (counts in as many groups as the set's size asks for)."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = common.value
         for batch in batches:
             for a, data, off in slices(batch.column(1), 1 << 20):
-                h, of = shingles(data, off)
+                h, of, length = shingles(data, off)
                 n = np.bincount(of, minlength=len(off) - 1)
                 start = np.cumsum(n) - n
                 full = np.flatnonzero(n)
                 k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 if len(full):
                     k1[full], k2[full] = np.add.reduceat(mix(h), start[full]), np.add.reduceat(mix(h ^ GOLD), start[full])
-                order = np.lexsort((h, seen[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)], of))
+                level = seen[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+                order = np.lexsort((h, -length, level, of))
                 take = needed(n, percent)
                 first = h[order][spread(start, take)]
                 counts = np.bincount(of * GROUPS + (h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS)
                 at = np.concatenate([[0], np.cumsum(take)])
                 packed = lambda x, at: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())  # noqa: B023, E731
-                groups = packed(counts.astype("<u4"), np.arange(len(n) + 1) * GROUPS * 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(mix(mix(k1 + n.astype(np.uint64)) + k2).view(np.int64)), packed(first, at * 8), groups], names=["doc_id", "n_shingles", "k1", "k2", "name", "first", "groups"])
+                width = 1 if len(counts) and counts.max() < 256 else 4
+                groups = packed(counts.astype(f"<u{width}"), np.arange(len(n) + 1) * GROUPS * width)
+                fine = pa.array([fine_groups(h[i : i + m]) if m > GROUPS else None for i, m in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(mix(mix(k1 + n.astype(np.uint64)) + k2).view(np.int64)), packed(first, at * 8), groups, fine], names=["doc_id", "n_shingles", "k1", "k2", "name", "first", "groups", "fine"])
 
-    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, k1 long, k2 long, name long, first binary, groups binary")
+    return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, k1 long, k2 long, name long, first binary, groups binary, fine binary")
 
 
-def heavy_of(h: np.ndarray, common, heavy: int) -> np.ndarray:
-    return common.value[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)] >= heavy
+def heavy_of(h: np.ndarray, common) -> np.ndarray:
+    return common.value[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)] == 255
 
 
-def cells(rows: DataFrame, common, heavy: int) -> DataFrame:
+def cells(rows: DataFrame, common) -> DataFrame:
     """cell, name: the different groups of several classes that share one of their first shingles.
 
     Shingles are dealt to buckets by their hash, as packed arrays, and a bucket's task sorts them and names
     cells by their classes. A task deals out a class once for each of its batches, however many copies it
-    has. The counters bound how many classes a shingle can have; one that may have `heavy` or more is not
-    gathered: its cell is named by the shingle and stays rows of a table."""
+    has. The counters bound how many classes a shingle can have; one that may be heavy is not gathered: its
+    cell is named by the shingle and stays rows of a table."""
     total = rows.agg(F.sum(F.octet_length("first")).alias("n")).first().n or 0
     buckets = max(1, ceil(total / 8 / BUCKET_POSTINGS), rows.sparkSession.sparkContext.defaultParallelism)
 
@@ -150,7 +181,7 @@ def cells(rows: DataFrame, common, heavy: int) -> DataFrame:
                 raw = batch.column(1).take(pa.array(at[a : a + 4096])).to_pylist()
                 h = np.frombuffer(b"".join(raw), "<u8")
                 row = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
-                some = heavy_of(h, common, heavy) != lightly
+                some = heavy_of(h, common) != lightly
                 yield names[a : a + 4096], h[some], row[some]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +230,16 @@ def cells(rows: DataFrame, common, heavy: int) -> DataFrame:
     return dealt.unionByName(first.mapInArrow(apart, "cell long, name long")).distinct()
 
 
+def unpacked_groups(rows: list[bytes]) -> np.ndarray:
+    """Counts of one or four bytes each, as a matrix."""
+    out = np.zeros((len(rows), GROUPS), np.uint32)
+    narrow = np.array([len(r) == GROUPS for r in rows], bool)
+    for some, width in ((narrow, 1), (~narrow, 4)):
+        if some.any():
+            out[some] = np.frombuffer(b"".join([r for r, x in zip(rows, some, strict=True) if x]), f"<u{width}").reshape(-1, GROUPS)
+    return out
+
+
 class RTree:
     """Points of group counts in boxes of boxes, each with its greatest counts and least size."""
 
@@ -235,22 +276,18 @@ def candidates(rooted: DataFrame, points: DataFrame, kind: str, percent: int) ->
     """a, b for the pairs of different components in each cell (cell, doc_id, root) that the
     R-tree leaves. points: doc_id, n_shingles, groups.
 
-    Of two components one isn't the cell's largest, so the classes of the others are the probes. A cell's
+    The one pair of a cell of two has been looked at before. Of two components one isn't the cell's largest, so the classes of the others are the probes. A cell's
     points are indexed in parts of about POINTS classes, and its probes go to every part in blocks of that size."""
     by_root = rooted.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("most")).where("top < n")
+    mixed = by_root.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("most")).where("top < n and n > 2")
     mixed = written(mixed.select("cell", "most", F.ceil(F.col("n") / POINTS).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top")) / POINTS).cast("int").alias("blocks")), "mixed")
-    members = written(rooted.join(mixed, "cell"), "mixed")
-    ids = written(members.select("doc_id").distinct(), "ids")
-    # an id with several texts has a point for each
-    points = only(points.select("doc_id", "n_shingles", "groups"), ids).dropDuplicates()
-    members = members.join(written(points, "points"), "doc_id")
+    members = rooted.join(mixed, "cell").join(points, "doc_id")
     index = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     probes = members.where("root <> most").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), "blocks").cast("int")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
     names = ["doc_id", "root", "n_shingles", "groups"]
 
     def unpacked(table: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray]:
-        return *(table[c].to_pylist() for c in ("doc_id", "root")), table["n_shingles"].to_numpy(), np.frombuffer(b"".join(table["groups"].to_pylist()), "<u4").reshape(table.num_rows, GROUPS)
+        return *(table[c].to_pylist() for c in ("doc_id", "root")), table["n_shingles"].to_numpy(), unpacked_groups(table["groups"].to_pylist())
 
     def probe(points: pa.Table, probes: pa.Table) -> pa.Table:
         a, b = [], []
@@ -269,6 +306,43 @@ def candidates(rooted: DataFrame, points: DataFrame, kind: str, percent: int) ->
     return points.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(probe, f"a {kind}, b {kind}").distinct()
 
 
+def possible(pairs: DataFrame, points: DataFrame, kind: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points' overlap may suffice."""
+    sides = [points.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("groups").alias(f"groups_{k}")) for k in "ab"]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, POINTS):
+                some = batch.slice(i, POINTS)
+                x, y = (unpacked_groups(some.column(c).to_pylist()) for c in ("groups_a", "groups_b"))
+                n, m = (some.column(c).to_numpy() for c in ("n_a", "n_b"))
+                at = pa.array(np.flatnonzero(RTree._may(np.minimum(x, y).sum(1, dtype=np.int64), n, m, m, percent)))
+                yield pa.RecordBatch.from_arrays([some.column("a").take(at), some.column("b").take(at)], names=["a", "b"])
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(bound, f"a {kind}, b {kind}").distinct()
+
+
+def finer(pairs: DataFrame, rows: DataFrame, kind: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap may suffice by the finer counts too. An id with several texts
+    has each of them compared."""
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    points = written(only(rows.select("doc_id", "n_shingles", "fine"), ids).dropDuplicates(), "fine")
+    sides = [points.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("fine").alias(f"fine_{k}")) for k in "ab"]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            keep = [
+                i for i in range(batch.num_rows)
+                if not (batch.column("fine_a")[i].is_valid and batch.column("fine_b")[i].is_valid)
+                or RTree._may(fine_overlap(batch.column("fine_a")[i].as_py(), batch.column("fine_b")[i].as_py()), n[i], m[i], m[i], percent)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in "ab"], names=["a", "b"])
+
+    return written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(bound, f"a {kind}, b {kind}").distinct(), "pairs")
+
+
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose ids are in the table of different ids: by a broadcast if that has
     at most SMALL_BYTES, by a shuffle if it has more."""
@@ -292,7 +366,7 @@ def verified(pairs: DataFrame, docs: DataFrame, kind: str, percent: int) -> Data
             while i < n:
                 j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right")))
                 for _, data, off in slices(texts.slice(2 * i, 2 * (j - i)), 1 << 62):
-                    h, of = shingles(data, off)
+                    h, of, length = shingles(data, off)
                     pair = of // 2
                     total = np.bincount(pair, minlength=j - i)
                     order = np.lexsort((h, pair))
@@ -311,22 +385,24 @@ def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col:
     between classes that were verified)."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(q(id_col)).alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(np.minimum(counters(docs), (1 << 31) - 1).astype(np.int32))  # 4 MB
+    common = docs.sparkSession.sparkContext.broadcast(levels(counters(docs), heavy))  # 2 MB
     rows = written(sets(docs, kind, percent, common), "sets")
     keys = ["n_shingles", "k1", "k2"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
     held = written(full.groupBy(*keys, "name").agg(F.min("doc_id").alias("class_id")), "held")
     members = written(rows.select("doc_id", *keys).join(held.drop("name"), keys, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
-    cell = written(cells(full, common, heavy).join(held.select("name", F.col("class_id").alias("doc_id")), "name").select("cell", "doc_id"), "cells")
+    cell = written(cells(full, common).join(held.select("name", F.col("class_id").alias("doc_id")), "name").select("cell", "doc_id"), "cells")
     hub = written(cell.groupBy("cell").agg(F.min("doc_id").alias("a")), "hubs")
     star = written(cell.join(hub, "cell").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "star")
-    links = written(verified(star, docs, kind, percent), "links")
+    # an id with several texts has a point for each
+    points = written(only(full.select("doc_id", "n_shingles", "groups"), written(cell.select("doc_id").distinct(), "ids")).dropDuplicates(), "points")
+    links = written(verified(finer(possible(star, points, kind, percent), full, kind, percent), docs, kind, percent), "links")
     # an id with several texts is in several classes, and links them
     several = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id", "a")
     several = written(several.join(members.select("doc_id", F.col("class_id").alias("b")), "doc_id").select("a", "b"), "several")
     roots = components(links.select("a", "b").unionByName(several), kind)
     rooted = written(cell.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
-    more = written(candidates(rooted, rows, kind, percent).join(star, ["a", "b"], "left_anti"), "pairs")
+    more = finer(written(candidates(rooted, points, kind, percent), "pairs").join(star, ["a", "b"], "left_anti"), full, kind, percent)
     links = links.unionByName(written(verified(more, docs, kind, percent), "links"))
     roots = written(components(links.select("a", "b").unionByName(several), kind), "components")
     out = members.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
