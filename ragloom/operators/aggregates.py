@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import hours_between
 from .joins import annotate_categories
 from .predicates import CRITICAL, HEALTHY, UNKNOWN, WARNING, as_of_col, cutoff, filter_recent
-from .windows import last_n_per_key
 
 
 # ------------------------------------------------------------------------------ A1
@@ -116,16 +115,13 @@ def latest_metric_values(samples: DataFrame, name_col: str = "name", ts_col: str
 
 # ------------------------------------------------------------------------------ A10
 def metric_window_stats(samples: DataFrame, registry: DataFrame, minutes: int = 5, as_of=None,
-                        history: int | None = 1000, name_col: str = "name") -> DataFrame:
-    """A10: per registered metric, count/min/max/avg/sum of the samples with ts >= as_of - minutes,
-    taken from at most the newest ``history`` samples; no samples -> count 0, sum 0, others null.
+                        name_col: str = "name") -> DataFrame:
+    """A10: per registered metric, count/min/max/avg/sum of all samples with ts >= as_of - minutes;
+    no samples -> count 0, sum 0, others null.
 
-    The time filter runs first (it reaches the scan); keeping the newest ``history`` of
-    what passes equals filtering the newest ``history`` because the window is a suffix
-    in time. Names missing from the registry get ``error`` = 'Metric … not found'."""
+    The time filter runs first (it reaches the scan); every aggregate has a map-side phase.
+    Names missing from the registry get ``error`` = 'Metric … not found'."""
     recent = samples.filter(F.col("ts") >= cutoff(as_of, minutes, "minutes"))
-    if history is not None:
-        recent = last_n_per_key(recent, history, name_col)
     stats = recent.groupBy(name_col).agg(
         F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.avg("value").alias("avg"), F.sum("value").alias("sum"))
@@ -151,24 +147,13 @@ def _perf_aggs():
             F.avg("cpu_percent").alias("avg_cpu"), F.max("cpu_percent").alias("max_cpu")]
 
 
-def performance_summary(ops: DataFrame, history: int | None = None, overall_history: int | None = None,
-                        component_col: str = "component", ts_col: str = "ts", seq_col: str = "seq") -> DataFrame:
-    """Overall and per-component summary: n, avg/max/min duration, avg/max memory delta
-    (after - before), avg/max cpu; ``level`` is 'overall' or 'component'.
-
-    Without caps both levels come from one pass (grouping sets). With the bounded histories
-    of the in-process monitor, the newest ``history`` records per component (a group limit)
-    and the newest ``overall_history`` records overall (a distributed top-k) are summarised."""
-    if history is None and overall_history is None:
-        g = ops.groupingSets([[component_col], []], component_col).agg(*_perf_aggs(), F.grouping_id().alias("__gid"))
-        return (g.withColumn("level", F.when(F.col("__gid") == 0, F.lit("component")).otherwise(F.lit("overall")))
-                 .drop("__gid"))
-    per = last_n_per_key(ops, history, component_col, ts_col, seq_col) if history is not None else ops
-    allr = (ops.orderBy(F.col(ts_col).desc(), F.col(seq_col).desc()).limit(overall_history)
-            if overall_history is not None else ops)
-    comp = per.groupBy(component_col).agg(*_perf_aggs()).withColumn("level", F.lit("component"))
-    over = allr.agg(*_perf_aggs()).withColumn(component_col, F.lit(None).cast("string")).withColumn("level", F.lit("overall"))
-    return comp.unionByName(over)
+def performance_summary(ops: DataFrame, component_col: str = "component") -> DataFrame:
+    """Overall and per-component summary of all records: n, avg/max/min duration, avg/max memory
+    delta (after - before), avg/max cpu; ``level`` is 'overall' or 'component'. Both levels come
+    from one pass (grouping sets)."""
+    g = ops.groupingSets([[component_col], []], component_col).agg(*_perf_aggs(), F.grouping_id().alias("__gid"))
+    return (g.withColumn("level", F.when(F.col("__gid") == 0, F.lit("component")).otherwise(F.lit("overall")))
+             .drop("__gid"))
 
 
 # ------------------------------------------------------------------------------ A12

@@ -21,18 +21,26 @@ def first_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
 
 
 def insert_unique(target: DataFrame, new: DataFrame, key: str, order_col: str | None = None):
-    """Rows of ``new`` whose key is neither in ``target`` nor repeated earlier in ``new``.
-
-    Returns ``(to_insert, rejected)``; ``rejected`` carries a ``reason`` column
-    ('exists' or 'duplicate')."""
-    order_col = order_col or key
-    firsts = first_per_key(new, key, order_col)
-    existing = target.select(key).distinct()
-    to_insert = firsts.join(existing, key, "left_anti").select(*new.columns)
-    dup_in_batch = new.join(firsts.select(key, F.col(order_col).alias("__first")), key, "inner") \
-        .filter(F.col(order_col) != F.col("__first")).drop("__first").withColumn("reason", F.lit("duplicate"))
-    exists = firsts.join(existing, key, "left_semi").select(*new.columns).withColumn("reason", F.lit("exists"))
-    return to_insert, exists.unionByName(dup_in_batch)
+    """Of the rows of ``new`` whose key is not in ``target``, the first of each key by
+    ``order_col``; ties, and rows without an order column, go by all columns in their order.
+
+    Returns ``(to_insert, rejected)``; ``rejected`` carries a ``reason`` column ('exists' or
+    'duplicate') and every other row of ``new``, as often as it is there. Equal rows are counted with a
+    map-side phase, so a hot key is reduced before the shuffle. A null key exists nowhere."""
+    cols = new.columns
+    row = F.struct(*[F.col(c) for c in cols])
+    counted = new.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    order = F.struct(F.col(order_col or cols[0]), row)
+    firsts = counted.groupBy(F.col(key).alias("__key")).agg(F.min(order)["col2"].alias("__first"))
+    existing = target.select(F.col(key).alias("__there")).distinct()
+    named = firsts.select("__key", F.col("__first"))
+    to_insert = named.join(existing, F.col("__key") == F.col("__there"), "left_anti").select("__first.*")
+    exists = named.join(existing, F.col("__key") == F.col("__there"), "left_semi").select("__first.*") \
+        .withColumn("reason", F.lit("exists"))
+    others = counted.join(firsts, F.col(key).eqNullSafe(F.col("__key"))) \
+        .withColumn("__n", F.col("__n") - F.when(row.eqNullSafe(F.col("__first")), 1).otherwise(0)).filter("__n > 0") \
+        .withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    return to_insert, exists.unionByName(others.select(*cols).withColumn("reason", F.lit("duplicate")))
 
 
 def delete_by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

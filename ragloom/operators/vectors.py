@@ -133,6 +133,8 @@ def cosine_topk(corpus: DataFrame, query, k: int = 5, threshold: float = 0.0,
         df, q = bind_query(df, query if query_is_unit else unit_query(corpus.sparkSession, query))
         score = dot(F.col(vector_col), q) if corpus_is_unit else cosine_to_unit(F.col(vector_col), q)
     scored = df.withColumn(score_col, score)
+    # a vector of another size, or with a null or NaN component, has no score and is no hit
+    scored = scored.filter(F.col(score_col).isNotNull() & ~F.isnan(score_col))
     if threshold > 0:
         scored = scored.filter(F.col(score_col) >= threshold)
     return scored.orderBy(F.col(score_col).desc(), F.col(id_col).asc()).limit(k).drop("__q")
@@ -161,7 +163,7 @@ def l2_topk(corpus: DataFrame, query, k: int = 5, vector_col: str = "embedding",
     corpus, q = bind_query(corpus, query)
     d = squared_l2(F.col(vector_col), q)
     return (corpus.withColumn("distance", d)
-            .filter(F.col("distance").isNotNull())
+            .filter(F.col("distance").isNotNull() & ~F.isnan("distance"))
             .withColumn("similarity_score", 1.0 / (1.0 + F.col("distance")))
             .orderBy(F.col("distance").asc(), F.col(id_col).asc())
             .limit(k).drop("__q"))
@@ -255,6 +257,11 @@ def block_topk_schema(query_id: str, id_col: str) -> T.StructType:
                          T.StructField("score", T.DoubleType())])
 
 
+def _scorable(col: str) -> Column:
+    bad = F.exists(F.col(col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (F.size(col) > 0) & ~F.coalesce(bad, F.lit(True))
+
+
 def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "cosine",
                threshold: float | None = None, query_id: str = "qid", query_vec: str = "query_vector",
                id_col: str = "id", vector_col: str = "embedding",
@@ -265,7 +272,9 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     inner product, or for ``metric="l2"`` the squared L2 distance (smaller is better).
     ``threshold`` keeps cosine/dot scores >= threshold, or l2 distances <= threshold.
 
-    Plan: if the query side is provably small (row count x dimension x 8 bytes under
+    Each query is scored against the corpus vectors of its own size; both sides may hold several sizes.
+
+    Plan: if the query side is provably small (its components x 8 bytes under
     ``max_broadcast_bytes``) its matrix is broadcast and every corpus task streams its
     Arrow batches through a matrix product, keeping a running top-k per query; the
     corpus is never shuffled. Otherwise both sides are hash-blocked and every
@@ -279,10 +288,10 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
                        F.col(query_vec).cast("array<double>").alias("__qv"))
     c = corpus.select(F.col(id_col).cast("long").alias("__cid"),
                       F.col(vector_col).cast("array<double>").alias("__cv"))
-    stats = q.agg(F.count("*").alias("n"), F.max(F.size("__qv")).alias("dim")).first()
-    n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
-    # queries with a missing or shorter vector cannot be scored (V7 flags them)
-    q = q.filter(F.size("__qv") == dim)
+    # vectors that are null, empty, or hold a null or non-finite component cannot be scored (V7 flags them)
+    q, c = q.filter(_scorable("__qv")), c.filter(_scorable("__cv"))
+    stats = q.agg(F.count("*").alias("n"), F.sum(F.size("__qv").cast("long")).alias("cells")).first()
+    n_q = int(stats["n"])
     floor = None
     if threshold is not None:
         floor = -float(threshold) if metric == "l2" else float(threshold)
@@ -290,10 +299,10 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
 
     if n_q == 0:
         partial = spark.createDataFrame([], schema)
-    elif n_q * max(dim, 1) * 8 <= max_broadcast_bytes:
-        partial = _broadcast_topk(q, c, k, metric, floor, dim, schema)
+    elif int(stats["cells"]) * 8 <= max_broadcast_bytes:
+        partial = _broadcast_topk(q, c, k, metric, floor, schema)
     else:
-        partial = _blocked_topk(q, c, k, metric, floor, dim, n_q, block_rows, schema)
+        partial = _blocked_topk(q, c, k, metric, floor, n_q, block_rows, schema)
 
     asc = metric == "l2"
     order = F.col("score").asc() if asc else F.col("score").desc()
@@ -306,46 +315,44 @@ def _finish_scores(metric, scores):
     return -scores if metric == "l2" else scores
 
 
-def _broadcast_topk(q, c, k, metric, floor, dim, schema):
+def _broadcast_topk(q, c, k, metric, floor, schema):
     spark = c.sparkSession
     tbl = q.toArrow()  # bounded by the size check in batch_topk
-    qids = np.asarray(tbl.column("__qid").to_pylist(), dtype=np.int64)
-    qmat = np.asarray(tbl.column("__qv").to_pylist(), dtype=np.float64).reshape(len(qids), dim)
-    bc = spark.sparkContext.broadcast((qids, qmat))
+    ids, vecs = tbl.column("__qid").to_pylist(), tbl.column("__qv").to_pylist()
+    by_size: dict[int, tuple] = {}
+    for dim in {len(v) for v in vecs}:
+        at = [i for i, v in enumerate(vecs) if len(v) == dim]
+        by_size[dim] = (np.asarray([ids[i] for i in at], dtype=np.int64), np.asarray([vecs[i] for i in at], dtype=np.float64))
+    bc = spark.sparkContext.broadcast(by_size)
 
     def score_partition(batches):
-        qids_, qmat_ = bc.value
-        best = None
+        best: dict[int, tuple] = {}
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pdf = pdf[pdf["__cv"].map(lambda v: v is not None and len(v) == dim)]
-            if len(pdf) == 0:
-                continue
-            cmat = _stack(pdf["__cv"], dim)
-            cids = pdf["__cid"].to_numpy(dtype=np.int64)
-            best = _score_chunked(cmat, cids, qmat_, metric, k, floor, best)
-        if best is not None and len(best[0]):
-            yield pd.DataFrame({"__qid": qids_[best[0]], "__cid": best[1],
-                                "score": _finish_scores(metric, best[2])})
+            for dim, part in pdf.groupby(pdf["__cv"].map(len)):
+                if dim in bc.value:
+                    best[dim] = _score_chunked(_stack(part["__cv"], dim), part["__cid"].to_numpy(dtype=np.int64),
+                                               bc.value[dim][1], metric, k, floor, best.get(dim))
+        for dim, (qi, ids_, sc) in best.items():
+            if len(qi):
+                yield pd.DataFrame({"__qid": bc.value[dim][0][qi], "__cid": ids_, "score": _finish_scores(metric, sc)})
 
     return ensure_parallelism(c).mapInPandas(score_partition, schema)
 
 
-def _blocked_topk(q, c, k, metric, floor, dim, n_q, block_rows, schema):
+def _blocked_topk(q, c, k, metric, floor, n_q, block_rows, schema):
     n_c = c.count()
     qb = max(1, math.ceil(n_q / block_rows))
     cb = max(1, math.ceil(n_c / block_rows))
+    q, c = q.withColumn("dim", F.size("__qv")), c.withColumn("dim", F.size("__cv"))
     qx = (q.withColumn("qb", F.pmod(F.xxhash64("__qid"), F.lit(qb)))
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)).cast("array<long>"))))
     cx = (c.withColumn("cb", F.pmod(F.xxhash64("__cid"), F.lit(cb)))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
 
     def score_block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        cpdf = cpdf[cpdf["__cv"].map(lambda v: v is not None and len(v) == dim)]
-        qpdf = qpdf[qpdf["__qv"].map(lambda v: v is not None and len(v) == dim)]
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({"__qid": [], "__cid": [], "score": []})
+        dim = len(qpdf["__qv"].iloc[0])
         qids = qpdf["__qid"].to_numpy(dtype=np.int64)
         qmat = _stack(qpdf["__qv"], dim)
         cmat = _stack(cpdf["__cv"], dim)
@@ -353,7 +360,7 @@ def _blocked_topk(q, c, k, metric, floor, dim, n_q, block_rows, schema):
         qi, ids, sc = _score_chunked(cmat, cids, qmat, metric, k, floor, None)
         return pd.DataFrame({"__qid": qids[qi], "__cid": ids, "score": _finish_scores(metric, sc)})
 
-    return (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
+    return (qx.groupBy("dim", "qb", "cb").cogroup(cx.groupBy("dim", "qb", "cb"))
             .applyInPandas(score_block, schema))
 
 

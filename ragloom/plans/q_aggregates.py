@@ -132,9 +132,7 @@ def a9_latest_metric_values(spark, sf):
 
 @register("a10_metric_window_stats", with_views(f""", {DEFAULT_REGISTRY_SQL},
 reg AS (SELECT name FROM registry UNION SELECT DISTINCT name FROM samples),
-recent AS (SELECT * FROM (
-   SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) AS rn FROM samples
-   WHERE ts >= (SELECT max(ts) FROM samples) - INTERVAL 1440 MINUTES) t WHERE rn <= 1000),
+recent AS (SELECT * FROM samples WHERE ts >= (SELECT max(ts) FROM samples) - INTERVAL 1440 MINUTES),
 st AS (SELECT name, count(*) AS count, min(value) AS min, max(value) AS max, avg(value) AS avg, sum(value) AS sum
        FROM recent GROUP BY name)
 SELECT r.name, coalesce(st.count, 0) AS count, st.min, st.max, round(st.avg, 6) AS avg,
@@ -143,7 +141,7 @@ FROM reg r LEFT JOIN st ON st.name = r.name""", "samples"))
 def a10_metric_window_stats(spark, sf):
     samples = A.metric_samples(spark, sf)
     reg = R.effective_registry(R.default_registry(spark), samples)
-    s = G.metric_window_stats(samples, reg, minutes=1440, as_of=latest(samples, "ts"), history=1000)
+    s = G.metric_window_stats(samples, reg, minutes=1440, as_of=latest(samples, "ts"))
     return s.select("name", "count", "min", "max", _r(F.col("avg")).alias("avg"), _r(F.col("sum")).alias("sum"),
                     "window_minutes")
 

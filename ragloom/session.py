@@ -92,18 +92,22 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     if df.isStreaming:
         return df  # micro-batches are planned per trigger
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    # from file names and the planner's size estimate alone: no job runs
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if len(df.inputFiles()) >= target or size >= target * split:
         return df
     return df.repartition(target)
 
 
 def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
-                   max_partitions: int = 100_000) -> int:
+                   max_partitions: int | None = None) -> int:
     """Size shuffles for an input of ``input_bytes``: the initial shuffle partition count is
-    input / target (at least 3 per core, at most ``max_partitions``); AQE then coalesces small
+    input / target (at least 3 per core, at most ``max_partitions`` if given); AQE then coalesces small
     partitions and splits skewed ones at run time. Returns the chosen count."""
     cores = spark.sparkContext.defaultParallelism
-    n = int(min(max(input_bytes // max(target_partition_bytes, 1), cores * 3), max_partitions))
+    n = int(max(input_bytes // max(target_partition_bytes, 1), cores * 3))
+    n = min(n, max_partitions) if max_partitions else n
     for k, v in {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),

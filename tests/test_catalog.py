@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from ragloom.plans import catalog
 from tests.conftest import SF_SMOKE
 from tests.oracle import duck, rows
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+catalog.load_all()
+QUERIES, ORACLE = dict(catalog.QUERIES), dict(catalog.ORACLE)
 
 
 def test_entry_runs(spark):
@@ -17,6 +18,10 @@ def test_entry_runs(spark):
     assert df.columns == E.entry(spark).columns
 
 
+def test_entry_module_registers_the_catalogue():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_every_query_has_an_oracle_or_is_documented_rows_only():
     rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only <= {"v8_project_vectors", "u1_embed_text", "v6_ivf_search", "x2_rag_from_text",

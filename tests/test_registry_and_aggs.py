@@ -73,16 +73,33 @@ def test_changes_cutoffs(spark):
     assert sorted(r["reason"] for r in rej.collect()) == ["duplicate", "exists"]
 
 
-def test_performance_summary_caps(spark):
+def test_performance_summary(spark):
     rows = [(i, "a" if i % 2 else "b", float(i), 0.0, float(i % 3), float(i), T0 + dt.timedelta(seconds=i))
             for i in range(10)]
     ops = spark.createDataFrame(rows, "seq long, component string, duration double, memory_before double, "
                                       "memory_after double, cpu_percent double, ts timestamp")
     full = {(r["level"], r["component"]): r for r in G.performance_summary(ops).collect()}
     assert full[("overall", None)]["n"] == 10 and full[("component", "a")]["max_duration"] == 9.0
-    capped = {(r["level"], r["component"]): r for r in G.performance_summary(ops, history=2, overall_history=3).collect()}
-    assert capped[("overall", None)]["n"] == 3 and capped[("overall", None)]["min_duration"] == 7.0
-    assert capped[("component", "b")]["n"] == 2 and capped[("component", "b")]["min_duration"] == 6.0
+    assert full[("overall", None)]["min_duration"] == 0.0 and full[("component", "b")]["n"] == 5
+
+
+def test_insert_unique_loses_no_row(spark):
+    new = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (2, "a", 5), (3, "b", 1), (4, None, 1), (5, None, 1)],
+                                "id int, path string, seq int")
+    target = spark.createDataFrame([("b",)], "path string")
+    for order in (None, "seq"):
+        ins, rej = D.insert_unique(target, new, "path", order)
+        assert sorted((r["id"], r["path"]) for r in ins.collect() if r["path"]) == [(1, "a")]
+        assert sorted((r["id"], r["reason"]) for r in rej.collect()) == [(2, "duplicate"), (2, "duplicate"), (3, "exists"), (5, "duplicate")]
+        assert ins.count() + rej.count() == new.count()
+
+
+def test_window_stats_count_every_sample(spark):
+    samples = spark.range(2500).selectExpr("'m' AS name", "cast(id AS double) AS value",
+                                           "timestamp'2024-01-01 00:00:00' AS ts", "id AS seq", "map('a', 'b') AS labels")
+    reg = spark.createDataFrame([("m",)], "name string")
+    r = G.metric_window_stats(samples, reg, 5, as_of=dt.datetime(2024, 1, 1, 0, 1)).first()
+    assert (r["count"], r["min"], r["max"]) == (2500, 0.0, 2499.0)
 
 
 def test_rules_as_data_match_fixed_rules(spark):
