@@ -146,8 +146,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "d
 
         def flush() -> pa.RecordBatch:
             doc_ids, ids = pa.concat_arrays(names), np.concatenate(flats)
+            named = doc_ids.drop_null() if doc_ids.null_count < len(doc_ids) else doc_ids
             payload = shard_bytes(ids, np.concatenate(ends), len(encoder.opens))
-            columns = [pa.array([part]), pa.array([shard]), doc_ids[:1], doc_ids[-1:], pa.array([len(ids)]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([payload], pa.binary())]
+            columns = [pa.array([part]), pa.array([shard]), named[:1], named[-1:], pa.array([len(ids)]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "first_id", "last_id", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
