@@ -159,7 +159,7 @@ def test_size_for_input(spark):
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]
     old = {k: spark.conf.get(k, None) for k in keys}
     try:
-        assert size_for_input(spark, 100 * (1 << 40)) == 100_000
+        assert size_for_input(spark, 100 * (1 << 40)) == 409_600
         assert size_for_input(spark, 1 << 20) == spark.sparkContext.defaultParallelism * 3
     finally:
         for k, v in old.items():
