@@ -10,12 +10,14 @@ The table is cut into cells by a kd-tree over the projections, its splits fitted
 the first by a hash of the id. A query is first run in its own cell; the distance found there
 rules out most other cells by the same test on their bounding boxes, and only those left are searched.
 In a cell a kd-tree of leaves of 64 vectors gives the incremental order. Cells that hold more rows than `cell_rows` are cut by a
-hash of the id, and all of their parts are searched. Of equal vectors only the k + 1 smallest
+hash of the id, and all of their parts are searched. Rows that repeat an id with the same vector are one, in the
+table and among the queries. Of equal vectors only the k + 1 smallest different
 ids are indexed, which are all that a result can hold; no other row is left out.
 
 Vectors that are null, zero, or hold a null or a non-finite component take no part, nor does a null id. Vectors are compared with
 those of the same length only. Equal scores go to the smaller id; a repeated id is one candidate per
-different vector. An empty table gives an empty result.
+different vector, but the hits of a query on one id with the same score, to `SAME`, are one. A query id with several vectors
+has one result, the best hits of them all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from .textbytes import q
 DIMS, CERTAINTY = 8, 0.95
 SAMPLE, CELL_ROWS, LEAF, QUERY_ROWS = 20_000, 8192, 64, 8192
 MOST_CELLS = 1 << 12
+SAME = 1e-12  # by how much rounding may part the scores of parallel vectors
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -170,11 +173,22 @@ def gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def different(of: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The places of one hit for each number in `of` and score."""
+    order = np.lexsort((-score, of))
+    o, s = of[order], score[order]
+    once = np.ones(len(order), bool)
+    once[1:] = (o[1:] != o[:-1]) | (s[:-1] - s[1:] > SAME)
+    return order[once]
+
+
 def search(ids: np.ndarray, x: np.ndarray, proj: np.ndarray, q_ids: np.ndarray, qx: np.ndarray, q_proj: np.ndarray, known: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's number, row's number, cosine) of the nearest found for each query. known: the k-th
     cosine that each has already."""
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     q_norm = np.sqrt((qx * qx).sum(1))
+    named, code = np.unique(ids, return_inverse=True)
+    repeats = len(named) < len(ids)
     leaves = Leaves(proj)
     far = gap(q_proj, leaves.low, leaves.high)
     order = np.argsort(far, axis=1)
@@ -192,15 +206,23 @@ def search(ids: np.ndarray, x: np.ndarray, proj: np.ndarray, q_ids: np.ndarray,
             best.append(unit[at] @ u)
             j, step = j + step, step * 2
             score = np.concatenate(best)
+            if repeats:
+                score = score[different(code[np.concatenate(seen)], score)]
             if len(score) >= k:
                 bound = max(bound, float(np.partition(score, len(score) - k)[len(score) - k]))
         if seen:
             at, score = np.concatenate(seen), np.concatenate(best)
+            if repeats:
+                once = different(code[at], score)
+                at, score = at[once], score[once]
             # rounding of the matrix product must not decide a tie
             out.append((i, at[score >= min(bound, np.partition(score, len(score) - k)[len(score) - k]) - 1e-9] if len(score) > k else at))
     a = np.concatenate([np.full(len(at), i) for i, at in out]) if out else np.zeros(0, np.int64)
     b = np.concatenate([at for _, at in out]) if out else np.zeros(0, np.int64)
     score = (qx[a] * x[b]).sum(1) / (q_norm[a] * np.sqrt((x * x).sum(1))[b])
+    if repeats:
+        once = different(a * len(named) + code[b], score)
+        a, b, score = a[once], b[once], score[once]
     rank = np.lexsort((ids[b], -score, a))
     a, b, score = a[rank], b[rank], score[rank]
     first = np.searchsorted(a, a, "left")
@@ -233,6 +255,8 @@ def met(index: DataFrame, cells: DataFrame, visits: DataFrame, kind: str, dims:
 def best(found: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
+    hits = Window.partitionBy("query_id", "vec_id").orderBy(F.desc("score"))
+    found = found.withColumn("above", F.lag("score").over(hits)).where(F.col("above").isNull() | (F.col("above") - F.col("score") > SAME)).drop("above")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -244,7 +268,7 @@ def neighbours(df: DataFrame, queries: Column, k: int = 5, dims: int = DIMS, cer
     kind = df.schema[id_col].dataType.simpleString()
     stop = radius(dims, certainty)
     equal = Window.partitionBy("size", F.xxhash64("vec"), "vec").orderBy("id")
-    rows = vectors(df, id_col, vector_col, dims, seed)
+    rows = vectors(df, id_col, vector_col, dims, seed).dropDuplicates(["id", "size", "vec"])
     rows = rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).drop("copy")
     got = rows.select("id", "size", "proj").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toArrow()
     total = df.count()
@@ -259,7 +283,7 @@ def neighbours(df: DataFrame, queries: Column, k: int = 5, dims: int = DIMS, cer
     cell_ids, cell_sizes = known_cells["cell"].to_numpy(), known_cells["size"].to_numpy()
     low, high = (np.array([known_cells[f"{s}{d}"].to_numpy() for d in range(dims)]).T.reshape(-1, dims) for s in "lh")
 
-    asked = in_cell(tree, vectors(df.where(queries), id_col, vector_col, dims, seed)).withColumnRenamed("id", "query_id")
+    asked = in_cell(tree, vectors(df.where(queries), id_col, vector_col, dims, seed).dropDuplicates(["id", "size", "vec"])).withColumnRenamed("id", "query_id")
     first = written(best(met(index, cells, asked.withColumn("known", F.lit(-2.0)).drop("size"), kind, dims, k, stop), k), "ann-first")
     # with fewer than k found, no distance is known and all cells are searched
     bound = first.groupBy("query_id").agg(F.min("score").alias("found"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("found")).alias("found"))

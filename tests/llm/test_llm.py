@@ -354,6 +354,26 @@ def test_search_against_brute_force(spark):
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [8192, 40])
+def test_repeated_ids_take_no_neighbours_place(spark, cell_rows):
+    rng = np.random.default_rng(6)
+    v, w, z = rng.standard_normal((3, 16))
+    rows = [(100, v)] * 6 + [(101, v)] * 4 + [(i, v) for i in range(102, 106)]
+    rows += [(200, w)] * 2 + [(201, w * f) for f in (1, 2, 3, 5, 7, 11)] + [(i, w + 0.1 * rng.standard_normal(16)) for i in range(202, 208)]
+    rows += [(300, z), (300, w), (300, z)] + [(i, z + 0.2 * rng.standard_normal(16)) for i in (301, 302, 302, 303, 303)]
+    rows += [(int(i), x) for i, x in zip(rng.integers(1000, 1060, 200), rng.standard_normal((200, 16)), strict=True)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0, k=5, certainty=1 - 1e-12, cell_rows=cell_rows).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    cosine = lambda x, y: round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 9)
+    for i in {i for i, _ in rows if i % 100 == 0}:
+        hits = {(j, cosine(x, y)) for n, x in rows if n == i for j, y in rows if j != i}
+        assert got[i] == sorted(hits, key=lambda h: (-h[1], h[0]))[:5]
+    assert [j for j, _ in got[100]] == [101, 102, 103, 104, 105]
+    assert set(got) == {i for i, _ in rows if i % 100 == 0}
+
+
 # ------------------------------------------------------------------ pipeline and queries
 def test_pipeline_runs_every_stage(spark):
     import corpus_pipeline
