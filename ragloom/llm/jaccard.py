@@ -17,8 +17,12 @@ at least the threshold.
    components found. That joins a family of copies by as many pairs as it has members.
 4. In the cells that still hold several components, an R-tree over the points bounds the overlap with a
    box by the sum of the smaller of the point's count and the box's greatest, and so finds the pairs of different
-   components whose overlap may suffice. These are verified, and the components found again. So no link between different texts is lost, and no pairs are
-   made within a component.
+   components whose overlap may suffice. These are verified, and the components found again. So no link between
+   components is lost. The pairs verified up to here span the components; within one they are not all links.
+5. Every link, if asked for: all links lie within components, so a component's classes are dealt to blocks, and
+   the overlaps of two blocks are a matrix product of their sets. A pair meets once. The number of links of a
+   row is that of the other rows with an id whose sets link with its own, equal sets included; it is summed
+   in the blocks, so no rows of pairs are made for it.
 
 Verified pairs carry the similarity. Null and empty texts get n_shingles 0 and are components of
 their own. A null id can't be named as a component: such rows take part in no link. Rows that repeat an id with
@@ -49,6 +53,9 @@ BUCKET_POSTINGS = 1 << 19
 HEAVY = 1 << 15  # texts, by estimate; the cells of such shingles are never gathered
 POINTS = 4096
 SMALL_BYTES = 32 << 20
+BLOCK, BLOCK_BYTES = 256, 8 << 20  # classes, and bytes of their texts, in a block
+SMALL_COMPONENTS = 2048  # classes of components of one block that are looked at together
+COLUMNS = 4096
 
 
 def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,10 +148,7 @@ def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
                 h, of, length = shingles(data, off)
                 n = np.bincount(of, minlength=len(off) - 1)
                 start = np.cumsum(n) - n
-                full = np.flatnonzero(n)
-                k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                if len(full):
-                    k1[full], k2[full] = np.add.reduceat(mix(h), start[full]), np.add.reduceat(mix(h ^ GOLD), start[full])
+                k1, k2, name = named(h, of, n)
                 level = seen[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]
                 order = np.lexsort((h, -length, level, of))
                 take = needed(n, percent)
@@ -155,7 +159,7 @@ def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
                 width = 1 if len(counts) and counts.max() < 256 else 4
                 groups = packed(counts.astype(f"<u{width}"), np.arange(len(n) + 1) * GROUPS * width)
                 fine = pa.array([fine_groups(h[i : i + m]) if m > GROUPS else None for i, m in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(mix(mix(k1 + n.astype(np.uint64)) + k2).view(np.int64)), packed(first, at * 8), groups, fine], names=["doc_id", "n_shingles", "k1", "k2", "name", "first", "groups", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(name.view(np.int64)), packed(first, at * 8), groups, fine], names=["doc_id", "n_shingles", "k1", "k2", "name", "first", "groups", "fine"])
 
     return docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, k1 long, k2 long, name long, first binary, groups binary, fine binary")
 
@@ -380,17 +384,118 @@ def verified(pairs: DataFrame, docs: DataFrame, kind: str, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}, overlap long, total long")
 
 
-def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class_id, component_id for every row; a, b, overlap, total for the links
-    between classes that were verified)."""
+def named(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k1, k2 (equal for equal sets) and name of n.size sets, from their shingles by text."""
+    start, full = np.cumsum(n) - n, np.flatnonzero(n)
+    k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    if len(full):
+        k1[full], k2[full] = np.add.reduceat(mix(h), start[full]), np.add.reduceat(mix(h ^ GOLD), start[full])
+    return k1, k2, mix(mix(k1 + n.astype(np.uint64)) + k2)
+
+
+def overlaps(h: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of `left` has in common with each of `right`; h, row: the different shingles of each set."""
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    some = times[column] > 1
+    column, row = shared[column[some]], row[some]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    m, last = max(left.max(), right.max()) + 1, int(column[-1]) + 1 if len(column) else 0
+    out = np.zeros((len(left), len(right)), np.int64)
+    for c in range(0, last, COLUMNS):
+        a, b = np.searchsorted(column, [c, c + COLUMNS])
+        x = np.zeros((m, min(COLUMNS, last - c)), np.float32)
+        x[row[a:b], column[a:b] - c] = 1
+        out += (x[left] @ x[right].T).astype(np.int64)
+    return out
+
+
+def blocks(docs: DataFrame, held: DataFrame, roots: DataFrame, kind: str) -> DataFrame:
+    """bucket, i, j, side, root, class_id, name, n_rows, text: the classes of each component of several, in each of the
+    pairs of blocks (i, j) that theirs is one of. Components of one block share buckets, with i and j -1."""
+    twice = held.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class_id").alias("doc_id"))
+    ids = written(roots.select(F.col("node").alias("doc_id")).union(twice).distinct(), "ids")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, data, off in slices(batch.column(1)):
+                h, of, _ = shingles(data, off)
+                n = np.bincount(of, minlength=len(off) - 1)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, len(n)) for c in batch.columns), pa.array(named(h, of, n)[2].view(np.int64))], names=["class_id", "text", "name"])
+
+    texts = only(docs, ids).select("doc_id", "text").mapInArrow(name, f"class_id {kind}, text string, name long")
+    classes = held.select("class_id", "name", "n_rows").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    rows = written(texts.join(classes, ["class_id", "name"]).dropDuplicates(["name"]), "classes")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+    large = written(rows.groupBy("root").agg(size.alias("parts")).where("parts > 1"), "large")
+    n, length = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    buckets = max(1, ceil(n / SMALL_COMPONENTS), ceil((length or 0) / BLOCK_BYTES))
+    # at most one of BLOCK classes, or of BLOCK_BYTES of text, is a large component
+    rows = rows.join(F.broadcast(large) if large.count() * 32 <= SMALL_BYTES else large, "root", "left")
+    small = rows.where("parts is null").withColumn("bucket", F.pmod(F.xxhash64(F.lit(2), "root"), F.lit(buckets))).withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1)).withColumn("side", F.lit(0))
+    cut = rows.where("parts is not null").withColumn("bucket", F.xxhash64("root")).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "name"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    cut = cut.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("side", F.when(F.col("part") == F.col("i"), 0).otherwise(1))
+    names = ["bucket", "i", "j", "side", "root", "class_id", "name", "n_rows", "text"]
+    return small.select(*names).unionByName(cut.select(*names))
+
+
+def every(dealt: DataFrame, kind: str, percent: int, counted: bool) -> DataFrame:
+    """name, n: how many rows the class links with in a pair of blocks; or, if not counted, a, b, overlap, total for every link."""
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("root", "ascending"), ("side", "ascending")])
+        h, of, at = [], [], 0
+        for chunk in table["text"].chunks:
+            for a, data, off in slices(chunk):
+                own_h, own_of, _ = shingles(data, off)
+                h.append(own_h)
+                of.append(own_of + at + a)
+            at += len(chunk)
+        h, of = np.concatenate(h), np.concatenate(of)
+        n = np.bincount(of, minlength=len(table))
+        start = np.concatenate([[0], np.cumsum(n)])
+        root, side, rows, i, j = (table[c].combine_chunks() for c in ("root", "side", "n_rows", "i", "j"))
+        root, side, rows = root.dictionary_encode().indices.to_numpy(), side.to_numpy(), rows.to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, root[1:] != root[:-1])), len(root))
+        within = i[0].as_py() == j[0].as_py()
+        links, found = np.zeros(len(table), np.int64), [[np.zeros(0, np.int64)] for _ in range(4)]
+        for first, last in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            left = np.flatnonzero(side[first:last] == 0)
+            right = left if within else np.flatnonzero(side[first:last] == 1)
+            if not len(left) or not len(right):
+                continue
+            overlap = overlaps(h[start[first] : start[last]], of[start[first] : start[last]] - first, left, right)
+            left, right = left + first, right + first
+            total = n[left][:, None] + n[right] - overlap
+            ok = (100 * overlap >= percent * total) & (overlap > 0)
+            if within:
+                ok = np.triu(ok, 1)
+            links[left] += ok @ rows[right]
+            links[right] += rows[left] @ ok
+            x, y = np.nonzero(ok)
+            for into, some in zip(found, (left[x], right[y], overlap[x, y], total[x, y]), strict=True):
+                into.append(some)
+        if counted:
+            return pa.Table.from_arrays([table["name"], pa.array(links)], names=["name", "n"])
+        x, y, overlap, total = (np.concatenate(f) for f in found)
+        ids = table["class_id"].combine_chunks()
+        x, y = ids.take(pa.array(x)), ids.take(pa.array(y))
+        return pa.Table.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y), pa.array(overlap), pa.array(total)], names=["a", "b", "overlap", "total"])
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "name long, n long" if counted else f"a {kind}, b {kind}, overlap long, total long")
+
+
+def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text", every_link: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class_id, component_id for every row; a, b, overlap, total for links between classes that
+    span the components). every_link: the rows have their n_links too, and the links between classes are all there are."""
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(q(id_col)).alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(levels(counters(docs), heavy))  # 2 MB
     rows = written(sets(docs, kind, percent, common), "sets")
     keys = ["n_shingles", "k1", "k2"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    held = written(full.groupBy(*keys, "name").agg(F.min("doc_id").alias("class_id")), "held")
-    members = written(rows.select("doc_id", *keys).join(held.drop("name"), keys, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
+    held = written(full.groupBy(*keys, "name").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows")), "held")
+    members = written(rows.select("doc_id", *keys).join(held, keys, "left").select("doc_id", "n_shingles", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("class_id", "name", "n_rows")]), "members")
     cell = written(cells(full, common).join(held.select("name", F.col("class_id").alias("doc_id")), "name").select("cell", "doc_id"), "cells")
     hub = written(cell.groupBy("cell").agg(F.min("doc_id").alias("a")), "hubs")
     star = written(cell.join(hub, "cell").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "star")
@@ -406,7 +511,13 @@ def joined(docs: DataFrame, percent: int = PERCENT, heavy: int = HEAVY, id_col:
     links = links.unionByName(written(verified(more, docs, kind, percent), "links"))
     roots = written(components(links.select("a", "b").unionByName(several), kind), "components")
     out = members.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")), links.dropDuplicates(["a", "b"])
+    columns = ["doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "class_id", "doc_id").alias("component_id")]
+    if not every_link:
+        return out.select(*columns), links.dropDuplicates(["a", "b"])
+    dealt = blocks(docs, held, roots, kind)
+    counts = written(every(dealt, kind, percent, True).groupBy("name").agg(F.sum("n").alias("n")), "counts")
+    links = every(dealt, kind, percent, False).where("a <> b").dropDuplicates(["a", "b"])
+    return out.join(counts, "name", "left").select(*columns, F.coalesce(F.col("n_rows") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).alias("n_links")), links
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,4 +112,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import joined
 
-    return joined(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+    return joined(table(spark, sf_dir, "documents"), every_link=True)[0].select("doc_id", "n_shingles", "component_id", "n_links")

@@ -308,6 +308,29 @@ def test_join_loses_no_link(spark, docs, empty, heavy):
     assert jaccard.joined(empty)[0].count() == 0
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2])
+def test_join_gives_every_link(spark, empty, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    copies = [[f"v{i}" for i in range(100)] for _ in range(12)]
+    for k, words in enumerate(copies):
+        words[7 * k] = f"x{k}"
+    family_rows = [(i, " ".join(w)) for i, w in enumerate(copies)]
+    for rows in (family_rows, family(1), [(i, t) for i, t, _ in DOCS] + [(3, "x"), (3, "X  "), (70, family_rows[0][1]), (70, family_rows[1][1])]):
+        out, links = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every_link=True)
+        named = [(i, frozenset(shingle_set(t))) for i, t in rows]
+        alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+        want = [(i, len(x), sum(alike(x, y) for k, (j, y) in enumerate(named) if k != n and j is not None) if i is not None else 0) for n, (i, x) in enumerate(named)]
+        assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in out.collect()) == Counter(want)
+        classes = defaultdict(list)
+        for i, x in named:
+            if x and i is not None:
+                classes[x].append(i)
+        pairs = {tuple(sorted((min(classes[x]), min(classes[y])))): (len(x & y), len(x | y)) for x, y in combinations(classes, 2) if alike(x, y)}
+        assert {(r.a, r.b): (r.overlap, r.total) for r in links.collect()} == {p: n for p, n in pairs.items() if p[0] != p[1]}
+    out, links = jaccard.joined(empty, every_link=True)
+    assert out.count() == 0 and links.count() == 0
+
+
 def test_one_document_of_each_group_stays(docs, empty):
     kept = jaccard.deduplicated(docs)
     want = plain_components([(i, t) for i, t, _ in DOCS])
