@@ -2,7 +2,8 @@
 
 Each function takes a streaming DataFrame and returns a streaming DataFrame (or starts a
 query for the sinks); watermarks bound the state, and stateful per-key logic uses
-``applyInPandasWithState`` with an event-time timeout so idle keys are dropped.
+``applyInPandasWithState`` with an event-time timeout so idle keys are dropped, except the
+breaker's, whose state of three numbers a key never loses its meaning.
 """
 
 from __future__ import annotations
@@ -145,13 +146,11 @@ def circuit_breaker_stream(calls: DataFrame, threshold: int = 5, timeout_seconds
                            lateness: str = "2 minutes") -> DataFrame:
     """ST5: CLOSED -> OPEN after ``threshold`` straight failures -> HALF_OPEN once more than
     ``timeout_seconds`` passed -> CLOSED on success / OPEN on failure; calls while OPEN are
-    rejected and do not count."""
+    rejected and do not count. A key's state is kept however long the key is idle: no timeout is
+    ever set, and the watermark only drops calls later than ``lateness``."""
     timeout_us = int(timeout_seconds * 1_000_000)
 
     def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         st, fails, last = state.get if state.exists else ("CLOSED", 0, 0)
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
         out = []
@@ -160,7 +159,6 @@ def circuit_breaker_stream(calls: DataFrame, threshold: int = 5, timeout_seconds
             decision, st, fails, last = breaker_step(st, int(fails), int(last), t, bool(ok), threshold, timeout_us)
             out.append((key[0], int(seq), ts, decision, st, int(fails)))
         state.update((st, int(fails), int(last)))
-        state.setTimeoutTimestamp(int(pd.Timestamp(batch["ts"].max()).value // 1_000_000) + 3_600_000)
         yield pd.DataFrame(out, columns=[f.name for f in BREAKER_OUT.fields])
 
     return (calls.withWatermark("ts", lateness).groupBy("key")

@@ -43,6 +43,24 @@ def test_breaker_stream_equals_model(spark, tmp_path):
     assert any(v[0] == "rejected" for v in got.values())
 
 
+def test_breaker_does_not_forget_an_idle_key(spark, tmp_path):
+    hours = [[("a", 0.0), ("a", 0.01), ("a", 0.02)], [("b", 5)], [("c", 6)], [("a", 7)]]
+    calls, files = "seq long, key string, success boolean, ts timestamp", []
+    for part in hours:
+        start = sum(map(len, files))
+        files.append([(start + i, k, False, T0 + dt.timedelta(hours=h)) for i, (k, h) in enumerate(part)])
+    got = []
+    for name, parts in (("one", [sum(files, [])]), ("several", files)):
+        path = str(tmp_path / name)
+        for rows in parts:
+            spark.createDataFrame(rows, calls).coalesce(1).write.mode("append").parquet(path)
+        stream = S.file_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+        out = S.run_to_table(spark, S.circuit_breaker_stream(stream, 3, 60), f"t-st5-{name}", "append")
+        got.append(sorted((r["seq"], r["decision"], r["state"], r["failure_count"]) for r in out.collect()))
+    assert got[0] == got[1]
+    assert got[1][-1] == (5, "allowed", "OPEN", 4)
+
+
 def test_threshold_alerts_and_latest(spark, tmp_path):
     snaps = spark.createDataFrame([(1, 2048.0, 10.0), (2, 10.0, 95.0), (3, 2000.0, 99.0), (4, 1024.0, 80.0)],
                                   "id long, memory_mb double, cpu_percent double")
