@@ -95,7 +95,8 @@ def st4_ttl_cache(spark, sf):
 
 @register("st4_dedup_within_ttl")
 def st4_dedup_within_ttl(spark, sf):
-    """Rows-only: the built-in watermark de-duplication of repeated (user, event type) requests."""
+    """Repeated (user, event type) requests within 300 seconds of the one kept are dropped; the tests
+    compare the rows with the misses of the ST4 SQL."""
     ev = event_stream(spark, sf).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     r = S.run_to_table(spark, S.dedup_within_ttl(ev, ["user_id", "event_type"], "300 seconds"), "st4w", mode="append")
     return r.select("event_id", "user_id", "event_type")

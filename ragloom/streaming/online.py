@@ -77,10 +77,35 @@ def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int
 
 # ---------------------------------------------------------------------------- ST4
 def dedup_within_ttl(stream: DataFrame, key_cols: list[str], ttl: str = "300 seconds", ts_col: str = "ts") -> DataFrame:
-    """ST4 (built-in, approximate): drop a repeat of a key while the first one is still inside
-    the watermark delay. State expiry follows the watermark, so within one micro-batch every
-    repeat is dropped; :func:`ttl_cache_stream` gives the exact cache semantics."""
-    return stream.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(key_cols)
+    """ST4 as de-duplication: the requests that :func:`ttl_cache_stream` counts as misses, with all
+    their columns. Per key in the order of time, then of the other columns, a row is dropped until
+    more than ``ttl`` after the last one kept, however the rows are grouped into micro-batches. Rows
+    later than the watermark, ``ttl`` behind, are dropped; a null time is never kept."""
+    ttl_us = int(pd.Timedelta(ttl).value // 1000)
+    names = stream.columns
+    order = [ts_col] + [f.name for f in stream.schema.fields
+                        if f.name != ts_col and isinstance(f.dataType, (T.NumericType, T.StringType))]
+
+    def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        expires = state.get[0] if state.exists else None
+        batch = pd.concat(list(pdfs), ignore_index=True).dropna(subset=[ts_col])
+        batch = batch.sort_values(order, kind="stable")
+        kept = []
+        for i, ts in enumerate(batch[ts_col]):
+            t = int(pd.Timestamp(ts).value // 1000)
+            if expires is None or t > expires:
+                expires = t + ttl_us
+                kept.append(i)
+        if expires is not None:
+            state.update((expires,))
+            state.setTimeoutTimestamp(expires // 1000 + 1)
+        yield batch.iloc[kept][names]
+
+    return (stream.withWatermark(ts_col, ttl).groupBy(*key_cols)
+            .applyInPandasWithState(step, stream.schema, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 TTL_STATE = T.StructType([T.StructField("expires_us", T.LongType())])

@@ -90,6 +90,34 @@ def test_dedup_within_ttl(spark, tmp_path):
     assert sorted(r["query"] for r in out.collect()) == ["q", "r"]
 
 
+def test_dedup_keeps_one_row_a_ttl_window(spark, tmp_path):
+    seconds = [0, 10, 300, 301, 500, 602, 86_400, 86_401]
+    rows = [(i, "q", T0 + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    schema, got = "id long, query string, ts timestamp", []
+    for name, files in (("one", [rows]), ("several", [rows[:3], rows[3:5], rows[5:7], rows[7:]])):
+        path = str(tmp_path / name)
+        for part in files:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = S.file_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+        out = S.run_to_table(spark, S.dedup_within_ttl(stream, ["query"]), f"t-st4-{name}", "append")
+        got.append(sorted(r["id"] for r in out.collect()))
+    assert got == [[0, 3, 5, 6]] * 2
+
+
+def test_dedup_query_equals_the_cache_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMOKE
+
+    sql = E.oracle_sql()["st4_ttl_cache"].replace("86400000000", "300000000")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_SMOKE}/events.parquet'")
+    want = {r[0] for r in con.execute(f"SELECT request_id FROM ({sql}) t WHERE NOT cache_hit").fetchall()}
+    got = [r["event_id"] for r in E.queries()["st4_dedup_within_ttl"](spark, SF_SMOKE).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_ttl_cache_stream_model(spark, tmp_path):
     rows = [("q", 1, T0), ("q", 2, T0 + dt.timedelta(seconds=300)), ("q", 3, T0 + dt.timedelta(seconds=301)),
             ("q", 4, T0 + dt.timedelta(seconds=400)), ("r", 5, T0 + dt.timedelta(seconds=10))]
