@@ -113,3 +113,11 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import joined
 
     return joined(table(spark, sf_dir, "documents"), every_link=True)[0].select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op12_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    coded = compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))[0]
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
