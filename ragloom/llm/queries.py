@@ -121,3 +121,17 @@ def op12_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coded = compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))[0]
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import align
+
+    return align(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.public("byte_bpe_50k.json"), tokens.public("piece_bpe_32k.model"))
+
+
+@query
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))[0].select("page_id", "url", "text", "n_chars")
