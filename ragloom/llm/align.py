@@ -374,8 +374,8 @@ def align(df: DataFrame, path_a: str, path_b: str, text_col: str = "text", most_
     if least > 1:
         rare = found.select(q(row), q(pairs), q(weights)).mapInArrow(rest, "row long, pair long, links long")
         met = rare.join(counts.where(F.col("n") < least), "pair")
-        more = met.groupBy("row").agg(F.sum(F.col("n") * F.col("links")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("more_best"))
-        answered = answered.join(more, F.col(q(row)) == more["row"], "left").drop(more["row"])
+        more = met.groupBy(F.col("row").alias("more_row")).agg(F.sum(F.col("n") * F.col("links")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("more_best"))
+        answered = answered.join(more, F.col(q(row)) == F.col("more_row"), "left").drop("more_row")
         for name, extra in (("n_best", "more_best"), ("count_sum", "more_sum")):
             answered = answered.withColumn(names[name], F.col(q(names[name])) + F.coalesce(F.col(extra), F.lit(0))).drop(extra)
     shown = [*COUNTS, "n_best", "count_sum", "groups_sha256", *(["groups"] if keep_groups else [])]
