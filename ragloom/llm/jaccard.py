@@ -10,10 +10,10 @@ at least the threshold.
    first n - ceil(threshold * n) + 1 shingles of either.
 2. Cells. The classes that have a shingle among these first ones make up its cell; cells of one class go.
    Cells of the same classes are one cell.
-3. Each class in a cell is a point: shingles are hashed into groups, and the point has the number of
-   its shingles in each group. The overlap of two is at most the sum, over the groups, of the smaller count; sets
-   of more than 256 shingles have a second point with more groups, for pairs that the first lets through. Of the
-   pairs of a cell's first class with the others, those whose bound suffices are verified on the texts, and the
+3. Each class in a cell is a point: shingles are hashed into groups, a quarter as many as shingles or more, and the
+   point has the number of its shingles in each group. The overlap of two is at most the sum, over the groups, of the
+   smaller count, the groups of the larger point joined where it has more; sets of more than 256 shingles have
+   a second point with more groups, for pairs that the first lets through. Of the pairs of a cell's first class with the others, those whose bound suffices are verified on the texts, and the
    components found. That joins a family of copies by as many pairs as it has members.
 4. In the cells that still hold several components, an R-tree over the points bounds the overlap with a
    box by the sum of the smaller of the point's count and the box's greatest, and so finds the pairs of different
@@ -31,13 +31,14 @@ another text link to both texts' neighbours. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -48,6 +49,8 @@ from .tokens import spread
 WIDTH, PERCENT = 5, 75
 COUNTERS = 21  # bits: two million counters
 GROUPS = 256
+CROWD = 4  # shingles in a group, on average; beyond it a point has eight times as many groups
+POINT_BYTES = 32 << 20  # unpacked
 LEAF = 16
 BUCKET_POSTINGS = 1 << 19
 HEAVY = 1 << 15  # texts, by estimate; the cells of such shingles are never gathered
@@ -131,6 +134,66 @@ def fine_overlap(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum())
 
 
+def point(h: np.ndarray) -> bytes:
+    """Counts of a set's shingles in GROUPS groups, or eight times as many, and again, until a group has few; one or four
+    bytes each, which their number tells apart, compressed."""
+    n = GROUPS
+    while n * CROWD < len(h) and n < GROUPS * 512:
+        n *= 8
+    counts = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return zlib.compress(counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes(), 1)
+
+
+def unpacked_bytes(size: str) -> Column:
+    """The bytes of a point's counts, unpacked, by the number of its set's shingles."""
+    n = GROUPS * 512
+    out = F.lit(n * 4)
+    while n > GROUPS:
+        n //= 8
+        out = F.when(F.col(size) <= n * CROWD, n * 4).otherwise(out)
+    return out.cast("long")
+
+
+def resolution(raw: bytes) -> int:
+    """How many groups a point has."""
+    n = GROUPS
+    while n * 8 <= len(raw):
+        n *= 8
+    return n
+
+
+def matrices(rows: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, counts) of the points of each number of groups, fewest first."""
+    rows = [zlib.decompress(r) for r in rows]
+    groups = np.array([resolution(r) for r in rows], np.int64)
+    out = []
+    for n in np.unique(groups):
+        at = np.flatnonzero(groups == n)
+        counts = np.zeros((len(at), n), np.uint32)
+        narrow = np.array([len(rows[i]) == n for i in at], bool)
+        for some, width in ((narrow, 1), (~narrow, 4)):
+            if some.any():
+                counts[some] = np.frombuffer(b"".join([rows[i] for i in at[some]]), f"<u{width}").reshape(-1, n)
+        out.append((at, counts))
+    return out
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts (rows, or one row) in fewer groups; a group is named by the low bits of a hash."""
+    return counts.reshape(*counts.shape[:-1], counts.shape[-1] // groups, groups).sum(-2, dtype=np.uint32)
+
+
+def common_most(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """What the sets of two lists of points can have in common at most, row by row."""
+    out = np.zeros(len(a), np.int64)
+    for x_at, x in matrices(a):
+        for y_at, y in matrices(b):
+            rows, i, j = np.intersect1d(x_at, y_at, return_indices=True)
+            n = min(x.shape[1], y.shape[1])
+            out[rows] = np.minimum(folded(x[i], n), folded(y[j], n)).sum(1, dtype=np.int64)
+    return out
+
+
 def levels(counts: np.ndarray, heavy: int) -> np.ndarray:
     """By bucket, 0 for counts that chance explains and more for each doubling beyond; 255 for `heavy` or more."""
     mean = counts.mean()
@@ -140,7 +203,7 @@ def levels(counts: np.ndarray, heavy: int) -> np.ndarray:
 
 def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (equal for equal sets), name (64 bits of these), first (packed hashes of
-    the shingles that must be looked at), groups (packed counts), fine (counts in as many groups as the set's size asks for)."""
+    the shingles that must be looked at), groups (its point), fine (counts in more groups)."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = common.value
         for batch in batches:
@@ -153,11 +216,9 @@ def sets(docs: DataFrame, kind: str, percent: int, common) -> DataFrame:
                 order = np.lexsort((h, -length, level, of))
                 take = needed(n, percent)
                 first = h[order][spread(start, take)]
-                counts = np.bincount(of * GROUPS + (h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS)
                 at = np.concatenate([[0], np.cumsum(take)])
                 packed = lambda x, at: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())  # noqa: B023, E731
-                width = 1 if len(counts) and counts.max() < 256 else 4
-                groups = packed(counts.astype(f"<u{width}"), np.arange(len(n) + 1) * GROUPS * width)
+                groups = pa.array([point(h[i : i + m]) for i, m in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())
                 fine = pa.array([fine_groups(h[i : i + m]) if m > GROUPS else None for i, m in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(n)), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(name.view(np.int64)), packed(first, at * 8), groups, fine], names=["doc_id", "n_shingles", "k1", "k2", "name", "first", "groups", "fine"])
 
@@ -234,16 +295,6 @@ def cells(rows: DataFrame, common) -> DataFrame:
     return dealt.unionByName(first.mapInArrow(apart, "cell long, name long")).distinct()
 
 
-def unpacked_groups(rows: list[bytes]) -> np.ndarray:
-    """Counts of one or four bytes each, as a matrix."""
-    out = np.zeros((len(rows), GROUPS), np.uint32)
-    narrow = np.array([len(r) == GROUPS for r in rows], bool)
-    for some, width in ((narrow, 1), (~narrow, 4)):
-        if some.any():
-            out[some] = np.frombuffer(b"".join([r for r, x in zip(rows, some, strict=True) if x]), f"<u{width}").reshape(-1, GROUPS)
-    return out
-
-
 class RTree:
     """Points of group counts in boxes of boxes, each with its greatest counts and least size."""
 
@@ -281,28 +332,40 @@ def candidates(rooted: DataFrame, points: DataFrame, kind: str, percent: int) ->
     R-tree leaves. points: doc_id, n_shingles, groups.
 
     The one pair of a cell of two has been looked at before. Of two components one isn't the cell's largest, so the classes of the others are the probes. A cell's
-    points are indexed in parts of about POINTS classes, and its probes go to every part in blocks of that size."""
-    by_root = rooted.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("cell").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("most")).where("top < n and n > 2")
-    mixed = written(mixed.select("cell", "most", F.ceil(F.col("n") / POINTS).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top")) / POINTS).cast("int").alias("blocks")), "mixed")
+    points are indexed in parts of about POINTS classes, or POINT_BYTES of points, and its probes go to every part in
+    blocks of that size. A tree holds points of one number of groups; of the others a probe meets those whose sizes allow it."""
+    bytes_of = points.groupBy("doc_id").agg(F.sum(unpacked_bytes("n_shingles")).alias("bytes"))
+    by_root = rooted.join(bytes_of, "doc_id").groupBy("cell", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    mixed = by_root.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("most")).where("most.n < n and n > 2")
+    parts = lambda n, size: F.greatest(F.ceil(n / POINTS), F.ceil(size / POINT_BYTES)).cast("int")
+    mixed = written(mixed.select("cell", F.col("most.root").alias("most"), parts(F.col("n"), F.col("bytes")).alias("parts"), parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("blocks")), "mixed")
     members = rooted.join(mixed, "cell").join(points, "doc_id")
     index = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     probes = members.where("root <> most").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), "blocks").cast("int")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
     names = ["doc_id", "root", "n_shingles", "groups"]
 
-    def unpacked(table: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray]:
-        return *(table[c].to_pylist() for c in ("doc_id", "root")), table["n_shingles"].to_numpy(), unpacked_groups(table["groups"].to_pylist())
-
     def probe(points: pa.Table, probes: pa.Table) -> pa.Table:
         a, b = [], []
         if points.num_rows and probes.num_rows:
-            ids, roots, sizes, counts = unpacked(points)
-            tree = RTree(counts, sizes)
-            for x, root, size, count in zip(*unpacked(probes), strict=True):
-                for j in tree.near(count, int(size), percent).tolist():
-                    if roots[j] != root:
-                        a.append(min(x, ids[j]))
-                        b.append(max(x, ids[j]))
+            ids, roots = (points[c].to_pylist() for c in ("doc_id", "root"))
+            sizes = points["n_shingles"].to_numpy()
+            indexed = matrices(points["groups"].to_pylist())
+            trees: dict[tuple[int, int], RTree] = {}
+            asking, root_of, size_of = (probes[c].to_pylist() for c in ("doc_id", "root", "n_shingles"))
+            for rows, counts in matrices(probes["groups"].to_pylist()):
+                for k, (at, own) in enumerate(indexed):
+                    n = min(counts.shape[1], own.shape[1])
+                    low, high = int(sizes[at].min()), int(sizes[at].max())
+                    for i, count in zip(rows.tolist(), folded(counts, n), strict=True):
+                        x, root, size = asking[i], root_of[i], size_of[i]
+                        if high * 100 < percent * size or low * percent > 100 * size:
+                            continue
+                        if (k, n) not in trees:
+                            trees[k, n] = RTree(folded(own, n), sizes[at])
+                        for j in at[trees[k, n].near(count, size, percent)].tolist():
+                            if roots[j] != root:
+                                a.append(min(x, ids[j]))
+                                b.append(max(x, ids[j]))
         return pa.Table.from_arrays([pa.array(a, points["doc_id"].type), pa.array(b, points["doc_id"].type)], names=["a", "b"])
 
     keys = ["cell", "part", "block"]
@@ -316,11 +379,11 @@ def possible(pairs: DataFrame, points: DataFrame, kind: str, percent: int) -> Da
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, POINTS):
-                some = batch.slice(i, POINTS)
-                x, y = (unpacked_groups(some.column(c).to_pylist()) for c in ("groups_a", "groups_b"))
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                overlap = common_most(*(some.column(c).to_pylist() for c in ("groups_a", "groups_b")))
                 n, m = (some.column(c).to_numpy() for c in ("n_a", "n_b"))
-                at = pa.array(np.flatnonzero(RTree._may(np.minimum(x, y).sum(1, dtype=np.int64), n, m, m, percent)))
+                at = pa.array(np.flatnonzero(RTree._may(overlap, n, m, m, percent)))
                 yield pa.RecordBatch.from_arrays([some.column("a").take(at), some.column("b").take(at)], names=["a", "b"])
 
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(bound, f"a {kind}, b {kind}").distinct()
