@@ -173,6 +173,12 @@ def gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components to about 1: cosines stay the same to the last
+    bit, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 def different(of: np.ndarray, score: np.ndarray) -> np.ndarray:
     """The places of one hit for each number in `of` and score."""
     order = np.lexsort((-score, of))
@@ -185,6 +191,7 @@ def different(of: np.ndarray, score: np.ndarray) -> np.ndarray:
 def search(ids: np.ndarray, x: np.ndarray, proj: np.ndarray, q_ids: np.ndarray, qx: np.ndarray, q_proj: np.ndarray, known: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's number, row's number, cosine) of the nearest found for each query. known: the k-th
     cosine that each has already."""
+    x, qx = scaled(x), scaled(qx)
     unit = x / np.sqrt((x * x).sum(1))[:, None]
     q_norm = np.sqrt((qx * qx).sum(1))
     named, code = np.unique(ids, return_inverse=True)
