@@ -2,8 +2,8 @@
 
 The documents are dealt out by ranges of the id and sorted; a partition's ids are cut into shards of
 about two million ids, whole documents each. In a shard, the most frequent pairs of neighbouring symbols are
-replaced by new symbols, round after round, until no pair is frequent or the symbols are used up.
-A pair never crosses two documents. A shard's bytes hold the rules, the lengths of their
+replaced by new symbols, round after round, until no pair occurs LEAST_COUNT times or fewer than SPENT of the RULES symbols are
+left. A pair never crosses two documents. A shard's bytes hold the rules, the lengths of their
 expansions, the documents' places among the symbols and the symbols, so one document, or some ids of
 it, are decoded without the rest. Shards are rows of a Parquet table, which Spark commits as a whole.
 
@@ -31,8 +31,8 @@ from .prefix import before
 from .textbytes import q
 
 SHARD_IDS = 1 << 21
-# with these the symbols of a vocabulary of 50,257 ids still fit in 16 bits
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 3800, 12
+RULES, RULES_A_ROUND, LEAST_COUNT = 15_200, 3800, 12  # with the ids of a vocabulary of 50,257 these fit in 16 bits
+SPENT = 256  # symbols; fewer are not worth another round
 _BITS = 18
 _HEAD = struct.Struct("<4s4I")
 
@@ -41,15 +41,13 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def grammar(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, ends: np.ndarray, base: int, most: int = RULES, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their documents' ends, rules as pairs): the ids with frequent pairs replaced."""
-    narrow = base + rounds * per_round <= 1 << 16
+    narrow = base + most <= 1 << 16
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and base + most - top >= min(SPENT, most):
         codes = (seq[:-1] << np.uint32(16) | seq[1:]) if narrow else (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:])
         whole = np.ones(len(codes), bool)  # both symbols in the same document
         inner = ends[:-1]
@@ -58,7 +56,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
         counts = np.diff(np.append(at, len(ranked)))
         often = np.flatnonzero(counts >= least)
-        often = often[np.lexsort((ranked[at[often]], -counts[often]))][:per_round]
+        often = often[np.lexsort((ranked[at[often]], -counts[often]))][: min(per_round, base + most - top)]
         pairs = ranked[at[often]]
         _, one = np.unique(_slot(pairs), return_index=True)  # of pairs that share a slot the most frequent, this round
         pairs = pairs[np.sort(one)]
