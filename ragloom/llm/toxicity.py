@@ -148,8 +148,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     toxic = np.array([s["toxic"] for s in seen])
     hits = np.bincount(row, count, len(seen))
     hurt = toxic & (hits > 0)
-    grade = np.zeros(len(seen), np.int64)
-    grade[hurt] = 1 + np.searchsorted(np.quantile(hits[hurt], [1 / 3, 2 / 3]), hits[hurt], "right") if hurt.any() else 0
+    cuts = np.quantile(hits[hurt], [1 / 3, 2 / 3]) if hurt.any() else np.zeros(2)
+    # a toxic text without a feature is of the lowest toxic grade
+    grade = np.where(toxic, 1 + np.where(hits > 0, np.searchsorted(cuts, hits, "right"), 0), 0)
     model.weights, model.thresholds = fit_ordinal(row, col, np.log1p(count), grade, len(model.hashes))
     return model
 
