@@ -44,6 +44,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LENGTH = "X-Payload-Length"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark would find it on: without one, a worker would take it
+    for a path on its own disk."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(name).toString()
+
+
 def opened(path: str):
     """(file system, path in it) for a local path or a URI."""
     from pyarrow import fs
@@ -275,7 +282,7 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", "read" if payload else "skip").load(folder)
+    return spark.read.format("warc").option("payload", "read" if payload else "skip").load(qualified(spark, folder))
 
 
 def base32(digest: pd.Series) -> pd.Series:
@@ -300,7 +307,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
 
 def write(records: DataFrame, folder: str, mode: str = "overwrite") -> None:
     register(records.sparkSession)
-    records.write.format("warc").mode(mode).save(folder)
+    records.write.format("warc").mode(mode).save(qualified(records.sparkSession, folder))
 
 
 def page_id(column: str) -> Column:
