@@ -5,10 +5,15 @@ registering again overwrites (last registration wins)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("name", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
@@ -49,13 +54,18 @@ def register_metric(registry: DataFrame, name: str, metric_type: str, descriptio
     if metric_type not in METRIC_TYPES:
         raise ValueError(f"unknown metric type {metric_type}")
     spark = registry.sparkSession
-    nxt = registry.agg(F.coalesce(F.max("reg_seq") + 1, F.lit(0)).alias("s")).first()["s"]
-    row = spark.createDataFrame([(name, metric_type, description, unit, labels or {}, int(nxt))], REGISTRY_SCHEMA)
-    merged = registry.unionByName(row)
-    w = Window.partitionBy("name").orderBy(F.col("reg_seq").desc())
-    latest = merged.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-    first_pos = merged.groupBy("name").agg(F.min("reg_seq").alias("__pos"))
-    return latest.join(first_pos, "name").withColumn("reg_seq", F.col("__pos")).drop("__pos")
+    nxt = registry.select(F.coalesce(F.max("reg_seq") + 1, F.lit(0))).scalar()
+    row = spark.createDataFrame([(name, metric_type, description, unit, labels or {}, 0)], REGISTRY_SCHEMA)
+    return register_metrics(registry, row.withColumn("reg_seq", nxt))
+
+
+def register_metrics(registry: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Definitions merged into the registry by name, as one aggregation: of equal names the one
+    with the highest ``reg_seq`` wins and keeps the lowest. Replaying a merge changes nothing."""
+    value = F.struct("type", "description", "unit", "labels")
+    merged = registry.unionByName(definitions).groupBy("name").agg(
+        F.max_by(value, "reg_seq").alias("d"), F.min("reg_seq").alias("reg_seq"))
+    return merged.select("name", "d.*", "reg_seq")
 
 
 def effective_registry(registry: DataFrame, samples: DataFrame, name_col: str = "name",
@@ -77,7 +87,8 @@ def effective_registry(registry: DataFrame, samples: DataFrame, name_col: str =
 # ------------------------------------------------------------------ health checks
 class CheckRegistry:
     """Named user checks, each a Column expression yielding a status string.
-    A check that fails to evaluate (null) reports 'unknown'."""
+    A check that fails to evaluate reports 'unknown': null for a row, or an error, which makes
+    it unknown for every row and leaves the others as they are."""
 
     def __init__(self):
         self._checks: dict[str, Column] = {}
@@ -92,11 +103,29 @@ class CheckRegistry:
     def checks(self) -> dict[str, Column]:
         return dict(self._checks)
 
-    def evaluate(self, df: DataFrame) -> DataFrame:
-        """Long form: (check, status) per input row, nulls as 'unknown'."""
+    def evaluate(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """Long form: (``keep`` columns, check, status) per input row. All checks run in one pass,
+        written under the checkpoint folder; only if that fails does each run in its own."""
+        keep = keep or []
         if not self._checks:
-            return df.select(F.lit(None).cast("string").alias("check"),
+            return df.select(*keep, F.lit(None).cast("string").alias("check"),
                              F.lit(None).cast("string").alias("status")).limit(0)
+        try:
+            return self._written(df, keep, self._checks)
+        except PySparkException:
+            parts = []
+            for name, rule in self._checks.items():
+                try:
+                    parts.append(self._written(df, keep, {name: rule}))
+                except PySparkException:
+                    parts.append(df.select(*keep, F.lit(name).alias("check"), F.lit("unknown").alias("status")))
+            return reduce(DataFrame.unionByName, parts)
+
+    @staticmethod
+    def _written(df: DataFrame, keep: list[str], checks: dict[str, Column]) -> DataFrame:
         entries = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(r.cast("string"), F.lit("unknown")).alias("status"))
-                            for n, r in self._checks.items()])
-        return df.select(F.inline(entries))
+                            for n, r in checks.items()])
+        out = df.select(*keep, F.inline(entries))
+        path = scratch_path(df.sparkSession, "checks")
+        out.write.parquet(path)
+        return df.sparkSession.read.schema(out.schema).parquet(path)

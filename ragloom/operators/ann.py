@@ -1,14 +1,22 @@
 """V6: approximate search with an inverted-file (IVF) layout, cosine metric.
 
-build: Spark ML KMeans on L2-normalised vectors gives ``lists`` centroids; every vector
-gets the id of its nearest centroid (``list_id``) and the index can be written
-partitioned by it, so a probe reads only its lists (partition pruning).
-
-search: each query picks its ``nprobe`` nearest centroids (the centroid table is bounded
-by ``lists`` and broadcast); probed (query, list) pairs meet the list's vectors in
-(list, sub-block) groups scored by a numpy block product that emits at most k
-candidates per query and group; a final ``row_number() <= k`` per query finishes.
-Large lists are cut into sub-blocks by id hash, so a hot list does not land in one task.
+train: Spark ML KMeans over a sample of the unit vectors (``sample_per_list`` rows per list,
+chosen by id hash) gives ``lists`` unit centroids. Their matrix is broadcast, so its size is
+checked against ``MAX_CENTROID_BYTES``.
+
+store: every vector goes to the list of its nearest centroid (largest inner product, ties to the
+lower list) in one Arrow pass. :func:`ivf_store` writes the index once: vectors partitioned by
+list, each list cut into parts of about ``LIST_ROWS`` vectors by its own size, beside the centroid
+table and the table of list sizes.
+
+search: each query probes its ``nprobe`` nearest lists. The probed (query, list) pairs meet the
+lists' parts in groups scored by a numpy block product that emits at most k candidates per
+query and group; a final ``row_number() <= k`` per query finishes. The scan of the vectors joins
+the probed lists, which prunes every other list's partition (dynamic partition pruning) before a
+vector is read. A vector is always in its own first probe, so a search finds itself.
+
+Vectors that are null, of another size than the first centroid, or that hold a null or
+non-finite component are in no list and probe none.
 """
 
 from __future__ import annotations
@@ -17,12 +25,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root, cut_lineage
-from .vectors import _score_chunked, _stack
+from ..session import checkpoint_root, cut_lineage, scratch_path
+from .vectors import _score_chunked, _scorable, _stack
+
+MAX_CENTROID_BYTES = 64 << 20
+LIST_ROWS = 20_000  # vectors of a list, or queries of a list, that meet in one task
+SAMPLE_PER_LIST = 256
 
 
 def _unit(vec_col: str):
@@ -31,61 +43,117 @@ def _unit(vec_col: str):
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def ivf_build(corpus: DataFrame, lists: int = 100, id_col: str = "id", vector_col: str = "embedding",
-              seed: int = 42, max_iter: int = 20, materialize: bool = False):
-    """Returns (index, centroids): index = (id, list_id, vector), centroids = (list_id, centroid).
-    ``materialize=True`` checkpoints the assigned index into the shared checkpoint folder, so
-    repeated probes neither re-run the assignment nor depend on lost executors' blocks."""
+def ivf_train(corpus: DataFrame, lists: int = 100, id_col: str = "id", vector_col: str = "embedding",
+              seed: int = 42, max_iter: int = 20, sample_per_list: int = SAMPLE_PER_LIST) -> DataFrame:
+    """Unit centroids (list_id, centroid) of KMeans over a sample of about ``lists`` x
+    ``sample_per_list`` vectors, those whose id hash is smallest; all vectors where there are no more."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    checkpoint_root(corpus.sparkSession)  # KMeans checkpoints into the shared folder
-    data = corpus.select(F.col(id_col).alias("id"), _unit(vector_col).alias("vector")) \
-        .withColumn("features", array_to_vector("vector"))
-    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="list_id", initMode="k-means||").fit(data)
-    index = model.transform(data).select("id", F.col("list_id").cast("int").alias("list_id"), "vector")
-    if materialize:
-        index = cut_lineage(index)
-    cents = model.clusterCenters()
     spark = corpus.sparkSession
-    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(cents)],
-                                      "list_id int, centroid array<double>")
-    return index, centroids
-
-
-def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int = 5, nprobe: int = 10,
-               query_id: str = "qid", query_vec: str = "query_vector", block_rows: int = 20_000) -> DataFrame:
-    """Approximate cosine top-k per query; output (qid, id, score, rank)."""
-    q = queries.select(F.col(query_id).cast("long").alias("__qid"), _unit(query_vec).alias("__qv"))
-    # nearest nprobe centroids per query: the centroid table has ``lists`` rows, a proven bound,
-    # so it travels as a broadcast variable and the probe runs inside the query scan
-    cents = centroids.orderBy("list_id").collect()
-    cmat = np.asarray([r["centroid"] for r in cents], dtype=np.float64)
-    cids = np.asarray([r["list_id"] for r in cents], dtype=np.int64)
-    bc = queries.sparkSession.sparkContext.broadcast((cids, cmat))
-    probe_schema = T.StructType([T.StructField("__qid", T.LongType()), T.StructField("__qv", T.ArrayType(T.DoubleType())),
-                                 T.StructField("list_id", T.IntegerType())])
-    npr = min(nprobe, len(cids))
-
-    def probe(batches):
+    checkpoint_root(spark)  # KMeans checkpoints into the shared folder
+    rows = corpus.filter(_scorable(vector_col))
+    n = rows.count()
+    share = min(1.0, lists * sample_per_list / n) if n else 1.0
+    some = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+    size = rows.select(F.min_by(F.size(vector_col), F.col(id_col))).first()[0] or 0
+    if lists * size * 8 > MAX_CENTROID_BYTES:
+        raise ValueError(f"{lists} centroids of {size} components exceed the {MAX_CENTROID_BYTES} bytes that are broadcast")
+    data = rows.filter(some & (F.size(vector_col) == size)).select(array_to_vector(_unit(vector_col)).alias("features"))
+    model = KMeans(k=max(lists, 2), seed=seed, maxIter=max_iter, featuresCol="features",
+                   predictionCol="list_id", initMode="k-means||").fit(data.cache())
+    data.unpersist()
+    cents = [np.asarray(c) for c in model.clusterCenters()]
+    return spark.createDataFrame([(i, (c / (np.linalg.norm(c) or 1.0)).tolist()) for i, c in enumerate(cents)],
+                                 "list_id int, centroid array<double>")
+
+
+def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of at most ``MAX_CENTROID_BYTES`` (checked when they were trained)."""
+    rows = centroids.orderBy("list_id").collect()
+    return (np.asarray([r["list_id"] for r in rows], dtype=np.int64),
+            np.asarray([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
+
+
+def _nearest_lists(df: DataFrame, vec_col: str, centroids, nprobe: int) -> DataFrame:
+    """One row per row of ``df`` and list among its ``nprobe`` nearest, with ``list_id``."""
+    bc = df.sparkSession.sparkContext.broadcast(centroids)
+    dim = centroids[1].shape[1]
+    npr = min(nprobe, len(centroids[0]))
+    schema = T.StructType([*df.schema.fields, T.StructField("list_id", T.IntegerType())])
+
+    def near(batches):
         ids, mat = bc.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            qm = _stack(pdf["__qv"], mat.shape[1])
-            s = qm @ mat.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :npr]
-            yield pd.DataFrame({"__qid": np.repeat(pdf["__qid"].to_numpy(), npr),
-                                "__qv": np.repeat(pdf["__qv"].to_numpy(), npr),
-                                "list_id": ids[top.ravel()].astype(np.int32)})
-
-    probes = q.mapInPandas(probe, probe_schema)
-    sizes = index.groupBy("list_id").count().agg(F.max("count")).first()[0] or 0
-    subs = max(1, math.ceil(sizes / block_rows))
-    idx = index.withColumn("sub", F.pmod(F.xxhash64("id"), F.lit(subs)))
-    probes = probes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)).cast("array<long>")))
-    dim = len(cmat[0]) if len(cmat) else 0
+            s = _stack(pdf[vec_col], dim) @ mat.T
+            top = np.argsort(-s, axis=1, kind="stable")[:, :npr] if npr > 1 else s.argmax(axis=1)[:, None]
+            out = pdf.loc[pdf.index.repeat(npr)].reset_index(drop=True)
+            yield out.assign(list_id=ids[top.ravel()].astype(np.int32))
+
+    return df.filter(_scorable(vec_col) & (F.size(vec_col) == dim)).mapInPandas(near, schema)
+
+
+def ivf_build(corpus: DataFrame, lists: int = 100, id_col: str = "id", vector_col: str = "embedding",
+              seed: int = 42, max_iter: int = 20, materialize: bool = False):
+    """Returns (index, centroids): index = (id, vector, list_id), centroids = (list_id, centroid).
+    ``materialize=True`` checkpoints the assigned index into the shared checkpoint folder, so
+    repeated probes neither re-run the assignment nor depend on lost executors' blocks."""
+    centroids = ivf_train(corpus, lists, id_col, vector_col, seed, max_iter)
+    data = corpus.select(F.col(id_col).alias("id"), _unit(vector_col).alias("vector"))
+    index = _nearest_lists(data, "vector", _centroid_matrix(centroids), 1)
+    return (cut_lineage(index) if materialize else index), centroids
+
+
+# ------------------------------------------------------------------ stored index
+def ivf_store(corpus: DataFrame, path: str, lists: int = 100, id_col: str = "id", vector_col: str = "embedding",
+              seed: int = 42, max_iter: int = 20, list_rows: int = LIST_ROWS) -> None:
+    """Write the index under ``path``: ``centroids``, ``lists`` (list_id, n, parts) and ``vectors``
+    (id, vector, part) partitioned by list_id."""
+    spark = corpus.sparkSession
+    index, centroids = ivf_build(corpus, lists, id_col, vector_col, seed, max_iter)
+    centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    assigned = scratch_path(spark, "ivf-assigned")
+    index.write.parquet(assigned)
+    index = spark.read.schema(index.schema).parquet(assigned)
+    sizes = (index.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int")))
+    sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
+    sizes = spark.read.parquet(f"{path}/lists")
+    cut = (index.join(F.broadcast(sizes.select("list_id", "parts")), "list_id")  # one row per list
+           .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"))
+    cut.repartition("list_id", "part").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/vectors")
+
+
+def ivf_probe(queries: DataFrame, path: str, k: int = 5, nprobe: int = 10, query_id: str = "qid",
+              query_vec: str = "query_vector", query_rows: int = LIST_ROWS) -> DataFrame:
+    """Approximate cosine top-k per query from the index stored at ``path``; (qid, id, score, rank).
+
+    The probes are written under the checkpoint folder and read twice: to prune the scan of the
+    vectors by a join with the probed lists, and to meet the vectors of their lists."""
+    spark = queries.sparkSession
+    q = queries.select(F.col(query_id).cast("long").alias("__qid"), _unit(query_vec).alias("__qv"))
+    found = _nearest_lists(q, "__qv", _centroid_matrix(spark.read.parquet(f"{path}/centroids")), nprobe)
+    folder = scratch_path(spark, "ivf-probes")
+    found.write.parquet(folder)
+    found = spark.read.schema(found.schema).parquet(folder)
+    sizes = spark.read.parquet(f"{path}/lists")
+    # one row per probed list: in how many blocks its queries come, and in how many parts its vectors
+    met = (found.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("blocks"))
+           .join(F.broadcast(sizes.select("list_id", "parts")), "list_id"))
+    left = (found.join(F.broadcast(met), "list_id")
+            .withColumn("block", F.pmod(F.xxhash64("__qid"), F.col("blocks")).cast("int"))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("list_id", "part", "block", "__qid", "__qv"))
+    # the comparison marks the probed lists as a selection, which is what lets them prune partitions
+    right = (spark.read.parquet(f"{path}/vectors").join(F.broadcast(met.filter("list_id >= 0")), "list_id")
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("list_id", "part", "block", "id", "vector"))
+    return _top_of_groups(left, right, ["list_id", "part", "block"], k, query_id)
+
+
+def _top_of_groups(left: DataFrame, right: DataFrame, keys: list[str], k: int, query_id: str) -> DataFrame:
     schema = T.StructType([T.StructField("__qid", T.LongType()), T.StructField("__cid", T.LongType()),
                            T.StructField("score", T.DoubleType())])
 
@@ -93,18 +161,38 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: in
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({"__qid": [], "__cid": [], "score": []})
         qids = qpdf["__qid"].to_numpy(dtype=np.int64)
-        qm = _stack(qpdf["__qv"], dim)
-        cm = _stack(cpdf["vector"], dim)
-        ids = cpdf["id"].to_numpy(dtype=np.int64)
-        qi, cid, sc = _score_chunked(cm, ids, qm, "dot", k, None, None)  # both sides are unit vectors
+        dim = len(qpdf["__qv"].iloc[0])
+        qm, cm = _stack(qpdf["__qv"], dim), _stack(cpdf["vector"], dim)
+        qi, cid, sc = _score_chunked(cm, cpdf["id"].to_numpy(dtype=np.int64), qm, "dot", k, None, None)  # unit vectors
         return pd.DataFrame({"__qid": qids[qi], "__cid": cid, "score": sc})
 
-    partial = probes.groupBy("list_id", "sub").cogroup(idx.groupBy("list_id", "sub")).applyInPandas(score, schema)
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
     w = Window.partitionBy("__qid").orderBy(F.col("score").desc(), F.col("__cid").asc())
     out = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.select(F.col("__qid").alias(query_id), F.col("__cid").alias("id"), "score", "rank")
 
 
+def recall_rows(approx: DataFrame, exact: DataFrame, query_id: str = "qid") -> DataFrame:
+    """Recall as data: per query of the exact result, how many hits it ``wanted`` and how many of
+    them the approximate one ``found``."""
+    hit = approx.select(query_id, "id", F.lit(1).alias("__hit"))
+    return (exact.select(query_id, "id").join(hit, [query_id, "id"], "left").groupBy(query_id)
+            .agg(F.count(F.lit(1)).alias("wanted"), F.count("__hit").alias("found")))
+
+
+def ivf_search(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int = 5, nprobe: int = 10,
+               query_id: str = "qid", query_vec: str = "query_vector", block_rows: int = LIST_ROWS) -> DataFrame:
+    """Approximate cosine top-k per query against an index that is a table of rows (see
+    :func:`ivf_build`); output (qid, id, score, rank)."""
+    q = queries.select(F.col(query_id).cast("long").alias("__qid"), _unit(query_vec).alias("__qv"))
+    probes = _nearest_lists(q, "__qv", _centroid_matrix(centroids), nprobe)
+    sizes = index.groupBy("list_id").count().agg(F.max("count")).first()[0] or 0
+    subs = max(1, math.ceil(sizes / block_rows))
+    idx = index.withColumn("sub", F.pmod(F.xxhash64("id"), F.lit(subs)))
+    probes = probes.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)).cast("array<long>")))
+    return _top_of_groups(probes, idx, ["list_id", "sub"], k, query_id)
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "qid") -> DataFrame:
     """Fraction of exact top-k ids that the approximate search also returned (one row)."""
     hit = exact.join(approx.select(query_id, "id"), [query_id, "id"], "left_semi")
@@ -117,18 +205,16 @@ def ivf_write(index: DataFrame, path: str, mode: str = "overwrite") -> None:
     index.write.mode(mode).partitionBy("list_id").parquet(path)
 
 
-def ivf_search_one(spark, query, index_path: str, centroids: DataFrame, k: int = 5, nprobe: int = 10) -> DataFrame:
+def ivf_search_one(spark: SparkSession, query, index_path: str, centroids: DataFrame, k: int = 5, nprobe: int = 10) -> DataFrame:
     """Approximate cosine top-k for one query vector against a stored index: the nprobe nearest
     centroids are picked on the driver (the centroid table is bounded by the list count), and
     the scan of ``index_path`` is pruned to those list partitions before any vector is read."""
     from .vectors import cosine_topk
 
-    cents = centroids.orderBy("list_id").collect()
-    cmat = np.asarray([r["centroid"] for r in cents], dtype=np.float64)
-    ids = [int(r["list_id"]) for r in cents]
+    ids, cmat = _centroid_matrix(centroids)
     q = np.asarray(list(query), dtype=np.float64)
     qn = q / (np.linalg.norm(q) or 1.0)
     order = np.argsort(-(cmat @ qn), kind="stable")[:min(nprobe, len(ids))]
-    probed = [ids[i] for i in order]
+    probed = [int(ids[i]) for i in order]
     part = spark.read.parquet(index_path).filter(F.col("list_id").isin(probed))
     return cosine_topk(part.withColumnRenamed("vector", "embedding"), qn.tolist(), k=k)

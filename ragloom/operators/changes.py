@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .predicates import as_of_col, cutoff
 
@@ -26,8 +27,14 @@ def insert_unique(target: DataFrame, new: DataFrame, key: str, order_col: str |
 
     Returns ``(to_insert, rejected)``; ``rejected`` carries a ``reason`` column ('exists' or
     'duplicate') and every other row of ``new``, as often as it is there. Equal rows are counted with a
-    map-side phase, so a hot key is reduced before the shuffle. A null key exists nowhere."""
+    map-side phase, so a hot key is reduced before the shuffle. A null key exists nowhere. Maps,
+    which can be neither grouped nor ordered, take part as their sorted entries."""
     cols = new.columns
+    maps = [f.name for f in new.schema.fields if isinstance(f.dataType, T.MapType)]
+    if maps:
+        flat = new.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps})
+        return tuple(out.withColumns({c: F.map_from_entries(c) for c in maps}).select(*out.columns)
+                     for out in insert_unique(target, flat, key, order_col))
     row = F.struct(*[F.col(c) for c in cols])
     counted = new.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     order = F.struct(F.col(order_col or cols[0]), row)
@@ -78,11 +85,9 @@ def clear_by_type(df: DataFrame, model_type: str | None = None, type_col: str =
 
 
 def distinct_values(df: DataFrame, col: str, group_cols: list[str] | None = None) -> DataFrame:
-    """Distinct values of an array or scalar column, optionally per group, sorted."""
+    """Distinct values of an array or scalar column, optionally per group, a row each."""
     c = F.col(col)
     is_array = dict(df.dtypes)[col].startswith("array")
     if is_array:
         df = df.select(*(group_cols or []), F.explode(c).alias(col))
-    if group_cols:
-        return df.groupBy(*group_cols).agg(F.sort_array(F.collect_set(col)).alias(f"distinct_{col}"))
-    return df.select(col).distinct()
+    return df.select(*(group_cols or []), col).distinct()

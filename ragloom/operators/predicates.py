@@ -45,7 +45,7 @@ def cutoff(as_of, amount: int, unit: str) -> Column:
 
 # ------------------------------------------------------------------------ P1
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
-    """The first row whose ``key`` equals ``value`` (ordered by the key for stability)."""
+    """A row whose ``key`` equals ``value``; the key is unique in the tables it is for."""
     return df.filter(F.col(key) == value).limit(1)
 
 
@@ -67,10 +67,20 @@ def filter_by_tags(df: DataFrame, tags: list[str], limit: int | None = None,
 
 
 # ------------------------------------------------------------------------ P3/P4
+def bound(value, kind) -> Column:
+    """A bound as a literal of the column's own type: a one-row DataFrame is read once, a datetime or
+    text is cast. A literal of another type would cast the column and keep the scan from
+    pruning row groups."""
+    if isinstance(value, DataFrame):
+        value = value.first()[0]
+    return value if isinstance(value, Column) else F.lit(value).cast(kind)
+
+
 def filter_by_date_range(df: DataFrame, start, end, ts_col: str = "created_at") -> DataFrame:
-    """Start <= ts <= end (inclusive both ends); two plain comparisons so both bounds can
-    reach the scan."""
-    return df.filter((F.col(ts_col) >= as_of_col(start)) & (F.col(ts_col) <= as_of_col(end)))
+    """Start <= ts <= end (inclusive both ends). Bounds are resolved into literals, so both
+    comparisons reach the scan and prune row groups."""
+    kind = df.schema[ts_col].dataType
+    return df.filter((F.col(ts_col) >= bound(start, kind)) & (F.col(ts_col) <= bound(end, kind)))
 
 
 def filter_recent(df: DataFrame, amount: int, unit: str = "hours", as_of=None,
@@ -253,6 +263,9 @@ def classify_thresholds(df: DataFrame, memory_col="memory_percent", cpu_col="cpu
     return out
 
 
+MAX_RULES = 1000
+
+
 def threshold_rules(spark) -> DataFrame:
     """The resource thresholds as a small dimension table (check, column, critical, warning)."""
     cols = {"memory": "memory_percent", "cpu": "cpu_percent", "disk": "disk_usage_percent", "gpu": "gpu_utilization"}
@@ -264,9 +277,13 @@ def classify_with_rules(df: DataFrame, rules: DataFrame, id_col: str = "id") ->
     """P10 with the thresholds as data: one (id, check, status) row per reading and rule.
 
     Readings are unpivoted into (column, value) pairs and joined to the rule table, which is
-    bounded by the number of checks and therefore broadcast; the classification is the same
-    strict critical > warning > healthy order, null readings are unknown."""
-    value_cols = [r["column"] for r in rules.select("column").distinct().collect()]  # a handful of rules
+    broadcast: at most ``MAX_RULES`` rules are read to name the columns, more are an error. The
+    classification is the same strict critical > warning > healthy order, null readings are unknown."""
+    named = rules.limit(MAX_RULES + 1).collect()
+    if len(named) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    value_cols = sorted({r["column"] for r in named})
+    rules = df.sparkSession.createDataFrame(named, rules.schema)
     long = df.select(id_col, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in value_cols])).alias("r"))
     j = long.select(id_col, "r.column", "r.value").join(F.broadcast(rules), "column")

@@ -12,6 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
+
 def ts_text(c):
     """Timestamps leave the catalogue as text with microseconds, identical in both engines."""
     from pyspark.sql import functions as F
@@ -36,6 +39,7 @@ def register(name: str, sql: str | None = None):
             # the catalogue's dates and times are defined in UTC, whatever session it runs in
             if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__

@@ -188,7 +188,7 @@ def a12_error_stats(spark, sf):
 SELECT model_type, count(*) AS misses, CAST(sum(access_count) AS BIGINT) AS hits,
        CAST(sum(CASE WHEN device = 'cpu' THEN size_bytes ELSE 0 END) AS BIGINT) AS cpu_bytes,
        CAST(sum(CASE WHEN device <> 'cpu' THEN size_bytes ELSE 0 END) AS BIGINT) AS gpu_bytes,
-       array_to_string(list_sort(list_distinct(list(model_name))), ',') AS model_names,
+       count(DISTINCT model_name) AS model_names,
        CAST(sum(access_count) + count(*) AS BIGINT) AS requests,
        round(sum(access_count) / (sum(access_count) + count(*)), 6) AS hit_rate,
        round(sum(access_count) / (sum(access_count) + count(*)) * 100, 6) AS hit_rate_percent
@@ -196,10 +196,16 @@ FROM cache GROUP BY model_type""", "cache"))
 def a13_cache_stats(spark, sf):
     s = G.cache_stats(A.cache_entries(spark, sf))
     return s.select("model_type", "misses", "hits", "cpu_bytes", "gpu_bytes",
-                    F.array_join("model_names", ",").alias("model_names"), "requests",
+                    "model_names", "requests",
                     _r(F.col("hit_rate")).alias("hit_rate"), _r(F.col("hit_rate_percent")).alias("hit_rate_percent"))
 
 
+@register("a13_cache_model_names", with_views("""
+SELECT DISTINCT model_type, model_name FROM cache WHERE model_name IS NOT NULL""", "cache"))
+def a13_cache_model_names(spark, sf):
+    return G.cache_model_names(A.cache_entries(spark, sf))
+
+
 STATUS_COLS = ["system_status", "memory_status", "cpu_status", "disk_status", "gpu_status", "cache_status"]
 
 

@@ -144,6 +144,19 @@ def f9_cache_key(spark, sf):
     return c.select("cache_key", T.cache_key("model_type", "model_name").alias("hashed"))
 
 
+@register("f9_cache_key_params", """
+SELECT event_id, md5(event_type || ':m' || CAST(user_id % 5 AS VARCHAR) || ':{"device":"gpu","user":"' || CAST(user_id AS VARCHAR)
+           || '"' || CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '' ELSE ',"z":"' || json_extract_string(props, '$.k') || '"' END
+           || '}') AS hashed FROM events""")
+def f9_cache_key_params(spark, sf):
+    """Parameters, given in another order, take part sorted by key."""
+    ev = A.read_table(spark, sf, "events")
+    params = F.create_map(F.lit("z"), F.get_json_object("props", "$.k"), F.lit("user"), F.col("user_id").cast("string"),
+                          F.lit("device"), F.lit("gpu"))
+    params = F.map_filter(params, lambda k, v: v.isNotNull())
+    return ev.select("event_id", T.cache_key("event_type", F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")), params).alias("hashed"))
+
+
 @register("f10_json_text", with_views("SELECT id, model_config ->> 'k' AS k FROM generations", "generations"))
 def f10_json_text(spark, sf):
     g = A.generations(spark, sf)
@@ -209,6 +222,93 @@ def f15_split_known_fields(spark, sf):
     return ev.select("event_id", *T.split_known_fields(m, ["k"]))
 
 
+@register("f15_remainder", """
+SELECT event_id, event_type AS description, CAST(NULL AS VARCHAR) AS tags, CAST(user_id AS VARCHAR) AS width,
+       '{"k":"' || json_extract_string(props, '$.k') || '","source":"log ' || CAST(event_id % 3 AS VARCHAR) || '"}' AS extra_json
+FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def f15_remainder(spark, sf):
+    """Known fields as columns (absent ones null), the others kept as JSON."""
+    ev = A.read_table(spark, sf, "events").filter(F.get_json_object("props", "$.k").isNotNull())
+    meta = F.create_map(F.lit("description"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"),
+                        F.lit("width"), F.col("user_id").cast("string"),
+                        F.lit("source"), F.concat(F.lit("log "), (F.col("event_id") % 3).cast("string")))
+    known = T.split_known_fields(meta, ["description", "tags", "width"])
+    return ev.select("event_id", *known)
+
+
+REGISTRY_TEXT_SQL = "registry AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{n}', '{t}', '{d}', {i})" for i, (n, t, d, _u) in enumerate(R.DEFAULT_METRICS)) + ") v(name, type, description, reg_seq))"
+
+
+@register("k4_metrics_file", with_views(f""", {REGISTRY_TEXT_SQL},
+named AS (SELECT CASE event_type WHEN 'click' THEN 'api_requests_total' WHEN 'error' THEN 'cpu_usage_percent' ELSE event_type END AS name,
+                 value, CAST(ts AS TIMESTAMP) AS ts, event_id AS seq, CAST(user_id AS VARCHAR) AS u FROM events),
+latest AS (SELECT name, arg_max(value, (ts, seq)) AS v, arg_max(u, (ts, seq)) AS u FROM named GROUP BY name)
+SELECT row_number() OVER (ORDER BY reg_seq, n) AS n, line FROM (
+  SELECT r.reg_seq, n, line FROM registry r JOIN latest l ON l.name = r.name,
+    LATERAL (SELECT * FROM (VALUES (0, '# HELP ' || r.name || ' ' || r.description), (1, '# TYPE ' || r.name || ' ' || r.type),
+             (2, r.name || '{{user="' || l.u || '"}} ' || CAST(l.v AS VARCHAR))) v(n, line)) x) t""", "samples"))
+def k4_metrics_file(spark, sf):
+    """Two registered metrics with samples, exported as one text file in registry order and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import export_prometheus
+    named = F.when(F.col("name") == "click", "api_requests_total").when(F.col("name") == "error", "cpu_usage_percent").otherwise(F.col("name"))
+    samples = A.metric_samples(spark, sf).withColumn("name", named)
+    path = scratch_path(spark, "metrics-file")
+    export_prometheus(R.default_registry(spark), G.latest_metric_values(samples), path)
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    return lines.select((F.col("at") + 1).alias("n"), F.col("value").alias("line"))
+
+
+@register("u2_checks", with_views("""
+SELECT id, unnest(['memory', 'broken', 'silent']) AS "check",
+       unnest([CASE WHEN memory_mb > 1024 THEN 'critical' ELSE 'healthy' END, 'unknown',
+               CASE WHEN cpu_percent > 80 THEN 'warning' ELSE 'unknown' END]) AS status FROM sysmetrics""", "sysmetrics"))
+def u2_checks(spark, sf):
+    """User checks over every reading: one that fails on some row is unknown, the others are answered."""
+    checks = R.CheckRegistry()
+    checks.register_check("memory", F.when(F.col("memory_mb") > 1024, "critical").otherwise("healthy"))
+    checks.register_check("broken", F.when(F.concat(F.lit("n"), F.col("id").cast("string")).cast("int") > 0, "healthy"))
+    checks.register_check("silent", F.when(F.col("cpu_percent") > 80, "warning"))
+    return checks.evaluate(A.system_metrics(spark, sf), keep=["id"])
+
+
+@register("u3_register_metrics", f"""
+WITH {REGISTRY_TEXT_SQL},
+fresh AS (SELECT 'metric_' || CAST(user_id AS VARCHAR) AS name, 'Seen ' || CAST(count(*) AS VARCHAR) AS description,
+                 1000 + user_id AS reg_seq FROM events GROUP BY user_id)
+SELECT name, type, description, CAST(reg_seq AS BIGINT) AS reg_seq FROM registry WHERE name <> 'cpu_usage_percent'
+UNION ALL SELECT 'cpu_usage_percent', 'histogram', 'again', CAST(reg_seq AS BIGINT) FROM registry WHERE name = 'cpu_usage_percent'
+UNION ALL SELECT name, 'gauge', description, CAST(reg_seq AS BIGINT) FROM fresh""")
+def u3_register_metrics(spark, sf):
+    """A definition per user merged into the registry, twice; then one default is registered again."""
+    ev = A.read_table(spark, sf, "events").groupBy("user_id").count()
+    fresh = ev.select(F.concat(F.lit("metric_"), F.col("user_id").cast("string")).alias("name"), F.lit("gauge").alias("type"),
+                      F.concat(F.lit("Seen "), F.col("count").cast("string")).alias("description"), F.lit("").alias("unit"),
+                      F.create_map().cast("map<string,string>").alias("labels"), (F.lit(1000) + F.col("user_id")).alias("reg_seq"))
+    registry = R.register_metrics(R.register_metrics(R.default_registry(spark), fresh), fresh)
+    registry = R.register_metric(registry, "cpu_usage_percent", "histogram", "again")
+    return registry.select("name", "type", "description", "reg_seq")
+
+
+U1_COUNTS_SQL = """
+t AS (SELECT {id}, unnest(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\pL\\pN]+'),
+                                      lambda x: x <> '')) AS tok FROM {table}),
+h AS (SELECT {id}, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS INTEGER) AS bucket,
+             CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
+c AS (SELECT {id}, bucket, sum(s)::DOUBLE AS n FROM h GROUP BY {id}, bucket HAVING sum(s) <> 0)"""
+
+
+@register("u1_vectors", f"""WITH {U1_COUNTS_SQL.format(id='doc_id', text='text', table='documents')}
+SELECT doc_id, bucket, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM c""")
+def u1_vectors(spark, sf):
+    """The default encoder's unit vectors (md5 form) of every whole document, a row per nonzero component."""
+    d = A.read_table(spark, sf, "documents").select("doc_id", "text")
+    e = HashingEncoder(dim=384, hash_fn="md5").transform(d, "text")
+    return (e.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).filter("value <> 0")
+            .select("doc_id", "bucket", F.round(F.col("value").cast("double"), 5).alias("value")))
+
+
 @register("u1_hashing_counts", """
 WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'),
                                              lambda x: x <> '')) AS tok FROM documents),

@@ -55,6 +55,78 @@ def s2_k2_annotations_json(spark, sf):
     return coco_items(back).select(F.col("item_id").alias("id"), "description")
 
 
+def _one_file(spark, lines, name):
+    """Lines (at, line) as one text file in the order of ``at``."""
+    path = scratch_path(spark, name)
+    lines.orderBy("at").coalesce(1).select("line").write.text(path)
+    return path
+
+
+def _array_lines(rows, value, section):
+    """JSON values as the lines of an array, a comma before all but the first; ``rows`` has ``id``."""
+    first = rows.select(F.min("id")).scalar()
+    return rows.select(F.struct(F.lit(section).alias("section"), F.col("id"), F.lit(0).alias("n")).alias("at"),
+                       F.concat(F.when(F.col("id") == first, F.lit("")).otherwise(F.lit(",")), F.to_json(value)).alias("line"))
+
+
+def _marks(spark, *marks):
+    """Lines that stand before (id -1) or after the values of a section."""
+    rows = [((section, place, 0), line) for section, place, line in marks]
+    return spark.createDataFrame(rows, "at struct<section:int,id:long,n:int>, line string")
+
+
+@register("s2_annotations_array", """
+SELECT doc_id AS id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0""")
+def s2_annotations_array(spark, sf):
+    """Documents as the captions of one JSON array in one file (texts with quotes, braces and line breaks)
+    -> S2 reader, several tasks a file -> the train split."""
+    d = A.read_table(spark, sf, "documents")
+    split = F.when(F.col("doc_id") % 3 == 0, "val").otherwise("train")
+    rows = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("coco/"), split, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_path"),
+                    F.array("text").alias("captions"), F.lit(1).alias("num_objects"))
+    lines = _array_lines(rows, F.struct("id", "image_path", "captions", "num_objects"), 0)
+    path = _one_file(spark, lines.unionByName(_marks(spark, (0, -1, "["), (1, 0, "]"))), "annotations-array")
+    back = R.read_annotations_json(spark, path, split="train", image_dir="coco")
+    return back.select("id", F.md5(F.col("captions")[0]).alias("h"))
+
+
+@register("s3_coco_instances", A.with_views("""
+SELECT c.name, count(*) AS annotations, count(DISTINCT i.id) AS images, CAST(sum(i.width) AS BIGINT) AS width
+FROM coco_ann a JOIN coco_images i ON i.id = a.image_id JOIN coco_cat c ON c.id = a.category_id GROUP BY c.name""",
+                                                "coco_images", "coco_ann", "coco_cat"))
+def s3_coco_instances(spark, sf):
+    """Images, annotations and categories as one instances document in one file -> S3 reader -> the
+    three tables joined."""
+    images = _array_lines(A.coco_images(spark, sf), F.struct("id", "file_name", "width", "height"), 0)
+    ann = A.read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                                                     F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"))
+    ann = _array_lines(ann, F.struct("id", "image_id", "category_id"), 1)
+    cats = _array_lines(A.coco_categories(spark, sf), F.struct("id", "name"), 2)
+    marks = _marks(spark, (0, -1, '{"info": {"year": 2017}, "images": ['), (1, -1, '], "annotations": ['),
+                   (2, -1, '], "categories": ['), (3, 0, "]}"))
+    path = _one_file(spark, images.unionByName(ann).unionByName(cats).unionByName(marks), "instances")
+    i, a, c = R.read_coco_instances(spark, path)
+    j = a.join(i, a["image_id"] == i["id"]).join(c.withColumnRenamed("id", "category_id"), "category_id")
+    return j.groupBy("name").agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct(i["id"]).alias("images"),
+                                 F.sum("width").alias("width"))
+
+
+@register("s8_photo_search", """
+SELECT format('image_{:03d}.jpg', n) AS image_filename, doc_id, tags, style FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id // 50, coalesce(lang, ''), doc_id) AS n,
+         concat_ws(',', lang, source) AS tags, 'page ' || CAST(doc_id // 50 AS VARCHAR) AS style FROM documents) t""")
+def s8_photo_search(spark, sf):
+    """Documents as search responses (50 ids a category, a term per language, a photo per document) -> S8
+    metadata rows, numbered over all photos."""
+    d = A.read_table(spark, sf, "documents").withColumn("page", F.expr("doc_id div 50").cast("int"))
+    photo = F.struct("doc_id", F.col("doc_id").cast("string").alias("alt"), F.array_compact(F.array("lang", "source")).alias("tags"))
+    terms = d.groupBy("page", F.coalesce("lang", F.lit("")).alias("term")).agg(F.sort_array(F.collect_list(photo)).alias("photos"))
+    pages = terms.groupBy(F.col("page").alias("category_pos")).agg(F.sort_array(F.collect_list(F.struct("term", "photos"))).alias("terms"))
+    pages = pages.withColumn("category", F.concat(F.lit("page "), F.col("category_pos").cast("string")))
+    flat = R.flatten_photo_search(pages)
+    return flat.select("image_filename", F.col("description").cast("long").alias("doc_id"), "tags", "style")
+
+
 @register("a16_log_performance_stats", """
 SELECT 'op' || CAST(user_id % 5 AS VARCHAR) AS operation, event_type AS component, count(*) AS n,
        round(avg(value), 6) AS avg_duration_ms, max(value) AS max_duration_ms,

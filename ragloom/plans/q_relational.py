@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -55,7 +57,8 @@ SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, status FR
 WHERE created_at BETWEEN {GEN_ASOF} - INTERVAL 7 DAYS AND {GEN_ASOF} - INTERVAL 3 DAYS""", "generations"))
 def p3_filter_by_date_range(spark, sf):
     g = A.generations(spark, sf)
-    return P.filter_by_date_range(g, P.cutoff(latest(g), 7, "days"), P.cutoff(latest(g), 3, "days")) \
+    end = latest(g).first()[0]
+    return P.filter_by_date_range(g, end - dt.timedelta(days=7), end - dt.timedelta(days=3)) \
         .select("id", ts_text("created_at").alias("created_at"), "status")
 
 
@@ -110,6 +113,64 @@ def p8_validate_requests(spark, sf):
     return v.select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), "accepted")
 
 
+def _checks_sql(checks, frm, key):
+    cases = ", ".join(f"CASE WHEN NOT ({cond}) THEN '{name}' END" for name, cond in checks.items())
+    return (f"SELECT {key}, array_to_string(vs, ',') AS violations, len(vs) = 0 AS accepted FROM ("
+            f"SELECT {key}, list_filter([{cases}], lambda x: x IS NOT NULL) AS vs FROM ({frm}) r) v")
+
+
+def _violations(df, rules, key):
+    return P.validate_requests(df, rules).select(key, F.array_join("violations", ",").alias("violations"), "accepted")
+
+
+@register("p8_validate_search", _checks_sql(
+    {"query_length": "length(query) BETWEEN 1 AND 500", "query_empty_after_sanitize": f"length({F1_SQL.format(c='query')}) > 0",
+     "k_range": "k BETWEEN 1 AND 50", "threshold_range": "threshold BETWEEN 0.0 AND 1.0"},
+    "SELECT doc_id, text AS query, doc_id % 60 AS k, n_chars / 1000.0 AS threshold FROM documents", "doc_id"))
+def p8_validate_search(spark, sf):
+    d = A.read_table(spark, sf, "documents")
+    return _violations(d.select("doc_id", F.col("text").alias("query"), (F.col("doc_id") % 60).alias("k"),
+                                (F.col("n_chars") / 1000.0).alias("threshold")), P.SEARCH_RULES, "doc_id")
+
+
+@register("p8_validate_rag", _checks_sql(
+    {"prompt_length": "length(prompt) BETWEEN 1 AND 1000", "prompt_empty_after_sanitize": f"length({F1_SQL.format(c='prompt')}) > 0",
+     "examples_range": "similar_examples_count BETWEEN 1 AND 10"},
+    "SELECT doc_id, text AS prompt, doc_id % 12 AS similar_examples_count FROM documents", "doc_id"))
+def p8_validate_rag(spark, sf):
+    d = A.read_table(spark, sf, "documents")
+    return _violations(d.select("doc_id", F.col("text").alias("prompt"), (F.col("doc_id") % 12).alias("similar_examples_count")),
+                       P.RAG_RULES, "doc_id")
+
+
+@register("p8_validate_page", _checks_sql(
+    {"limit_range": "\"limit\" BETWEEN 1 AND 100", "offset_non_negative": "\"offset\" >= 0"},
+    "SELECT event_id, user_id % 150 AS \"limit\", event_id % 7 - 1 AS \"offset\" FROM events", "event_id"))
+def p8_validate_page(spark, sf):
+    e = A.read_table(spark, sf, "events")
+    return _violations(e.select("event_id", (F.col("user_id") % 150).alias("limit"), (F.col("event_id") % 7 - 1).alias("offset")),
+                       P.PAGE_RULES, "event_id")
+
+
+@register("p8_validate_upload", _checks_sql(
+    {"content_type_image": "starts_with(content_type, 'image/')", "size_limit": "size_bytes <= 10485760"},
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'text/plain' WHEN page_id % 3 = 1 THEN 'image/png' END AS content_type,
+       strlen(html) * 4000 AS size_bytes FROM pages""", "page_id"))
+def p8_validate_upload(spark, sf):
+    p = A.read_table(spark, sf, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "text/plain").when(F.col("page_id") % 3 == 1, "image/png")
+    return _violations(p.select("page_id", kind.alias("content_type"), (F.octet_length("html").cast("long") * 4000).alias("size_bytes")),
+                       P.UPLOAD_RULES, "page_id")
+
+
+@register("p8_validate_score", _checks_sql(
+    {"score_range": "similarity_score BETWEEN 0.0 AND 1.0"},
+    "SELECT vec_id, embedding[1]::DOUBLE AS similarity_score FROM embeddings", "vec_id"))
+def p8_validate_score(spark, sf):
+    e = A.read_table(spark, sf, "embeddings")
+    return _violations(e.select("vec_id", F.col("embedding")[0].cast("double").alias("similarity_score")), P.SCORE_RULES, "vec_id")
+
+
 P9_STEPS = "list_transform(string_split(p, '/'), lambda s: CASE WHEN s = '..' THEN -1 WHEN s IN ('.', '') THEN 0 ELSE 1 END)"
 
 
@@ -409,12 +470,10 @@ def d6_distinct_tags(spark, sf):
 
 
 @register("d6_distinct_per_group", """
-SELECT p_brand, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ',') AS words
-FROM part GROUP BY p_brand""")
+SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS tags FROM part""")
 def d6_distinct_per_group(spark, sf):
     p = A.read_table(spark, sf, "part").select("p_brand", F.split("p_name", " ").alias("tags"))
-    d = D.distinct_values(p, "tags", ["p_brand"])
-    return d.select("p_brand", F.array_join("distinct_tags", ",").alias("words"))
+    return D.distinct_values(p, "tags", ["p_brand"])
 
 
 @register("f1_normalize_text", f"""

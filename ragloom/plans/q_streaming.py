@@ -11,14 +11,25 @@ from .catalog import register, ts_text
 from .q_windows import _w1_sql
 
 
+def replayed_events(spark, sf, name, **kw):
+    """The events as a stream of three files in time order, then a closing row."""
+    ev = A.read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.replay(ev, name, **kw)
+
+
 def event_stream(spark, sf):
     schema = A.read_table(spark, sf, "events").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def sample_stream(spark, sf):
-    return event_stream(spark, sf).select(F.col("event_type").alias("name"), "value",
-                                          F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+def sample_stream(spark, sf, name, **kw):
+    return replayed_events(spark, sf, name, **kw).select(F.col("event_type").alias("name"), "value", "ts",
+                                                         F.col("event_id").alias("seq"))
+
+
+def request_stream(events):
+    return events.select(F.col("event_id").alias("request_id"),
+                         F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("client_id"), "ts")
 
 
 @register("st1_rolling_metric_stats", """
@@ -28,7 +39,9 @@ w AS (SELECT name, value, time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MI
 SELECT name, strftime(window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS count, min(value) AS min, max(value) AS max,
        round(avg(value), 6) AS avg, round(sum(value), 6) AS sum FROM w GROUP BY name, window_start""")
 def st1_rolling_metric_stats(spark, sf):
-    r = S.run_to_table(spark, S.rolling_metric_stats(sample_stream(spark, sf)), "st1")
+    """Rolling windows in append mode over several micro-batches, rows out of order within the lateness."""
+    samples = sample_stream(spark, sf, "st1", jitter="5 minutes")
+    r = S.run_to_table(spark, S.rolling_metric_stats(samples), "st1")
     return r.select("name", ts_text(F.col("window.start")).alias("window_start"), "count", "min", "max",
                     F.round("avg", 6).alias("avg"), F.round("sum", 6).alias("sum"))
 
@@ -48,24 +61,19 @@ def st2_threshold_alerts(spark, sf):
 
 @register("st3_rate_limit", _w1_sql(60, 60))
 def st3_rate_limit(spark, sf):
-    ev = event_stream(spark, sf)
-    req = ev.select(F.col("event_id").alias("request_id"),
-                    F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("client_id"),
-                    F.col("ts").cast("timestamp").alias("ts"))
-    r = S.run_to_table(spark, S.rate_limit_stream(req, 60, 60), "st3", mode="append")
+    """The limiter on a stream of several micro-batches, requests out of order within the lateness."""
+    requests = request_stream(replayed_events(spark, sf, "st3", jitter="100 seconds"))
+    r = S.run_to_table(spark, S.rate_limit_stream(requests, 60, 60), "st3")
     return r.select("request_id", "client_id", "n_in_window", "allowed", "remaining")
 
 
 @register("st3_rate_limit_micro_batches", _w1_sql(60, 60))
 def st3_rate_limit_micro_batches(spark, sf):
-    """ST3 as micro-batches scored by the batch limiter with the last window carried over."""
+    """ST3 as micro-batches scored by the batch limiter, requests held back until none earlier can come."""
     from ..session import scratch_path
-    ev = event_stream(spark, sf)
-    req = ev.select(F.col("event_id").alias("request_id"),
-                    F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("client_id"),
-                    F.col("ts").cast("timestamp").alias("ts"))
+    requests = request_stream(replayed_events(spark, sf, "st3b", jitter="100 seconds"))
     out = scratch_path(spark, "st3b-out")
-    S.rate_limit_micro_batches(req, out, 60, 60).awaitTermination()
+    S.rate_limit_micro_batches(requests, out, 60, 60, lateness_seconds=120).awaitTermination()
     return spark.read.parquet(out).select("request_id", "client_id", "n_in_window", "allowed",
                                           F.col("remaining").cast("long").alias("remaining"))
 
@@ -143,8 +151,9 @@ SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, count(*) AS count, round(
        count(*) FILTER (WHERE event_type <> 'error') AS successful
 FROM events GROUP BY 1""")
 def st6_daily_trend(spark, sf):
-    ev = event_stream(spark, sf)
-    g = ev.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("generation_time_ms"),
+    """Days emitted in append mode once they are over by the watermark, from several micro-batches."""
+    ev = replayed_events(spark, sf, "st6", closing="3 days", jitter="6 hours")
+    g = ev.select(F.col("ts").alias("created_at"), F.col("value").alias("generation_time_ms"),
                   F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
     r = S.run_to_table(spark, S.daily_trend_stream(g), "st6")
     return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "count",
@@ -156,20 +165,26 @@ SELECT event_type AS name, arg_max(value, (ts, event_id)) AS value,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest_ts,
        count(*) AS total_values FROM events GROUP BY 1""")
 def st7_latest_value(spark, sf):
-    r = S.run_to_table(spark, S.latest_value_stream(sample_stream(spark, sf)), "st7")
-    return r.select("name", "value", ts_text("latest_ts").alias("latest_ts"), "total_values")
+    """The keyed table after several micro-batches that arrive out of order by days."""
+    from ..session import scratch_path
+    samples = sample_stream(spark, sf, "st7", files=5, closing=None, jitter="3 days")
+    table = scratch_path(spark, "st7-table")
+    S.upsert_latest(samples, table, compact_every=3).awaitTermination()
+    return S.latest_values(spark, table).select("name", "value", ts_text("latest_ts").alias("latest_ts"), "total_values")
 
 
 @register("st8_continuous_ingest", """
-SELECT source AS image_path, min(doc_id) AS doc_id FROM documents GROUP BY source""")
+SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.jpg' AS image_path, min(doc_id) AS doc_id, count(DISTINCT doc_id) AS n
+FROM documents GROUP BY 1""")
 def st8_continuous_ingest(spark, sf):
-    """Documents streamed in as catalogue rows keyed by their source folder: the first document
-    of every source is inserted once, repeats are rejected."""
+    """Every document streamed in under its own path, in several micro-batches and then once more by
+    a second stream with its own checkpoint: each is inserted once."""
     from ..session import scratch_path
-    schema = A.read_table(spark, sf, "documents").schema
-    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-            .select(F.col("source").alias("image_path"), "doc_id"))
+    docs = A.read_table(spark, sf, "documents")
+    rows = docs.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg"))).alias("image_path"),
+                       "doc_id", F.timestamp_micros(F.col("doc_id")).alias("ts"))
+    stream = S.replay(rows, "st8", closing=None)
     table = scratch_path(spark, "st8-table")
-    q = S.continuous_ingest(docs, table, key="image_path", order_col="doc_id")
-    q.awaitTermination()
-    return spark.read.parquet(table).select("image_path", "doc_id")
+    for _ in range(2):
+        S.continuous_ingest(stream, table, key="image_path", order_col="doc_id").awaitTermination()
+    return spark.read.parquet(table).groupBy("image_path").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))

@@ -68,7 +68,7 @@ def w4_evict_oldest(spark, sf):
 @register("w5_counter_rate", with_views("""
 SELECT name, seq, round(CASE WHEN el > 0 THEN (seq - s0) / el ELSE 0 END, 6) AS requests_per_sec FROM (
   SELECT name, seq, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY name))) / 1e6 AS el,
-         arg_min(seq, ts) OVER (PARTITION BY name) AS s0 FROM samples) t""", "samples"))
+         first_value(seq) OVER (PARTITION BY name ORDER BY ts, seq) AS s0 FROM samples) t""", "samples"))
 def w5_counter_rate(spark, sf):
     s = A.metric_samples(spark, sf).withColumn("total_requests", F.col("seq"))
     r = W.counter_rate(s, ["name"], counter_col="total_requests")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +42,31 @@ def get_session(master: str | None = None, app_name: str = "ragloom",
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the executors' Python workers, once per application: where it is
+    neither installed nor on a path that they are given, it is sent to them as a zip of compiled modules."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    given = [os.environ.get("PYTHONPATH", ""), sc.getConf().get("spark.executorEnv.PYTHONPATH", "")]
+    given = [p for g in given for p in g.split(os.pathsep) if p]
+    if sc.master.startswith("local"):
+        given.append(os.getcwd())  # the workers are started in the driver's folder
+    installed = os.path.basename(root) in ("site-packages", "dist-packages")
+    if not installed and root not in [os.path.abspath(p) for p in given]:
+        # read by the driver's own file server, which hands it to the executors
+        path = os.path.join(tempfile.mkdtemp(prefix="ragloom-"), "ragloom.zip")
+        with zipfile.PyZipFile(path, "w") as z:
+            z.writepy(package)
+        sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..operators.joins import keep_existing_files
 from ..operators.ordering import head_n
+from ..operators.windows import prefix_agg
+from .records import csv_records, json_elements
 
 METADATA_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                                     ("image_filename", "description", "tags", "style", "category")])
@@ -49,13 +51,23 @@ LOG_KNOWN = [f.name for f in LOG_SCHEMA.fields]
 
 
 # ------------------------------------------------------------------------------ S1
+def _file_order(records: DataFrame) -> DataFrame:
+    """``row_pos``: files by name, then records by their place in the file. A range's first byte plus a
+    record's number in it is below the next range's first byte."""
+    files = records.select("name").distinct()  # one row per file
+    rank = files.withColumn("__rank", F.row_number().over(Window.orderBy("name")).cast("long"))
+    return (records.join(F.broadcast(rank), "name")
+            .withColumn("row_pos", F.shiftleft("__rank", 46) + F.col("block") + F.col("pos")).drop("__rank"))
+
+
 def read_metadata_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """Header CSV (image_filename, description, tags, style, category); the optional head-n is
+    """Header CSV (image_filename, description, tags, style, category); fields may hold line breaks,
+    and one large file is read by several tasks (:mod:`.records`). The optional head-n is
     taken in file order before any validity filter. ``row_pos`` keeps that order."""
-    df = spark.read.csv(path, header=True, schema=METADATA_CSV_SCHEMA, multiLine=True, escape='"',
-                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    df = df.withColumn("row_pos", F.monotonically_increasing_id())
-    return head_n(df, max_rows, "row_pos")
+    options = {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    fields = ", ".join(f"{f.name} string" for f in METADATA_CSV_SCHEMA.fields)
+    rows = _file_order(csv_records(spark, path)).select(F.from_csv("text", F.lit(fields), options).alias("r"), "row_pos")
+    return head_n(rows.select("r.*", "row_pos"), max_rows, "row_pos")
 
 
 # ------------------------------------------------------------------------------ S2
@@ -63,10 +75,14 @@ def read_annotations_json(spark: SparkSession, path: str, split: str | None = No
                           max_rows: int | None = None, files: DataFrame | None = None,
                           array_file: bool = True) -> DataFrame:
     """Annotation records – one JSON array per file (the processed-annotations layout,
-    ``array_file=True``) or JSON lines (what K2 writes; splittable, ``array_file=False``).
-    Keep paths under ``image_dir/split``, then head-n (by id), then – when a listing is
-    given – only records whose file exists (J4)."""
-    df = spark.read.json(path, schema=ANNOTATIONS_SCHEMA, multiLine=array_file)
+    ``array_file=True``, read by several tasks per file) or JSON lines (what K2 writes,
+    ``array_file=False``). Keep paths under ``image_dir/split``, then head-n (by id), then – when
+    a listing is given – only records whose file exists (J4)."""
+    if array_file:
+        elements = json_elements(spark, path, depth=1)
+        df = elements.select(F.from_json("text", ANNOTATIONS_SCHEMA).alias("r")).select("r.*")
+    else:
+        df = spark.read.json(path, schema=ANNOTATIONS_SCHEMA)
     if split is not None:
         prefix = f"{image_dir.rstrip('/')}/{split}" if image_dir else split
         df = df.filter(F.col("image_path").startswith(prefix))
@@ -78,14 +94,11 @@ def read_annotations_json(spark: SparkSession, path: str, split: str | None = No
 
 # ------------------------------------------------------------------------------ S3
 def read_coco_instances(spark: SparkSession, path: str):
-    """S3: one nested instances document -> (images, annotations, categories) DataFrames.
-    A single JSON document cannot be split, so the parse is one task per file; the three
-    exploded tables are then ordinary distributed DataFrames."""
-    doc = spark.read.json(path, schema=COCO_SCHEMA, multiLine=True)
-    images = doc.select(F.explode("images").alias("i")).select("i.*")
-    annotations = doc.select(F.explode("annotations").alias("a")).select("a.*")
-    categories = doc.select(F.explode("categories").alias("c")).select("c.*")
-    return images, annotations, categories
+    """S3: one nested instances document per file -> (images, annotations, categories) DataFrames. A
+    document is read by several tasks; the objects of its arrays are parsed apart."""
+    elements = json_elements(spark, path, depth=2)
+    return tuple(elements.filter(F.col("section") == f.name).select(F.from_json("text", f.dataType.elementType).alias("r")).select("r.*")
+                 for f in COCO_SCHEMA.fields)
 
 
 # ------------------------------------------------------------------------------ S4
@@ -144,16 +157,15 @@ def flatten_photo_search(df: DataFrame, per_photo_tags: int = 5) -> DataFrame:
     1, 2, … over categories, terms and photos in order (``image_%03d.jpg``); description = alt
     text, else the term; tags = the first five joined by ','; style = category = category.
 
-    Numbering uses per-(category, term) counts and a prefix over that small table, so no
-    global single-partition window is needed."""
+    A term's photos are numbered from its offset, a running count over chunks of the terms
+    (:func:`..operators.windows.prefix_agg`), so no task sorts the whole table."""
     terms = df.select("category_pos", "category", F.posexplode("terms").alias("term_pos", "t"))
     photos = terms.select("category_pos", "category", "term_pos", F.col("t.term").alias("term"),
                           F.posexplode(F.coalesce(F.col("t.photos"), F.array())).alias("photo_pos", "p"))
-    counts = photos.groupBy("category_pos", "term_pos").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("category_pos", "term_pos").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    counts = terms.select("category_pos", "term_pos", F.size(F.coalesce(F.col("t.photos"), F.array())).cast("long").alias("__n"))
+    offsets = prefix_agg(counts, [], ["category_pos", "term_pos"], F.col("__n"), inclusive=False, out="__before").drop("__n")
     numbered = photos.join(offsets, ["category_pos", "term_pos"]).withColumn(
-        "image_number", F.col("__off") + F.col("photo_pos") + 1)
+        "image_number", F.col("__before") + F.col("photo_pos") + 1)
     return numbered.select(
         F.format_string("image_%03d.jpg", F.col("image_number").cast("int")).alias("image_filename"),
         F.coalesce(F.col("p.alt"), F.col("term")).alias("description"),

@@ -1,17 +1,26 @@
 """Structured Streaming forms of the online operators (ST1-ST8).
 
 Each function takes a streaming DataFrame and returns a streaming DataFrame (or starts a
-query for the sinks); watermarks bound the state, and stateful per-key logic uses
-``applyInPandasWithState`` with an event-time timeout so idle keys are dropped, except the
-breaker's, whose state of three numbers a key never loses its meaning.
+query for the sinks). Windowed results come in append mode: a watermark closes a window, its
+row is emitted once and its state dropped, so state is bounded by the lateness and results do
+not depend on how rows are grouped into micro-batches. Rows later than the watermark are
+dropped and counted (:class:`StreamRun`). Tables that streams keep up to date (ST7, ST8) are
+written per micro-batch into the batch's own folder, so a replayed batch replaces its output.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.changes import insert_unique
@@ -22,8 +31,8 @@ from ..session import scratch_path
 # ---------------------------------------------------------------------------- ST1
 def rolling_metric_stats(samples: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
                          lateness: str = "10 minutes", ts_col: str = "ts", name_col: str = "name") -> DataFrame:
-    """ST1: per metric and sliding window: count, min, max, avg, sum. Rows later than the
-    watermark are dropped (and show up in the query progress as dropped rows)."""
+    """ST1: per metric and sliding window: count, min, max, avg, sum. In append mode a window's row
+    is emitted once, when the watermark has passed its end, and its state is dropped."""
     return (samples.withWatermark(ts_col, lateness)
             .groupBy(F.window(ts_col, window, slide).alias("window"), name_col)
             .agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -40,39 +49,61 @@ def stream_threshold_alerts(snapshots: DataFrame, **kw) -> DataFrame:
 RATE_OUT = T.StructType([T.StructField("client_id", T.StringType()), T.StructField("request_id", T.LongType()),
                          T.StructField("ts", T.TimestampType()), T.StructField("n_in_window", T.LongType()),
                          T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType())])
-RATE_STATE = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int = 60,
-                      lateness: str = "2 minutes") -> DataFrame:
-    """ST3: exact sliding-window limiter per client. State = request times of the last window
-    (older ones are pruned, like the periodic clean-up); each micro-batch is applied in
-    (time, id) order; a client idle for longer than the window and the watermark delay
-    loses its state through the event-time timeout."""
-    win_us = int(window_seconds) * 1_000_000
+class WindowLimiter(StatefulProcessor):
+    """Requests of one (client, time bucket): kept in a list state until an event-time timer at the
+    bucket's end says that no more can come, then counted at once. ``own`` is false for requests
+    of the previous bucket's last window, which only count."""
 
-    def step(key, pdfs, state):
-        client = key[0]
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        out = []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        batch = batch.sort_values(["ts", "request_id"], kind="stable")
-        for ts, rid in zip(batch["ts"], batch["request_id"]):
-            t = int(pd.Timestamp(ts).value // 1000)
-            times.append(t)
-            times = [x for x in times if x > t - win_us]
-            n = len(times)
-            out.append((client, int(rid), ts, n, n <= limit, max(0, limit - n)))
-        state.update((times,))
-        if times:
-            state.setTimeoutTimestamp(max(times) // 1000 + window_seconds * 1000)
-        yield pd.DataFrame(out, columns=[f.name for f in RATE_OUT.fields])
+    def __init__(self, limit: int, win_us: int, span_us: int):
+        self.limit, self.win_us, self.span_us = limit, win_us, span_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us long, id long, own boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if len(pdf):
+                self.rows.appendList(list(zip(pdf["us"].tolist(), pdf["request_id"].tolist(), pdf["own"].tolist(), strict=True)))
+        self.handle.registerTimer((int(key[1]) + 1) * self.span_us // 1000)
+        return iter(())
 
-    return (requests.withWatermark("ts", lateness).groupBy("client_id")
-            .applyInPandasWithState(step, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = list(self.rows.get())
+        self.rows.clear()
+        us, ids = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        own = np.array([r[2] for r in rows], bool)
+        order = np.lexsort((ids, us))
+        us, ids, own = us[order], ids[order], own[order]
+        n = np.arange(1, len(us) + 1) - np.searchsorted(us, us - self.win_us, "right")
+        out = pd.DataFrame({"client_id": key[0], "request_id": ids, "ts": pd.to_datetime(us, unit="us", utc=True),
+                            "n_in_window": n, "allowed": n <= self.limit, "remaining": np.maximum(self.limit - n, 0)})
+        yield out[own]
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int = 60,
+                      lateness: str = "2 minutes", bucket_windows: int = 16) -> DataFrame:
+    """ST3: the sliding-window limiter (W1), exact for requests that arrive out of order within
+    ``lateness``. Like W1 a client is cut into buckets of ``bucket_windows`` window lengths, and the
+    requests of a bucket's last window are also sent to the next one; the state of a (client,
+    bucket) ends with its timer. A bucket's rows are emitted when the watermark has passed its end.
+    Start it with the RocksDB state store (:func:`rocksdb_state`)."""
+    win_us = int(window_seconds) * 1_000_000
+    span = win_us * int(bucket_windows)
+    b = F.floor(F.col("__us") / F.lit(span))
+    buckets = F.when(F.col("__us") >= (b + 1) * F.lit(span) - F.lit(win_us), F.array(b, b + 1)).otherwise(F.array(b))
+    # names that a named tuple may have: the worker hands rows over as such
+    dealt = (requests.withWatermark("ts", lateness).withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+             .select("client_id", "request_id", "ts", F.col("__us").alias("us"), F.posexplode(buckets).alias("place", "bucket"))
+             .withColumn("own", F.col("place") == 0).drop("place"))
+    return (dealt.groupBy("client_id", "bucket")
+            .transformWithStateInPandas(WindowLimiter(limit, win_us, span), RATE_OUT, "Append", "EventTime"))
 
 
 # ---------------------------------------------------------------------------- ST4
@@ -192,7 +223,8 @@ def circuit_breaker_stream(calls: DataFrame, threshold: int = 5, timeout_seconds
 
 # ---------------------------------------------------------------------------- ST6
 def daily_trend_stream(generations: DataFrame, lateness: str = "1 day", ts_col: str = "created_at") -> DataFrame:
-    """ST6: A4 online – tumbling one-day windows: count, average time, successes."""
+    """ST6: A4 online – tumbling one-day windows: count, average time, successes; in append mode a
+    day is emitted once it is over by the watermark."""
     return (generations.withWatermark(ts_col, lateness)
             .groupBy(F.window(ts_col, "1 day").alias("window"))
             .agg(F.count(F.lit(1)).alias("count"), F.avg("generation_time_ms").alias("avg_time"),
@@ -200,32 +232,91 @@ def daily_trend_stream(generations: DataFrame, lateness: str = "1 day", ts_col:
 
 
 # ---------------------------------------------------------------------------- ST7
-def latest_value_stream(samples: DataFrame) -> DataFrame:
-    """ST7: latest value per metric (update or complete mode)."""
-    return samples.groupBy("name").agg(
-        F.max_by(F.struct("value", F.col("ts").alias("latest_ts")), F.struct("ts", "seq")).alias("l"),
-        F.count(F.lit(1)).alias("total_values")).select("name", "l.value", "l.latest_ts", "total_values")
+def upsert_latest(samples: DataFrame, table_dir: str, checkpoint: str | None = None, compact_every: int = 50,
+                  trigger: dict | None = None):
+    """ST7: the latest value and the number of values per metric, kept in the table of
+    :func:`latest_values`.
+
+    A micro-batch is reduced to one row per name and written to its own folder ``batch=<id>``;
+    these rows merge in any order (the newest by time and sequence, the sum of counts), so the
+    stream needs no state, late rows need no watermark and a replayed batch changes nothing.
+    Every ``compact_every`` batches what is there is merged into ``base=<id>`` and the folders
+    that it covers are dropped."""
+    spark = samples.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, "latest-ckpt")
+
+    def write_batch(batch: DataFrame, batch_id: int):
+        s = batch.sparkSession
+        if batch_id in _versions(s, table_dir, "base"):
+            return  # replayed after it was merged
+        newest = F.max(F.struct("ts", "seq", "value"))
+        (batch.groupBy("name").agg(newest.alias("newest"), F.count(F.lit(1)).alias("total_values"))
+         .write.mode("overwrite").parquet(f"{table_dir}/batch={batch_id}"))
+        if (batch_id + 1) % compact_every == 0:
+            _merged(s, table_dir).write.mode("overwrite").parquet(f"{table_dir}/base={batch_id}")
+            _drop_versions(s, table_dir, [v for v in _versions(s, table_dir) if v <= batch_id])
+            _drop_versions(s, table_dir, [v for v in _versions(s, table_dir, "base") if v < batch_id], "base")
+
+    w = samples.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _merged(spark: SparkSession, table_dir: str, version: int | None = None) -> DataFrame:
+    upto = float("inf") if version is None else version
+    bases = [v for v in _versions(spark, table_dir, "base") if v <= upto]
+    folders = [f"{table_dir}/base={v}" for v in bases[-1:]]
+    folders += [f"{table_dir}/batch={v}" for v in _versions(spark, table_dir) if v <= upto and not (bases and v <= bases[-1])]
+    if not folders:
+        raise ValueError(f"nothing has been written to {table_dir} at version {version}")
+    rows = spark.read.parquet(*folders)
+    return rows.groupBy("name").agg(F.max("newest").alias("newest"), F.sum("total_values").alias("total_values"))
+
+
+def latest_values(spark: SparkSession, table_dir: str, version: int | None = None) -> DataFrame:
+    """The table that ST7 keeps: name, value, latest_ts, total_values, after the given batch (any
+    that has not been merged into a later base) or after all."""
+    return _merged(spark, table_dir, version).select("name", "newest.value", F.col("newest.ts").alias("latest_ts"), "total_values")
 
 
 # ---------------------------------------------------------------------------- ST8
+KEY_BUCKETS = 64
+
+
 def continuous_ingest(stream: DataFrame, table_dir: str, key: str = "image_path", order_col: str | None = None,
-                      checkpoint: str | None = None, trigger: dict | None = None):
+                      checkpoint: str | None = None, trigger: dict | None = None, buckets: int = KEY_BUCKETS):
     """ST8: append each micro-batch's new keys (D1 against everything already written).
-    A batch is written to ``table_dir/batch=<id>`` with overwrite, so a retried batch replaces
-    its own output and the sink stays exactly-once."""
+
+    Rows go to ``table_dir/run=<checkpoint>/batch=<id>`` and their keys, alone, to the key table
+    ``table_dir``-keys, which is partitioned by key bucket. A micro-batch looks its keys up in the
+    buckets that it touches: the scan joins those buckets, which prunes all others, and reads
+    no other column of the table. A retried batch replaces its own folders and does not
+    meet its own keys, so the sink stays exactly-once; a stream with another checkpoint has
+    folders of its own."""
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "ingest-checkpoint")
+    table_dir = table_dir.rstrip("/")
+    keys_dir, run = f"{table_dir}-keys", f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def write_batch(batch: DataFrame, batch_id: int):
         s = batch.sparkSession
-        try:
-            existing = s.read.parquet(table_dir).filter(F.col("batch") != batch_id).select(key)
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            existing = s.createDataFrame([], T.StructType([batch.schema[key]]))
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         batch = batch.persist()
         try:
+            if _exists(s, keys_dir):
+                schema = T.StructType([batch.schema[key], T.StructField("run", T.StringType()),
+                                       T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+                # at most ``buckets`` rows; the comparison marks them as a selection that prunes partitions
+                touched = batch.select(bucket.alias("bucket")).distinct().filter("bucket >= 0")
+                existing = (s.read.schema(schema).parquet(keys_dir)
+                            .filter(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+                            .join(F.broadcast(touched), "bucket", "left_semi").select(key))
+            else:
+                existing = s.createDataFrame([], T.StructType([batch.schema[key]]))
             new, _rejected = insert_unique(existing, batch, key, order_col)
-            new.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch={batch_id}")
+            out = f"{table_dir}/run={run}/batch={batch_id}"
+            new.write.mode("overwrite").parquet(out)
+            written = s.read.schema(batch.schema).parquet(out).select(key, bucket.alias("bucket"))
+            written.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{keys_dir}/run={run}/batch={batch_id}")
         finally:
             batch.unpersist()
 
@@ -235,29 +326,53 @@ def continuous_ingest(stream: DataFrame, table_dir: str, key: str = "image_path"
 
 
 # ---------------------------------------------------------------------------- runners
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over everything available and return what it wrote, read back
-    from a parquet folder under the shared checkpoint root. ``complete`` rewrites the folder
-    per micro-batch; ``append`` adds one folder per micro-batch."""
+@dataclass(frozen=True)
+class StreamRun:
+    """What a finished streaming query wrote, in how many micro-batches, and how many rows its
+    stateful operators dropped as later than the watermark."""
+
+    rows: DataFrame
+    batches: int
+    late_rows: int
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which ``transformWithState`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def run_stream(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
+               checkpoint: str | None = None) -> StreamRun:
+    """Run a streaming query over everything available. Its rows are read back from a folder
+    under the shared checkpoint root: ``append`` has one folder per micro-batch, ``complete``
+    rewrites one."""
     out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int):
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
 
-    out_mode = "complete" if mode == "complete" else mode
-    q = (stream.writeStream.outputMode(out_mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    with rocksdb_state(spark):
+        q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt"))
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was emitted
-        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema).parquet(out) if _versions(spark, out) else spark.createDataFrame([], stream.schema)
+    batches = [p["batchId"] for p in q.recentProgress]
+    return StreamRun(rows, len(set(batches)), dropped_late_rows(q))
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """The rows of :func:`run_stream`."""
+    return run_stream(spark, stream, name, mode).rows
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -267,41 +382,76 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return r.parquet(path)
 
 
+def replay(rows: DataFrame, name: str, ts_col: str = "ts", files: int = 3, closing: str | None = "1 day",
+           jitter: str | None = None) -> DataFrame:
+    """A table as a stream of one file per micro-batch: cut into ``files`` by time (quantiles of
+    ``ts_col``), the last followed by a closing row ``closing`` after the newest, null but for its
+    time, which moves the watermark past every window. ``jitter`` moves rows into another file
+    than their time's by up to so much, to arrive out of order."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, f"{name}-replay")
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    if jitter:
+        at = at + F.pmod(F.xxhash64(*rows.columns), F.lit(int(pd.Timedelta(jitter).value // 1000)))
+    cuts = rows.select(at.alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.001) if files > 1 else []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        some = rows
+        some = some if low is None else some.filter(at > int(low))
+        some = some if high is None else some.filter(at <= int(high))
+        some.coalesce(1).write.mode("append").parquet(path)
+    if closing:
+        last = rows.agg((F.max(ts_col) + F.expr(f"INTERVAL {closing}")).alias(ts_col))
+        last.select(*[F.col(f.name) if f.name == ts_col else F.lit(None).cast(f.dataType).alias(f.name)
+                      for f in rows.schema.fields]).coalesce(1).write.mode("append").parquet(path)
+    return file_stream(spark, path, rows.schema, max_files=1)
+
+
 # ---------------------------------------------------------------------------- ST3, distributed
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Batch ids of the ``root/batch=<id>`` folders (a directory listing, no data read)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    path, fs = _path(spark, name)
+    return fs.exists(path)
+
+
+def _versions(spark: SparkSession, root: str, kind: str = "batch") -> list[int]:
+    """Ids of the complete ``root/<kind>=<id>`` folders (a directory listing, no data read)."""
+    path, fs = _path(spark, root)
     if not fs.exists(path):
         return []
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if name.startswith(f"{kind}=") and _exists(spark, f"{st.getPath()}/_SUCCESS"):
             out.append(int(name.split("=", 1)[1]))
     return sorted(out)
 
 
-def _drop_versions(spark: SparkSession, root: str, ids: list[int]) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def _drop_versions(spark: SparkSession, root: str, ids: list[int], kind: str = "batch") -> None:
     for i in ids:
-        p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/batch={i}")
-        p.getFileSystem(conf).delete(p, True)
+        path, fs = _path(spark, f"{root.rstrip('/')}/{kind}={i}")
+        fs.delete(path, True)
 
 
 def rate_limit_micro_batches(requests: DataFrame, out_dir: str, limit: int = 60, window_seconds: int = 60,
                              state_dir: str | None = None, checkpoint: str | None = None,
                              trigger: dict | None = None, client_col: str = "client_id", ts_col: str = "ts",
-                             id_col: str = "request_id"):
-    """ST3 without per-key serial state: every micro-batch is scored by the batch limiter
-    together with the requests of the last window carried over from the previous batch, so a hot
-    client is split by time buckets like in batch. The carried window is a small parquet table
-    versioned by batch id; a replayed batch reads the same previous version and overwrites its
-    own output and state, so results are exactly-once. Assumes requests arrive in time order
-    across batches (any order inside a batch)."""
+                             id_col: str = "request_id", lateness_seconds: int = 0):
+    """ST3 without per-key state: every micro-batch is scored by the batch limiter
+    together with the requests carried over from the previous batch, so a hot client is split
+    like in batch. What is carried is a parquet table versioned by batch id; a replayed batch
+    reads the same previous version and overwrites its own output and state, so results are
+    exactly-once.
+
+    ``lateness_seconds`` = 0: requests arrive in time order across batches (any order inside one),
+    the last window is carried, and every request is scored in its own batch. More: requests may
+    come out of order by so much; those newer than the newest less the lateness are held back in
+    the carried table until no earlier one can come, and requests later than that are written to
+    ``out_dir``-late/batch=<id> instead."""
     from ..operators.windows import rate_limit
 
     spark = requests.sparkSession
@@ -313,18 +463,31 @@ def rate_limit_micro_batches(requests: DataFrame, out_dir: str, limit: int = 60,
         s = batch.sparkSession
         cur = batch.select(*cols).withColumn("__new", F.lit(True))
         earlier = [v for v in _versions(s, state_dir) if v < batch_id]
+        back = F.expr(f"INTERVAL {int(lateness_seconds)} SECONDS")
+        window = F.expr(f"INTERVAL {int(window_seconds)} SECONDS")
+        done = None  # up to here everything has been scored
         if earlier:
             prev = s.read.parquet(f"{state_dir}/batch={earlier[-1]}").select(*cols).withColumn("__new", F.lit(False))
+            if lateness_seconds:
+                done = prev.agg(F.max(ts_col) - back).first()[0]
+                cur.filter(F.col(ts_col) <= F.lit(done)).drop("__new").write.mode("overwrite") \
+                    .parquet(f"{out_dir.rstrip('/')}-late/batch={batch_id}")
+                cur = cur.filter(F.col(ts_col) > F.lit(done))
             rows = cur.unionByName(prev)
         else:
             rows = cur
         rows = rows.persist()  # one micro-batch, read by the scoring and the state write
         try:
-            scored = rate_limit(rows, limit=limit, window_seconds=window_seconds, client_col=client_col,
+            upto = rows.agg(F.max(ts_col) - back).first()[0]
+            ready = rows.filter(F.col(ts_col) <= F.lit(upto)) if lateness_seconds else rows
+            scored = rate_limit(ready, limit=limit, window_seconds=window_seconds, client_col=client_col,
                                 ts_col=ts_col, id_col=id_col)
-            scored.filter("__new").drop("__new").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-            cutoff = rows.select(F.max(ts_col) - F.expr(f"INTERVAL {int(window_seconds)} SECONDS")).scalar()
-            rows.filter(F.col(ts_col) > cutoff).select(*cols) \
+            if not lateness_seconds:
+                scored = scored.filter("__new")
+            elif done is not None:
+                scored = scored.filter(F.col(ts_col) > F.lit(done))
+            scored.drop("__new").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+            rows.filter(F.col(ts_col) > F.lit(upto) - window).select(*cols) \
                 .write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
         finally:
             rows.unpersist()

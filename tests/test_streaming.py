@@ -1,8 +1,12 @@
 """Streams against the batch operators and a Python model of the breaker."""
 
+import contextlib
 import datetime as dt
+import io
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ragloom.operators import windows as W
@@ -17,13 +21,24 @@ def _stream_of(spark, df, tmp_path, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    rnd = random.Random(2)
-    reqs = [(i, f"c{rnd.randint(0, 2)}", T0 + dt.timedelta(seconds=rnd.randint(0, 400))) for i in range(300)]
-    df = spark.createDataFrame(reqs, "request_id long, client_id string, ts timestamp")
-    batch = {r["request_id"]: r["n_in_window"] for r in W.rate_limit(df, 4, 60).collect()}
-    out = S.run_to_table(spark, S.rate_limit_stream(_stream_of(spark, df, tmp_path, "req"), 4, 60), "t-st3", "append")
-    assert {r["request_id"]: r["n_in_window"] for r in out.collect()} == batch
+def _requests(n, seconds, clients, seed):
+    rnd = random.Random(seed)
+    return [(i, f"c{rnd.randint(0, clients - 1)}", T0 + dt.timedelta(seconds=rnd.randint(0, seconds))) for i in range(n)]
+
+
+REQUESTS = "request_id long, client_id string, ts timestamp"
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_rate_limit_stream_equals_batch(spark, files):
+    """Out of order within the lateness, over bucket edges, in one micro-batch and in several."""
+    df = spark.createDataFrame(_requests(300, 4000, 3, 2), REQUESTS)
+    batch = {r["request_id"]: (r["n_in_window"], r["allowed"], r["remaining"]) for r in W.rate_limit(df, 4, 60).collect()}
+    stream = S.replay(df, "t-st3", files=files, jitter="100 seconds")
+    run = S.run_stream(spark, S.rate_limit_stream(stream, 4, 60), "t-st3")
+    got = {r["request_id"]: (r["n_in_window"], r["allowed"], r["remaining"]) for r in run.rows.collect()}
+    assert got == batch and run.late_rows == 0
+    assert all(n <= 4 or not ok for n, ok, _ in got.values()) and any(not ok for _, ok, _ in got.values())
 
 
 def test_breaker_stream_equals_model(spark, tmp_path):
@@ -78,10 +93,82 @@ def test_ingest_is_idempotent(spark, tmp_path):
     more.write.mode("append").parquet(str(tmp_path / "src"))
     S.continuous_ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "src")), table, order_col="seq",
                         checkpoint=str(tmp_path / "ck")).awaitTermination()
+    # a second stream, which begins anew with its own checkpoint, adds nothing
+    S.continuous_ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "src")), table, order_col="seq",
+                        checkpoint=str(tmp_path / "other")).awaitTermination()
     got = sorted((r["image_path"], r["seq"]) for r in spark.read.parquet(table).collect())
     assert got == [("a", 1), ("b", 2), ("c", 4)]
 
 
+def test_ingest_fails_on_a_broken_key_table(spark, tmp_path):
+    """A key table that can't be read is no reason to insert its keys again."""
+    table = tmp_path / "table"
+    bad = tmp_path / "table-keys" / "run=00000000" / "batch=0" / "bucket=0"
+    bad.mkdir(parents=True)
+    (bad / "part-0.parquet").write_text("no parquet")
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(200)], "image_path string, seq long")
+    q = S.continuous_ingest(_stream_of(spark, rows, tmp_path, "src"), str(table), order_col="seq", checkpoint=str(tmp_path / "ck"))
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination()
+    assert not (table / "run=00000000").exists()
+
+
+def test_ingest_reads_only_the_buckets_it_touches(spark, tmp_path):
+    keys = spark.range(500).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("image_path"), F.col("id").alias("seq"))
+    table = str(tmp_path / "table")
+    S.continuous_ingest(_stream_of(spark, keys, tmp_path, "src"), table, order_col="seq", checkpoint=str(tmp_path / "ck")).awaitTermination()
+    one = keys.filter("seq = 7").select("image_path", (F.pmod(F.xxhash64("image_path"), F.lit(S.KEY_BUCKETS)).cast("int")).alias("bucket"))
+    scan = spark.read.parquet(f"{table}-keys").join(F.broadcast(one.select("bucket").distinct().filter("bucket >= 0")), "bucket", "left_semi")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        scan.explain("formatted")
+    assert "dynamicpruning" in buf.getvalue().lower() and scan.select("bucket").distinct().count() == 1
+    assert spark.read.parquet(table).count() == 500
+
+
+def test_latest_values_merge_in_any_order_and_replay_changes_nothing(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(f"m{rnd.randint(0, 4)}", float(i), T0 + dt.timedelta(seconds=rnd.randint(0, 500)), i) for i in range(200)]
+    want = {}
+    for name, value, ts, seq in rows:
+        best, n = want.get(name, ((ts, seq, value), 0))
+        want[name] = max(best, (ts, seq, value)), n + 1
+    schema = "name string, value double, ts timestamp, seq long"
+    for every, parts in ((50, 1), (2, 7)):
+        src, table = str(tmp_path / f"src{every}"), str(tmp_path / f"table{every}")
+        for k in range(parts):
+            spark.createDataFrame(rows[k::parts], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = S.file_stream(spark, src, spark.read.parquet(src).schema, max_files=1)
+        for ck in ("a", "a", "b"):  # again with its checkpoint: nothing new; with another: all of it again
+            S.upsert_latest(stream, table, checkpoint=str(tmp_path / f"ck{every}{ck}"), compact_every=every).awaitTermination()
+            got = {r["name"]: (r["value"], r["total_values"]) for r in S.latest_values(spark, table).collect()}
+            assert got == {k: (b[2], n) for k, (b, n) in want.items()}
+
+
+def test_rolling_windows_do_not_depend_on_the_files(spark):
+    rnd = random.Random(8)
+    rows = [(f"m{rnd.randint(0, 2)}", float(rnd.randint(0, 9)), T0 + dt.timedelta(seconds=rnd.randint(0, 6000)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, value double, ts timestamp, seq long")
+    got = []
+    for files in (1, 3, 20):
+        run = S.run_stream(spark, S.rolling_metric_stats(S.replay(df, "t-st1", files=files, jitter="8 minutes")), "t-st1")
+        assert run.late_rows == 0 and run.batches >= files
+        got.append(sorted((r["name"], r["window"]["start"], r["count"], r["min"], r["max"], r["sum"]) for r in run.rows.collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 200
+
+
+def test_days_do_not_depend_on_the_files_and_late_rows_are_counted(spark):
+    rows = [(T0 + dt.timedelta(hours=7 * i), 10.0 * i, "completed" if i % 3 else "failed") for i in range(60)]
+    df = spark.createDataFrame(rows, "created_at timestamp, generation_time_ms double, status string")
+    got = []
+    for files in (1, 5):
+        run = S.run_stream(spark, S.daily_trend_stream(S.replay(df, "t-st6", "created_at", files, "3 days", "10 hours")), "t-st6")
+        got.append(sorted((r["window"]["start"], r["count"], r["successful"]) for r in run.rows.collect()))
+    assert got[0] == got[1] and sum(n for _, n, _ in got[0]) == 60
+    late = S.run_stream(spark, S.daily_trend_stream(S.replay(df, "t-st6", "created_at", 5, "3 days", "9 days"), "1 hour"), "t-st6")
+    assert late.late_rows > 0
+
+
 def test_dedup_within_ttl(spark, tmp_path):
     rows = spark.createDataFrame([(1, "q", T0), (2, "q", T0 + dt.timedelta(seconds=10)), (3, "r", T0)],
                                  "id long, query string, ts timestamp")
@@ -149,6 +236,23 @@ def test_rate_limit_micro_batches_carry_state(spark, tmp_path):
     assert got == want
 
 
+def test_rate_limit_micro_batches_hold_back_what_may_be_overtaken(spark, tmp_path):
+    """Requests out of order across batches; those later than the lateness are written apart."""
+    df = spark.createDataFrame(_requests(400, 2000, 2, 12), REQUESTS)
+    want = {r["request_id"]: r["n_in_window"] for r in W.rate_limit(df, 5, 60).collect()}
+    for files in (1, 3, 6):
+        out = str(tmp_path / f"out{files}")
+        S.rate_limit_micro_batches(S.replay(df, "t-st3b", files=files, jitter="100 seconds"), out, 5, 60,
+                                   lateness_seconds=120).awaitTermination()
+        assert {r["request_id"]: r["n_in_window"] for r in spark.read.parquet(out).collect()} == want
+    out = str(tmp_path / "late")
+    S.rate_limit_micro_batches(S.replay(df, "t-st3b", files=6, jitter="900 seconds"), out, 5, 60,
+                               lateness_seconds=120).awaitTermination()
+    late = {r["request_id"] for r in spark.read.parquet(f"{out}-late").collect()}
+    kept = {r["request_id"] for r in spark.read.parquet(out).collect()}
+    assert late and late | kept == set(want) and not late & kept
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     src = str(tmp_path / "late")
     on_time = spark.createDataFrame([("m", 1.0, T0 + dt.timedelta(hours=2), i) for i in range(5)],

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from ragloom.operators import windows as W
 
@@ -93,3 +95,60 @@ def test_counter_rate_and_last_n(spark):
     r = {x["seq"]: x["requests_per_sec"] for x in W.counter_rate(df, ["name"]).collect()}
     assert r[0] == 0.0 and r[4] == 20 / 40
     assert sorted(x["seq"] for x in W.last_n_per_key(df, 2).collect()) == [3, 4]
+
+
+def test_one_key_in_one_instant_is_cut_into_many_chunks(spark):
+    """All rows have one key and one time: their runs still come from many tasks."""
+    rnd = random.Random(13)
+    rows = [(i, "k", T0, rnd.random() < 0.1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "seq long, key string, ts timestamp, success boolean").repartition(4)
+    chunks = W.row_chunks(df, ["key"], ["ts", "seq"]).groupBy("__chunk").count().collect()
+    assert len(chunks) >= 4 and max(r["count"] for r in chunks) < 2000
+    got = {r["seq"]: r["streak"] for r in W.failure_streaks(df, 3).collect()}
+    streak = 0
+    for seq, _k, _t, ok in rows:
+        streak = 0 if ok else streak + 1
+        assert got[seq] == streak
+
+
+@pytest.mark.parametrize("share", [0.0, 0.002, 0.5, 1.0])
+def test_streaks_over_chunk_edges(spark, share):
+    """Keys inside a chunk, keys over several, chunks without a success; nulls as keys and answers."""
+    rnd = random.Random(17)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None]), T0 + dt.timedelta(seconds=i // 7),
+             None if i % 50 == 9 else rnd.random() < share) for i in range(1500)]
+    df = spark.createDataFrame(rows, "seq long, key string, ts timestamp, success boolean").repartition(3)
+    got = {r["seq"]: (r["streak"], r["tripped"]) for r in W.failure_streaks(df, 5, chunks=11).collect()}
+    streak = {}
+    for seq, key, _t, ok in rows:
+        streak[key] = 0 if ok else streak.get(key, 0) + 1
+        assert got[seq] == (streak[key], streak[key] >= 5)
+
+
+def test_running_totals_over_chunk_edges(spark):
+    rnd = random.Random(19)
+    rows = [(f"k{i:04d}", rnd.choice(["x", "x", "y", None]), T0 + dt.timedelta(days=i // 400), rnd.randint(1, 9)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "cache_key string, model string, at timestamp, size_bytes long").repartition(3)
+    got = {r["cache_key"]: r["p"] for r in W.prefix_agg(df, ["model"], ["at", "cache_key"], F.col("size_bytes"), "sum", False, "p", 13).collect()}
+    most = {r["cache_key"]: r["p"] for r in W.prefix_agg(df, ["model"], ["at", "cache_key"], F.col("size_bytes"), "max", True, "p", 13).collect()}
+    run, top = {}, {}
+    for key, model, _t, size in rows:
+        assert got[key] == run.get(model, 0)
+        run[model] = run.get(model, 0) + size
+        top[model] = max(top.get(model, 0), size)
+        assert most[key] == top[model]
+    oldest = {r["cache_key"] for r in W.evict_oldest(df, 101, ["model"], "at").collect()}
+    for model in ("x", "y", None):
+        mine = [k for k, m, _t, _s in rows if m == model]
+        assert oldest & set(mine) == set(mine[:len(mine) - 100])
+    assert {r["cache_key"] for r in W.evict_oldest(df, 101, None, "at").collect()} == {k for k, *_ in rows[:1100]}
+    assert W.prefix_agg(df.limit(0), ["model"], ["at"], F.lit(1)).count() == 0
+
+
+def test_hot_bucket_is_counted_by_positions(spark):
+    """A client with most requests of a window, many at one time: the same counts as in groups."""
+    rnd = random.Random(23)
+    reqs = [(i, "hot" if i % 4 else f"c{i % 3}", T0 + dt.timedelta(seconds=rnd.randint(0, 1500) // 10 * 10)) for i in range(1200)]
+    df = _requests(spark, reqs)
+    got = {r["request_id"]: r["n_in_window"] for r in W.rate_limit(df, 5, 60, hot_rows=100).collect()}
+    assert got == limiter_model(reqs, 5, 60)
