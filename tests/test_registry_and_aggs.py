@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions import registry as R
@@ -137,3 +138,44 @@ def test_pagination_edges(spark):
     assert first["has_next"] is True and first["has_prev"] is False
     assert [r["id"] for r in O.paginate(df, 20, 40).collect()] == list(range(40, 45))
     assert [r["id"] for r in O.paginate_after(df, 39, 20).collect()] == list(range(40, 45))
+
+
+def test_a_check_that_fails_leaves_the_others(spark):
+    df = spark.createDataFrame([(1, "5"), (2, "x"), (3, None)], "id int, v string")
+    chk = R.CheckRegistry()
+    chk.register_check("bad cast", F.when(F.col("v").cast("int") > 3, "healthy").otherwise("warning"))
+    chk.register_check("no such column", F.col("missing"))
+    chk.register_check("fine", F.when(F.col("v").isNotNull(), "healthy"))
+    got = {(r["id"], r["check"]): r["status"] for r in chk.evaluate(df, keep=["id"]).collect()}
+    assert got == {(i, "bad cast"): "unknown" for i in (1, 2, 3)} | {(i, "no such column"): "unknown" for i in (1, 2, 3)} | {
+        (1, "fine"): "healthy", (2, "fine"): "healthy", (3, "fine"): "unknown"}
+
+
+def test_metric_definitions_merge_by_name(spark):
+    reg = R.default_registry(spark)
+    new = spark.createDataFrame([("queue", "gauge", "q", "", {"a": "b"}, 50), ("cpu_usage_percent", "counter", "c", "", {}, 51)], R.REGISTRY_SCHEMA)
+    once = R.register_metrics(reg, new)
+    rows = lambda d: sorted((r["name"], r["type"], r["reg_seq"], tuple(r["labels"].items())) for r in d.collect())
+    assert rows(once) == rows(R.register_metrics(once, new))
+    got = {n: (t, s, m) for n, t, s, m in rows(once)}
+    assert got["queue"] == ("gauge", 50, (("a", "b"),)) and got["cpu_usage_percent"] == ("counter", 12, ()) and len(got) == 14
+
+
+def test_insert_unique_with_map_columns(spark):
+    from ragloom.operators import changes as D
+
+    schema = "id int, labels map<string,int>, n int"
+    target = spark.createDataFrame([(1, {"a": 1}, 0)], schema)
+    new = spark.createDataFrame([(1, {"b": 2}, 1), (2, {"x": 1, "y": 2}, 5), (2, {"y": 2, "x": 1}, 4), (3, None, 6), (3, None, 6)], schema)
+    inserted, rejected = D.insert_unique(target, new, "id", "n")
+    assert sorted((r["id"], r["n"], r["labels"]) for r in inserted.collect()) == [(2, 4, {"x": 1, "y": 2}), (3, 6, None)]
+    assert sorted((r["id"], r["n"], r["reason"]) for r in rejected.collect()) == [(1, 1, "exists"), (2, 5, "duplicate"), (3, 6, "duplicate")]
+
+
+def test_rule_tables_are_bounded(spark, monkeypatch):
+    from ragloom.operators import predicates as P
+
+    monkeypatch.setattr(P, "MAX_RULES", 3)
+    df = spark.createDataFrame([(1, 50.0)], "id int, memory_percent double")
+    with pytest.raises(ValueError):
+        P.classify_with_rules(df, P.threshold_rules(spark))

@@ -16,7 +16,7 @@ from ragloom.operators import windows as W
 from tests.conftest import SF_SMOKE
 
 T0 = dt.datetime(2024, 1, 1)
-RUNS_A_JOB = ("st", "s1_", "s2_", "s7_", "k3_", "k5_", "a16_", "v6_ivf_search_stored")
+RUNS_A_JOB = ("st", "s1_", "s2_", "s3_", "s7_", "k3_", "k4_metrics_file", "k5_", "a16_", "u2_", "v6_ivf_search_stored")
 
 
 def formatted(df):
@@ -49,6 +49,12 @@ def test_time_cutoff_reaches_the_scan(spark):
     assert "GreaterThan(ts,ScalarSubquery" in plan
 
 
+def test_both_bounds_of_a_date_range_reach_the_scan(spark):
+    plan = formatted(E.queries()["p3_filter_by_date_range"](spark, SF_SMOKE))
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line and "ts" in line]
+    assert any("GreaterThanOrEqual(ts,2" in p and "LessThanOrEqual(ts,2" in p for p in pushed), pushed
+
+
 def test_batch_topk_limits_before_the_shuffle(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "id long, embedding array<double>")

@@ -1,8 +1,11 @@
 """Vector search edge cases: zero vector, wrong dimension, NaN, ties, self-match, both V5 plans."""
 
+import contextlib
+import io
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators import ann, vectors as V
@@ -168,3 +171,52 @@ def test_mixed_sizes_and_bad_components_lose_no_query(spark):
     assert [r["id"] for r in V.cosine_topk(corpus.where("id <> 7"), [1.0, 0.0], k=5).collect()] == [1, 2, 5]
     assert [r["id"] for r in V.cosine_topk(corpus.where("id <> 7"), [1.0, 0.0], k=5, method="arrow").collect()] == [1, 2, 5]
     assert [r["id"] for r in V.l2_topk(corpus, [1.0, 0.0], k=3).collect()] == [1, 2, 5]
+
+
+def _clusters(n, dim=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(10, dim))
+    return centres[rng.integers(0, 10, n)] + 0.3 * rng.normal(size=(n, dim))
+
+
+def test_stored_index_answers_a_batch(spark, tmp_path):
+    """One index written once: recall, exact answers when all lists are probed, hot lists and crowds of queries
+    in parts, odd vectors in none."""
+    vecs = _clusters(600)
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    odd = [(1000, None), (1001, [float("nan")] * 16), (1002, [1.0, 2.0]), (1003, [])]
+    df = spark.createDataFrame(rows + odd, "id long, embedding array<double>").repartition(3)
+    path = str(tmp_path / "ivf")
+    ann.ivf_store(df, path, lists=12, max_iter=10, list_rows=20)
+    lists = spark.read.parquet(f"{path}/lists")
+    assert lists.agg(F.sum("n"), F.max("parts")).first()[0] == 600 and lists.agg(F.max("parts")).first()[0] > 1
+    q = df.select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
+    exact = V.batch_topk(q, df.filter("size(embedding) = 16"), k=5, metric="cosine").filter("qid < 1000")
+    some = ann.ivf_probe(q, path, k=5, nprobe=4, query_rows=50)
+    recall = ann.recall_rows(some, exact).agg(F.sum("found"), F.sum("wanted"), F.count("*")).first()
+    assert recall[0] >= 0.9 * recall[1] and recall[2] == 600
+    every = ann.ivf_probe(q, path, k=5, nprobe=12, query_rows=50)
+    key = lambda d: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in d.collect())
+    assert key(every) == key(exact)
+    first = {r["qid"]: r["id"] for r in ann.ivf_probe(q, path, k=1, nprobe=1).collect()}
+    assert first == {i: i for i in range(600)}
+    assert ann.ivf_probe(q.limit(0), path).count() == 0
+
+
+def test_batch_probe_prunes_the_lists_by_a_join(spark, tmp_path):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_clusters(300))], "id long, embedding array<double>")
+    path = str(tmp_path / "ivf")
+    ann.ivf_store(df, path, lists=10, max_iter=5)
+    q = df.filter("id = 7").select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
+    hits = ann.ivf_probe(q, path, k=3, nprobe=2)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        hits.explain("formatted")
+    assert "dynamicpruning" in buf.getvalue() and hits.first()["id"] == 7
+
+
+def test_centroids_beyond_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_CENTROID_BYTES", 100)
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        ann.ivf_train(df, lists=8)
