@@ -13,6 +13,7 @@ from ragloom.llm import queries as Q
 from tests.conftest import SF_SMOKE
 from tests.oracle import duck, rows
 
+SF_BENCH = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -83,13 +84,14 @@ def test_op3_predicts_held_out_documents(spark, documents):
 
 
 def test_op4_separates_labelled_documents(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_SMOKE}/labels.parquet").collect()}
-    got = collected(spark, "op4_toxicity")
+    """On the larger table: the small ones have too few toxic labels to learn from."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF_BENCH}/labels.parquet").collect()}
+    got = Q.QUERIES["op4_toxicity"](spark, SF_BENCH).collect()
     assert all(0 <= r.severity <= 3 and r.grade == round(r.severity) for r in got)
     toxic = {r.doc_id: r.toxic for r in got}
     caught = [toxic[i] for i, t in labels.items() if t == 1 and i in toxic]
     clean = [not toxic[i] for i, t in labels.items() if t == 0 and i in toxic]
-    assert np.mean(clean) >= 0.95 and (not caught or np.mean(caught) >= 0.8)
+    assert len(caught) > 100 and np.mean(clean) >= 0.99 and np.mean(caught) >= 0.9
 
 
 def test_op5_rows(spark, documents, plain_ids):
