@@ -180,3 +180,17 @@ def k5_snapshot_restore(spark, sf):
     K.snapshot_tables(spark, {"model_cache": A.cache_entries(spark, sf)}, bk, taken_at=dt.datetime(2024, 1, 1))
     back = K.restore_snapshot(spark, bk, "model_cache")
     return back.groupBy("model_type").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
+
+
+@register("k5_snapshot_retention", A.with_views("""
+SELECT '2024-02-0' || CAST(d AS VARCHAR) AS taken_on, (SELECT count(*) FROM cache) AS n FROM (SELECT unnest([1, 9]) AS d) t""", "cache"))
+def k5_snapshot_retention(spark, sf):
+    """Three snapshots of the cache table, the oldest deleted after 30 days; the others are listed and read."""
+    import datetime as dt
+    bk = scratch_path(spark, "backups")
+    for day in (dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 9)):
+        K.snapshot_tables(spark, {"model_cache": A.cache_entries(spark, sf)}, bk, taken_at=day)
+    K.delete_snapshots(spark, bk, 30, as_of=dt.datetime(2024, 2, 9))
+    left = [(r["taken_at"], r["path"]) for r in K.list_snapshots(spark, bk).collect()]  # two rows
+    parts = [spark.read.parquet(path).agg(F.lit(t.strftime("%Y-%m-%d")).alias("taken_on"), F.count(F.lit(1)).alias("n")) for t, path in left]
+    return parts[0].unionByName(parts[1])

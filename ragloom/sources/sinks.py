@@ -98,9 +98,19 @@ def snapshot_tables(spark: SparkSession, tables: dict[str, DataFrame], backup_di
     return manifest
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def list_snapshots(spark: SparkSession, backup_dir: str) -> DataFrame:
-    """K5: snapshot manifest, newest first."""
-    return spark.read.parquet(f"{backup_dir.rstrip('/')}/_manifest").orderBy(F.col("taken_at").desc(), "name")
+    """K5: manifest of the snapshots that have not been deleted, newest first."""
+    base = backup_dir.rstrip("/")
+    rows = spark.read.parquet(f"{base}/_manifest")
+    path, fs = _file_system(spark, f"{base}/_deleted")
+    if fs.exists(path):
+        rows = rows.join(spark.read.parquet(f"{base}/_deleted").select("path"), "path", "left_anti")
+    return rows.select("taken_at", "name", "compressed", "path").orderBy(F.col("taken_at").desc(), "name")
 
 
 def restore_snapshot(spark: SparkSession, backup_dir: str, name: str, taken_at: dt.datetime | None = None) -> DataFrame:
@@ -118,3 +128,21 @@ def retain_snapshots(spark: SparkSession, backup_dir: str, days: int = 30, as_of
     """K5 + D3: manifest rows younger than ``days`` (older ones are the ones to delete)."""
     from ..operators.changes import retain_since
     return retain_since(list_snapshots(spark, backup_dir), days, "days", as_of, ts_col="taken_at")
+
+
+def delete_snapshots(spark: SparkSession, backup_dir: str, days: int = 30, as_of=None) -> DataFrame:
+    """K5: delete the snapshots older than ``days`` and return their manifest rows. They are first
+    marked as deleted, so a reader never lists a folder that is gone; running it again finishes what was cut off."""
+    from ..operators.changes import removed_before
+    base = backup_dir.rstrip("/")
+    gone = removed_before(list_snapshots(spark, base), days, "days", as_of, ts_col="taken_at")
+    rows = gone.collect()  # one row per table and snapshot
+    marked = spark.createDataFrame(rows, gone.schema)
+    if rows:
+        marked.write.mode("append").parquet(f"{base}/_deleted")
+    path, fs = _file_system(spark, f"{base}/_deleted")
+    if fs.exists(path):
+        for r in spark.read.parquet(f"{base}/_deleted").select("path").collect():
+            path, fs = _file_system(spark, r["path"])
+            fs.delete(path, True)
+    return marked

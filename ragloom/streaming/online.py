@@ -52,39 +52,42 @@ RATE_OUT = T.StructType([T.StructField("client_id", T.StringType()), T.StructFie
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class WindowLimiter(StatefulProcessor):
-    """Requests of one (client, time bucket): kept in a list state until an event-time timer at the
-    bucket's end says that no more can come, then counted at once. ``own`` is false for requests
-    of the previous bucket's last window, which only count."""
-
-    def __init__(self, limit: int, win_us: int, span_us: int):
-        self.limit, self.win_us, self.span_us = limit, win_us, span_us
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "us long, id long, own boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            if len(pdf):
-                self.rows.appendList(list(zip(pdf["us"].tolist(), pdf["request_id"].tolist(), pdf["own"].tolist(), strict=True)))
-        self.handle.registerTimer((int(key[1]) + 1) * self.span_us // 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = list(self.rows.get())
-        self.rows.clear()
-        us, ids = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        own = np.array([r[2] for r in rows], bool)
-        order = np.lexsort((ids, us))
-        us, ids, own = us[order], ids[order], own[order]
-        n = np.arange(1, len(us) + 1) - np.searchsorted(us, us - self.win_us, "right")
-        out = pd.DataFrame({"client_id": key[0], "request_id": ids, "ts": pd.to_datetime(us, unit="us", utc=True),
-                            "n_in_window": n, "allowed": n <= self.limit, "remaining": np.maximum(self.limit - n, 0)})
-        yield out[own]
-
-    def close(self) -> None:
-        pass
+def window_limiter(limit: int, win_us: int, span_us: int) -> StatefulProcessor:
+    """The state handler of :func:`rate_limit_stream`. Its class is local, so it is sent whole: the driver's own
+    state worker imports no package that was sent to the executors."""
+
+    class WindowLimiter(StatefulProcessor):
+        """Requests of one (client, time bucket): kept in a list state until an event-time timer at the
+        bucket's end says that no more can come, then counted at once. ``own`` is false for requests
+        of the previous bucket's last window, which only count."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.rows = handle.getListState("rows", "us long, id long, own boolean")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            for pdf in rows:
+                if len(pdf):
+                    self.rows.appendList(list(zip(pdf["us"].tolist(), pdf["request_id"].tolist(), pdf["own"].tolist(), strict=True)))
+            self.handle.registerTimer((int(key[1]) + 1) * span_us // 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            rows = list(self.rows.get())
+            self.rows.clear()
+            us, ids = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            own = np.array([r[2] for r in rows], bool)
+            order = np.lexsort((ids, us))
+            us, ids, own = us[order], ids[order], own[order]
+            n = np.arange(1, len(us) + 1) - np.searchsorted(us, us - win_us, "right")
+            out = pd.DataFrame({"client_id": key[0], "request_id": ids, "ts": pd.to_datetime(us, unit="us", utc=True),
+                                "n_in_window": n, "allowed": n <= limit, "remaining": np.maximum(limit - n, 0)})
+            yield out[own]
+
+        def close(self) -> None:
+            pass
+
+    return WindowLimiter()
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int = 60,
@@ -103,7 +106,7 @@ def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int
              .select("client_id", "request_id", "ts", F.col("__us").alias("us"), F.posexplode(buckets).alias("place", "bucket"))
              .withColumn("own", F.col("place") == 0).drop("place"))
     return (dealt.groupBy("client_id", "bucket")
-            .transformWithStateInPandas(WindowLimiter(limit, win_us, span), RATE_OUT, "Append", "EventTime"))
+            .transformWithStateInPandas(window_limiter(limit, win_us, span), RATE_OUT, "Append", "EventTime"))
 
 
 # ---------------------------------------------------------------------------- ST4

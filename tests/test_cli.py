@@ -1,6 +1,9 @@
 """The command line runs the composed jobs on parquet tables."""
 
 import json
+import os
+import subprocess
+import sys
 
 from ragloom import adapters as A
 from ragloom.__main__ import main
@@ -37,3 +40,18 @@ def test_cli_ingest(spark, tmp_path, capsys):
     assert "ingest written" in capsys.readouterr().out
     assert spark.read.parquet(str(tmp_path / "out" / "images")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out" / "embeddings")).count() == 2
+
+
+def test_a_session_in_another_folder_sends_the_package_to_its_workers(tmp_path):
+    """Neither installed nor on the workers' path: a query with Python in its tasks still runs."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+print("rows", E.queries()["v8_projection_values"](spark, {SF_SMOKE!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in out.stdout and int(out.stdout.split("rows ")[1].split()[0]) > 0, out.stderr[-2000:]

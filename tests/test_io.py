@@ -196,3 +196,17 @@ def test_jdbc_reader_options_without_a_database():
     assert s.read.fmt == "jdbc"
     assert s.read.opts == {"url": "jdbc:postgresql://db/x", "dbtable": "images", "user": "u",
                            "partitionColumn": "id", "lowerBound": 0, "upperBound": 1000, "numPartitions": 16}
+
+
+def test_deleted_snapshots_are_gone_and_no_longer_listed(spark, tmp_path):
+    base = str(tmp_path / "bk")
+    df = spark.range(5).toDF("id")
+    for day in (1, 20, 40):
+        K.snapshot_tables(spark, {"a": df, "b": df}, base, taken_at=dt.datetime(2024, 1, 1) + dt.timedelta(days=day))
+    as_of = dt.datetime(2024, 2, 10)
+    assert sorted(r["name"] for r in K.delete_snapshots(spark, base, 30, as_of).collect()) == ["a", "b"]
+    assert K.delete_snapshots(spark, base, 30, as_of).count() == 0
+    listed = K.list_snapshots(spark, base).collect()
+    assert len(listed) == 4 and all(spark.read.parquet(r["path"]).count() == 5 for r in listed)
+    assert not (tmp_path / "bk" / "20240102_000000" / "a").exists()
+    assert K.restore_snapshot(spark, base, "a").count() == 5
