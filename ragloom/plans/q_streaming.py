@@ -64,7 +64,7 @@ def st3_rate_limit(spark, sf):
     """The limiter on a stream of several micro-batches, requests out of order within the lateness."""
     requests = request_stream(replayed_events(spark, sf, "st3", closing="3 days", jitter="100 seconds"))
     # clients make few requests here, so a bucket is a day and not 16 minutes
-    r = S.run_to_table(spark, S.rate_limit_stream(requests, 60, 60, bucket_windows=1440), "st3")
+    r = S.run_to_table(spark, S.rate_limit_stream(requests, 60, 60, bucket_windows=1440), "st3", rocksdb=True)
     return r.select("request_id", "client_id", "n_in_window", "allowed", "remaining")
 
 

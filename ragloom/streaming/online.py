@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -352,16 +352,16 @@ def rocksdb_state(spark: SparkSession):
 
 
 def run_stream(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-               checkpoint: str | None = None) -> StreamRun:
+               checkpoint: str | None = None, rocksdb: bool = False) -> StreamRun:
     """Run a streaming query over everything available. Its rows are read back from a folder
     under the shared checkpoint root: ``append`` has one folder per micro-batch, ``complete``
-    rewrites one."""
+    rewrites one. ``rocksdb``: with its state in RocksDB, else in the store that the session names."""
     out = scratch_path(spark, f"{name}-out")
 
     def sink(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else batch_id}")
 
-    with rocksdb_state(spark):
+    with rocksdb_state(spark) if rocksdb else nullcontext():
         q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
              .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt"))
              .trigger(availableNow=True).start())
@@ -373,9 +373,9 @@ def run_stream(spark: SparkSession, stream: DataFrame, name: str, mode: str = "a
     return StreamRun(rows, len(set(batches)), dropped_late_rows(q))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", **kw) -> DataFrame:
     """The rows of :func:`run_stream`."""
-    return run_stream(spark, stream, name, mode).rows
+    return run_stream(spark, stream, name, mode, **kw).rows
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def test_rate_limit_stream_equals_batch(spark, files):
     df = spark.createDataFrame(_requests(300, 4000, 3, 2), REQUESTS)
     batch = {r["request_id"]: (r["n_in_window"], r["allowed"], r["remaining"]) for r in W.rate_limit(df, 4, 60).collect()}
     stream = S.replay(df, "t-st3", files=files, jitter="100 seconds")
-    run = S.run_stream(spark, S.rate_limit_stream(stream, 4, 60), "t-st3")
+    run = S.run_stream(spark, S.rate_limit_stream(stream, 4, 60), "t-st3", rocksdb=True)
     got = {r["request_id"]: (r["n_in_window"], r["allowed"], r["remaining"]) for r in run.rows.collect()}
     assert got == batch and run.late_rows == 0
     assert all(n <= 4 or not ok for n, ok, _ in got.values()) and any(not ok for _, ok, _ in got.values())
