@@ -9,10 +9,10 @@ lower list) in one Arrow pass. :func:`ivf_store` writes the index once: vectors
 list, each list cut into parts of about ``LIST_ROWS`` vectors by its own size, beside the centroid
 table and the table of list sizes.
 
-search: each query probes its ``nprobe`` nearest lists. The probed (query, list) pairs meet the
-lists' parts in groups scored by a numpy block product that emits at most k candidates per
-query and group; a final ``row_number() <= k`` per query finishes. The scan of the vectors joins
-the probed lists, which prunes every other list's partition (dynamic partition pruning) before a
+search: each query probes its ``nprobe`` nearest lists. Blocks of queries meet shards, which hold several
+lists, in groups; in a group each list is scored against its queries by a numpy product, and at most k
+candidates per query and group come out; a final ``row_number() <= k`` per query finishes. The scan of the
+vectors joins the probed lists, which prunes every other list's partition (dynamic partition pruning) before a
 vector is read. A vector is always in its own first probe, so a search finds itself.
 
 Vectors that are null, of another size than the first centroid, or that hold a null or
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_root, cut_lineage, scratch_path
-from .vectors import _score_chunked, _scorable, _stack
+from .vectors import TopK, _score_chunked, _scorable, _stack, block_count
 
 MAX_CENTROID_BYTES = 64 << 20
 LIST_ROWS = 20_000  # vectors of a list, or queries of a list, that meet in one task
@@ -75,22 +75,30 @@ def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             np.asarray([r["centroid"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
 
 
-def _nearest_lists(df: DataFrame, vec_col: str, centroids, nprobe: int) -> DataFrame:
-    """One row per row of ``df`` and list among its ``nprobe`` nearest, with ``list_id``."""
+NEAR_BYTES = 32 << 20  # of scores, or of rows that are repeated, at once
+
+
+def _nearest_lists(df: DataFrame, vec_col: str, centroids, nprobe: int, as_array: bool = False) -> DataFrame:
+    """One row per row of ``df`` and list among its ``nprobe`` nearest, with ``list_id``; ``as_array``: one row
+    per row of ``df`` with their array ``lists``."""
     bc = df.sparkSession.sparkContext.broadcast(centroids)
     dim = centroids[1].shape[1]
     npr = min(nprobe, len(centroids[0]))
-    schema = T.StructType([*df.schema.fields, T.StructField("list_id", T.IntegerType())])
+    added = T.StructField("lists", T.ArrayType(T.IntegerType())) if as_array else T.StructField("list_id", T.IntegerType())
+    schema = T.StructType([*df.schema.fields, added])
+    some = max(1, NEAR_BYTES // (8 * max(len(centroids[0]), 1 if as_array else dim * npr)))
 
     def near(batches):
         ids, mat = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            s = _stack(pdf[vec_col], dim) @ mat.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :npr] if npr > 1 else s.argmax(axis=1)[:, None]
-            out = pdf.loc[pdf.index.repeat(npr)].reset_index(drop=True)
-            yield out.assign(list_id=ids[top.ravel()].astype(np.int32))
+        for batch in batches:
+            for a in range(0, len(batch), some):
+                pdf = batch.iloc[a:a + some]
+                s = _stack(pdf[vec_col], dim) @ mat.T
+                top = ids[np.argsort(-s, axis=1, kind="stable")[:, :npr] if npr > 1 else s.argmax(axis=1)[:, None]].astype(np.int32)
+                if as_array:
+                    yield pdf.assign(lists=list(top))
+                else:
+                    yield pdf.loc[pdf.index.repeat(npr)].reset_index(drop=True).assign(list_id=top.ravel())
 
     return df.filter(_scorable(vec_col) & (F.size(vec_col) == dim)).mapInPandas(near, schema)
 
@@ -130,33 +138,95 @@ def ivf_probe(queries: DataFrame, path: str, k: int = 5, nprobe: int = 10, query
               query_vec: str = "query_vector", query_rows: int = LIST_ROWS) -> DataFrame:
     """Approximate cosine top-k per query from the index stored at ``path``; (qid, id, score, rank).
 
-    The probes are written under the checkpoint folder and read twice: to prune the scan of the
+    The lists' parts are put together to shards of about equal size and the queries cut into blocks, as in the
+    blocked plan of :func:`.vectors.batch_topk`: a query is sent once to each shard that holds any of its lists, not
+    once to each list. The probes are written under the checkpoint folder and read twice: to prune the scan of the
     vectors by a join with the probed lists, and to meet the vectors of their lists."""
     spark = queries.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("__qid"), _unit(query_vec).alias("__qv"))
-    found = _nearest_lists(q, "__qv", _centroid_matrix(spark.read.parquet(f"{path}/centroids")), nprobe)
+    centroids = _centroid_matrix(spark.read.parquet(f"{path}/centroids"))
+    found = _nearest_lists(q, "__qv", centroids, nprobe, as_array=True)
     folder = scratch_path(spark, "ivf-probes")
     found.write.parquet(folder)
     found = spark.read.schema(found.schema).parquet(folder)
-    sizes = spark.read.parquet(f"{path}/lists")
-    # one row per probed list: in how many blocks its queries come, and in how many parts its vectors
-    met = (found.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("blocks"))
-           .join(F.broadcast(sizes.select("list_id", "parts")), "list_id"))
-    left = (found.join(F.broadcast(met), "list_id")
-            .withColumn("block", F.pmod(F.xxhash64("__qid"), F.col("blocks")).cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("list_id", "part", "block", "__qid", "__qv"))
+    dim = centroids[1].shape[1]
+    # one row per list, which the bound of the centroids covers
+    sizes = [(r["list_id"], r["n"], r["parts"]) for r in spark.read.parquet(f"{path}/lists").orderBy("list_id").collect()]
+    total = sum(n for _, n, _ in sizes)
+    shards = block_count(total, total * dim, max([1, *(math.ceil(n / parts) for _, n, parts in sizes)]))
+    placed, before = [], 0.0
+    for list_id, n, parts in sizes:
+        for part in range(parts):
+            placed.append((list_id, part, int(before * shards // total)))
+            before += n / parts
+    placed = [(i, part, min(shard, shards - 1)) for i, part, shard in placed]
+    n_q = found.count()
+    blocks = block_count(n_q, n_q * dim, query_rows)
+    most = np.int64(max([0, *(i for i, _, _ in placed)]) + 1)
+    pairs = np.unique(np.array([i * shards + s for i, _, s in placed], np.int64))
+    bc = spark.sparkContext.broadcast((pairs // shards, pairs % shards))
+
+    def probed(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"list_id": np.unique(np.concatenate(pdf["lists"].tolist())).astype(np.int32)})
+
+    def deal(batches):
+        of, shard = bc.value
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                pdf = batch.iloc[a:a + 512]
+                n = np.array([len(x) for x in pdf["lists"]], np.int64)
+                lists, row = np.concatenate(pdf["lists"].tolist()).astype(np.int64), np.repeat(np.arange(len(pdf)), n)
+                low, high = np.searchsorted(of, lists, "left"), np.searchsorted(of, lists, "right")
+                each = high - low  # a list in parts can be in several shards
+                at = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                key = (np.repeat(row, each) * shards + shard[at]) * most + of[at]
+                key = np.sort(key)
+                group = key // most
+                first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(key) else np.zeros(0, np.int64)
+                to, lists = group[first], np.split((key % most).astype(np.int32), first[1:])
+                yield pd.DataFrame({"__qid": pdf["__qid"].to_numpy()[to // shards], "__qv": pdf["__qv"].to_numpy()[to // shards],
+                                    "shard": (to % shards).astype(np.int32), "lists": lists if len(to) else []})
+
+    met = found.select("lists").mapInPandas(probed, "list_id int").distinct()
+    left = (found.mapInPandas(deal, "__qid long, __qv array<double>, shard int, lists array<int>")
+            .withColumn("block", F.pmod(F.xxhash64("__qid"), F.lit(blocks)).cast("int")))
+    at = spark.createDataFrame(placed, "list_id int, part int, shard int")
     # the comparison marks the probed lists as a selection, which is what lets them prune partitions
     right = (spark.read.parquet(f"{path}/vectors").join(F.broadcast(met.filter("list_id >= 0")), "list_id")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("list_id", "part", "block", "id", "vector"))
-    return _top_of_groups(left, right, ["list_id", "part", "block"], k, query_id)
+             .join(F.broadcast(at), ["list_id", "part"])
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select("shard", "block", "list_id", "id", "vector"))
+
+    def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({"__qid": [], "__cid": [], "score": []})
+        qids = qpdf["__qid"].to_numpy(dtype=np.int64)
+        top = TopK(_stack(qpdf["__qv"], dim), "dot", k)  # unit vectors
+        asked = np.concatenate(qpdf["lists"].tolist())
+        row = np.repeat(np.arange(len(qpdf)), [len(x) for x in qpdf["lists"]])
+        order = np.argsort(asked, kind="stable")
+        asked, row = asked[order], row[order]
+        for list_id, part in cpdf.groupby("list_id"):
+            a, b = np.searchsorted(asked, [list_id, list_id + 1])
+            if b > a:
+                top.add(_stack(part["vector"], dim), part["id"].to_numpy(dtype=np.int64), row[a:b])
+        qi, cid, sc = top.found()
+        return pd.DataFrame({"__qid": qids[qi], "__cid": cid, "score": sc})
 
+    tasks = max(1, min(shards * blocks, 1024))
+    keys = ["shard", "block"]
+    partial = (left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+               .applyInPandas(score, _HITS))
+    return _best_of(partial, k, query_id)
 
-def _top_of_groups(left: DataFrame, right: DataFrame, keys: list[str], k: int, query_id: str) -> DataFrame:
-    schema = T.StructType([T.StructField("__qid", T.LongType()), T.StructField("__cid", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
 
+_HITS = T.StructType([T.StructField("__qid", T.LongType()), T.StructField("__cid", T.LongType()),
+                      T.StructField("score", T.DoubleType())])
+
+
+def _top_of_groups(left: DataFrame, right: DataFrame, keys: list[str], k: int, query_id: str) -> DataFrame:
     def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({"__qid": [], "__cid": [], "score": []})
@@ -166,7 +236,10 @@ def _top_of_groups(left: DataFrame, right: DataFrame, keys: list[str], k: int, q
         qi, cid, sc = _score_chunked(cm, cpdf["id"].to_numpy(dtype=np.int64), qm, "dot", k, None, None)  # unit vectors
         return pd.DataFrame({"__qid": qids[qi], "__cid": cid, "score": sc})
 
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+    return _best_of(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _HITS), k, query_id)
+
+
+def _best_of(partial: DataFrame, k: int, query_id: str) -> DataFrame:
     w = Window.partitionBy("__qid").orderBy(F.col("score").desc(), F.col("__cid").asc())
     out = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return out.select(F.col("__qid").alias(query_id), F.col("__cid").alias("id"), "score", "rank")

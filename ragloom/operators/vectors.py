@@ -195,61 +195,93 @@ def _stack(series: pd.Series, dim: int) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series])
 
 
-def _merge_topk(q_idx, ids, scores, k, best):
-    """Keep, per query index, the k best (score desc, id asc) of ``best`` plus the new candidates."""
-    if best is not None:
-        q_idx = np.concatenate([best[0], q_idx])
-        ids = np.concatenate([best[1], ids])
-        scores = np.concatenate([best[2], scores])
-    order = np.lexsort((ids, -scores, q_idx))
-    q_idx, ids, scores = q_idx[order], ids[order], scores[order]
-    if len(q_idx) == 0:
-        return q_idx, ids, scores
-    starts = np.r_[0, np.flatnonzero(np.diff(q_idx)) + 1]
-    group_start = np.repeat(starts, np.diff(np.r_[starts, len(q_idx)]))
-    keep = (np.arange(len(q_idx)) - group_start) < k
-    return q_idx[keep], ids[keep], scores[keep]
-
-
-def _block_scores(cmat: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
-    """Score matrix (corpus rows x queries); larger is better for every metric."""
-    if metric == "cosine":
-        return _normalize_rows(cmat) @ _normalize_rows(qmat).T
-    if metric == "dot":
-        return cmat @ qmat.T
-    # l2: negative squared distance so that "larger is better" holds
-    sq = (cmat * cmat).sum(1)[:, None] + (qmat * qmat).sum(1)[None, :] - 2.0 * (cmat @ qmat.T)
-    return -np.maximum(sq, 0.0)
-
-
-def _candidates(scores: np.ndarray, cids: np.ndarray, k: int, floor: float | None):
-    """Per query column: every corpus row that can still be in its top-k (ties kept)."""
-    if scores.shape[0] == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if floor is not None:
-        scores = np.where(scores >= floor, scores, -np.inf)
-    if scores.shape[0] > k:
-        kth = -np.partition(-scores, k - 1, axis=0)[k - 1]
-        mask = scores >= kth[None, :]
-    else:
-        mask = np.ones_like(scores, dtype=bool)
-    mask &= np.isfinite(scores)
-    r, q = np.nonzero(mask)
-    return q.astype(np.int64), cids[r].astype(np.int64), scores[r, q]
-
-
-SCORE_MATRIX_BYTES = 64 << 20  # bound of one corpus-chunk x queries score matrix in a Python worker
+SCORE_MATRIX_BYTES = 4 << 20  # bound of one queries x corpus-chunk score matrix in a Python worker
+QUERY_ROWS, FIRST_ROWS = 512, 512  # queries scored together; corpus rows of the first chunk, which sets a floor
+RESCORED = 1 << 16  # pairs whose vectors are gathered at once
+
+
+class TopK:
+    """The k best corpus rows of each query of a block (larger score first, ties to the smaller id), kept as
+    matrices of queries x k.
+
+    A matrix product bounds the scores; the pairs that can be among a query's k best by it, a rounding error
+    allowed, get their score from their two vectors alone, so equal vectors score the same wherever they stand."""
+
+    def __init__(self, qmat: np.ndarray, metric: str, k: int, floor: float | None = None):
+        self.q, self.metric, self.k = _normalize_rows(qmat) if metric == "cosine" else qmat, metric, k
+        self.floor = -np.inf if floor is None else floor
+        self.scores = np.full((len(qmat), k), -np.inf)
+        self.ids = np.full((len(qmat), k), np.iinfo(np.int64).max)
+        self.size = np.sqrt((self.q * self.q).sum(1))
+
+    def add(self, cmat: np.ndarray, cids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Corpus rows that meet all queries, or those at the given places."""
+        order = np.argsort(cids, kind="stable")  # of equal scores those that come later are seldom wanted
+        c, cids = cmat[order], cids[order]
+        c = _normalize_rows(c) if self.metric == "cosine" else c
+        queries = np.arange(len(self.q)) if queries is None else queries
+        for a in range(0, len(queries), QUERY_ROWS):
+            at = queries[a:a + QUERY_ROWS]
+            most = max(1, SCORE_MATRIX_BYTES // (8 * len(at)))
+            start, q = 0, self.q[at]
+            while start < len(c):
+                end = start + (min(most, FIRST_ROWS) if start == 0 else most)
+                self._fold(at, q, c[start:end], cids[start:end])
+                start = end
+
+    def _fold(self, at: np.ndarray, q: np.ndarray, c: np.ndarray, cids: np.ndarray) -> None:
+        s = q @ c.T
+        largest = np.sqrt((c * c).sum(1)).max()
+        scale = self.size[at] * largest
+        if self.metric == "l2":
+            s = 2.0 * s - (c * c).sum(1)[None, :] - (q * q).sum(1)[:, None]
+            scale = (self.size[at] + largest) ** 2
+        slack = 8 * (q.shape[1] + 2) * np.finfo(np.float64).eps * scale
+        worst = np.maximum(self.scores[at, -1], self.floor)
+        free = np.flatnonzero(worst == -np.inf)
+        if len(free) and s.shape[1] > self.k:  # nothing to compare with yet: the k-th of this chunk
+            some = np.where(np.isfinite(s[free]), s[free], -np.inf)
+            worst[free] = np.partition(some, s.shape[1] - self.k, axis=1)[:, -self.k]
+        i, j = np.divmod(np.flatnonzero(s >= (worst - slack)[:, None]), s.shape[1])
+        for x in range(0, len(i), RESCORED):
+            self._take(at, q, c, cids, i[x:x + RESCORED], j[x:x + RESCORED])
+
+    def _take(self, at, q, c, cids, i, j) -> None:
+        if self.metric == "l2":
+            gap = q[i] - c[j]
+            s = -np.einsum("ij,ij->i", gap, gap)
+        else:
+            s = np.einsum("ij,ij->i", q[i], c[j])
+        ids, last = cids[j], at[i]
+        last_score, last_id = self.scores[last, -1], self.ids[last, -1]
+        keep = np.isfinite(s) & (s >= self.floor) & ((s > last_score) | ((s == last_score) & (ids < last_id)))
+        if not keep.any():
+            return
+        s, ids, of = s[keep], ids[keep], last[keep]
+        rows = np.unique(of)
+        of = np.concatenate([np.repeat(np.arange(len(rows)), self.k), np.searchsorted(rows, of)])
+        s, ids = np.concatenate([self.scores[rows].ravel(), s]), np.concatenate([self.ids[rows].ravel(), ids])
+        order = np.lexsort((ids, -s, of))
+        n = np.bincount(of, minlength=len(rows))
+        best = order[(np.cumsum(n) - n)[:, None] + np.arange(self.k)]
+        self.scores[rows], self.ids[rows] = s[best], ids[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score), by query."""
+        qi, rank = np.nonzero(self.scores > -np.inf)
+        return qi, self.ids[qi, rank], self.scores[qi, rank]
 
 
 def _score_chunked(cmat: np.ndarray, cids: np.ndarray, qmat: np.ndarray, metric: str, k: int,
                    floor: float | None, best):
-    """Score corpus rows against all queries in row chunks whose score matrix stays under
-    SCORE_MATRIX_BYTES, folding each chunk into the running top-k."""
-    rows = max(1, SCORE_MATRIX_BYTES // (8 * max(qmat.shape[0], 1)))
-    for start in range(0, cmat.shape[0], rows):
-        s = _block_scores(cmat[start:start + rows], qmat, metric)
-        best = _merge_topk(*_candidates(s, cids[start:start + rows], k, floor), k, best)
-    return best
+    """(query, id, score) of the k best of these corpus rows and of ``best``, an earlier result."""
+    top = TopK(qmat, metric, k, floor)
+    if best is not None:
+        n = np.bincount(best[0], minlength=len(qmat))
+        place = np.arange(len(best[0])) - np.repeat(np.cumsum(n) - n, n)
+        top.ids[best[0], place], top.scores[best[0], place] = best[1], best[2]
+    top.add(cmat, cids)
+    return top.found()
 
 
 def block_topk_schema(query_id: str, id_col: str) -> T.StructType:
@@ -262,6 +294,13 @@ def _scorable(col: str) -> Column:
     return (F.size(col) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
+def _narrow(df: DataFrame, col: str) -> Column:
+    """A vector column for scoring: floats stay floats until they are scored in double precision."""
+    kind = df.schema[col].dataType
+    kept = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    return F.col(col) if kept else F.col(col).cast("array<double>")
+
+
 def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "cosine",
                threshold: float | None = None, query_id: str = "qid", query_vec: str = "query_vector",
                id_col: str = "id", vector_col: str = "embedding",
@@ -277,17 +316,18 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     Plan: if the query side is provably small (its components x 8 bytes under
     ``max_broadcast_bytes``) its matrix is broadcast and every corpus task streams its
     Arrow batches through a matrix product, keeping a running top-k per query; the
-    corpus is never shuffled. Otherwise both sides are hash-blocked and every
-    (query block, corpus block) pair is scored in its own task. Either way at most
+    corpus is never shuffled. Otherwise both sides are hash-blocked, in blocks of
+    ``block_rows`` or more (:func:`block_count`), and every (query block, corpus block)
+    pair is scored apart. Either way at most
     k rows per query per task are shuffled to the final ``row_number() <= k``.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(f"unknown metric {metric}")
     spark = corpus.sparkSession
     q = queries.select(F.col(query_id).cast("long").alias("__qid"),
-                       F.col(query_vec).cast("array<double>").alias("__qv"))
+                       _narrow(queries, query_vec).alias("__qv"))
     c = corpus.select(F.col(id_col).cast("long").alias("__cid"),
-                      F.col(vector_col).cast("array<double>").alias("__cv"))
+                      _narrow(corpus, vector_col).alias("__cv"))
     # vectors that are null, empty, or hold a null or non-finite component cannot be scored (V7 flags them)
     q, c = q.filter(_scorable("__qv")), c.filter(_scorable("__cv"))
     stats = q.agg(F.count("*").alias("n"), F.sum(F.size("__qv").cast("long")).alias("cells")).first()
@@ -302,7 +342,7 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str =
     elif int(stats["cells"]) * 8 <= max_broadcast_bytes:
         partial = _broadcast_topk(q, c, k, metric, floor, schema)
     else:
-        partial = _blocked_topk(q, c, k, metric, floor, n_q, block_rows, schema)
+        partial = _blocked_topk(q, c, k, metric, floor, n_q, int(stats["cells"]), block_rows, schema)
 
     asc = metric == "l2"
     order = F.col("score").asc() if asc else F.col("score").desc()
@@ -326,23 +366,34 @@ def _broadcast_topk(q, c, k, metric, floor, schema):
     bc = spark.sparkContext.broadcast(by_size)
 
     def score_partition(batches):
-        best: dict[int, tuple] = {}
+        best: dict[int, TopK] = {}
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["__cv"].map(len)):
                 if dim in bc.value:
-                    best[dim] = _score_chunked(_stack(part["__cv"], dim), part["__cid"].to_numpy(dtype=np.int64),
-                                               bc.value[dim][1], metric, k, floor, best.get(dim))
-        for dim, (qi, ids_, sc) in best.items():
+                    if dim not in best:
+                        best[dim] = TopK(bc.value[dim][1], metric, k, floor)
+                    best[dim].add(_stack(part["__cv"], dim), part["__cid"].to_numpy(dtype=np.int64))
+        for dim, top in best.items():
+            qi, ids_, sc = top.found()
             if len(qi):
                 yield pd.DataFrame({"__qid": bc.value[dim][0][qi], "__cid": ids_, "score": _finish_scores(metric, sc)})
 
     return ensure_parallelism(c).mapInPandas(score_partition, schema)
 
 
-def _blocked_topk(q, c, k, metric, floor, n_q, block_rows, schema):
-    n_c = c.count()
-    qb = max(1, math.ceil(n_q / block_rows))
-    cb = max(1, math.ceil(n_c / block_rows))
+SIDE_BLOCKS = 16  # blocks that a side is cut into while they fit BLOCK_BYTES; a row is sent to every block of the other side
+BLOCK_BYTES = 32 << 20  # of a block's vectors
+
+
+def block_count(n: int, cells: int, least_rows: int) -> int:
+    """Blocks of ``n`` vectors with ``cells`` components in all: ``SIDE_BLOCKS`` of them, fewer where these would
+    have under ``least_rows``, more where one would have over ``BLOCK_BYTES``."""
+    return max(1, min(math.ceil(n / least_rows), max(SIDE_BLOCKS, math.ceil(cells * 8 / BLOCK_BYTES))))
+
+
+def _blocked_topk(q, c, k, metric, floor, n_q, cells_q, block_rows, schema):
+    found = c.agg(F.count("*").alias("n"), F.sum(F.size("__cv").cast("long")).alias("cells")).first()
+    qb, cb = block_count(n_q, cells_q, block_rows), block_count(found["n"], found["cells"] or 0, block_rows)
     q, c = q.withColumn("dim", F.size("__qv")), c.withColumn("dim", F.size("__cv"))
     qx = (q.withColumn("qb", F.pmod(F.xxhash64("__qid"), F.lit(qb)))
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)).cast("array<long>"))))
@@ -354,13 +405,15 @@ def _blocked_topk(q, c, k, metric, floor, n_q, block_rows, schema):
             return pd.DataFrame({"__qid": [], "__cid": [], "score": []})
         dim = len(qpdf["__qv"].iloc[0])
         qids = qpdf["__qid"].to_numpy(dtype=np.int64)
-        qmat = _stack(qpdf["__qv"], dim)
-        cmat = _stack(cpdf["__cv"], dim)
-        cids = cpdf["__cid"].to_numpy(dtype=np.int64)
-        qi, ids, sc = _score_chunked(cmat, cids, qmat, metric, k, floor, None)
+        top = TopK(_stack(qpdf["__qv"], dim), metric, k, floor)
+        top.add(_stack(cpdf["__cv"], dim), cpdf["__cid"].to_numpy(dtype=np.int64))
+        qi, ids, sc = top.found()
         return pd.DataFrame({"__qid": qids[qi], "__cid": ids, "score": _finish_scores(metric, sc)})
 
-    return (qx.groupBy("dim", "qb", "cb").cogroup(cx.groupBy("dim", "qb", "cb"))
+    # a pair of blocks is much work for few bytes, so small partitions are not joined into one task
+    keys = ["dim", "qb", "cb"]
+    tasks = max(1, min(qb * cb, 1024))
+    return (qx.repartition(tasks, *keys).groupBy(*keys).cogroup(cx.repartition(tasks, *keys).groupBy(*keys))
             .applyInPandas(score_block, schema))
 
 

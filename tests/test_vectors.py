@@ -220,3 +220,35 @@ def test_centroids_beyond_the_bound_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, embedding array<double>")
     with pytest.raises(ValueError):
         ann.ivf_train(df, lists=8)
+
+
+def test_blocks_of_a_batch_search_stay_few():
+    """A row is sent to every block of the other side: their number is bounded while the blocks fit memory."""
+    assert V.block_count(500, 500 * 64, 200) == 3
+    assert V.block_count(600_000, 600_000 * 64, 200) == V.SIDE_BLOCKS
+    assert V.block_count(6_000_000, 6_000_000 * 64, 200) * V.BLOCK_BYTES >= 6_000_000 * 64 * 8
+
+
+def test_equal_vectors_score_alike_wherever_they_stand():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1, 37))
+    c = np.vstack([v, rng.normal(size=(700, 37)), v, v])
+    for metric in ("cosine", "dot", "l2"):
+        top = V.TopK(v, metric, 3)
+        top.add(c, np.arange(len(c))[::-1].copy())
+        _, ids, scores = top.found()
+        if metric != "dot":
+            assert ids.tolist() == [0, 1, 702] and len(set(scores.tolist())) == 1
+
+
+def test_probes_leave_a_worker_one_row_a_query(spark, tmp_path):
+    """A query is not repeated for each of its lists, and meets a shard of lists once."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_clusters(200))], "id long, embedding array<double>")
+    path = str(tmp_path / "ivf")
+    ann.ivf_store(df, path, lists=10, max_iter=5)
+    q = df.select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
+    cents = ann._centroid_matrix(spark.read.parquet(f"{path}/centroids"))
+    near = ann._nearest_lists(q, "query_vector", cents, 6, as_array=True)
+    assert near.count() == 200 and near.select(F.size("lists")).distinct().collect()[0][0] == 6
+    rows = ann._nearest_lists(q, "query_vector", cents, 6)
+    assert {(r["qid"], r["list_id"]) for r in rows.collect()} == {(r["qid"], x) for r in near.collect() for x in r["lists"]}
