@@ -185,14 +185,14 @@ def error_stats(errors: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------ A13
 def cache_stats(entries: DataFrame, group_col: str = "model_type") -> DataFrame:
     """Per cache group: entries (each loaded once = a miss), hits (later accesses),
-    requests, hit rate as a fraction and as a percent, bytes per tier (device) and the number
-    of model names (the names themselves: :func:`cache_model_names`)."""
+    requests, hit rate as a fraction and as a percent, bytes per tier (device) and the
+    sorted model names (as rows: :func:`cache_model_names`)."""
     g = entries.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("misses"),
         F.sum("access_count").alias("hits"),
         F.sum(F.when(F.col("device") == "cpu", F.col("size_bytes")).otherwise(0)).alias("cpu_bytes"),
         F.sum(F.when(F.col("device") != "cpu", F.col("size_bytes")).otherwise(0)).alias("gpu_bytes"),
-        F.countDistinct("model_name").alias("model_names"))
+        F.sort_array(F.collect_set("model_name")).alias("model_names"))
     req = F.col("hits") + F.col("misses")
     return (g.withColumn("requests", req)
              .withColumn("hit_rate", F.when(req > 0, F.col("hits") / req).otherwise(F.lit(0.0)))

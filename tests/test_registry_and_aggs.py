@@ -179,3 +179,10 @@ def test_rule_tables_are_bounded(spark, monkeypatch):
     df = spark.createDataFrame([(1, 50.0)], "id int, memory_percent double")
     with pytest.raises(ValueError):
         P.classify_with_rules(df, P.threshold_rules(spark))
+
+
+def test_cache_stats_name_the_models(spark):
+    rows = [("a", "m2", 1, "cpu", 5), ("a", "m1", 2, "cuda", 7), ("a", "m2", 0, "cpu", 1), ("b", None, 3, "cpu", 2)]
+    df = spark.createDataFrame(rows, "model_type string, model_name string, access_count long, device string, size_bytes long")
+    got = {r["model_type"]: r["model_names"] for r in G.cache_stats(df).collect()}
+    assert got == {"a": ["m1", "m2"], "b": []}
