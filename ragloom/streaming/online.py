@@ -10,17 +10,20 @@ written per micro-batch into the batch's own folder, so a replayed batch replace
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.changes import insert_unique
@@ -49,108 +52,118 @@ def stream_threshold_alerts(snapshots: DataFrame, **kw) -> DataFrame:
 RATE_OUT = T.StructType([T.StructField("client_id", T.StringType()), T.StructField("request_id", T.LongType()),
                          T.StructField("ts", T.TimestampType()), T.StructField("n_in_window", T.LongType()),
                          T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType())])
+OUT_ROWS = 1 << 16  # rows handed back by a worker at once
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def window_limiter(limit: int, win_us: int, span_us: int) -> StatefulProcessor:
-    """The state handler of :func:`rate_limit_stream`. Its class is local, so it is sent whole: the driver's own
-    state worker imports no package that was sent to the executors."""
+def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int = 60,
+                      lateness: str = "2 minutes", bucket_windows: int = 16) -> DataFrame:
+    """ST3: the sliding-window limiter (W1), exact for requests that arrive out of order within
+    ``lateness``. Like W1 a client is cut into buckets of ``bucket_windows`` window lengths: event-time windows,
+    each of which begins one window length early, so that a bucket's first requests see those before them. Spark's
+    own state holds a (client, bucket)'s requests until the watermark has passed its end; then they come out at once
+    and are counted, many buckets of an Arrow batch together. Later requests whose bucket is still open count."""
+    win, span = int(window_seconds), int(window_seconds) * int(bucket_windows)
+    win_us, wide = win * 1_000_000, (span + 2 * win + 1) * 1_000_000
+    bucket = F.window("ts", f"{span + win} seconds", f"{span} seconds", f"{span - win} seconds")
+    request = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("request_id").cast("long").alias("id"))
+    kept = (requests.withWatermark("ts", lateness).groupBy("client_id", bucket.alias("bucket"))
+            .agg(F.collect_list(request).alias("rows"))
+            .select("client_id", F.unix_micros(F.col("bucket.start").cast("timestamp")).alias("start"), "rows"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2)
+            of = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+            flat = rows.flatten()
+            us, ids = flat.field(0).to_numpy(), flat.field(1)
+            order = np.lexsort((pc.fill_null(ids, -1).to_numpy(), us, of))
+            us, of, ids = us[order], of[order], ids.take(pa.array(order))
+            since = us - batch.column(1).to_numpy()[of]
+            place = of * wide + since
+            n = np.arange(1, len(us) + 1) - np.searchsorted(place, place - win_us, "right")
+            own = np.flatnonzero(since >= win_us)
+            for a in range(0, len(own), OUT_ROWS):
+                at = own[a:a + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(of[at])), ids.take(pa.array(at)), pa.array(us[at]).cast(pa.timestamp("us", tz="UTC")),
+                     pa.array(n[at]), pa.array(n[at] <= limit), pa.array(np.maximum(limit - n[at], 0))], names=RATE_OUT.names)
+
+    return kept.mapInArrow(count, RATE_OUT)
 
-    class WindowLimiter(StatefulProcessor):
-        """Requests of one (client, time bucket): kept in a list state until an event-time timer at the
-        bucket's end says that no more can come, then counted at once. ``own`` is false for requests
-        of the previous bucket's last window, which only count."""
 
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.rows = handle.getListState("rows", "us long, id long, own boolean")
+# ---------------------------------------------------------------------------- ST4
+STATE_BUCKETS = 1024  # groups of keys that share a state: a key costs no call and no state row of its own
+TTL_STATE = T.StructType([T.StructField("expires", T.BinaryType())])  # a bucket's keys and when they expire
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            for pdf in rows:
-                if len(pdf):
-                    self.rows.appendList(list(zip(pdf["us"].tolist(), pdf["request_id"].tolist(), pdf["own"].tolist(), strict=True)))
-            self.handle.registerTimer((int(key[1]) + 1) * span_us // 1000)
-            return iter(())
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            rows = list(self.rows.get())
-            self.rows.clear()
-            us, ids = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-            own = np.array([r[2] for r in rows], bool)
-            order = np.lexsort((ids, us))
-            us, ids, own = us[order], ids[order], own[order]
-            n = np.arange(1, len(us) + 1) - np.searchsorted(us, us - win_us, "right")
-            out = pd.DataFrame({"client_id": key[0], "request_id": ids, "ts": pd.to_datetime(us, unit="us", utc=True),
-                                "n_in_window": n, "allowed": n <= limit, "remaining": np.maximum(limit - n, 0)})
-            yield out[own]
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[ns]").astype(np.int64) // 1000
 
-        def close(self) -> None:
-            pass
 
-    return WindowLimiter()
+def _misses(state, keys: np.ndarray, us: np.ndarray, ttl_us: int) -> np.ndarray:
+    """Which rows, sorted by key and time, come after their key's entry expired or has none; each stores a new
+    entry. The entries are the bucket's state, without those that the watermark has passed."""
+    expires = pickle.loads(state.get[0]) if state.exists else {}
+    out, key, until = np.zeros(len(us), bool), object(), None
+    for i, (k, t) in enumerate(zip(keys.tolist(), us.tolist(), strict=True)):
+        if k != key:
+            key, until = k, expires.get(k)
+        if until is None or t > until:
+            until = expires[k] = t + ttl_us
+            out[i] = True
+    passed = state.getCurrentWatermarkMs() * 1000
+    expires = {k: t for k, t in expires.items() if t >= passed}
+    if expires:
+        state.update((pickle.dumps(expires),))
+        state.setTimeoutTimestamp(max(expires.values()) // 1000 + 1)
+    elif state.exists:
+        state.remove()
+    return out
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 60, window_seconds: int = 60,
-                      lateness: str = "2 minutes", bucket_windows: int = 16) -> DataFrame:
-    """ST3: the sliding-window limiter (W1), exact for requests that arrive out of order within
-    ``lateness``. Like W1 a client is cut into buckets of ``bucket_windows`` window lengths, and the
-    requests of a bucket's last window are also sent to the next one; the state of a (client,
-    bucket) ends with its timer. A bucket's rows are emitted when the watermark has passed its end.
-    Start it with the RocksDB state store (:func:`rocksdb_state`)."""
-    win_us = int(window_seconds) * 1_000_000
-    span = win_us * int(bucket_windows)
-    b = F.floor(F.col("__us") / F.lit(span))
-    buckets = F.when(F.col("__us") >= (b + 1) * F.lit(span) - F.lit(win_us), F.array(b, b + 1)).otherwise(F.array(b))
-    # names that a named tuple may have: the worker hands rows over as such
-    dealt = (requests.withWatermark("ts", lateness).withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-             .select("client_id", "request_id", "ts", F.col("__us").alias("us"), F.posexplode(buckets).alias("place", "bucket"))
-             .withColumn("own", F.col("place") == 0).drop("place"))
-    return (dealt.groupBy("client_id", "bucket")
-            .transformWithStateInPandas(window_limiter(limit, win_us, span), RATE_OUT, "Append", "EventTime"))
+def _key_bucket(*key_cols: str):
+    return F.pmod(F.xxhash64(*key_cols), F.lit(STATE_BUCKETS))
 
 
-# ---------------------------------------------------------------------------- ST4
 def dedup_within_ttl(stream: DataFrame, key_cols: list[str], ttl: str = "300 seconds", ts_col: str = "ts") -> DataFrame:
     """ST4 as de-duplication: the requests that :func:`ttl_cache_stream` counts as misses, with all
     their columns. Per key in the order of time, then of the other columns, a row is dropped until
     more than ``ttl`` after the last one kept, however the rows are grouped into micro-batches. Rows
-    later than the watermark, ``ttl`` behind, are dropped; a null time is never kept."""
+    later than the watermark, ``ttl`` behind, are dropped; a null time is never kept. Keys share states
+    by hash (:data:`STATE_BUCKETS`)."""
     ttl_us = int(pd.Timedelta(ttl).value // 1000)
-    names = stream.columns
-    order = [ts_col] + [f.name for f in stream.schema.fields
-                        if f.name != ts_col and isinstance(f.dataType, (T.NumericType, T.StringType))]
+    whole = [f.name for f in stream.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    null = {c: f"__null_{c}" for c in whole}  # pandas has no null in whole numbers
+    order = [ts_col]
+    for f in stream.schema.fields:
+        if f.name != ts_col and isinstance(f.dataType, (T.NumericType, T.StringType)):
+            order += [null[f.name], f.name] if f.name in null else [f.name]
+    sent = stream.withWatermark(ts_col, ttl).select(
+        *[F.coalesce(F.col(c), F.lit(0).cast(stream.schema[c].dataType)).alias(c) if c in null else F.col(c) for c in stream.columns],
+        *[F.col(c).isNull().alias(n) for c, n in null.items()],
+        F.to_json(F.struct(*key_cols)).alias("__key"), _key_bucket(*key_cols).alias("__bucket"))
+    names = [c for c in sent.columns if c not in ("__key", "__bucket")]
 
     def step(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        expires = state.get[0] if state.exists else None
         batch = pd.concat(list(pdfs), ignore_index=True).dropna(subset=[ts_col])
-        batch = batch.sort_values(order, kind="stable")
-        kept = []
-        for i, ts in enumerate(batch[ts_col]):
-            t = int(pd.Timestamp(ts).value // 1000)
-            if expires is None or t > expires:
-                expires = t + ttl_us
-                kept.append(i)
-        if expires is not None:
-            state.update((expires,))
-            state.setTimeoutTimestamp(expires // 1000 + 1)
-        yield batch.iloc[kept][names]
-
-    return (stream.withWatermark(ts_col, ttl).groupBy(*key_cols)
-            .applyInPandasWithState(step, stream.schema, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
-
+        batch = batch.sort_values(["__key", *order], kind="stable")
+        yield batch[_misses(state, batch["__key"].to_numpy(), _micros(batch[ts_col]), ttl_us)][names]
 
-TTL_STATE = T.StructType([T.StructField("expires_us", T.LongType())])
+    kept = (sent.groupBy("__bucket")
+            .applyInPandasWithState(step, sent.select(names).schema, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return kept.select(*[F.when(~F.col(null[c]), F.col(c)).alias(c) if c in null else F.col(c) for c in stream.columns])
 
 
 def ttl_cache_stream(requests: DataFrame, key_col: str, ttl_seconds: int = 300, ts_col: str = "ts",
                      id_col: str = "request_id", lateness: str = "10 minutes") -> DataFrame:
     """ST4 (exact): per key in (time, id) order, a request is a cache miss when no entry exists
     or the entry has expired (time > expiry, strict); a miss stores a new entry expiring
-    ``ttl_seconds`` later, a hit leaves it. Emits every request with ``cache_hit``; the key's
-    state is dropped by an event-time timeout once the entry expired."""
+    ``ttl_seconds`` later, a hit leaves it. Emits every request with ``cache_hit``. Keys share states by hash
+    (:data:`STATE_BUCKETS`); a key's entry is dropped from its state once the watermark has passed its expiry."""
     ttl_us = int(ttl_seconds) * 1_000_000
     out_schema = T.StructType([T.StructField(key_col, T.StringType()), T.StructField(id_col, T.LongType()),
                                T.StructField(ts_col, T.TimestampType()), T.StructField("cache_hit", T.BooleanType())])
@@ -159,20 +172,12 @@ def ttl_cache_stream(requests: DataFrame, key_col: str, ttl_seconds: int = 300,
         if state.hasTimedOut:
             state.remove()
             return
-        expires = state.get[0] if state.exists else None
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([ts_col, id_col], kind="stable")
-        out = []
-        for ts, rid in zip(batch[ts_col], batch[id_col]):
-            t = int(pd.Timestamp(ts).value // 1000)
-            hit = expires is not None and not (t > expires)
-            if not hit:
-                expires = t + ttl_us
-            out.append((key[0], int(rid), ts, hit))
-        state.update((expires,))
-        state.setTimeoutTimestamp(expires // 1000 + 1)
-        yield pd.DataFrame(out, columns=[f.name for f in out_schema.fields])
-
-    return (requests.withWatermark(ts_col, lateness).groupBy(key_col)
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values([key_col, ts_col, id_col], kind="stable")
+        missed = _misses(state, batch[key_col].to_numpy(), _micros(batch[ts_col]), ttl_us)
+        yield batch[[key_col, id_col, ts_col]].assign(cache_hit=~missed)
+
+    return (requests.withWatermark(ts_col, lateness).select(key_col, id_col, ts_col, _key_bucket(key_col).alias("__bucket"))
+            .groupBy("__bucket")
             .applyInPandasWithState(step, out_schema, TTL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -211,14 +216,20 @@ def circuit_breaker_stream(calls: DataFrame, threshold: int = 5, timeout_seconds
 
     def step(key, pdfs, state):
         st, fails, last = state.get if state.exists else ("CLOSED", 0, 0)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        out = []
-        for ts, seq, ok in zip(batch["ts"], batch["seq"], batch["success"]):
-            t = int(pd.Timestamp(ts).value // 1000)
-            decision, st, fails, last = breaker_step(st, int(fails), int(last), t, bool(ok), threshold, timeout_us)
-            out.append((key[0], int(seq), ts, decision, st, int(fails)))
-        state.update((st, int(fails), int(last)))
-        yield pd.DataFrame(out, columns=[f.name for f in BREAKER_OUT.fields])
+        # a key's calls of a micro-batch as three arrays, and its decisions in frames of OUT_ROWS
+        parts = [(p["ts"].to_numpy("datetime64[ns]"), p["seq"].to_numpy(np.int64), p["success"].eq(True).to_numpy(bool)) for p in pdfs]
+        ts, seq, ok = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((seq, ts, np.isnat(ts)))
+        for a in range(0, len(order), OUT_ROWS):
+            at = order[a:a + OUT_ROWS]
+            out = []
+            for t, success in zip((ts[at].astype(np.int64) // 1000).tolist(), ok[at].tolist(), strict=True):
+                decision, st, fails, last = breaker_step(st, int(fails), int(last), t, success, threshold, timeout_us)
+                out.append((decision, st, int(fails)))
+            if a + OUT_ROWS >= len(order):
+                state.update((st, int(fails), int(last)))
+            decisions, states, failures = zip(*out, strict=True)
+            yield pd.DataFrame({"key": key[0], "seq": seq[at], "ts": ts[at], "decision": decisions, "state": states, "failure_count": failures})
 
     return (calls.withWatermark("ts", lateness).groupBy("key")
             .applyInPandasWithState(step, BREAKER_OUT, BREAKER_STATE, "append", GroupStateTimeout.EventTimeTimeout))
@@ -341,7 +352,7 @@ class StreamRun:
 
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, which ``transformWithState`` needs."""
+    """Queries started inside keep their state in RocksDB, outside the executors' heap."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ROCKSDB)
@@ -385,9 +396,13 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return r.parquet(path)
 
 
+REPLAY_ROWS = 1_000_000
+
+
 def replay(rows: DataFrame, name: str, ts_col: str = "ts", files: int = 3, closing: str | None = "1 day",
            jitter: str | None = None) -> DataFrame:
-    """A table as a stream of one file per micro-batch: cut into ``files`` by time (quantiles of
+    """A table as a stream of one file per micro-batch, or several of about ``REPLAY_ROWS`` rows where that
+    is not enough: cut into ``files`` by time (quantiles of
     ``ts_col``), the last followed by a closing row ``closing`` after the newest, null but for its
     time, which moves the watermark past every window. ``jitter`` moves rows into another file
     than their time's by up to so much, to arrive out of order."""
@@ -397,17 +412,18 @@ def replay(rows: DataFrame, name: str, ts_col: str = "ts", files: int = 3, closi
     if jitter:
         at = at + F.pmod(F.xxhash64(*rows.columns), F.lit(int(pd.Timedelta(jitter).value // 1000)))
     cuts = rows.select(at.alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.001) if files > 1 else []
+    each = max(1, ceil(rows.count() / (files * REPLAY_ROWS)))  # files of a micro-batch, written by a task each
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):
         some = rows
         some = some if low is None else some.filter(at > int(low))
         some = some if high is None else some.filter(at <= int(high))
-        some.coalesce(1).write.mode("append").parquet(path)
+        (some.coalesce(1) if each == 1 else some.repartition(each)).write.mode("append").parquet(path)
     if closing:
         last = rows.agg((F.max(ts_col) + F.expr(f"INTERVAL {closing}")).alias(ts_col))
         last.select(*[F.col(f.name) if f.name == ts_col else F.lit(None).cast(f.dataType).alias(f.name)
                       for f in rows.schema.fields]).coalesce(1).write.mode("append").parquet(path)
-    return file_stream(spark, path, rows.schema, max_files=1)
+    return file_stream(spark, path, rows.schema, max_files=each)
 
 
 # ---------------------------------------------------------------------------- ST3, distributed

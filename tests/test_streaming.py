@@ -303,3 +303,39 @@ def test_breaker_timeout_edges():
     assert d == "allowed" and st3 == "CLOSED" and f3 == 0  # 61 s later: half-open, success closes
     d, st4, f4, _ = S.breaker_step(st, f, last, 4 * us + 61 * us, False, 5, 60 * us)
     assert d == "allowed" and st4 == "OPEN" and f4 == 6  # half-open failure re-opens
+
+
+def test_keys_share_states_by_hash(spark, tmp_path, monkeypatch):
+    """A key has no state row of its own: one bucket keeps all keys apart, also null ones, over several micro-batches."""
+    monkeypatch.setattr(S, "STATE_BUCKETS", 1)
+    seconds = [0, 10, 301, 400, 1200]
+    rows = [(100 * k + i, f"q{k}" if k else None, k if k != 1 else None, T0 + dt.timedelta(seconds=s)) for k in range(4) for i, s in enumerate(seconds)]
+    schema, path = "id long, query string, n long, ts timestamp", str(tmp_path / "one")
+    for low, high in ((0, 10), (301, 400), (1200, 1200)):
+        some = [r for r in rows if low <= (r[3] - T0).total_seconds() <= high]
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = S.file_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+    out = S.run_to_table(spark, S.dedup_within_ttl(stream, ["query"]), "t-st4-shared")
+    got = sorted((r["id"], r["query"], r["n"]) for r in out.collect())
+    assert got == sorted((100 * k + i, f"q{k}" if k else None, k if k != 1 else None) for k in range(4) for i in (0, 2, 4))
+    req = stream.select("query", F.col("id").alias("request_id"), "ts")
+    hits = S.run_to_table(spark, S.ttl_cache_stream(req, "query", 300), "t-st4-hits").collect()
+    assert {r["request_id"] for r in hits if not r["cache_hit"]} == {r[0] for r in got} and len(hits) == 20
+
+
+def test_breaker_hands_a_keys_calls_back_in_parts(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", i, i % 5 == 0, T0 + dt.timedelta(seconds=7 * i)) for i in range(100)],
+                               "key string, seq long, success boolean, ts timestamp")
+    got = []
+    for rows in (7, 1 << 16):
+        monkeypatch.setattr(S, "OUT_ROWS", rows)
+        out = S.run_to_table(spark, S.circuit_breaker_stream(_stream_of(spark, df, tmp_path, f"parts{rows}"), 3, 60), f"t-st5-parts{rows}")
+        got.append(sorted(tuple(r) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 100
+
+
+def test_replay_writes_a_slice_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "REPLAY_ROWS", 10)
+    df = spark.range(90).select("id", F.timestamp_seconds(F.col("id") + 1_704_067_200).alias("ts"))
+    run = S.run_stream(spark, S.replay(df, "t-many", files=3, closing=None), "t-many")
+    assert run.batches == 3 and run.rows.count() == 90
