@@ -37,6 +37,7 @@ from .tokens import Encoder, Known, Rows, spread
 SENT = 1 << 20  # pairs sent to every executor, 12 bytes each
 LONG = 2 << 20  # bytes of a text beyond which it is grouped in runs
 BLOCK = 1 << 21  # links, or pairs to be counted, that are held at once
+LOOKED_UP = 1 << 18  # pairs whose counts are looked up at once
 _LOADED: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -257,6 +258,16 @@ def led(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), spaced)
 
 
+def in_parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most `most` pairs, or of one row."""
+    upto = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy().astype(np.int64) // 8)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 # ------------------------------------------------------------------ the operator
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -353,7 +364,7 @@ def align(df: DataFrame, path_a: str, path_b: str, text_col: str = "text", most_
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, n, best = sent.value
-        for b in batches:
+        for b in (x for batch in batches for x in in_parts(batch, pairs, LOOKED_UP)):
             _, links, off, at = parts(b)
             there = at >= 0
             total, good = np.zeros(len(links) + 1, np.int64), np.zeros(len(links) + 1, np.int64)
@@ -362,7 +373,7 @@ def align(df: DataFrame, path_a: str, path_b: str, text_col: str = "text", most_
             yield appended(b.select(out), **{names["n_best"]: pa.array(np.diff(good[off])), names["count_sum"]: pa.array(np.diff(total[off]))})
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in in_parts(batch, pairs, LOOKED_UP)):
             flat, links, off, at = parts(b)
             rows = np.repeat(b.column(b.schema.get_field_index(row)).to_numpy(), np.diff(off))
             miss = np.flatnonzero(at < 0)

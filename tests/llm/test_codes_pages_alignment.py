@@ -245,3 +245,9 @@ def test_pieces_equal_the_library_on_odd_texts():
     for _ in range(2):  # the second time from those kept
         got = [f[i:j].tolist() for _, f, o in ours.encode(align.led(pa.array(texts))) for i, j in zip(o, o[1:], strict=False)]
         assert got == [plain.encode(t) for t in texts]
+
+
+def test_counts_are_looked_up_for_a_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * 8 * n for n in (3, 0, 9, 1, 1)], pa.binary())], names=["pairs"])
+    parts = [[len(v.as_py()) // 8 for v in p.column(0)] for p in align.in_parts(batch, "pairs", 4)]
+    assert parts == [[3, 0], [9], [1, 1]]
