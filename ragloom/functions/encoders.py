@@ -10,6 +10,7 @@ Python worker and fed whole Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,9 @@ from pyspark.sql import types as T
 from ..session import ensure_parallelism
 
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
+BATCH_TOKENS = 1 << 20
+UNKNOWN_BYTES = 1 << 50  # estimates from here on say that the planner does not know
+COUNT_BYTES = 8 << 20  # of the input, by the planner's estimate, whose counts a task holds
 
 
 class HashingEncoder:
@@ -54,7 +58,13 @@ class HashingEncoder:
 
     def signed_counts(self, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
         """The encoder's unnormalised vector in long form (id, bucket, count), nonzero entries only,
-        as a Spark job: tokens are exploded and summed per (id, bucket) with a partial aggregation."""
+        as a Spark job: tokens are exploded and summed per (id, bucket) with a partial aggregation, in
+        tasks of about ``COUNT_BYTES``, since a text leaves up to ``dim`` sums."""
+        tasks = df.sparkSession.sparkContext.defaultParallelism
+        if not df.isStreaming:
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            tasks = max(tasks, ceil(size / COUNT_BYTES) if size < UNKNOWN_BYTES else 0)
+        df = ensure_parallelism(df.select(id_col, text_col), tasks)
         codes = df.select(id_col, F.explode(self.bucket_ids(F.col(text_col))).alias("__c"))
         signed = codes.select(id_col, (F.col("__c") / 2).cast("int").alias("bucket"),
                               F.when(F.col("__c") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("__s"))
@@ -67,18 +77,24 @@ class HashingEncoder:
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def to_vectors(codes: pd.Series) -> pd.Series:
             n = len(codes)
+            out = np.zeros((n, dim), dtype=np.float32)
             lens = np.fromiter((0 if c is None else len(c) for c in codes), dtype=np.int64, count=n)
-            if lens.sum() == 0:
-                return pd.Series([np.zeros(dim, dtype=np.float32)] * n)
-            flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes if c is not None and len(c)])
-            rows = np.repeat(np.arange(n), lens)
-            weights = np.where(flat % 2 == 0, 1.0, -1.0)
-            mat = np.bincount(rows * dim + flat // 2, weights=weights, minlength=n * dim).reshape(n, dim)
-            norms = np.linalg.norm(mat, axis=1, keepdims=True)
-            norms[norms == 0] = 1.0
-            return pd.Series(list((mat / norms).astype(np.float32)))
-
-        return to_vectors(self.bucket_ids(text))
+            upto, a = np.cumsum(lens), 0
+            while a < n:  # texts of about BATCH_TOKENS tokens at a time
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BATCH_TOKENS, "right")))
+                b = min(b, a + BATCH_TOKENS // dim + 1)
+                if lens[a:b].any():
+                    flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes.iloc[a:b] if c is not None and len(c)])
+                    rows = np.repeat(np.arange(b - a), lens[a:b])
+                    weights = np.where(flat % 2 == 0, 1.0, -1.0)
+                    mat = np.bincount(rows * dim + flat // 2, weights=weights, minlength=(b - a) * dim).reshape(b - a, dim)
+                    norms = np.linalg.norm(mat, axis=1, keepdims=True)
+                    norms[norms == 0] = 1.0
+                    out[a:b] = mat / norms
+                a = b
+            return pd.Series(list(out))
+
+        return to_vectors(self.bucket_ids(text).cast("array<int>"))
 
     def transform(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
         return ensure_parallelism(df).withColumn(out_col, self.vector(F.col(text_col)))

@@ -105,3 +105,17 @@ def test_output_name_extension_rules(spark):
     df = spark.createDataFrame([("..JPG",), ("",), (None,)], "e string")
     got = [r[0] for r in df.select(T.output_name(F.lit("p"), F.lit("r"), F.lit(1), F.col("e"))).collect()]
     assert got == ["p_r_02.jpg", "p_r_02.png", "p_r_02.png"]
+
+
+def test_vectors_of_a_batch_are_made_in_parts(spark, monkeypatch):
+    """The tokens of an Arrow batch are not all held as numbers at once; the vectors are the same."""
+    from ragloom.functions import encoders as N
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9))) for i in range(50)] + [(99, None)], "id long, text string").coalesce(1)
+    want = N.HashingEncoder(dim=16).transform(docs, "text").collect()
+    monkeypatch.setattr(N, "BATCH_TOKENS", 5)
+    got = N.HashingEncoder(dim=16).transform(docs, "text").collect()
+    assert sorted((r["id"], r["embedding"]) for r in got) == sorted((r["id"], r["embedding"]) for r in want)
+    monkeypatch.setattr(N, "COUNT_BYTES", 64)
+    counts = N.HashingEncoder(dim=16).signed_counts(docs, "text", "id")
+    assert counts.agg(F.sum(F.abs("count"))).first()[0] <= sum(i % 9 for i in range(50))
