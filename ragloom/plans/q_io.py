@@ -4,6 +4,8 @@ source, so each round trip is checked against SQL over the original tables."""
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -55,37 +57,43 @@ def s2_k2_annotations_json(spark, sf):
     return coco_items(back).select(F.col("item_id").alias("id"), "description")
 
 
-def _one_file(spark, lines, name):
-    """Lines (at, line) as one text file in the order of ``at``."""
-    path = scratch_path(spark, name)
-    lines.orderBy("at").coalesce(1).select("line").write.text(path)
-    return path
+FILE_BYTES = 64 << 20  # of the tables, by the planner's estimate, that go to one JSON document
 
 
-def _array_lines(rows, value, section):
-    """JSON values as the lines of an array, a comma before all but the first; ``rows`` has ``id``."""
-    first = rows.select(F.min("id")).scalar()
-    return rows.select(F.struct(F.lit(section).alias("section"), F.col("id"), F.lit(0).alias("n")).alias("at"),
-                       F.concat(F.when(F.col("id") == first, F.lit("")).otherwise(F.lit(",")), F.to_json(value)).alias("line"))
+def _documents(spark, name, tables, lines, marks, close):
+    """JSON values (section, id, line) as the arrays of one JSON document in one text file, or, of larger
+    tables, of several documents by id hash: a task sorts and writes one. ``marks`` has the line that opens each section, ``close``
+    the last; a comma stands before all but the first value of an array."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    files = max(1, ceil(size / FILE_BYTES))
+    lines = lines.withColumn("file", F.pmod(F.xxhash64("section", "id"), F.lit(files)).cast("int"))
+    first = lines.groupBy("file", "section").agg(F.min("id").alias("first"))  # a row per array
+    lines = lines.join(F.broadcast(first), ["file", "section"], "left").select(
+        "file", "section", "id", F.concat(F.when(F.col("id") == F.col("first"), F.lit("")).otherwise(F.lit(",")), "line").alias("line"))
+    rows = [(f, section, -1, line) for f in range(files) for section, line in [*enumerate(marks), (len(marks), close)]]
+    lines = lines.unionByName(spark.createDataFrame(rows, "file int, section int, id long, line string"))
+    path = scratch_path(spark, name)
+    (lines.repartition(files, "file").sortWithinPartitions("file", "section", "id").select("file", "line")
+     .write.partitionBy("file").text(path))
+    return path
 
 
-def _marks(spark, *marks):
-    """Lines that stand before (id -1) or after the values of a section."""
-    rows = [((section, place, 0), line) for section, place, line in marks]
-    return spark.createDataFrame(rows, "at struct<section:int,id:long,n:int>, line string")
+def _values(rows, value, section):
+    """(section, id, line): the values of an array; ``rows`` has ``id``."""
+    return rows.select(F.lit(section).alias("section"), F.col("id").cast("long").alias("id"), F.to_json(value).alias("line"))
 
 
 @register("s2_annotations_array", """
 SELECT doc_id AS id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0""")
 def s2_annotations_array(spark, sf):
-    """Documents as the captions of one JSON array in one file (texts with quotes, braces and line breaks)
-    -> S2 reader, several tasks a file -> the train split."""
+    """Documents as the captions of one JSON array in one file, or of several where the table is large (texts with
+    quotes, braces and line breaks) -> S2 reader, several tasks a file -> the train split."""
     d = A.read_table(spark, sf, "documents")
     split = F.when(F.col("doc_id") % 3 == 0, "val").otherwise("train")
     rows = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("coco/"), split, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_path"),
                     F.array("text").alias("captions"), F.lit(1).alias("num_objects"))
-    lines = _array_lines(rows, F.struct("id", "image_path", "captions", "num_objects"), 0)
-    path = _one_file(spark, lines.unionByName(_marks(spark, (0, -1, "["), (1, 0, "]"))), "annotations-array")
+    lines = _values(rows, F.struct("id", "image_path", "captions", "num_objects"), 0)
+    path = _documents(spark, "annotations-array", [d], lines, ["["], "]")
     back = R.read_annotations_json(spark, path, split="train", image_dir="coco")
     return back.select("id", F.md5(F.col("captions")[0]).alias("h"))
 
@@ -95,16 +103,17 @@ SELECT c.name, count(*) AS annotations, count(DISTINCT i.id) AS images, CAST(sum
 FROM coco_ann a JOIN coco_images i ON i.id = a.image_id JOIN coco_cat c ON c.id = a.category_id GROUP BY c.name""",
                                                 "coco_images", "coco_ann", "coco_cat"))
 def s3_coco_instances(spark, sf):
-    """Images, annotations and categories as one instances document in one file -> S3 reader -> the
-    three tables joined."""
-    images = _array_lines(A.coco_images(spark, sf), F.struct("id", "file_name", "width", "height"), 0)
-    ann = A.read_table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-                                                     F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"))
-    ann = _array_lines(ann, F.struct("id", "image_id", "category_id"), 1)
-    cats = _array_lines(A.coco_categories(spark, sf), F.struct("id", "name"), 2)
-    marks = _marks(spark, (0, -1, '{"info": {"year": 2017}, "images": ['), (1, -1, '], "annotations": ['),
-                   (2, -1, '], "categories": ['), (3, 0, "]}"))
-    path = _one_file(spark, images.unionByName(ann).unionByName(cats).unionByName(marks), "instances")
+    """Images, annotations and categories as one instances document in one file, or several where the tables are
+    large -> S3 reader -> the three tables joined."""
+    lineitem = A.read_table(spark, sf, "lineitem")
+    images = _values(A.coco_images(spark, sf), F.struct("id", "file_name", "width", "height"), 0)
+    ann = lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                          F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("category_id"))
+    ann = _values(ann, F.struct("id", "image_id", "category_id"), 1)
+    cats = _values(A.coco_categories(spark, sf), F.struct("id", "name"), 2)
+    tables = [lineitem, *(A.read_table(spark, sf, t) for t in ("orders", "part"))]
+    path = _documents(spark, "instances", tables, images.unionByName(ann).unionByName(cats),
+                      ['{"info": {"year": 2017}, "images": [', '], "annotations": [', '], "categories": ['], "]}")
     i, a, c = R.read_coco_instances(spark, path)
     j = a.join(i, a["image_id"] == i["id"]).join(c.withColumnRenamed("id", "category_id"), "category_id")
     return j.groupBy("name").agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct(i["id"]).alias("images"),

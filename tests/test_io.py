@@ -210,3 +210,20 @@ def test_deleted_snapshots_are_gone_and_no_longer_listed(spark, tmp_path):
     assert len(listed) == 4 and all(spark.read.parquet(r["path"]).count() == 5 for r in listed)
     assert not (tmp_path / "bk" / "20240102_000000" / "a").exists()
     assert K.restore_snapshot(spark, base, "a").count() == 5
+
+
+def test_large_json_tables_come_as_several_documents(spark, tmp_path, monkeypatch):
+    """No task sorts or writes a whole table: each document goes to a task, and the readers see them all."""
+    import os
+
+    from ragloom.plans import q_io
+
+    monkeypatch.setattr(q_io, "FILE_BYTES", 1)
+    monkeypatch.setattr(q_io, "ceil", lambda x: 3)
+    rows = spark.createDataFrame([(i, f"x{{{i}\n") for i in range(40)], "id long, name string")
+    lines = q_io._values(rows, F.struct("id", "name"), 0).unionByName(q_io._values(rows, F.struct(F.col("id").alias("image_id")), 1))
+    path = q_io._documents(spark, "t-several", [rows], lines, ['{"categories": [', '], "annotations": ['], "]}")
+    assert len([f for d in os.listdir(path) if d.startswith("file=") for f in os.listdir(f"{path}/{d}") if f.startswith("part-")]) == 3
+    _, ann, cats = R.read_coco_instances(spark, path)
+    assert sorted((r["id"], r["name"]) for r in cats.collect()) == [(i, f"x{{{i}\n") for i in range(40)]
+    assert sorted(r["image_id"] for r in ann.collect()) == list(range(40))
