@@ -17,7 +17,8 @@ at least the threshold.
    components found. That joins a family of copies by as many pairs as it has members.
 4. In the cells that still hold several components, an R-tree over the points bounds the overlap with a
    box by the sum of the smaller of the point's count and the box's greatest, and so finds the pairs of different
-   components whose overlap may suffice. These are verified, and the components found again. So no link between
+   components whose overlap may suffice. Two classes may meet in many cells: rows carry the smallest few
+   cells of their class, and a pair is left to the smallest cell that both carry. These are verified, and the components found again. So no link between
    components is lost. The pairs verified up to here span the components; within one they are not all links.
 5. Every link, if asked for: all links lie within components, so a component's classes are dealt to blocks, and
    the overlaps of two blocks are a matrix product of their sets. A pair meets once. The number of links of a
@@ -52,6 +53,8 @@ GROUPS = 256
 CROWD = 4  # shingles in a group, on average; beyond it a point has eight times as many groups
 POINT_BYTES = 32 << 20  # unpacked
 LEAF = 16
+FEW = 256  # points that are looked at without a tree
+CARRIED = 8  # cells of a class that its rows carry
 BUCKET_POSTINGS = 1 << 19
 HEAVY = 1 << 15  # texts, by estimate; the cells of such shingles are never gathered
 POINTS = 4096
@@ -331,7 +334,10 @@ def candidates(rooted: DataFrame, points: DataFrame, kind: str, percent: int) ->
     """a, b for the pairs of different components in each cell (cell, doc_id, root) that the
     R-tree leaves. points: doc_id, n_shingles, groups.
 
-    The one pair of a cell of two has been looked at before. Of two components one isn't the cell's largest, so the classes of the others are the probes. A cell's
+    The one pair of a cell of two has been looked at before. Of two components one isn't the cell's largest, so the classes of the others are the probes. Of
+    two probes the one with the smaller id asks. A pair isn't looked at where a smaller cell is among the CARRIED
+    smallest of both, as it meets there; cells are named by hashes, so of classes that share most of theirs some
+    such cell is common, and others meet once for each cell that they share. A cell's
     points are indexed in parts of about POINTS classes, or POINT_BYTES of points, and its probes go to every part in
     blocks of that size. A tree holds points of one number of groups; of the others a probe meets those whose sizes allow it."""
     bytes_of = points.groupBy("doc_id").agg(F.sum(unpacked_bytes("n_shingles")).alias("bytes"))
@@ -339,31 +345,57 @@ def candidates(rooted: DataFrame, points: DataFrame, kind: str, percent: int) ->
     mixed = by_root.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("most")).where("most.n < n and n > 2")
     parts = lambda n, size: F.greatest(F.ceil(n / POINTS), F.ceil(size / POINT_BYTES)).cast("int")
     mixed = written(mixed.select("cell", F.col("most.root").alias("most"), parts(F.col("n"), F.col("bytes")).alias("parts"), parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("blocks")), "mixed")
-    members = rooted.join(mixed, "cell").join(points, "doc_id")
+    inside = rooted.join(mixed, "cell")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("cell"))
+    carried = inside.select("doc_id", "cell").distinct().withColumn("place", place).where(F.col("place") <= CARRIED).groupBy("doc_id").agg(F.collect_list("cell").alias("less"))
+    members = inside.join(points, "doc_id").join(carried, "doc_id").withColumn("less", F.expr("filter(less, c -> c < cell)")).withColumn("asks", F.expr("root <> most"))
     index = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    probes = members.where("root <> most").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), "blocks").cast("int")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
-    names = ["doc_id", "root", "n_shingles", "groups"]
+    probes = members.where("asks").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "doc_id"), "blocks").cast("int")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
+    names = ["doc_id", "root", "n_shingles", "groups", "less", "asks"]
 
     def probe(points: pa.Table, probes: pa.Table) -> pa.Table:
         a, b = [], []
         if points.num_rows and probes.num_rows:
-            ids, roots = (points[c].to_pylist() for c in ("doc_id", "root"))
+            ids, roots, asks = (points[c].to_pylist() for c in ("doc_id", "root", "asks"))
             sizes = points["n_shingles"].to_numpy()
+            code = {r: i for i, r in enumerate(set(roots))}
+            component = np.array([code[r] for r in roots], np.int64)
+            holding: dict[int, list[int]] = {}
+            for j, less in enumerate(points["less"].to_pylist()):
+                for cell in less:
+                    holding.setdefault(cell, []).append(j)
+            holders = {cell: np.array(rows, np.int64) for cell, rows in holding.items()}
             indexed = matrices(points["groups"].to_pylist())
+            flat: dict[tuple[int, int], np.ndarray] = {}
             trees: dict[tuple[int, int], RTree] = {}
-            asking, root_of, size_of = (probes[c].to_pylist() for c in ("doc_id", "root", "n_shingles"))
+            asking, root_of, size_of, less_of = (probes[c].to_pylist() for c in ("doc_id", "root", "n_shingles", "less"))
             for rows, counts in matrices(probes["groups"].to_pylist()):
                 for k, (at, own) in enumerate(indexed):
                     n = min(counts.shape[1], own.shape[1])
                     low, high = int(sizes[at].min()), int(sizes[at].max())
                     for i, count in zip(rows.tolist(), folded(counts, n), strict=True):
-                        x, root, size = asking[i], root_of[i], size_of[i]
+                        x, size = asking[i], size_of[i]
                         if high * 100 < percent * size or low * percent > 100 * size:
                             continue
-                        if (k, n) not in trees:
-                            trees[k, n] = RTree(folded(own, n), sizes[at])
-                        for j in at[trees[k, n].near(count, size, percent)].tolist():
-                            if roots[j] != root:
+                        new = component != code.get(root_of[i], -1)
+                        for cell in less_of[i]:
+                            if cell in holders:
+                                new[holders[cell]] = False
+                        some = np.flatnonzero(new[at])
+                        if not len(some):
+                            continue
+                        if (k, n) not in flat:
+                            flat[k, n] = folded(own, n)
+                        if len(some) > FEW:
+                            if (k, n) not in trees:
+                                trees[k, n] = RTree(flat[k, n], sizes[at])
+                            near = at[trees[k, n].near(count, size, percent)]
+                            near = near[new[near]]
+                        else:
+                            m = sizes[at[some]]
+                            near = at[some[RTree._may(np.minimum(flat[k, n][some], count).sum(1, dtype=np.int64), size, m, m, percent)]]
+                        for j in near.tolist():
+                            if not (asks[j] and x > ids[j]):
                                 a.append(min(x, ids[j]))
                                 b.append(max(x, ids[j]))
         return pa.Table.from_arrays([pa.array(a, points["doc_id"].type), pa.array(b, points["doc_id"].type)], names=["a", "b"])

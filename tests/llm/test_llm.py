@@ -331,6 +331,34 @@ def test_join_gives_every_link(spark, empty, monkeypatch, block):
     assert out.count() == 0 and links.count() == 0
 
 
+@pytest.mark.parametrize("carried, few, points", [(jaccard.CARRIED, jaccard.FEW, jaccard.POINTS), (1, 0, 7)])
+def test_pair_of_many_cells_is_a_candidate_once(spark, monkeypatch, carried, few, points):
+    # copies of 400 shingles, a few exchanged, each in 40 of 60 cells and most in a component of its own
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) > 0.02], rng.integers(0, 1 << 63, 8, dtype=np.uint64)])) for _ in range(24)]
+    root = {i: i % 15 for i in range(len(sets))}
+    cells = rng.integers(-(1 << 62), 1 << 62, 60)
+    inside = [(int(c), i) for i in range(len(sets)) for c in rng.choice(cells, 40, replace=False)]
+    # and two that share one cell of their many with them
+    sets += sets[:2]
+    root |= {24: 24, 25: 25}
+    inside += [(int(cells[k]), i) for i, k in ((24, 3), (25, 3))] + [(int(c), i) for i in (24, 25) for c in rng.integers(-(1 << 62), 1 << 62, 50)]
+    rooted = spark.createDataFrame([(c, i, root[i]) for c, i in inside], "cell long, doc_id long, root long")
+    point = spark.createDataFrame([(i, len(s), bytearray(jaccard.point(s))) for i, s in enumerate(sets)], "doc_id long, n_shingles long, groups binary")
+    of = defaultdict(set)
+    for c, i in inside:
+        of[c].add(i)
+    want = {(a, b) for ids in of.values() if len(ids) > 2 for a, b in combinations(sorted(ids), 2) if root[a] != root[b]}
+    monkeypatch.setattr(jaccard, "CARRIED", carried)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "POINTS", points)
+    assert {tuple(r) for r in jaccard.candidates(rooted, point, "long", 75).collect()} == want
+    if carried > 1:
+        monkeypatch.setattr(type(rooted), "distinct", lambda df: df)
+        assert jaccard.candidates(rooted, point, "long", 75).count() == len(want)
+
+
 def test_one_document_of_each_group_stays(docs, empty):
     kept = jaccard.deduplicated(docs)
     want = plain_components([(i, t) for i, t, _ in DOCS])
